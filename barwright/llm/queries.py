@@ -24,6 +24,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .learn import fold
+    from .quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return quality_scores(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit_language, identify
+    from .learn import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs, fold("doc_id", 4) != 2)
+    return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_packing, op8_simhash, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op5_packing, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
