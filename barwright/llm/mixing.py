@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, materialise
 
 NONE = "(none)"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -73,7 +73,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     longest prefix, in the order of md5(seed:epoch:doc_id), that fits its budget.
 
     The order of a leaf is cut into 16^`cells` cells by its hash; only the cell that holds the budget's end is
-    sorted, so no leaf is gathered in one task. The documents themselves are never shuffled: leaf rows are joined.
+    sorted, so no leaf is gathered in one task. Leaf rows are a written table, so Spark knows its size and broadcasts it
+    while it is small; the documents are then not shuffled at all.
     Null names are "(none)". Null and empty texts have 0 tokens. Null doc_ids share one place in the order, as
     repeated rows do, and are taken together or not at all. An empty table gives an empty result. The
     names epoch and mix_* are taken; input columns of those names are replaced.
@@ -87,7 +88,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     leaves = narrow.groupBy(*names).agg(F.sum("mix_tokens").alias("tokens"))
     plan = _propagate(leaves, names, {f"mix_{k}": v for k, v in weights.items()}, budget_share, max_epochs)
     plan = plan.withColumn("mix_whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)).withColumn("mix_rest", F.col("budget") - F.col("mix_whole") * F.col("tokens"))
-    plan = checkpointed(plan.select(*names, "mix_whole", "mix_rest", F.col("budget").alias("mix_budget")).coalesce(1))
+    plan = materialise(plan.select(*names, "mix_whole", "mix_rest").coalesce(1), "mix-plan")
     order = lambda: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_whole").cast("string"), id_).cast("binary"))
     rows = narrow.join(plan.where("mix_rest > 0"), names).withColumn("mix_u", order()).withColumn("mix_cell", F.substring("mix_u", 1, cells))
     filled = rows.groupBy(*names, "mix_cell").agg(F.sum("mix_tokens").alias("n"), F.first("mix_rest").alias("mix_rest"))
@@ -95,7 +96,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     edge = filled.where("upto > mix_rest").groupBy(*names).agg(F.min(F.struct("mix_cell", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(*names, "e.mix_cell", F.col("e.before").alias("before"))
     inside = rows.join(edge, [*names, "mix_cell"]).withColumn("upto", F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("mix_u")) + F.col("before"))
     inside = inside.where("upto <= mix_rest").groupBy(*names).agg(F.max("mix_u").alias("mix_last"))
-    ends = checkpointed(plan.join(edge.withColumnRenamed("mix_cell", "mix_edge").drop("before"), names, "left").join(inside, names, "left").coalesce(1))
+    ends = materialise(plan.join(edge.withColumnRenamed("mix_cell", "mix_edge").drop("before"), names, "left").join(inside, names, "left").coalesce(1), "mix-ends")
     out = docs.withColumns(keys).join(ends, names).withColumn("mix_u", order())
     part = (F.col("mix_rest") > 0) & (F.col("mix_edge").isNull() | (F.substring("mix_u", 1, cells) < F.col("mix_edge")) | (F.coalesce(F.col("mix_u") <= F.col("mix_last"), F.lit(False))))
     out = out.withColumn("mix_times", F.col("mix_whole") + part.cast("long")).where("mix_times > 0")
