@@ -74,7 +74,7 @@ class AttentionModel:
         np.add.at(z, bag, a[:, None] * h)
         return _sigmoid(z @ p["c"] + p["d"]), {"h": h, "t": t, "s": s, "a": a, "z": z}
 
-    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
+    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
         self.shift, self.scale = x.mean(0), 1 / (x.std(0) + 0.02)
         x = (x - self.shift) * self.scale * 0.5
         order = np.argsort(bag, kind="stable")
@@ -109,7 +109,7 @@ class AttentionModel:
         return self.forward((x - self.shift) * self.scale * 0.5, bag, len(s.texts))[0]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 1200, seed: int = 5) -> AttentionModel | None:
+def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 600, seed: int = 5) -> AttentionModel | None:
     """Fit on about `per_class` labelled documents of each class, passages whole; None if there are none.
 
     The classes are weighted back to their shares among the labels, so scores are probabilities.

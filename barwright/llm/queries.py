@@ -33,6 +33,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .learn import fold
+    from .toxicity import fit_toxicity, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return toxicity_scores(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, identify
     from .learn import fold
@@ -73,7 +82,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op5_packing, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op5_packing, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
