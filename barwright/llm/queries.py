@@ -42,6 +42,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit_language, identify
     from .learn import fold
@@ -82,7 +88,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op5_packing, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
