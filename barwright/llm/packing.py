@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 from .common import flat, materialise, slices
 
 WEIGHT_BITS = 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer whose pieces never cross ASCII white space, each distinct word encoded once."""
+    """Ids of texts by a tokenizer whose pieces never cross ASCII white space, each distinct word encoded once.
+
+    Words are remembered in two generations of bounded size. One instance serves all tasks of a Python worker.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -25,19 +29,44 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
+        self.between = special[0] if special else None
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         words = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, coded, strict=True))
-        get, stop = self.known.__getitem__, np.array([end], self.dtype).tobytes()
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for ws in words for w in ws if w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        self._learn([w for w in new if w not in known])
+        get, stop = known.__getitem__, np.array([end], self.dtype).tobytes()
         return [b"".join(map(get, ws)) + stop for ws in words]
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words in groups, parted by a special token, which is no word's own."""
+        mark = self.between[1].encode() if self.between else b""
+        alone = [w for w in new if not mark or mark[:1] in w]
+        joined = [w for w in new if mark and mark[:1] not in w]
+        text = lambda w: w.decode("utf-8", "replace")
+        self.known.update((w, np.array(self.tokenizer.encode(text(w), add_special_tokens=False).ids, self.dtype).tobytes()) for w in alone)
+        groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
+        for i in range(0, len(groups), 100):
+            coded = self.tokenizer.encode_batch_fast([text(mark.join(g)) for g in groups[i : i + 100]], add_special_tokens=False)
+            for group, e in zip(groups[i : i + 100], coded, strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids)) * self.dtype.itemsize
+                raw, at = ids.tobytes(), 0
+                for w, to in zip(group, ends.tolist(), strict=True):
+                    self.known[w] = raw[at:to]
+                    at = to + self.dtype.itemsize
+
+
+@lru_cache(maxsize=1)
+def _coder(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
 
 def _tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """Per document its ids and their place among its partition's ids of the same source."""
@@ -46,7 +75,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, part, at = WordTokenizer(tokenizer), TaskContext.get().partitionId(), {}
+        coder, part, at = _coder(tokenizer), TaskContext.get().partitionId(), {}
         for batch in slices(batches, limit=1 << 20):
             data, offsets = flat(batch.column(1))
             raw, o = data.tobytes(), offsets.tolist()
