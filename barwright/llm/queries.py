@@ -57,6 +57,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    n_bytes, n_kept = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +96,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op4_suffix_dedup, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
