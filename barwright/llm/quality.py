@@ -149,3 +149,17 @@ def quality_scores(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
     return text_bytes(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def quality_filter(docs: DataFrame, model: AttentionModel | None, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs`, all columns as they were, whose score is at least `threshold`. Nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=at, limit=2 << 20):
+            if model:
+                yield batch.filter(pa.array(model.score(Slice(batch.column(at).cast(pa.binary()))) >= threshold))
+            else:
+                yield batch
+
+    return docs.mapInArrow(run, docs.schema)

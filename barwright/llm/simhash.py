@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, components, flat, forest, slices, text_bytes
+from .common import checkpointed, components, flat, forest, materialise, slices, text_bytes
 
 FANOUT = 8
 PAIRS = 1 << 19
@@ -180,3 +180,13 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, seed: int = 42, dist
     parts = components(similar_links(distinct, distance)).withColumnRenamed("node", "rep")
     named = distinct.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marks.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, **settings: int) -> DataFrame:
+    """The rows of `docs` but those of documents that are linked, however far, to one of smaller doc_id.
+
+    Only the dropped ids are joined. Rows with a null doc_id stay; rows that share an id stay or go together.
+    """
+    groups = simhash_groups(docs, **settings)
+    dropped = materialise(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
