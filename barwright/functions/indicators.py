@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.schema import BAND_PERIODS, LAGGED, LAGS, MA_PERIODS, SHORT_PERIODS
@@ -61,7 +61,7 @@ def volume_features(df: DataFrame) -> DataFrame:
     last = before(p, 1)
     typical = (_c("high") + _c("low") + p) / 3
     df = df.withColumns({"_mean": rolling(F.avg, v, 20), "_step": (pdiv(p, last) - 1) * v, "_flow": F.when(p < last, -v).otherwise(v), "_tp": typical * v})
-    running = by_symbol().rowsBetween(-(1 << 31), 0)
+    running = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({
         "volume_sma_20": F.when(traded, _c("_mean")).otherwise(1.0), "volume_ratio": F.when(traded, pdiv(v, _c("_mean"))).otherwise(1.0),
         "volume_price_trend": F.when(traded, F.when(_c("_step").isNotNull(), F.sum("_step").over(running))).otherwise(0.0),

@@ -1,11 +1,682 @@
-"""All queries by name, and their DuckDB statements."""
+"""All bar queries by name, and their DuckDB statements.
+
+Doubles are rounded to six places on both sides, since sums over windows come in another order in each engine.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.functions import indicators as I
+from barwright.functions.exprs import finite, money, percent
+from barwright.functions.features import all_features
+from barwright.functions.recursive import dependants, recursive
+from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, validate
+from barwright.schema import BAND_PERIODS, LAGS, MA_PERIODS, SHORT_PERIODS
+from barwright.sources import providers
+
+from .oracle import W, chain, change, div, lag, roll, rounded, with_bars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "2024-02-01"
+THRESHOLD = 0.5
+NAMES = {"click": "Click Corp", "view": "View Holdings"}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.hourly_bars(table(spark, sf_dir, "events"))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.with_price(hourly(spark, sf_dir))
+
+
+def show(df: DataFrame, *columns: str) -> DataFrame:
+    """Chosen columns, doubles rounded."""
+    df = df.select(*columns) if columns else df
+    return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    return show(df, "symbol", "bar_ts", *columns)
+
+
+# Bars
+
+
+OHLCV = ("open", "high", "low", "close", "volume")
+BAR_COLUMNS = rounded(**{c: c for c in OHLCV})
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {BAR_COLUMNS} FROM bars"))
+def bars_hourly(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(hourly(spark, d), *OHLCV)
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {BAR_COLUMNS}, CAST(NULL AS VARCHAR) AS origin FROM bars UNION ALL SELECT upper(symbol), bar_ts, {BAR_COLUMNS}, 'copy' FROM bars"))
+def bars_union(spark: SparkSession, d: str) -> DataFrame:
+    b = hourly(spark, d)
+    return keyed(bars.stack([b, b.withColumns({"symbol": F.upper("symbol"), "origin": F.lit("copy")})]), *OHLCV, "origin")
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bar_ts"), "ts", "event_id", "value")
+
+
+def _dedup_sql(order: str) -> str:
+    return f"SELECT symbol, bar_ts, event_id, round(value, 6) + 0.0 AS value FROM (SELECT event_type AS symbol, date_trunc('day', ts) AS bar_ts, event_id, value, row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts {order}, event_id {order}) AS k FROM events) WHERE k = 1"
+
+
+@query(_dedup_sql("ASC"))
+def bars_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(bars.dedup(_daily(spark, d), ["symbol", "bar_ts"], [F.col("ts"), F.col("event_id")]), "event_id", "value")
+
+
+@query(_dedup_sql("DESC"))
+def bars_dedup_last(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(bars.dedup(_daily(spark, d), ["symbol", "bar_ts"], [F.desc("ts"), F.desc("event_id")]), "event_id", "value")
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(close='close')} FROM b WHERE rn > n_bars - 120"))
+def bars_last_n(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(bars.last_n(hourly(spark, d), 120), "close")
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(close='close')} FROM (SELECT *, max(bar_ts) OVER (PARTITION BY symbol) AS t FROM bars) WHERE bar_ts >= t - INTERVAL 7 DAY"))
+def bars_time_window(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(bars.time_window(hourly(spark, d), 7), "close")
+
+
+@query(with_bars(f" SELECT symbol, count(*) AS n_bars, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts, {rounded(low='min(low)', high='max(high)')}, count(DISTINCT close) AS n_closes FROM bars GROUP BY symbol"))
+def bars_range_stats(spark: SparkSession, d: str) -> DataFrame:
+    return show(bars.range_stats(hourly(spark, d)))
+
+
+@query("SELECT event_id, round(TRY_CAST(v AS DOUBLE), 6) + 0.0 AS value FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) END AS v FROM events) WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL")
+def bars_coerce_clean(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("decimal(18,2)").cast("string")).alias(" Value "))
+    return show(bars.coerce(bars.normalise_headers(raw), ("value",)))
+
+
+# Indicators in windows
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(price_change=change('p', 1))} FROM b"))
+def price_change(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.price_change(priced(spark, d)), "price_change")
+
+
+SHAPE = {
+    "high_low_range": div("high - low", "p"), "open_close_change": div("p - open", "open"), "body_size": div("abs(p - open)", "p"),
+    "upper_shadow": div("high - greatest(open, p)", "p"), "lower_shadow": div("least(open, p) - low", "p"),
+}
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**SHAPE)} FROM b"))
+def candle_shape(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.candle_shape(priced(spark, d)), *SHAPE)
+
+
+SMA = {f"sma_{n}": roll("avg", "p", n) for n in MA_PERIODS}
+SMA_CTE = f", m AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in SMA.items())} FROM b)"
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**SMA)} FROM b"))
+def sma_all(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.sma(priced(spark, d)), *SMA)
+
+
+def _ratios(kind: str) -> dict[str, str]:
+    return {f"price_{kind}_{n}_ratio": div("p", f"{kind}_{n}") for n in MA_PERIODS} | {f"{kind}_{n}_slope": change(f"{kind}_{n}", 5) for n in MA_PERIODS}
+
+
+@query(with_bars(f"{SMA_CTE} SELECT symbol, bar_ts, {rounded(**_ratios('sma'))} FROM m"))
+def sma_ratio_slope(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.average_ratios(I.sma(priced(spark, d)), "sma"), *_ratios("sma"))
+
+
+BANDS_CTE = f", c AS (SELECT *, {', '.join(f'{roll("avg", "p", n)} AS m{n}, {roll("stddev_pop", "p", n)} AS s{n}' for n in BAND_PERIODS)} FROM b)"
+BANDS_CTE += f", d AS (SELECT *, {', '.join(f'm{n} AS bb_{n}_middle, m{n} + 2 * s{n} AS bb_{n}_upper, m{n} - 2 * s{n} AS bb_{n}_lower' for n in BAND_PERIODS)} FROM c)"
+BANDS_CTE += f", e AS (SELECT *, {', '.join(f'{div(f"bb_{n}_upper - bb_{n}_lower", f"bb_{n}_middle")} AS bb_{n}_width, {div(f"p - bb_{n}_lower", f"bb_{n}_upper - bb_{n}_lower")} AS bb_{n}_position' for n in BAND_PERIODS)} FROM d)"
+BANDS = [f"bb_{n}_{x}" for n in BAND_PERIODS for x in ("middle", "upper", "lower", "width", "position")]
+
+
+@query(with_bars(f"{BANDS_CTE} SELECT symbol, bar_ts, {rounded(**{c: c for c in BANDS})} FROM e"))
+def bollinger(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.bollinger(priced(spark, d)), *BANDS)
+
+
+SQUEEZE = ", ".join(f"CASE WHEN round(bb_{n}_width, 9) < round({roll('avg', f'bb_{n}_width', 20)}, 9) THEN 1 ELSE 0 END AS bb_{n}_squeeze" for n in BAND_PERIODS)
+
+
+@query(with_bars(f"{BANDS_CTE} SELECT symbol, bar_ts, {SQUEEZE} FROM e"))
+def bollinger_squeeze(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.bollinger_squeeze(I.bollinger(priced(spark, d))), *(f"bb_{n}_squeeze" for n in BAND_PERIODS))
+
+
+TRADED = "(sum(volume) OVER (PARTITION BY symbol) > 0)"
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(volume_sma_20=f'CASE WHEN {TRADED} THEN {roll("avg", "volume", 20)} ELSE 1 END', volume_ratio=f'CASE WHEN {TRADED} THEN {div("volume", roll("avg", "volume", 20))} ELSE 1 END')} FROM b"))
+def volume_sma_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.volume_features(priced(spark, d)), "volume_sma_20", "volume_ratio")
+
+
+@query(with_bars(f", s AS (SELECT *, {change('p', 1)} * volume AS step FROM b) SELECT symbol, bar_ts, {rounded(volume_price_trend=f'CASE WHEN step IS NOT NULL THEN sum(step) OVER ({W}) END')} FROM s"))
+def vpt(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.volume_features(priced(spark, d)), "volume_price_trend")
+
+
+@query(with_bars(f", s AS (SELECT *, CASE WHEN p < {lag('p')} THEN -volume ELSE volume END AS flow FROM b) SELECT symbol, bar_ts, {rounded(on_balance_volume=f'sum(flow) OVER ({W})')} FROM s"))
+def obv(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.volume_features(priced(spark, d)), "on_balance_volume")
+
+
+@query(with_bars(f", s AS (SELECT *, (high + low + p) / 3 * volume AS tv FROM b) SELECT symbol, bar_ts, {rounded(volume_weighted_price=div(roll('sum', 'tv', 14), roll('sum', 'volume', 14)))} FROM s"))
+def vwap(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.volume_features(priced(spark, d)), "volume_weighted_price")
+
+
+ROC = {f"roc_{n}": f"100 * {div(f'p - {lag("p", n)}', lag('p', n))}" for n in (10, 20)}
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**ROC)} FROM b"))
+def roc(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.rate_of_change(priced(spark, d)), *ROC)
+
+
+TOP, LOW = roll("max", "high", 14), roll("min", "low", 14)
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(williams_r=f'-100 * {div(f"{TOP} - p", f"{TOP} - {LOW}")}')} FROM b"))
+def williams_r(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.channel(priced(spark, d)), "williams_r")
+
+
+@query(with_bars(f", k AS (SELECT *, 100 * {div(f'p - {LOW}', f'{TOP} - {LOW}')} AS stoch_k FROM b) SELECT symbol, bar_ts, {rounded(stoch_k='stoch_k', stoch_d=roll('avg', 'stoch_k', 3))} FROM k"))
+def stochastic(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.channel(priced(spark, d)), "stoch_k", "stoch_d")
+
+
+@query(with_bars(f""", t AS (SELECT *, (high + low + p) / 3 AS tp FROM b), a AS (SELECT *, {roll('avg', 'tp', 20)} AS m, list(tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM t),
+  s AS (SELECT *, list_sum(list_transform(l, lambda x: abs(x - m))) / 20 AS dev FROM a) SELECT symbol, bar_ts, {rounded(cci=div('tp - m', '0.015 * dev'))} FROM s"""))
+def cci(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.cci(priced(spark, d)), "cci")
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, CASE WHEN {div('abs(p - open)', 'high - low')} < 0.1 THEN 1 ELSE 0 END AS doji, CASE WHEN low < least(open, p) AND high - greatest(open, p) < 0.3 * (high - low) THEN 1 ELSE 0 END AS hammer FROM b"))
+def doji_hammer(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.candle_patterns(priced(spark, d)), "doji", "hammer")
+
+
+VOLATILITY = {f"price_volatility_{n}": roll("stddev_samp", "price_change", n) for n in SHORT_PERIODS} | {f"high_low_volatility_{n}": roll("stddev_samp", "high_low_range", n) for n in SHORT_PERIODS}
+
+
+@query(with_bars(f", c AS (SELECT *, {change('p', 1)} AS price_change, {SHAPE['high_low_range']} AS high_low_range FROM b) SELECT symbol, bar_ts, {rounded(**VOLATILITY)} FROM c"))
+def rolling_volatility(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.volatility(I.candle_shape(I.price_change(priced(spark, d)))), *VOLATILITY)
+
+
+MOMENTUM = {f"price_momentum_{n}": change("p", n) for n in SHORT_PERIODS}
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**MOMENTUM)} FROM b"))
+def momentum(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.momentum(priced(spark, d)), *MOMENTUM)
+
+
+LAG_COLUMNS = {f"{c}_lag_{k}": lag(c, k) for c in ("price_change", "volume_ratio") for k in LAGS}
+
+
+@query(with_bars(f", c AS (SELECT *, {change('p', 1)} AS price_change, {div('volume', roll('avg', 'volume', 20))} AS volume_ratio FROM b) SELECT symbol, bar_ts, {rounded(**LAG_COLUMNS)} FROM c"))
+def lag_features(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(I.lags(I.volume_features(I.price_change(priced(spark, d))), ("price_change", "volume_ratio")), *LAG_COLUMNS)
+
+
+# Recursive indicators
+
+
+def _ema(source: str, x: str, n: int, name: str) -> str:
+    return chain(name, source, x, 2 / (n + 1))
+
+
+EMA_CTES = "".join(f", {_ema('b', 'p', n, f'e{n}')}" for n in MA_PERIODS)
+EMA_CTES += f", ema AS (SELECT b.*, {', '.join(f'CASE WHEN b.rn >= {n} THEN e{n}.e END AS ema_{n}' for n in MA_PERIODS)} FROM b {' '.join(f'JOIN e{n} ON e{n}.symbol = b.symbol AND e{n}.rn = b.rn' for n in MA_PERIODS)})"
+
+
+@query(with_bars(f"{EMA_CTES} SELECT symbol, bar_ts, {rounded(**{f'ema_{n}': f'ema_{n}' for n in MA_PERIODS})} FROM ema"))
+def ema_all(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(recursive(priced(spark, d)), *(f"ema_{n}" for n in MA_PERIODS))
+
+
+@query(with_bars(f"{EMA_CTES} SELECT symbol, bar_ts, {rounded(**_ratios('ema'))} FROM ema"))
+def ema_ratio_slope(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(dependants(recursive(priced(spark, d))), *_ratios("ema"))
+
+
+GAIN_CTE = f", g AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE greatest(p - {lag('p')}, 0) END AS up, CASE WHEN rn = 1 THEN 0 ELSE greatest({lag('p')} - p, 0) END AS down FROM b)"
+RSI_CTES = GAIN_CTE + "".join(f", {chain(f'{k}{n}', 'g', k, 1 / n)}" for n in (14, 21) for k in ("up", "down"))
+RSI_CTES += ", rsi AS (SELECT b.*, " + ", ".join(f"CASE WHEN b.rn >= {n} THEN CASE WHEN down{n}.e = 0 THEN 100 ELSE 100 - 100 / (1 + up{n}.e / down{n}.e) END END AS rsi_{n}" for n in (14, 21)) + " FROM b " + " ".join(f"JOIN {k}{n} ON {k}{n}.symbol = b.symbol AND {k}{n}.rn = b.rn" for n in (14, 21) for k in ("up", "down")) + ")"
+
+
+@query(with_bars(f"{RSI_CTES} SELECT symbol, bar_ts, {rounded(rsi_14='rsi_14', rsi_21='rsi_21', rsi_14_change=f'rsi_14 - {lag("rsi_14")}', rsi_21_change=f'rsi_21 - {lag("rsi_21")}')} FROM rsi"))
+def rsi(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(dependants(recursive(priced(spark, d))), "rsi_14", "rsi_21", "rsi_14_change", "rsi_21_change")
+
+
+MACD_CTES = f", {_ema('b', 'p', 12, 'f12')}, {_ema('b', 'p', 26, 'f26')}, md AS (SELECT b.*, CASE WHEN b.rn >= 26 THEN f12.e - f26.e END AS macd FROM b JOIN f12 ON f12.symbol = b.symbol AND f12.rn = b.rn JOIN f26 ON f26.symbol = b.symbol AND f26.rn = b.rn)"
+MACD_CTES += f", {chain('sg', 'md', 'macd', 2 / 10, 'rn = 26')}, macd AS (SELECT md.*, CASE WHEN md.rn >= 34 THEN sg.e END AS macd_signal FROM md LEFT JOIN sg ON sg.symbol = md.symbol AND sg.rn = md.rn)"
+
+
+@query(with_bars(f"{MACD_CTES} SELECT symbol, bar_ts, {rounded(macd='macd', macd_signal='macd_signal', macd_histogram='macd - macd_signal')}, CASE WHEN macd > macd_signal THEN 1 ELSE 0 END AS macd_crossover FROM macd"))
+def macd(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(dependants(recursive(priced(spark, d))), "macd", "macd_signal", "macd_histogram", "macd_crossover")
+
+
+ATR_CTES = f", tr AS (SELECT *, greatest(high - low, coalesce(abs(high - {lag('p')}), 0), coalesce(abs(low - {lag('p')}), 0)) AS tr FROM b)"
+ATR_CTES += "".join(f", tr{n} AS (SELECT *, CASE WHEN rn = {n} THEN {roll('avg', 'tr', n)} ELSE tr END AS x FROM tr), {chain(f'a{n}', f'tr{n}', 'x', 1 / n, f'rn = {n}')}" for n in (14, 21))
+ATR_CTES += ", atr AS (SELECT b.*, " + ", ".join(f"coalesce(a{n}.e, 0) AS atr_{n}" for n in (14, 21)) + " FROM b " + " ".join(f"LEFT JOIN a{n} ON a{n}.symbol = b.symbol AND a{n}.rn = b.rn" for n in (14, 21)) + ")"
+
+
+@query(with_bars(f"{ATR_CTES} SELECT symbol, bar_ts, {rounded(atr_14='atr_14', atr_21='atr_21')} FROM atr"))
+def atr(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(recursive(priced(spark, d)), "atr_14", "atr_21")
+
+
+def _no_inf(x: str) -> str:
+    return f"CASE WHEN isinf({x}) THEN 0 ELSE {x} END"
+
+
+@query(with_bars(f"{ATR_CTES}, v AS (SELECT *, {div('atr_14', 'atr_21')} AS volatility_ratio FROM atr) SELECT symbol, bar_ts, {rounded(volatility_ratio=_no_inf('volatility_ratio'))}, coalesce(isinf(volatility_ratio), false) AS was_infinite FROM v"))
+def volatility_ratio(spark: SparkSession, d: str) -> DataFrame:
+    df = dependants(recursive(priced(spark, d)))
+    infinite = F.coalesce(F.abs("volatility_ratio") == float("inf"), F.lit(False))
+    return keyed(df.withColumn("was_infinite", infinite).withColumn("volatility_ratio", finite(F.col("volatility_ratio"))), "volatility_ratio", "was_infinite")
+
+
+ADX_CTES = f", dm AS (SELECT *, high - {lag('high')} AS rise, {lag('low')} - low AS fall, greatest(high - low, coalesce(abs(high - {lag('p')}), 0), coalesce(abs(low - {lag('p')}), 0)) AS tr FROM b)"
+ADX_CTES += ", mv AS (SELECT *, CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0 END AS plus, CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0 END AS minus FROM dm WHERE rn > 1)"
+ADX_CTES += "".join(f", {k}s AS (SELECT *, CASE WHEN rn = 15 THEN {roll('avg', k, 14)} ELSE {k} END AS x FROM mv), {chain(f'{k}w', f'{k}s', 'x', 1 / 14, 'rn = 15')}" for k in ("tr", "plus", "minus"))
+ADX_CTES += f", dx AS (SELECT t.symbol, t.rn, coalesce(100 * abs({div('p.e', 't.e')} - {div('m.e', 't.e')}) / nullif({div('p.e', 't.e')} + {div('m.e', 't.e')}, 0), 0) AS dx FROM trw t JOIN plusw p ON p.symbol = t.symbol AND p.rn = t.rn JOIN minusw m ON m.symbol = t.symbol AND m.rn = t.rn)"
+ADX_CTES += f", ds AS (SELECT *, CASE WHEN rn = 28 THEN (CASE WHEN count(dx) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) = 14 THEN avg(dx) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END) ELSE dx END AS x FROM dx), {chain('aw', 'ds', 'x', 1 / 14, 'rn = 28')}"
+
+
+@query(with_bars(f"{ADX_CTES} SELECT b.symbol, b.bar_ts, {rounded(adx='aw.e')} FROM b LEFT JOIN aw ON aw.symbol = b.symbol AND aw.rn = b.rn"))
+def adx(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(recursive(priced(spark, d)), "adx")
+
+
+# Labels and filling
+
+
+LABEL_CTES = f", fw AS (SELECT *, {div(f'max(high) OVER ({W} ROWS BETWEEN 3 FOLLOWING AND 10 FOLLOWING) - p', 'p')} AS up, {div(f'p - min(low) OVER ({W} ROWS BETWEEN 3 FOLLOWING AND 10 FOLLOWING)', 'p')} AS down FROM b)"
+LABEL_CTES += ", lb AS (SELECT *, CASE WHEN rn <= n_bars - 10 AND up >= 0.075 THEN 1 ELSE 0 END AS swing_label FROM fw)"
+
+
+@query(with_bars(f"{LABEL_CTES} SELECT symbol, bar_ts, swing_label, {rounded(swing_profit_potential='CASE WHEN swing_label = 1 THEN up ELSE 0 END', swing_risk='CASE WHEN swing_label = 1 THEN down ELSE 0 END')} FROM lb"))
+def swing_labels(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(labels.swing_labels(priced(spark, d)), "swing_label", "swing_profit_potential", "swing_risk")
+
+
+@query(with_bars(f"{LABEL_CTES} SELECT symbol, count(*) AS n_rows, count(*) FILTER (swing_label = 1) AS n_positive, {rounded(pct_positive='100 * avg(swing_label)', avg_profit='avg(up) FILTER (swing_label = 1)', avg_risk='avg(down) FILTER (swing_label = 1)')} FROM lb GROUP BY symbol"))
+def label_summary(spark: SparkSession, d: str) -> DataFrame:
+    return show(labels.label_summary(labels.swing_labels(priced(spark, d))))
+
+
+def _filled(x: str) -> str:
+    return f"coalesce(last_value({x} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({x} IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+
+
+@query(with_bars(f"{SMA_CTE}, h AS (SELECT *, CASE WHEN rn % 4 <> 0 THEN close END AS gappy FROM m) SELECT symbol, bar_ts, {rounded(sma_20=_filled('sma_20'), sma_50=_filled('sma_50'), gappy=_filled('gappy'))} FROM h"))
+def fill_ffill_bfill(spark: SparkSession, d: str) -> DataFrame:
+    df = bars.numbered(I.sma(priced(spark, d))).withColumn("gappy", F.when(F.col("rn") % 4 != 0, F.col("close")))
+    columns = ["sma_20", "sma_50", "gappy"]
+    return keyed(impute.fill(df, columns), *columns)
+
+
+@query(with_bars(f"{ATR_CTES}, v AS (SELECT *, {div('atr_14', 'atr_21')} AS x FROM atr) SELECT symbol, bar_ts, {rounded(kept=_no_inf('x'), zeroed=f'coalesce({_no_inf("x")}, 0)')} FROM v"))
+def inf_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    df = dependants(recursive(priced(spark, d))).withColumns({"kept": F.col("volatility_ratio"), "zeroed": F.col("volatility_ratio")})
+    return keyed(impute.clean(impute.clean(df, ["kept"]), ["zeroed"], zero_missing=True), "kept", "zeroed")
+
+
+DEFAULTED = {"sma_200": f"coalesce({roll('avg', 'close', 20)}, close)", "price_sma_200_ratio": f"coalesce({roll('avg', 'close', 20)}, close)", "rsi_9": "50.0::DOUBLE", "volume_flow": "1.0::DOUBLE", "price_change_z": "0.0::DOUBLE", "odd_ratio": "1.0::DOUBLE", "other": "0.0::DOUBLE"}
+
+
+@query(with_bars(f", c AS (SELECT * FROM b WHERE rn <= 120) SELECT symbol, bar_ts, {rounded(**DEFAULTED)} FROM c"))
+def missing_feature_defaults(spark: SparkSession, d: str) -> DataFrame:
+    df = bars.numbered(priced(spark, d)).where("rn <= 120")
+    df = df.withColumns({c: F.lit(None).cast("double") for c in DEFAULTED})
+    return keyed(impute.with_defaults(df, list(DEFAULTED)), *DEFAULTED)
+
+
+# Signals
+
+
+def _clamp(x: str, low: float, high: float) -> str:
+    return f"greatest({low}, least({high}, {x}))"
+
+
+def _over(n: int) -> str:
+    return f"OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+SCORE_CTES = f", mvs AS (SELECT *, close - {lag('close')} AS mv, {lag('close')} AS last_close FROM b)"
+SCORE_CTES += f", st AS (SELECT *, first_value(close) {_over(15)} AS start, avg(CASE WHEN mv IS NULL THEN NULL ELSE greatest(mv, 0) END) {_over(14)} AS up, avg(CASE WHEN mv IS NULL THEN NULL ELSE greatest(-mv, 0) END) {_over(14)} AS down, avg(volume) {_over(30)} AS mean FROM mvs)"
+SCORE_CTES += ", sc AS (SELECT *, CASE WHEN start <> 0 THEN (close - start) / start ELSE 0 END AS momentum, CASE WHEN down > 0 THEN 100 - 100 / (1 + up / down) ELSE 50 END AS rsi, CASE WHEN mean <> 0 THEN volume / mean ELSE 1 END AS volume_ratio FROM st)"
+SCORE_CTES += f", scored AS (SELECT *, {_clamp(f'0.48 + {_clamp("momentum", -0.2, 0.2)} * 1.7 + {_clamp("(50 - abs(rsi - 55)) / 300", -0.1, 0.16)} + {_clamp("(volume_ratio - 1) * 0.08", -0.1, 0.15)}', 0.05, 0.95)} AS score FROM sc)"
+ANALYSIS = {
+    "current_price": "close", "current_volume": "volume", "price_change_1d": "CASE WHEN coalesce(last_close, 0) <> 0 THEN (close - last_close) / last_close ELSE 0 END", "rsi": "rsi", "swing_probability": "score",
+    "stop_loss": "close * (1 - 0.08 * 0.5)", "take_profit": "close * (1 + 0.08)",
+}
+BUCKET = "CASE WHEN round(score, 9) >= 0.78 THEN 'High' WHEN round(score, 9) >= 0.6 THEN 'Medium' ELSE 'Low' END"
+LATEST = f"{SCORE_CTES}, latest AS (SELECT *, {BUCKET} AS confidence_level FROM scored WHERE rn = n_bars)"
+
+
+@query(with_bars(f"{ATR_CTES} SELECT symbol, bar_ts, {rounded(stop_loss='close - greatest(greatest(close * 0.15, 2 * atr_14) * 0.5, greatest(close * 0.01, atr_14))', take_profit='close + greatest(close * 0.15, 2 * atr_14)')} FROM atr"))
+def stop_take_levels(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(signals.levels(recursive(priced(spark, d))), "stop_loss", "take_profit")
+
+
+@query(with_bars(f"{SCORE_CTES} SELECT symbol, bar_ts, CASE WHEN greatest(s, 1 - s) > 0.8 THEN 'High' WHEN greatest(s, 1 - s) > 0.6 THEN 'Medium' ELSE 'Low' END AS confidence, CASE WHEN s >= 0.78 THEN 'High' WHEN s >= 0.6 THEN 'Medium' ELSE 'Low' END AS fallback FROM (SELECT *, round(score, 6) AS s FROM scored)"))
+def confidence_bucket(spark: SparkSession, d: str) -> DataFrame:
+    df = signals.fallback_scores(hourly(spark, d)).withColumn("s", F.round("score", 6))
+    return keyed(df.withColumns({"confidence": signals.confidence(F.col("s")), "fallback": signals.fallback_confidence(F.col("s"))}), "confidence", "fallback")
+
+
+@query(with_bars(f"{SCORE_CTES} SELECT symbol, bar_ts, CASE WHEN s < 0.5 THEN 'NO BUY' WHEN s >= 0.8 THEN 'STRONG BUY' WHEN s >= 0.6 THEN 'MODERATE BUY' ELSE 'WEAK BUY' END AS strength FROM (SELECT *, round(score, 6) AS s FROM scored)"))
+def signal_strength(spark: SparkSession, d: str) -> DataFrame:
+    df = signals.fallback_scores(hourly(spark, d)).withColumn("s", F.round("score", 6))
+    return keyed(df.withColumn("strength", signals.strength(F.col("s"), (F.col("s") >= 0.5).cast("int"))), "strength")
+
+
+@query(with_bars(f"{SCORE_CTES} SELECT symbol, bar_ts, {rounded(momentum='momentum', rsi='rsi', volume_ratio='volume_ratio', score='score')} FROM scored"))
+def fallback_score(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(signals.fallback_scores(hourly(spark, d)), "momentum", "rsi", "volume_ratio", "score")
+
+
+@query(with_bars(f"{LATEST} SELECT symbol, bar_ts AS as_of, {rounded(**ANALYSIS)}, confidence_level, 'USD' AS currency FROM latest ORDER BY score DESC, symbol"))
+def screener(spark: SparkSession, d: str) -> DataFrame:
+    return show(signals.screener(signals.latest_analysis(hourly(spark, d))))
+
+
+def _requested(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct()
+    return known.unionByName(table(spark, d, "region").select(F.col("r_name").alias("symbol")))
+
+
+REQUESTED = ", req AS (SELECT DISTINCT symbol FROM bars UNION SELECT r_name FROM region)"
+
+
+@query(with_bars(f"{REQUESTED} SELECT symbol FROM req WHERE symbol NOT IN (SELECT symbol FROM bars)"))
+def screener_failures(spark: SparkSession, d: str) -> DataFrame:
+    return signals.screener_failures(_requested(spark, d), signals.latest_analysis(hourly(spark, d)))
+
+
+@query(with_bars(f"{LATEST} SELECT symbol, {rounded(swing_probability='score')}, bar_ts AS as_of FROM latest WHERE score >= 0.5"))
+def monitor_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return show(signals.monitor(signals.latest_analysis(hourly(spark, d)), THRESHOLD), "symbol", "swing_probability", "as_of")
+
+
+@query(with_bars(f"{LATEST} SELECT symbol, {rounded(swing_probability='score')} FROM latest ORDER BY score DESC, symbol LIMIT 3"))
+def screener_top_k(spark: SparkSession, d: str) -> DataFrame:
+    return show(signals.screener(signals.latest_analysis(hourly(spark, d))).limit(3), "symbol", "swing_probability")
+
+
+COMPANY = "CASE r.symbol WHEN 'click' THEN 'Click Corp' WHEN 'view' THEN 'View Holdings' ELSE r.symbol END"
+BOARD = f"{LATEST}{REQUESTED}, board AS (SELECT r.symbol, {COMPANY} AS company, close AS price, {ANALYSIS['price_change_1d']} AS change0, coalesce(score, 0) AS probability, coalesce(confidence_level, 'Unavailable') AS confidence, CASE WHEN l.symbol IS NULL THEN 'unavailable' ELSE 'available' END AS status, bar_ts AS as_of FROM req r LEFT JOIN latest l ON l.symbol = r.symbol)"
+
+
+@query(with_bars(f"{BOARD} SELECT symbol, company, {rounded(price='price', change='CASE WHEN price IS NOT NULL THEN change0 END', probability='probability')}, confidence, status, as_of FROM board"))
+def dashboard(spark: SparkSession, d: str) -> DataFrame:
+    return show(signals.dashboard(_requested(spark, d), hourly(spark, d), NAMES))
+
+
+@query(with_bars(f"{BOARD} SELECT {rounded(avg_probability="coalesce(avg(probability) FILTER (status = 'available'), 0)")}, count(*) FILTER (status = 'available' AND probability >= 0.65) AS signals_today, count(*) FILTER (status = 'available') AS n_available, min(as_of) AS oldest, max(as_of) AS newest FROM board"))
+def dashboard_summary(spark: SparkSession, d: str) -> DataFrame:
+    return show(signals.dashboard_summary(signals.dashboard(_requested(spark, d), hourly(spark, d), NAMES)))
+
+
+@query(with_bars(f" SELECT symbol, strftime(t, '%Y-%m-%d') AS last_date, age AS age_days, CASE WHEN age <= 3 THEN 'green' WHEN age <= 14 THEN 'amber' ELSE 'red' END AS colour FROM (SELECT symbol, max(bar_ts) AS t, CAST(date_diff('day', CAST(max(bar_ts) AS DATE), DATE '{AS_OF}') AS INTEGER) AS age FROM bars GROUP BY symbol)"))
+def freshness(spark: SparkSession, d: str) -> DataFrame:
+    return signals.freshness(bars.range_stats(hourly(spark, d)), F.lit(AS_OF).cast("date"))
+
+
+@query("""WITH s AS (SELECT 'c' || CAST(o_custkey % 10 AS VARCHAR) AS symbol, date_diff('day', CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE)) AS span FROM orders GROUP BY 1 UNION ALL SELECT 'short', 20),
+  o AS (SELECT symbol, unnest(list_concat(list_filter([90, 180, 365, 1095], lambda x: x <= span), list_transform(range(1, CAST(floor(floor(span / 365.25) / 5) AS BIGINT) + 1), lambda k: CAST(k * 5 * 365 AS INTEGER)))) AS days FROM s)
+  SELECT symbol, CAST(days AS INTEGER) AS days FROM o UNION ALL SELECT symbol, 90 FROM s WHERE symbol NOT IN (SELECT symbol FROM o)""")
+def window_options(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 10).cast("string")).alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("bar_ts"))
+    short = spark.sql("SELECT 'short' AS symbol, explode(array(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-21')) AS bar_ts")
+    return signals.window_options(days.unionByName(short))
+
+
+@query()
+def money_formats(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", percent(F.col("c_acctbal") / 8192).alias("pct"), money(F.col("c_acctbal"), F.lit("USD")).alias("usd"), money(F.col("c_acctbal"), F.lit("KRW")).alias("krw"))
+
+
+# Backtests on the fallback score
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    scored = signals.fallback_scores(recursive(priced(spark, d)))
+    return backtest.walk(scored.withColumn("score", F.round("score", 9)), THRESHOLD)
+
+
+HELD = "(CASE WHEN s.i < 50 OR s.i >= s.n_bars - 10 THEN 'none' WHEN w.entry IS NULL THEN (CASE WHEN s.score >= 0.5 THEN 'in' ELSE 'none' END) WHEN s.close <= w.stop THEN 'Stop-loss' WHEN s.close >= w.take THEN 'Take-profit' WHEN s.i - w.entry >= 10 THEN 'Max time' ELSE 'none' END)"
+WALK = ATR_CTES + SCORE_CTES + f"""
+, s AS (SELECT c.symbol, c.bar_ts, c.rn - 1 AS i, c.n_bars, c.close, round(c.score, 9) AS score, c.close - greatest(greatest(c.close * 0.15, 2 * a.atr_14) * 0.5, greatest(c.close * 0.01, a.atr_14)) AS stop, c.close + greatest(c.close * 0.15, 2 * a.atr_14) AS take
+  FROM scored c JOIN atr a ON a.symbol = c.symbol AND a.rn = c.rn)
+, w AS (
+  SELECT symbol, i, CAST(NULL AS BIGINT) AS entry, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS prob, CAST(NULL AS TIMESTAMP) AS entry_ts, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS take, 'none' AS act, 1.0::DOUBLE AS realised, CAST(NULL AS DOUBLE) AS was_price, CAST(NULL AS DOUBLE) AS was_prob, CAST(NULL AS TIMESTAMP) AS was_ts, CAST(NULL AS BIGINT) AS was_entry
+  FROM s WHERE i = 0
+  UNION ALL
+  SELECT symbol, i, CASE act WHEN 'in' THEN i WHEN 'none' THEN entry END, CASE act WHEN 'in' THEN close WHEN 'none' THEN price END, CASE act WHEN 'in' THEN score WHEN 'none' THEN prob END, CASE act WHEN 'in' THEN bar_ts WHEN 'none' THEN entry_ts END,
+         CASE act WHEN 'in' THEN s_stop WHEN 'none' THEN stop END, CASE act WHEN 'in' THEN s_take WHEN 'none' THEN take END, act, CASE WHEN act IN ('in', 'none') THEN realised ELSE realised * (1 + (close - price) / price) END, price, prob, entry_ts, entry
+  FROM (SELECT s.symbol, s.i, s.bar_ts, s.close, s.score, s.stop AS s_stop, s.take AS s_take, w.entry, w.price, w.prob, w.entry_ts, w.stop, w.take, w.realised, {HELD} AS act FROM w JOIN s ON s.symbol = w.symbol AND s.i = w.i + 1))
+, steps AS (SELECT s.symbol, s.bar_ts, s.i, s.close, w.act, w.was_price AS entry_price, w.was_prob AS entry_probability, w.was_ts AS entry_date, s.i - w.was_entry AS bars_held, w.realised * CASE WHEN w.price IS NULL THEN 1 ELSE 1 + (s.close - w.price) / w.price END AS equity FROM s JOIN w ON w.symbol = s.symbol AND w.i = s.i)
+, closed AS (SELECT symbol, entry_date, bar_ts AS exit_date, entry_price, close AS exit_price, CAST(floor((epoch(bar_ts) - epoch(entry_date)) / 86400) AS BIGINT) AS days_held, bars_held, (close - entry_price) / entry_price AS profit_pct, entry_probability, act AS exit_reason FROM steps WHERE act NOT IN ('in', 'none'))"""
+
+
+@query(with_bars(f"{WALK} SELECT symbol, entry_date, exit_date, {rounded(entry_price='entry_price', exit_price='exit_price', profit_pct='profit_pct', entry_probability='entry_probability')}, days_held, bars_held, exit_reason FROM closed"))
+def backtest_trades(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.trades(_steps(spark, d)))
+
+
+@query(with_bars(f"{WALK} SELECT symbol, count(*) AS num_trades, {rounded(win_rate='avg(CASE WHEN profit_pct > 0 THEN 1.0 ELSE 0.0 END)', avg_profit='avg(profit_pct)', total_return='product(1 + profit_pct) - 1', best='max(profit_pct)', worst='min(profit_pct)')} FROM closed GROUP BY symbol"))
+def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.summary(backtest.trades(_steps(spark, d))))
+
+
+@query(with_bars(f"{WALK} SELECT exit_reason, count(*) AS n_exits, {rounded(win_rate='avg(CASE WHEN profit_pct > 0 THEN 1.0 ELSE 0.0 END)')} FROM closed GROUP BY exit_reason"))
+def backtest_exit_stats(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.exit_stats(backtest.trades(_steps(spark, d))))
+
+
+@query(with_bars(f"{WALK} SELECT symbol, bar_ts, {rounded(equity='equity')} FROM steps"))
+def equity_curve(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.equity_curve(_steps(spark, d)))
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(growth=f'CASE WHEN first_value(close) OVER ({W}) <> 0 THEN close / first_value(close) OVER ({W}) END')} FROM bars"))
+def buy_hold_curve(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(backtest.buy_hold(hourly(spark, d)), "growth")
+
+
+@query(with_bars(f"{WALK}, pk AS (SELECT *, max(equity) OVER ({W}) AS peak FROM steps) SELECT symbol, {rounded(max_drawdown='max((peak - equity) / peak)')} FROM pk GROUP BY symbol"))
+def max_drawdown(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.max_drawdown(backtest.equity_curve(_steps(spark, d))))
+
+
+@query(with_bars(f"{WALK} SELECT symbol, {rounded(sharpe='CASE WHEN round(stddev_pop(profit_pct), 12) <> 0 THEN avg(profit_pct) / stddev_pop(profit_pct) * sqrt(12) ELSE 0 END')} FROM closed GROUP BY symbol"))
+def sharpe(spark: SparkSession, d: str) -> DataFrame:
+    return show(backtest.sharpe(backtest.trades(_steps(spark, d))))
+
+
+# Validation, providers, rate limits
+
+
+SYMBOL_TEXTS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' ' || substr(p_brand, 1, 5) || ' ' WHEN 1 THEN replace(p_brand, '#', '-') WHEN 2 THEN '1' || p_brand WHEN 3 THEN p_name || p_name || p_name ELSE 'KR' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') END AS raw FROM part"
+
+
+@query(f"""WITH t AS ({SYMBOL_TEXTS}), u AS (SELECT p_partkey, trim(raw) AS x FROM t)
+  SELECT p_partkey, CASE WHEN x <> '' AND length(x) <= 15 AND regexp_full_match(upper(x), '[A-Z][A-Z0-9.\\-]{{0,14}}') THEN upper(x) END AS us,
+         CASE WHEN x <> '' AND length(x) <= 48 AND regexp_full_match(upper(x), '(?:[0-9]{{6}}|KR[A-Z0-9]{{8,10}}|[A-Z0-9 .&()/_-]{{1,30}})') THEN upper(x) END AS kr FROM u""")
+def validate_symbols(spark: SparkSession, d: str) -> DataFrame:
+    table(spark, d, "part").createOrReplaceTempView("part")
+    texts = spark.sql(SYMBOL_TEXTS.replace("VARCHAR", "STRING"))
+    return texts.select("p_partkey", validate.valid_symbol(F.col("raw"), "US").alias("us"), validate.valid_symbol(F.col("raw"), "KR").alias("kr"))
+
+
+@query("SELECT CAST(o_custkey % 50 AS BIGINT) AS user_id, CASE WHEN count(*) <= 25 THEN array_to_string(list_sort(list(DISTINCT upper(replace(o_orderpriority, ' ', '')))), ',') END AS symbols FROM (SELECT o_custkey, 'P' || o_orderpriority AS o_orderpriority FROM orders WHERE o_orderkey % 20 = 0) GROUP BY 1")
+def distinct_symbols(spark: SparkSession, d: str) -> DataFrame:
+    wanted = table(spark, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 50).alias("user_id"), F.concat(F.lit("P"), F.regexp_replace("o_orderpriority", " ", "")).alias("symbol"))
+    lists = wanted.groupBy("user_id").agg(F.collect_list("symbol").alias("symbols"))
+    return lists.select("user_id", F.array_join(F.array_sort(validate.distinct_symbols(F.col("symbols"), "US")), ",").alias("symbols"))
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {BAR_COLUMNS}, round(close, 6) + 0.0 AS adj_close FROM bars"))
+def parse_us_daily(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    entry = F.struct(F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("key"), F.create_map(*(x for n, k in providers.US_FIELDS.items() for x in (F.lit(k), text(n)))).alias("value"))
+    raw = hourly(spark, d).groupBy("symbol").agg(F.to_json(F.create_map(F.lit(providers.US_SERIES[0]), F.map_from_entries(F.collect_list(entry)))).alias("payload"))
+    return show(providers.us_daily(raw))
+
+
+KR_SQL = """, it AS (SELECT symbol, bar_ts, date_trunc('day', bar_ts) AS day, round(close * 1000) AS c, round(open * 1000) AS o, volume FROM bars)
+  , last AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY bar_ts DESC) AS k FROM it)
+  SELECT symbol, day AS bar_ts, o + 0.0 AS open, c + 0.0 AS high, c + 0.0 AS low, c + 0.0 AS close, volume, c + 0.0 AS adj_close FROM last WHERE k = 1"""
+
+
+@query(with_bars(KR_SQL))
+def parse_kr_items(spark: SparkSession, d: str) -> DataFrame:
+    comma = lambda c: F.format_number(F.round(F.col(c) * 1000), 0)
+    item = F.struct(F.col("bar_ts"), F.date_format("bar_ts", "yyyyMMdd").alias("basDt"), comma("close").alias("clpr"), comma("open").alias("mkp"), F.format_number("volume", 0).alias("trqu"), F.col("symbol").alias("itmsNm"))
+    items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("bar_ts"))
+    payload = F.to_json(F.struct(F.struct(F.struct(F.lit("00").alias("resultCode")).alias("header"), F.struct(F.struct(items.alias("item")).alias("items")).alias("body")).alias("response")))
+    raw = hourly(spark, d).groupBy("symbol").agg(payload.alias("payload"))
+    return show(providers.kr_bars(providers.kr_items(raw)), "symbol", "bar_ts", *OHLCV, "adj_close")
+
+
+@query("""WITH i AS (SELECT 'Brand' AS symbol, o_orderkey AS place, CAST(o_custkey % 3 AS VARCHAR) AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'Brand' ELSE 'Other' END AS name FROM orders),
+  e AS (SELECT * FROM i WHERE name = 'Brand'), n AS (SELECT code, count(*) AS n, min(place) AS f FROM e GROUP BY code)
+  SELECT symbol, place, code AS "srtnCd" FROM e WHERE code = (SELECT code FROM n ORDER BY n DESC, f LIMIT 1)""")
+def kr_best_identity(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    items = o.select(F.lit("Brand").alias("symbol"), F.col("o_orderkey").alias("place"), (F.col("o_custkey") % 3).cast("string").alias("srtnCd"), F.lit(None).cast("string").alias("isinCd"), F.when(F.col("o_orderkey") % 2 == 0, "Brand").otherwise("Other").alias("itmsNm"))
+    return providers.kr_select(items).select("symbol", "place", "srtnCd")
+
+
+LIMIT_SQL = """WITH RECURSIVE r AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+  w AS (
+    SELECT event_type, rn, event_id, ts, true AS accepted, CAST(NULL AS DOUBLE) AS retry_after, [ts] AS taken FROM r WHERE rn = 1
+    UNION ALL
+    SELECT event_type, rn, event_id, ts, len(live) < 3, CASE WHEN len(live) < 3 THEN NULL ELSE greatest(1.0, 3600 - date_diff('microsecond', live[1], ts) / 1000000.0) END, CASE WHEN len(live) < 3 THEN list_append(live, ts) ELSE live END
+    FROM (SELECT r.event_type, r.rn, r.event_id, r.ts, list_filter(w.taken, lambda x: date_diff('microsecond', x, r.ts) < 3600000000) AS live FROM w JOIN r ON r.event_type = w.event_type AND r.rn = w.rn + 1))
+  SELECT event_type, event_id AS request_id, ts, accepted, round(retry_after, 6) + 0.0 AS retry_after FROM w"""
+
+
+@query(LIMIT_SQL)
+def rate_limit_replay(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "events").select("event_type", F.col("event_id").alias("request_id"), "ts")
+    return show(ratelimit.replay_limit(requests, "event_type", 3, 3600))
+
+
+@query("SELECT DISTINCT event_type AS symbol, CASE event_type WHEN 'click' THEN 'Click Corp' WHEN 'view' THEN 'View Holdings' ELSE event_type END AS company FROM events")
+def company_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().withColumn("company", signals.company_name(F.col("symbol"), NAMES))
+
+
+# Models
+
+
+SCALED = ("open", "high", "low", "close", "volume")
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**{c: f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()' for c in SCALED})} FROM bars"))
+def scaled_features(spark: SparkSession, d: str) -> DataFrame:
+    df = hourly(spark, d)
+    return keyed(model.scaled(df, model.scaling(df, list(SCALED))), *SCALED)
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    df = labels.swing_labels(signals.fallback_scores(priced(spark, d)))
+    return df.withColumn("prediction", (F.round("score", 6) >= THRESHOLD).cast("int"))
+
+
+JUDGED = f"{LABEL_CTES}{SCORE_CTES}, judged AS (SELECT lb.swing_label, CASE WHEN round(scored.score, 6) >= 0.5 THEN 1 ELSE 0 END AS prediction FROM lb JOIN scored ON scored.symbol = lb.symbol AND scored.rn = lb.rn)"
+
+
+@query(with_bars(f"{JUDGED} SELECT swing_label, prediction, count(*) AS n FROM judged GROUP BY ALL"))
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return model.confusion(_judged(spark, d))
+
+
+@query(with_bars(f"""{JUDGED}, c AS (SELECT label, sum(CASE WHEN swing_label = label AND prediction = label THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS said, sum(CASE WHEN swing_label = label THEN 1 ELSE 0 END) AS support FROM judged, (SELECT unnest([0, 1]) AS label) GROUP BY label),
+  q AS (SELECT label, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r, support FROM c)
+  SELECT label, round(p, 6) + 0.0 AS "precision", {rounded(recall='r', f1='CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')}, CAST(support AS BIGINT) AS support FROM q"""))
+def classification_report(spark: SparkSession, d: str) -> DataFrame:
+    return show(model.report(_judged(spark, d)))
+
+
+@query()
+def stratified_split(spark: SparkSession, d: str) -> DataFrame:
+    return model.split(labels.swing_labels(priced(spark, d))).select("symbol", "bar_ts", "swing_label", "is_train")
+
+
+def _ensemble(spark: SparkSession, d: str) -> tuple[model.Ensemble, DataFrame]:
+    """A small ensemble on ten features; full sizes are the function's defaults."""
+    rows = model.training_table(hourly(spark, d))
+    names = ["price_change", "rsi_14", "macd_histogram", "bb_20_position", "volume_ratio", "atr_14", "stoch_k", "price_momentum_10", "price_sma_20_ratio", "adx"]
+    return model.train(rows, names, trees=20, rounds=5, depths=(5, 3), min_rows=100), rows
+
+
+@query()
+def ensemble_scores(spark: SparkSession, d: str) -> DataFrame:
+    trained, rows = _ensemble(spark, d)
+    return keyed(trained.score(rows), "swing_probability", "prediction", "swing_label")
+
+
+@query()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    return show(_ensemble(spark, d)[0].importance(spark))
+
+
+@query()
+def detect_latest(spark: SparkSession, d: str) -> DataFrame:
+    trained, _ = _ensemble(spark, d)
+    ready = signals.enough(model.prepare_for_scoring(hourly(spark, d)), 100)
+    latest = signals.levels(trained.score(bars.last_n(ready, 1)))
+    return keyed(latest.withColumn("confidence_level", signals.confidence(F.col("swing_probability"))), "close", "swing_probability", "prediction", "confidence_level", "stop_loss", "take_profit")
+
+
+@query()
+def all_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return show(all_features(hourly(spark, d)))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
