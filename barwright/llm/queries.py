@@ -99,5 +99,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op4_suffix_dedup, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
 
 
+def _share_sql(name: str, children: str, parents: list[str], level: str) -> str:
+    """CTEs that split each parent's budget over its children by weight, none above its cap."""
+    by = ", ".join(parents) or "1"
+    near = f"PARTITION BY {by} ORDER BY cap / w, {level}"
+    return f"""{name}_a AS (SELECT *, coalesce(sum(cap) OVER ({near} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken, sum(w) OVER ({near} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM {children} WHERE w > 0),
+{name}_b AS (SELECT *, cap * open <= w * (budget - taken) AS is_full FROM {name}_a),
+{name}_c AS (SELECT *, budget - coalesce(sum(cap) FILTER (is_full) OVER (PARTITION BY {by}), 0) AS rest, sum(w) FILTER (NOT is_full) OVER (PARTITION BY {by}) AS wide FROM {name}_b),
+{name}_d AS (SELECT *, CASE WHEN is_full THEN cap ELSE w * rest // wide END AS got FROM {name}_c),
+{name}_e AS (SELECT *, rest - sum(got) FILTER (NOT is_full) OVER (PARTITION BY {by}) AS odd, row_number() OVER (PARTITION BY {by}, is_full ORDER BY {level}) AS place FROM {name}_d),
+{name} AS (SELECT {", ".join([*parents, level])}, got + CASE WHEN NOT is_full AND place <= odd THEN 1 ELSE 0 END AS budget FROM {name}_e)"""
+
+
+MIX_SQL = rf"""WITH docs AS (
+  SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '(\d+)$', 1) = '' THEN 'dx' ELSE 'd' || CAST(CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain,
+         coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM docs GROUP BY ALL),
+one AS (SELECT domain, sum(tokens) * 3 AS cap, CAST(CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END AS HUGEINT) AS w, (SELECT least(CAST(floor(sum(tokens) * 0.8::DOUBLE) AS HUGEINT), sum(tokens) * 3) FROM leaves) AS budget FROM leaves GROUP BY domain),
+{_share_sql("b1", "one", [], "domain")},
+two AS (SELECT l.domain, l.lang, sum(tokens) * 3 AS cap, CAST(CASE l.lang WHEN 'en' THEN 4 ELSE 2 END AS HUGEINT) AS w, any_value(b1.budget) AS budget FROM leaves l JOIN b1 ON b1.domain = l.domain GROUP BY l.domain, l.lang),
+{_share_sql("b2", "two", ["domain"], "lang")},
+three AS (SELECT l.domain, l.lang, l.source, tokens * 3 AS cap, CAST(1 AS HUGEINT) AS w, b2.budget FROM leaves l JOIN b2 ON b2.domain = l.domain AND b2.lang = l.lang),
+{_share_sql("b3", "three", ["domain", "lang"], "source")},
+plan AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest FROM leaves l JOIN b3 USING (domain, lang, source)),
+placed AS (SELECT docs.*, whole, rest, md5('17:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u FROM docs JOIN plan USING (domain, lang, source)),
+taken AS (SELECT *, whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY u) <= rest THEN 1 ELSE 0 END AS times FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM taken WHERE times > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": MIX_SQL}
