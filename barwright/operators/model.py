@@ -93,7 +93,16 @@ class Ensemble:
 def train(rows: DataFrame, names: list[str] | None = None, trees: int = 250, rounds: int = 300, depths: tuple[int, int] = (10, 6), threshold: float = MODEL_THRESHOLD, seed: int = 42, min_rows: int = MIN_TRAINING_ROWS) -> Ensemble:
     """Fit both models on the training part of `rows`; positives weigh by class balance (forest) or double (boosting)."""
     names = names or features()
-    parts = split(rows, seed=seed)
+    rows = rows.select("symbol", "bar_ts", "swing_label", *names).persist()
+    parts = split(rows, seed=seed).persist()
+    try:
+        return _fit(parts, names, trees, rounds, depths, threshold, seed, min_rows)
+    finally:
+        parts.unpersist()
+        rows.unpersist()
+
+
+def _fit(parts: DataFrame, names: list[str], trees: int, rounds: int, depths: tuple[int, int], threshold: float, seed: int, min_rows: int) -> Ensemble:
     counts = {(r.is_train, r.swing_label): r["count"] for r in parts.groupBy("is_train", "swing_label").count().collect()}
     if (total := sum(counts.values())) < min_rows:
         raise ValueError(f"{total} training rows; at least {min_rows} are needed")
