@@ -75,7 +75,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     The order of a leaf is cut into 16^`cells` cells by its hash; only the cell that holds the budget's end is
     sorted, so no leaf is gathered in one task. Leaf rows are a written table, so Spark knows its size and broadcasts it
     while it is small; the documents are then not shuffled at all.
-    Null names are "(none)". Null and empty texts have 0 tokens. Null doc_ids share one place in the order, as
+    Null names are "(none)". Null and empty texts have 0 tokens; a leaf of nothing else has no budget and gives no rows. Null doc_ids share one place in the order, as
     repeated rows do, and are taken together or not at all. An empty table gives an empty result. The
     names epoch and mix_* are taken; input columns of those names are replaced.
     """
