@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MILLION = 1_000_000
 
 
@@ -32,5 +34,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: C
     """(doc_id, text, label) of sampled labelled documents. Null ids or labels are left out; of two labels the larger holds."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(learnable)
     drawn = sample_by_class(rows, "label", per_class, seed).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")

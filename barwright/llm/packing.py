@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, materialise, slices
+from .common import flat, materialise, slices, small_batches
 
 WEIGHT_BITS = 20
 CACHE_WORDS = 800_000
@@ -97,7 +97,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             counts = [len(x) // size for x in ids]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), batch.column(0), batch.column(2), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "source", "at", "n", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     return materialise(rows.mapInArrow(run, "part int, doc_id long, source string, at long, n long, ids binary"), "tokens")
 
 

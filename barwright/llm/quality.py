@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, slices, text_bytes
+from .common import WHITESPACE, slices, small_batches, text_bytes
 from .learn import labelled_sample
 from .rules import Slice
 
@@ -144,7 +144,7 @@ def quality_scores(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches):
             score = model.score(Slice(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
 
@@ -156,10 +156,10 @@ def quality_filter(docs: DataFrame, model: AttentionModel | None, threshold: flo
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column=at, limit=2 << 20):
+        for batch in slices(batches, column=at):
             if model:
                 yield batch.filter(pa.array(model.score(Slice(batch.column(at).cast(pa.binary()))) >= threshold))
             else:
                 yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, materialise, slices
+from .common import SLICE_BYTES, flat, materialise, slices, small_batches
 
 PREFIX = 32
 NO_ID = -(1 << 63)
@@ -101,7 +101,7 @@ def _starts(packed: Column) -> tuple[Column, Column, Column]:
 
 def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 18)).alias("version"), *extra)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 18)).alias("version"), *extra)
 
 
 def _order(key: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -118,7 +118,13 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
         for batch in slices(batches, limit=2 << 20):
             data, offsets = flat(batch.column(1))
             ids, version = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            row, h, g, a, first, last = anchors(data, offsets, length)
+            parts, begin = [], 0
+            while begin < len(offsets) - 1:  # in stretches that stay in the processor's cache
+                end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1)
+                part = anchors(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], length)
+                parts.append((part[0] + begin, *part[1:3], *(x + offsets[begin] for x in part[3:])))
+                begin = end
+            row, h, g, a, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
             packed = _pack(version[row], a - offsets[row], a - first, a - last)
             doc = ids[row]
             o = _order((h, g, doc, packed))
