@@ -24,11 +24,11 @@ def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str
     """CSV files by their header line, in one job that looks at each file's first line only."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        last = ""
         for frame in frames:
-            new = frame[(frame.path != frame.path.shift(1).fillna(last))]
-            last = frame.path.iloc[-1] if len(frame) else last
-            yield new
+            if len(frame):
+                yield frame[frame.path != frame.path.shift(1, fill_value=last)]
+                last = frame.path.iloc[-1]
 
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("at"))
     found: dict[tuple[str, ...], list[str]] = {}

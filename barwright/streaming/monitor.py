@@ -15,7 +15,7 @@ from barwright.schema import BARS, MODEL_THRESHOLD
 
 def stream_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly bars of an event stream, each sent once its hour is over by the watermark."""
-    hour = F.window(F.col("ts").cast("timestamp"), "1 hour")
+    hour = F.window("ts", "1 hour")
     bars = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.col("event_type").alias("symbol"), hour.alias("w")).agg(
         F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume")
     )
