@@ -83,7 +83,7 @@ def default_rules() -> dict[str, Rule]:
     """Each takes a slice and row numbers and says which of those rows it rejects."""
     return {
         "symbols_per_word": lambda s, r: s.n_symbols[r] > 0.1 * s.n_words[r],
-        "duplicate_lines": lambda s, r: s.n_dup_lines[r] > 0.3 * s.n_lines[r],
+        "duplicate_lines": lambda s, r: (s.n_dup_lines[r] >= 2) & (s.n_dup_lines[r] > 0.3 * s.n_lines[r]),
         "mean_word_length": lambda s, r: ~((2 * s.n_words[r] <= s.word_chars[r]) & (s.word_chars[r] <= 15 * s.n_words[r])),
         "shouting": lambda s, r: s.share(UPPER, UPPER | LOWER, r) > 0.3,
         "few_letters": lambda s, r: s.share(UPPER | LOWER | (np.arange(256) >= 0x80), ~WHITESPACE, r) < 0.6,
