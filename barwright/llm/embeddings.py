@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, flat, materialise
+from .common import components, flat, forest, materialise
 
 BLOCK_ROWS = 512
 
@@ -84,8 +84,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 8, bloc
     Vectors equal in every component are one class: the class is indexed once and counts as many links as it
     has members. Candidates share a cell in some table, or one's cell is among the other's probed
     neighbours; every candidate is verified, so no link is below `cosine`, and recall against brute force is
-    tested to be over 0.9. A cell of over `cell_rows` rows is compared in blocks, each pair of blocks a task's
-    share. Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; so
+    tested to be over 0.9. A pair found in several cells is counted in one of them, so what comes out is a count and
+    a reach per vector and cell, never the pairs. A cell of over `cell_rows` rows is dealt in parts, each pair of
+    parts a task's share. Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; so
     do vectors of different lengths with each other. Null ids link with nothing and have a null component. Repeated
     ids are separate vectors with that id. An empty table gives no rows; other columns are ignored.
     """
@@ -116,13 +117,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 8, bloc
                     raw = [values[ends[i] - dim : ends[i]].astype(dtype).tobytes() for i in chosen]
                     yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(chosen)), pa.array(raw, pa.binary()), pa.array(list(own), pa.list_(pa.int64())), pa.array(list(around), pa.list_(pa.int64()))], ["rep", "vector", "own", "around"])
 
-    signed = materialise(classes.select("embedding", "rep").mapInArrow(sign, "rep long, vector binary, own array<long>, around array<long>"), "vector-cells")
-    spread = signed.select("rep", "vector", "own", F.posexplode(F.concat("own", "around")).alias("pos", "cell"))
-    spread = spread.withColumn("probe", F.col("pos") >= tables)
+    signed = materialise(classes.select("embedding", "rep").mapInArrow(sign, "rep long, vector binary, own array<long>, around array<long>").join(classes.select("rep", "members"), "rep"), "vector-cells")
+    spread = signed.select("*", F.posexplode(F.concat("own", "around")).alias("pos", "cell"))
     hot = spread.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
     spread = spread.join(hot, "cell", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64(F.col("cell"), F.least(j, F.col("part")), F.greatest(j, F.col("part"))))
-    spread = spread.withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array("cell")).otherwise(pairs)))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.xxhash64(F.col("cell"), F.least(j, F.col("part")), F.greatest(j, F.col("part"))).alias("cell"), (j == F.col("part")).alias("alone")))
+    spread = spread.withColumn("share", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct("cell", F.lit(True).alias("alone")))).otherwise(pairs)))
+    spread = spread.select("share.cell", "share.alone", F.coalesce("part", F.lit(-1)).alias("part"), "pos", "rep", "members", "vector", "own", "around")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,55 +132,74 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 8, bloc
             if not batch.num_rows:
                 continue
             held.append(batch)
-            cells = batch.column(0)
-            if cells[0] == cells[-1] and len(held) < 1000:
+            if held[0].column(0)[0] == batch.column(0)[-1]:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             cell = rows["cell"].to_numpy()
             cut = int(np.searchsorted(cell, cell[-1], "left"))
-            yield from compare(rows.slice(0, cut))
+            yield compare(rows.slice(0, cut).combine_chunks())
             held = rows.slice(cut).combine_chunks().to_batches()
         if held:
-            yield from compare(pa.Table.from_batches(held).combine_chunks())
-
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not rows.num_rows:
-            return
-        cell, rep, probe = rows["cell"].to_numpy(), rows["rep"].to_numpy(), rows["probe"].to_numpy(zero_copy_only=False)
-        vector = rows["vector"].chunk(0)
-        data, offsets = flat(vector)
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        """Links of whole cells: per class that has any, the members it links to here and the smallest class it reaches."""
+        cell, rep, pos, part, members = (rows[c].to_numpy() for c in ("cell", "rep", "pos", "part", "members"))
+        alone = rows["alone"].to_numpy()
+        probe, at = pos >= tables, np.where(pos < tables, pos, (pos - tables) // max(1, probes))
+        data, offsets = flat(rows["vector"].chunk(0))
         own = np.asarray(rows["own"].chunk(0).flatten()).reshape(-1, tables)
+        around = np.asarray(rows["around"].chunk(0).flatten()).reshape(len(cell), tables, probes)
+        raw, size = data.tobytes(), np.diff(offsets)
         begin = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
-        raw, found = data.tobytes(), []
+        classes, which = np.unique(rep, return_inverse=True)
+        linked, edges = np.zeros(len(classes), np.int64), []
+
+        def unit(x: np.ndarray, dim: int) -> np.ndarray:
+            return _unit(np.stack([np.frombuffer(raw, dtype, dim // dtype.itemsize, offsets[i]) for i in x]).astype(float))
+
+        def counted_here(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            """Of verified pairs (row, row of an own cell), those whose one place to be counted is this cell.
+
+            That is the first table where they share a cell; else the first where one probes the other's,
+            by the smaller of the two if both do. In a cell dealt in parts, rows of one part meet in its own share.
+            """
+            same = own[u] == own[v]
+            shared = np.where(same.any(1), same.argmax(1), tables)
+            forth, back = ((around[x] == own[y][:, :, None]).any(2) for x, y in ((u, v), (v, u)))
+            either = forth | back
+            first = np.where(either.any(1), either.argmax(1), tables)
+            i = np.arange(len(u))
+            first_forth, first_back = (np.where(first < tables, d[i, np.minimum(first, tables - 1)], False) for d in (forth, back))
+            mine = first_forth & (~first_back | (rep[u] < rep[v]))
+            keep = np.where(probe[u], (shared == tables) & (first == at[u]) & mine, (shared == at[u]) & (rep[u] < rep[v]))
+            return keep & (rep[u] != rep[v]) & (alone[u] | (part[u] != part[v]))
+
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             base = a + np.flatnonzero(~probe[a:b])
             if not len(base) or b - a < 2:
                 continue
-            for dim in np.unique(np.diff(offsets)[a:b]).tolist():
-                left, right = (x[np.diff(offsets)[x] == dim] for x in (np.arange(a, b), base))
-                unit = lambda x: _unit(np.stack([np.frombuffer(raw, dtype, dim // dtype.itemsize, offsets[i]) for i in x]).astype(float))
+            for dim in np.unique(size[a:b]).tolist():
+                left, right = (x[size[x] == dim] for x in (np.arange(a, b), base))
                 for i in range(0, len(left), BLOCK_ROWS):
-                    x = unit(left[i : i + BLOCK_ROWS])
+                    x = unit(left[i : i + BLOCK_ROWS], dim)
                     for j in range(0, len(right), BLOCK_ROWS):
-                        u, v = np.nonzero(x @ unit(right[j : j + BLOCK_ROWS]).T >= cosine)
+                        u, v = np.nonzero(x @ unit(right[j : j + BLOCK_ROWS], dim).T >= cosine)
                         u, v = left[i : i + BLOCK_ROWS][u], right[j : j + BLOCK_ROWS][v]
-                        keep = (rep[u] != rep[v]) & (probe[u] | (rep[u] < rep[v]))
-                        found.append(np.stack([u[keep], v[keep]]))
-        if not found:
-            return
-        u, v = np.concatenate(found, 1)
-        same = own[u] == own[v]
-        first = np.where(same.any(1), same.argmax(1), tables)
-        here = np.where(probe[u], tables, np.array([np.flatnonzero(own[i] == cell[i])[0] if (own[i] == cell[i]).any() else -1 for i in range(len(cell))])[u]) if len(u) else first
-        keep = np.where(probe[u], first == tables, (first == here) | (here < 0))  # a pair that shares cells comes from the first of them
-        u, v = u[keep], v[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[u], rep[v])), pa.array(np.maximum(rep[u], rep[v]))], ["a", "b"])
-
-    links = materialise(spread.select("cell", "rep", "vector", "own", "probe").repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long").distinct(), "vector-links")
-    sized = classes.select("rep", "members")
-    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    beyond = both.join(sized.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("members").alias("beyond"))
-    parts = components(links).withColumnRenamed("node", "rep")
+                        keep = counted_here(u, v)
+                        u, v = u[keep], v[keep]
+                        if len(u):
+                            np.add.at(linked, which[u], members[v])
+                            np.add.at(linked, which[v], members[u])
+                            nodes, ends = np.unique(np.concatenate((which[u], which[v])), return_inverse=True)
+                            edges.append(np.stack([nodes, nodes[forest(len(nodes), ends[: len(u)], ends[len(u) :])]]))
+        some = np.flatnonzero(linked)
+        reach = forest(len(classes), *np.concatenate(edges, 1))[some] if edges else some
+        return pa.RecordBatch.from_arrays([pa.array(classes[some]), pa.array(linked[some]), pa.array(classes[reach])], ["rep", "n", "low"])
+
+    found = materialise(spread.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(verify, "rep long, n long, low long"), "vector-links")
+    beyond = found.groupBy("rep").agg(F.sum("n").alias("beyond"))
+    parts = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     classes = classes.join(beyond, "rep", "left").join(parts, "rep", "left").select("embedding", (F.col("members") - 1 + F.coalesce("beyond", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.join(classes, "embedding", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
