@@ -34,14 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends at replicated files."""
+    """Write a frame once to the shared folder and read it back: lineage ends at files that all executors see.
+
+    Results that read the files may be used long after, so they stay until drop_materialised().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete all that this process has materialised, once its results are written elsewhere; says how many tables."""
+    jvm, conf, dropped = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder, for small or short-lived frames that the cleaner may drop."""
     shared_dir(df.sparkSession)

@@ -158,7 +158,7 @@ def pieces(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray, win
     return row[heads], start[heads], np.add.reduceat(size, heads), place[heads]
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 128, weights: dict[str, float] | None = None, max_sources: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 128, weights: dict[str, float] | None = None, max_sources: int = 2000) -> DataFrame:
     """Pieces of all documents in windows of `window` ids, every window near the target token shares of sources.
 
     Rows: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barwright.llm import suffixes
-from barwright.llm.common import components, forest
+from barwright.llm.common import components, drop_materialised, forest, materialise
 from barwright.llm.embeddings import Lattice, near_vectors, nearest_point, shortest_vectors
 from barwright.llm.simhash import gray_order_links, gray_rank, one_of_each_group, simhash_groups, similar_links
 from barwright.llm.suffixes import remove_repeats
@@ -64,6 +64,12 @@ def test_gray_rank_steps_change_one_bit():
     assert np.array_equal(gray_rank(g), np.arange(1000))
 
 
+def test_materialised_tables_can_be_dropped(spark):
+    drop_materialised(spark)
+    a = materialise(spark.range(3), "a")
+    assert a.count() == 3 and drop_materialised(spark) == 1 and drop_materialised(spark) == 0
+
+
 def test_components_of_long_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 299), (299, 300), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
