@@ -109,3 +109,8 @@ def max_drawdown(curve: DataFrame, value: str = "equity") -> DataFrame:
     peak = F.max(value).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     falls = curve.withColumn("_peak", peak).withColumn("_fall", F.when(F.col("_peak") != 0, (F.col("_peak") - F.col(value)) / F.col("_peak")).otherwise(0.0))
     return falls.groupBy("symbol").agg(F.max("_fall").alias("max_drawdown"))
+
+
+def export(closed: DataFrame, path: str) -> None:
+    """Trades as JSON lines."""
+    closed.write.mode("overwrite").json(path)

@@ -84,6 +84,16 @@ class Ensemble:
         text = json.dumps({"scale": self.scale, "stats": self.stats})
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")
 
+    PARTS = ("forest", "boosted", "stats")
+
+    @classmethod
+    def present(cls, spark: SparkSession, path: str) -> dict[str, bool]:
+        """Which parts of a saved model are at a path."""
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        where = {p: fs.Path(f"{path}/{p}") for p in cls.PARTS}
+        return {p: bool(x.getFileSystem(conf).exists(x)) for p, x in where.items()}
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Ensemble:
         got = json.loads(spark.read.text(f"{path}/stats", wholetext=True).first()[0])
