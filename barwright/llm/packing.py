@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +15,9 @@ from .common import flat, materialise, slices, small_batches
 
 WEIGHT_BITS = 20
 CACHE_WORDS = 800_000
-STOPS = re.compile(rb"(?<=[a-z0-9])([.,]+)(?=[\x20\x09-\x0D]|$)")
+#: Byte-level models write bytes as letters: visible Latin-1 characters stand for themselves, others for 256 and up in turn.
+VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
 
 
 class WordTokenizer:
@@ -34,8 +35,12 @@ class WordTokenizer:
         self.older: dict[bytes, bytes] = {}
         special = [(i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized]
         self.between = special[0] if special else None
-        probe = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("Ab1., cD.", "ab1 ., cd .")]
-        self.plain = probe[0] == probe[1]
+        self.plain = True
+        self.plain = all([t.id for t in self.tokenizer.model.tokenize(self._letters(w.encode()) or "")] == self._ids(w) for w in ("Water", "ééñß", "ÀÖÝ", "eau"))
+        self.plain = self.plain and self._ids("Ab1., Éa,. cD.") == self._ids("ab1 ., éa ,. cd .")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         words = [self._words(t) for t in texts]
@@ -49,12 +54,44 @@ class WordTokenizer:
         return [b"".join(map(get, ws)) + stop for ws in words]
 
     def _words(self, text: bytes) -> list[bytes]:
-        """Lower-cased words, commas and stops after a letter or digit apart: fewer distinct ones, the same ids."""
-        if self.plain and b"<|" not in text:
-            text = STOPS.sub(rb" \1", text.lower())
-        return text.split()
+        return (text.lower() if self.plain and b"<|" not in text else text).split()
 
     def _learn(self, new: list[bytes]) -> None:
+        """Encode words not met yet; one that ends in commas and stops is its stem's ids and theirs."""
+        parts, need = [], set()
+        for w in new:
+            stem = w.rstrip(b".,")
+            if self.plain and len(stem) < len(w) and stem[-1:].isalnum():
+                parts.append((w, stem, w[len(stem) :]))
+                need.update(parts[-1][1:])
+            else:
+                need.add(w)
+        known, rest = self.known, []
+        for w in need:
+            if w not in known:
+                if w in self.older:
+                    known[w] = self.older[w]
+                elif letters := self._letters(w):
+                    known[w] = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
+                else:
+                    rest.append(w)
+        self._encode(rest)
+        for w, stem, stops in parts:
+            known[w] = known[stem] + known[stops]
+
+    def _letters(self, word: bytes) -> str | None:
+        """What the model itself is given of a word of plain letters; None for any other."""
+        if not self.plain:
+            return None
+        if word.isascii():
+            return word.decode().lower() if word.isalpha() else None
+        try:
+            text = word.decode()
+        except UnicodeDecodeError:
+            return None
+        return text.lower().encode().decode("latin-1").translate(BYTES) if text.isalpha() and max(text) < "\u0100" else None
+
+    def _encode(self, new: list[bytes]) -> None:
         """Encode words in groups, parted by a special token, which is no word's own."""
         mark = self.between[1].encode() if self.between else b""
         alone = [w for w in new if not mark or mark[:1] in w]
