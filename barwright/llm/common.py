@@ -25,13 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="barwright-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir.rstrip("/")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barwright-"))
+    return (folder or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 WRITTEN: list[str] = []
