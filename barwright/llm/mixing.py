@@ -50,13 +50,13 @@ def budgets(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[
 
 def _propagate(leaves: DataFrame, names: list[str], weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int) -> DataFrame:
     caps = [leaves.groupBy(*names[: i + 1]).agg((F.sum("tokens") * max_epochs).alias("cap")) for i in range(len(names))]
-    whole = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(budget_share)).cast("long").alias("budget"))
     given = None
     for i, level in enumerate(names):
         children = caps[i].withColumn("w", _weight(level, weights))
-        top = F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(Window.partitionBy(F.lit(0))) if given is None else None
         if given is None:  # the root's budget, no more than everything below it can give
-            children = children.crossJoin(F.broadcast(whole)).withColumn("budget", F.least("budget", F.coalesce(top, F.lit(0))))
+            all_ = Window.partitionBy(F.lit(0))
+            whole = F.floor(F.sum("cap").over(all_) / max_epochs * F.lit(budget_share))
+            children = children.withColumn("budget", F.least(whole.cast("long"), F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(all_), F.lit(0))))
         else:
             children = children.join(given.drop("cap"), names[:i])
         given = _share(children, names[:i], level)
@@ -75,9 +75,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     The order of a leaf is cut into 16^`cells` cells by its hash; only the cell that holds the budget's end is
     sorted, so no leaf is gathered in one task. Leaf rows are a written table, so Spark knows its size and broadcasts it
     while it is small; the documents are then not shuffled at all.
-    Null names are "(none)". Null and empty texts have 0 tokens; a leaf of nothing else has no budget and gives no rows. Null doc_ids share one place in the order, as
-    repeated rows do, and are taken together or not at all. An empty table gives an empty result. The
-    names epoch and mix_* are taken; input columns of those names are replaced.
+
+    Null names are "(none)". Null and empty texts have 0 tokens; a leaf of nothing else has no budget and gives no
+    rows. Null doc_ids share one place in the order, as repeated rows do, and are taken together or not at all. An
+    empty table gives an empty result. The names epoch and mix_* are taken; input columns of those names are left out.
     """
     keep = [c for c in docs.columns if c != "epoch" and not c.startswith("mix_")]
     docs, names = docs.select(*keep), [f"mix_{k}" for k in levels]

@@ -42,10 +42,10 @@ def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parce
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), tokens.alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same")))
     limit = shards * parcels_per_shard
-    total = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"), F.max("size").alias("most"))
-    fill = F.greatest(*(F.col(f"g.{d}") / F.greatest(F.col(f"t.{d}"), F.lit(1)) for d in DIMENSIONS)) * limit
-    hot = groups.alias("g").crossJoin(F.broadcast(total).alias("t")).where((fill > 1) & (F.col("g.rows") > 1)).select("g.same", F.ceil(fill).cast("long").alias("pieces"))
+    total = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
+    groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    fill = F.greatest(*(F.col(d) / F.lit(max(1, total[d] or 0)) for d in DIMENSIONS)) * limit
+    hot = groups.where((fill > 1) & (F.col("rows") > 1)).select("same", F.ceil(fill).cast("long").alias("pieces"))
     rows = rows.join(F.broadcast(hot), "same", "left")  # a group over 1/limit of some total: at most 3 * limit rows
     rows = rows.withColumn("parcel", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("same"), F.lit(limit))).otherwise(F.lit(limit) + F.pmod(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))), F.lit(limit * 16))))
     rows = checkpointed(rows.drop("same", "pieces"))
