@@ -204,12 +204,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
     null source is the queue "". Null and empty texts are one `end` id. Repeated rows are packed as often as they
     occur, null doc_ids keep null. An empty table packs into no rows. More than `max_sources` sources are an
     error, since the schedule is worked out from one total per source. `tokenizer` must not join words over ASCII
-    white space. Ids are written once, by input partition, and only joined to one offset per partition and source.
+    white space. Ids are written once, by input partition, and joined to one offset per partition and source: a
+    written table too, so that Spark knows its size and broadcasts it while it is small.
     """
     tokens = _tokenised(docs, tokenizer, end)
     parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
     queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("part", "source", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base"))
+    begins = materialise(parts.select("part", "source", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base")).coalesce(8), "offsets")
     found = parts.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources; give a coarser source column")
