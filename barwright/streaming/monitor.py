@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from barwright.operators.bars import dedup, last_n
 from barwright.operators.signals import latest_analysis, monitor
 from barwright.schema import BARS, MODEL_THRESHOLD
 
+HISTORY_BARS = 31
+
 
 
 def stream_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -23,18 +26,24 @@ def stream_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def monitor_stream(bars: DataFrame, folder: str, send: Callable[[DataFrame, int], None], alert: float = MODEL_THRESHOLD, market: str = "US", interval: str = "60 seconds", once: bool = False) -> StreamingQuery:
-    """Keep bars in `folder` and, after each batch, send the alerts of the symbols it had.
+    """After each batch of bars, send the alerts of the symbols it had.
 
-    A batch writes its own part of the folder, so one that is run again writes the same files. Scores need the last
-    31 bars of a symbol; only the batch's symbols are read back.
+    A score needs a symbol's last 31 bars, so that is what `folder` keeps: each batch writes the recent bars
+    as they are after it, from those after the batch before and its own. A batch that is run again writes the
+    same. State grows with the symbols, not with their history; folders of older batches may be deleted.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{folder}/bars/batch={number}")
-        known = spark.read.schema(BARS).parquet(f"{folder}/bars")
-        names = batch.select("symbol").distinct()
-        send(monitor(latest_analysis(known.select(*BARS.names).join(names, "symbol", "left_semi"), market), alert), number)
+        new = batch.select(*BARS.names).persist()
+        known = new.withColumn("_age", F.lit(0))
+        if number:
+            known = known.unionByName(spark.read.schema(BARS).parquet(f"{folder}/recent/{number - 1}").withColumn("_age", F.lit(1)))
+        latest = dedup(known, ["symbol", "bar_ts"], [F.col("_age"), F.col("close"), F.col("volume")]).drop("_age")
+        last_n(latest, HISTORY_BARS).write.mode("overwrite").parquet(f"{folder}/recent/{number}")
+        recent = spark.read.schema(BARS).parquet(f"{folder}/recent/{number}").join(new.select("symbol").distinct(), "symbol", "left_semi")
+        send(monitor(latest_analysis(recent, market), alert), number)
+        new.unpersist()
 
     writer = bars.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)

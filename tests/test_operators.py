@@ -130,11 +130,11 @@ def test_window_options(spark):
 
 
 def test_symbols(spark):
-    texts = ["AAPL", " brk-b ", "1ABC", "", "A" * 16, "005930", "etf:069500", "KR7005930003", "삼성전자", "a\tb"]
+    texts = ["AAPL", " brk-b ", "1ABC", "", "A" * 16, "005930", "etf:069500", "KR7005930003", "삼성전자", "a\tb", "\tMSFT\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select(validate.valid_symbol(F.col("t"), "US"), validate.valid_symbol(F.col("t"), "KR")).collect()
-    assert [r[0] for r in got] == ["AAPL", "BRK-B", None, None, None, None, None, "KR7005930003", None, None]
-    assert [r[1] for r in got][5:] == ["005930", "ETF:069500", "KR7005930003", "삼성전자", None]
+    assert [r[0] for r in got] == ["AAPL", "BRK-B", None, None, None, None, None, "KR7005930003", None, None, "MSFT"]
+    assert [r[1] for r in got][5:] == ["005930", "ETF:069500", "KR7005930003", "삼성전자", None, "MSFT"]
     lists = spark.createDataFrame([(["B", "A", "b"],), ([],), (["A", "?"],), (["A"] * 26,)], "s array<string>")
     assert [r[0] for r in lists.select(validate.distinct_symbols(F.col("s"), "US")).collect()] == [["B", "A"], None, None, None]
 
