@@ -469,7 +469,7 @@ def window_options(spark: SparkSession, d: str) -> DataFrame:
     return signals.window_options(days.unionByName(short))
 
 
-@query()
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '' END || format('{:,.1f}', c_acctbal / 8192 * 100) || '%' AS pct, '$' || format('{:,.2f}', c_acctbal) AS usd, 'KRW ' || format('{:,.0f}', c_acctbal) AS krw FROM customer")
 def money_formats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", percent(F.col("c_acctbal") / 8192).alias("pct"), money(F.col("c_acctbal"), F.lit("USD")).alias("usd"), money(F.col("c_acctbal"), F.lit("KRW")).alias("krw"))
 
