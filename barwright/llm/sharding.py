@@ -28,12 +28,12 @@ def place(vectors: np.ndarray, shards: int, slack: float) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parcels_per_shard: int = 256, overhead: int = 16, slack: float = 0.0) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parcels_per_shard: int = 256, whole_share: float = 1.0, overhead: int = 16, slack: float = 0.0) -> DataFrame:
     """(doc_id, size, tokens, text_crc32, shard, slot): shards near equal in bytes, then in tokens and rows.
 
     Equal texts form a group. A group up to a parcel (an even shard over `parcels_per_shard`) goes whole into the
-    parcel of its hash; a larger one is a hot group and is split by hash into as many parcels as it fills.
-    Their number is at most a few times shards * parcels_per_shard whatever the data, so their summed vectors are
+    parcel of its hash, a larger one into a parcel of its own. Only a group that fills over `whole_share` of an even
+    shard is split, by a hash of doc_id, into as many parcels as it would fill. The number of parcels is at most a few times shards * parcels_per_shard whatever the data, so their summed vectors are
     packed on the driver. Slots count from 0 in each shard: parcels follow each other, documents in a
     parcel by doc_id. Null text: no bytes, no tokens, group of the empty text. Null doc_ids come first;
     repeated rows get a slot each; empty tables give no rows; other columns are ignored.
@@ -44,10 +44,11 @@ def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parce
     limit = shards * parcels_per_shard
     total = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
     groups = rows.groupBy("same").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    fill = F.greatest(*(F.col(d) / F.lit(max(1, total[d] or 0)) for d in DIMENSIONS)) * limit
-    hot = groups.where((fill > 1) & (F.col("rows") > 1)).select("same", F.ceil(fill).cast("long").alias("pieces"))
-    rows = rows.join(F.broadcast(hot), "same", "left")  # a group over 1/limit of some total: at most 3 * limit rows
-    rows = rows.withColumn("parcel", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("same"), F.lit(limit))).otherwise(F.lit(limit) + F.pmod(F.xxhash64("same", F.pmod(F.xxhash64("doc_id"), F.col("pieces"))), F.lit(limit * 16))))
+    fill = F.greatest(*(F.col(d) / F.lit(max(1, total[d] or 0)) for d in DIMENSIONS))
+    large = groups.where((fill * limit > 1) & (F.col("rows") > 1)).select("same", F.when(fill * shards > whole_share, F.ceil(fill * limit)).otherwise(1).cast("long").alias("pieces"))
+    rows = rows.join(F.broadcast(large), "same", "left")  # groups over 1/limit of some total: at most 3 * limit rows
+    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
+    rows = rows.withColumn("parcel", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("same"), F.lit(limit))).otherwise(F.lit(limit) + F.pmod(F.xxhash64("same", piece), F.lit(limit * 16))))
     rows = checkpointed(rows.drop("same", "pieces"))
     vectors = rows.groupBy("parcel").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("parcel").collect()
     spark = docs.sparkSession
