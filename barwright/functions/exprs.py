@@ -25,13 +25,14 @@ def whole() -> WindowSpec:
 
 def pdiv(a: Column, b: Column) -> Column:
     """Float division: x/0 is infinite by x's sign, 0/0 and anything with null are null."""
-    return F.when(b != 0, a / b).when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    return F.when(b != 0, a / b).when((b == 0) & (a > 0), F.lit(INF)).when((b == 0) & (a < 0), F.lit(-INF))
 
 
 def rolling(f: Callable[[Column], Column], c: Column, n: int) -> Column:
     """f over the last n rows, null unless all n values are there."""
     w = last_rows(n)
-    return F.when(F.count(c).over(w) == n, f(c).over(w))
+    got = f(c).over(w)
+    return F.when((F.count(c).over(w) == n) & ~F.isnan(got.cast("double")), got)
 
 
 def before(c: Column, n: int) -> Column:

@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .exprs import before, change
 from .indicators import lags, native, with_price
 from .recursive import dependants, recursive
+from .slices import MEMORY, running_sums, sliced
 
 
-def all_features(bars: DataFrame) -> DataFrame:
-    """The recursive pass first (one exchange), then every window over one more exchange and sort."""
-    return lags(dependants(native(recursive(with_price(bars)))))
+def _symbol(df: DataFrame) -> DataFrame:
+    return lags(dependants(native(recursive(df))))
+
+
+def all_features(bars: DataFrame, slice_rows: int | None = None) -> DataFrame:
+    """The recursive pass first (one exchange), then every window over one more exchange and sort.
+
+    With `slice_rows` histories are cut into slices of so many bars, for tables in which a few symbols hold most of
+    them; the features are the same but for the last digits.
+    """
+    df = with_price(bars)
+    if slice_rows is None:
+        return _symbol(df)
+    columns = [*df.columns, "_traded"]
+    traded = df.groupBy("symbol").agg((F.sum("volume") > 0).alias("_traded"))
+
+    def steps(d: DataFrame) -> DataFrame:
+        p, v = F.col("p"), F.col("volume")
+        return _symbol(d).withColumns({"_gain": change(p, 1) * v, "_flow": F.when(p < before(p, 1), -v).otherwise(v)})
+
+    out = sliced(df.join(traded, "symbol").select(*columns), steps, back=min(MEMORY, slice_rows), rows=slice_rows)
+    out = running_sums(out, {"volume_price_trend": "_gain", "on_balance_volume": "_flow"})
+    return out.withColumns({c: F.when(F.col("_traded"), F.col(c)).otherwise(0.0) for c in ("volume_price_trend", "on_balance_volume")}).drop("_gain", "_flow", "_traded")

@@ -57,7 +57,7 @@ def bollinger_squeeze(df: DataFrame, periods: tuple[int, ...] = BAND_PERIODS) ->
 def volume_features(df: DataFrame) -> DataFrame:
     """Volume mean and ratio, price-volume trend, on-balance volume, weighted price; constants for a symbol without volume."""
     p, v = _c("p"), _c("volume")
-    traded = F.sum("volume").over(whole()) > 0
+    traded = _c("_traded") if "_traded" in df.columns else F.sum("volume").over(whole()) > 0
     last = before(p, 1)
     typical = (_c("high") + _c("low") + p) / 3
     df = df.withColumns({"_mean": rolling(F.avg, v, 20), "_step": (pdiv(p, last) - 1) * v, "_flow": F.when(p < last, -v).otherwise(v), "_tp": typical * v})

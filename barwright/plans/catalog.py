@@ -180,9 +180,9 @@ def volume_sma_ratio(spark: SparkSession, d: str) -> DataFrame:
     return keyed(I.volume_features(priced(spark, d)), "volume_sma_20", "volume_ratio")
 
 
-@query(with_bars(f", s AS (SELECT *, {change('p', 1)} * volume AS step FROM b) SELECT symbol, bar_ts, {rounded(volume_price_trend=f'CASE WHEN step IS NOT NULL THEN sum(step) OVER ({W}) END')} FROM s"))
+@query(with_bars(f", s AS (SELECT *, {change('p', 1)} * volume AS step FROM b) SELECT symbol, bar_ts, CASE WHEN step IS NOT NULL THEN round(sum(step) OVER ({W}), 3) + 0.0 END AS volume_price_trend FROM s"))
 def vpt(spark: SparkSession, d: str) -> DataFrame:
-    return keyed(I.volume_features(priced(spark, d)), "volume_price_trend")
+    return keyed(I.volume_features(priced(spark, d)).withColumn("volume_price_trend", F.round("volume_price_trend", 3)), "volume_price_trend")
 
 
 @query(with_bars(f", s AS (SELECT *, CASE WHEN p < {lag('p')} THEN -volume ELSE volume END AS flow FROM b) SELECT symbol, bar_ts, {rounded(on_balance_volume=f'sum(flow) OVER ({W})')} FROM s"))

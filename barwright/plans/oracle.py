@@ -15,7 +15,7 @@ def with_bars(body: str) -> str:
 
 
 def div(a: str, b: str) -> str:
-    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) WHEN ({a}) > 0 THEN CAST('Infinity' AS DOUBLE) WHEN ({a}) < 0 THEN CAST('-Infinity' AS DOUBLE) END)"
+    return f"(CASE WHEN ({b}) <> 0 THEN ({a}) / ({b}) WHEN ({b}) = 0 AND ({a}) > 0 THEN CAST('Infinity' AS DOUBLE) WHEN ({b}) = 0 AND ({a}) < 0 THEN CAST('-Infinity' AS DOUBLE) END)"
 
 
 def lag(x: str, n: int = 1) -> str:

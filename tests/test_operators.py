@@ -27,8 +27,8 @@ def column(df, name):
 
 
 def test_float_division(spark):
-    got = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 1.0), (6.0, 3.0)], "a double, b double").select(pdiv(F.col("a"), F.col("b")), finite(pdiv(F.col("a"), F.col("b")))).collect()
-    assert [r[0] for r in got] == [math.inf, -math.inf, None, None, 2.0] and [r[1] for r in got] == [0.0, 0.0, None, None, 2.0]
+    got = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 1.0), (6.0, 3.0), (1.0, None)], "a double, b double").select(pdiv(F.col("a"), F.col("b")), finite(pdiv(F.col("a"), F.col("b")))).collect()
+    assert [r[0] for r in got] == [math.inf, -math.inf, None, None, 2.0, None] and [r[1] for r in got] == [0.0, 0.0, None, None, 2.0, None]
 
 
 def test_short_and_constant_series(spark):
@@ -42,6 +42,8 @@ def test_short_and_constant_series(spark):
 
 def test_known_values(spark):
     df = I.native(recursive(I.with_price(frame(spark, range(1, 41)))))
+    assert column(df, "price_change")[:2] == [None, 1.0] and column(df, "price_sma_5_ratio")[3:5] == [None, pytest.approx(5 / 3)]
+    assert column(df, "volume_price_trend")[:3] == [None, pytest.approx(1.0), pytest.approx(1.5)]
     assert column(df, "sma_5")[4] == 3 and column(df, "price_momentum_5")[5] == 5 and column(df, "roc_10")[10] == 1000
     assert column(df, "on_balance_volume")[-1] == 40 and column(df, "atr_14")[13] == 2.0 and column(df, "williams_r")[13] == pytest.approx(-100 / 15)
     assert column(df, "ema_5")[:5] == [None] * 4 + [pytest.approx(1 * (2 / 3) ** 4 + sum((1 / 3) * (2 / 3) ** (4 - k) * (k + 1) for k in range(1, 5)))]
