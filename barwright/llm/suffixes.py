@@ -148,7 +148,6 @@ class Family:
 
     def __init__(self) -> None:
         self.levels: list[list[np.ndarray]] = []
-        self.hot: set[int] = set()
 
     def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Take in a batch; returns (doc, packed) of the runs that have an earlier equal."""
