@@ -108,6 +108,13 @@ def _order(key: tuple[np.ndarray, ...]) -> np.ndarray:
     return np.lexsort(key[::-1])
 
 
+def _distinct(*key: np.ndarray) -> np.ndarray:
+    """Where sorted keys differ from the one before."""
+    if not len(key[0]):
+        return np.zeros(0, bool)
+    return np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in key])))
+
+
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
     """Rows (cell, kind, h, run, doc, packed). Runs met twice in one slice of texts go out as repeats at once.
 
@@ -128,6 +135,7 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
             packed = _pack(version[row], a - offsets[row], a - first, a - last)
             doc = ids[row]
             o = _order((h, g, doc, packed))
+            o = o[_distinct(h[o], g[o], doc[o], packed[o])]  # rows that repeat id and text are one place
             h, g, doc, packed = h[o], g[o], doc[o], packed[o]
             new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
             fresh = new | np.concatenate(([True], g[1:] != g[:-1])) if len(h) else new
@@ -150,8 +158,9 @@ class Family:
         self.levels: list[list[np.ndarray]] = []
 
     def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take in a batch; returns (doc, packed) of the runs that have an earlier equal."""
+        """Take in a batch; returns (doc, packed) of the runs that have an earlier equal. A place met again is no repeat."""
         o = _order((h, g, doc, packed))
+        o = o[_distinct(h[o], g[o], doc[o], packed[o])]
         h, g, doc, packed = h[o], g[o], doc[o], packed[o]
         fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
         out = [(doc[~fresh], packed[~fresh])]
@@ -161,6 +170,8 @@ class Family:
                 break
             at, found = _scan(level, h, g)
             mine, theirs = np.flatnonzero(found), at[found]
+            other = (doc[mine] != level[2][theirs]) | (packed[mine] != level[3][theirs])
+            mine, theirs = mine[other], theirs[other]
             earlier = (doc[mine] < level[2][theirs]) | ((doc[mine] == level[2][theirs]) & (packed[mine] < level[3][theirs]))
             out.append((np.where(earlier, level[2][theirs], doc[mine]), np.where(earlier, level[3][theirs], packed[mine])))
             level[2][theirs[earlier]], level[3][theirs[earlier]] = doc[mine[earlier]], packed[mine[earlier]]
@@ -310,7 +321,8 @@ def _ends(around: DataFrame, length: int, parts: int) -> DataFrame:
         repeat[o] = same
         return _runs(row[repeat], k[repeat], doc, packed >> 45, first)
 
-    return around.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, SPANS)
+    once = around.repartition(parts, "h").dropDuplicates(["h", "doc", "packed"])  # rows that repeat id and text
+    return once.sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
 SPANS = "doc long, version long, first long, last long"

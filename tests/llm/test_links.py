@@ -139,6 +139,16 @@ def test_removal_odd_and_empty(odd, none):
     assert dict((x[0], x[2]) for x in got)[8] < 300 and remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_removal_of_repeated_rows_is_that_of_distinct_ones(spark, parts):
+    line = "this passage of over a hundred bytes stands in some of the documents, whatever else there may be in them, once"
+    rows = [(1, f"own start {line} own end"), (2, "quite another text " * 12), (3, f"more {line} of it, " + "with other words than the rest " * 6), (4, f"open {line[:105]} end of it")]
+    want = removed(rows, 100)
+    got = remove_repeats(spark.createDataFrame(rows * 3 + rows[:1], "doc_id long, text string").repartition(parts)).collect()
+    assert len(got) == 13 and all((r.doc_id, bytes(r.kept)) == (r.doc_id, want[r.doc_id][0]) for r in got)
+    assert want[1][0] == rows[0][1].encode() and len(want[4][0]) < 100
+
+
 def test_whole_characters_drops_cut_ones(spark):
     text = "ü" * 100
     got = remove_repeats(spark.createDataFrame([(1, "x" + text), (2, "ÿ" + text)], "doc_id long, text string"), whole_characters=True).collect()
