@@ -29,6 +29,7 @@ HOT_IN_SLICE = 64
 HOT_GROUP = 4096
 LEVEL_ROWS = 1 << 15
 REP, SALTED, MARK, REPEAT, OPEN, HOT = range(6)
+PLACE = ("doc", "version", "packed")
 LETTERS = np.random.default_rng(12345).integers(1, 1 << 63, size=256, dtype=np.uint64)
 
 
@@ -88,20 +89,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return doc[a], h32[a], run, a, first, last
 
 
-def _pack(version: np.ndarray, anchor: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """(version, anchor, run's reach): longs that order suffixes of one document."""
-    return version << 45 | anchor << 14 | before << 7 | after
+def _pack(anchor: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """(anchor, run's reach): longs that order suffixes of one text. A place is (doc, version, packed)."""
+    return anchor << 14 | before << 7 | after
 
 
-def _starts(packed: Column) -> tuple[Column, Column, Column]:
-    """(version, first, last) of packed runs."""
-    anchor = F.shiftright(packed, 14).bitwiseAND(F.lit((1 << 31) - 1))
-    return F.shiftright(packed, 45), anchor - F.shiftright(packed, 7).bitwiseAND(F.lit(127)), anchor - packed.bitwiseAND(F.lit(127))
+def _starts(packed: Column) -> tuple[Column, Column]:
+    """(first, last) of packed runs."""
+    anchor = F.shiftright(packed, 14)
+    return anchor - F.shiftright(packed, 7).bitwiseAND(F.lit(127)), anchor - packed.bitwiseAND(F.lit(127))
 
 
 def _keyed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """Texts under one doc_id are told apart by their full 64-bit digest, the version."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), F.pmod(F.xxhash64(text), F.lit(1 << 18)).alias("version"), *extra)
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("version"), *extra)
 
 
 def _order(key: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -116,7 +118,7 @@ def _distinct(*key: np.ndarray) -> np.ndarray:
 
 
 def suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """Rows (cell, kind, h, run, doc, packed). Runs met twice in one slice of texts go out as repeats at once.
+    """Rows (cell, kind, h, run, doc, version, packed). Runs met twice in one slice of texts go out as repeats at once.
 
     A prefix with many runs in a slice is hot: its runs are dealt by run, and a mark to the prefix's cell says so.
     """
@@ -132,11 +134,11 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
                 parts.append((part[0] + begin, *part[1:3], *(x + offsets[begin] for x in part[3:])))
                 begin = end
             row, h, g, a, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            packed = _pack(version[row], a - offsets[row], a - first, a - last)
-            doc = ids[row]
-            o = _order((h, g, doc, packed))
-            o = o[_distinct(h[o], g[o], doc[o], packed[o])]  # rows that repeat id and text are one place
-            h, g, doc, packed = h[o], g[o], doc[o], packed[o]
+            packed = _pack(a - offsets[row], a - first, a - last)
+            doc, version = ids[row], version[row]
+            o = _order((h, g, doc, version, packed))
+            o = o[_distinct(h[o], g[o], doc[o], version[o], packed[o])]  # rows that repeat id and text are one place
+            h, g, doc, version, packed = h[o], g[o], doc[o], version[o], packed[o]
             new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
             fresh = new | np.concatenate(([True], g[1:] != g[:-1])) if len(h) else new
             group = np.cumsum(new) - 1
@@ -145,42 +147,50 @@ def suffixes(docs: DataFrame, length: int) -> DataFrame:
             cell = np.where(fresh, np.where(hot, _join(h, g), h), doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             marks = np.flatnonzero(new & hot)
             both = lambda x, y: np.concatenate((x, y[marks]))
-            columns = [both(cell, h).view(np.int64), np.concatenate((kind, np.full(len(marks), MARK, np.int8))), both(h, h).view(np.int64), both(g, g).view(np.int64), both(doc, doc), both(packed, packed)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "kind", "h", "run", "doc", "packed"])
+            columns = [both(cell, h).view(np.int64), np.concatenate((kind, np.full(len(marks), MARK, np.int8))), both(h, h).view(np.int64), both(g, g).view(np.int64), both(doc, doc), both(version, version), both(packed, packed)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["cell", "kind", "h", "run", "doc", "version", "packed"])
 
-    return docs.select("doc", "text", "version").mapInArrow(run, "cell long, kind byte, h long, run long, doc long, packed long")
+    return docs.select("doc", "text", "version").mapInArrow(run, "cell long, kind byte, h long, run long, doc long, version long, packed long")
 
 
 class Family:
-    """Sorted arrays of distinct (prefix, run), each with its first place; sizes fall geometrically."""
+    """Sorted arrays of distinct (prefix, run), each with its first place; sizes fall geometrically.
+
+    A place is one or more columns, the first of most weight.
+    """
 
     def __init__(self) -> None:
         self.levels: list[list[np.ndarray]] = []
 
-    def add(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take in a batch; returns (doc, packed) of the runs that have an earlier equal. A place met again is no repeat."""
-        o = _order((h, g, doc, packed))
-        o = o[_distinct(h[o], g[o], doc[o], packed[o])]
-        h, g, doc, packed = h[o], g[o], doc[o], packed[o]
-        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
-        out = [(doc[~fresh], packed[~fresh])]
-        h, g, doc, packed = h[fresh], g[fresh], doc[fresh], packed[fresh]
+    def add(self, h: np.ndarray, g: np.ndarray, *place: np.ndarray) -> list[np.ndarray]:
+        """Take in a batch; returns the places of the runs that have an earlier equal. A place met again is no repeat."""
+        rows = [h, g, *place]
+        o = _order(tuple(rows))
+        rows = [x[o] for x in rows]
+        once = _distinct(*rows)
+        rows = [x[once] for x in rows]
+        fresh = _distinct(*rows[:2])
+        out = [[x[~fresh] for x in rows[2:]]]
+        rows = [x[fresh] for x in rows]
         for level in self.levels:
-            if not len(h):
+            if not len(rows[0]):
                 break
-            at, found = _scan(level, h, g)
+            at, found = _scan(level, rows[0], rows[1])
             mine, theirs = np.flatnonzero(found), at[found]
-            other = (doc[mine] != level[2][theirs]) | (packed[mine] != level[3][theirs])
-            mine, theirs = mine[other], theirs[other]
-            earlier = (doc[mine] < level[2][theirs]) | ((doc[mine] == level[2][theirs]) & (packed[mine] < level[3][theirs]))
-            out.append((np.where(earlier, level[2][theirs], doc[mine]), np.where(earlier, level[3][theirs], packed[mine])))
-            level[2][theirs[earlier]], level[3][theirs[earlier]] = doc[mine[earlier]], packed[mine[earlier]]
-            h, g, doc, packed = h[~found], g[~found], doc[~found], packed[~found]
-        if len(h):
-            self.levels.append([h, g, doc, packed])
+            new, old = [x[mine] for x in rows[2:]], [x[theirs] for x in level[2:]]
+            earlier, same = np.zeros(len(mine), bool), np.ones(len(mine), bool)
+            for x, y in zip(new, old, strict=True):
+                earlier |= same & (x < y)
+                same &= x == y
+            out.append([np.where(earlier, y, x)[~same] for x, y in zip(new, old, strict=True)])
+            for to, x in zip(level[2:], new, strict=True):
+                to[theirs[earlier]] = x[earlier]
+            rows = [x[~found] for x in rows]
+        if len(rows[0]):
+            self.levels.append(rows)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             self._merge()
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def _merge(self) -> None:
         b, a = self.levels.pop(), self.levels.pop()
@@ -196,9 +206,10 @@ class Family:
         self.levels.append(merged)
 
     def whole(self) -> list[np.ndarray]:
+        """Prefix, run and the columns of the place; nothing where no batch came."""
         while len(self.levels) > 1:
             self._merge()
-        return self.levels[0] if self.levels else [np.zeros(0, np.int64)] * 4
+        return self.levels[0] if self.levels else []
 
 
 def _scan(level: list[np.ndarray], h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +232,7 @@ def _scan(level: list[np.ndarray], h: np.ndarray, g: np.ndarray) -> tuple[np.nda
 
 
 def match(rows: DataFrame) -> DataFrame:
-    """(kind, h, doc, packed): repeats, and runs whose prefix occurs with other runs too (open; hot if many)."""
+    """(kind, h, doc, version, packed): repeats, and runs whose prefix occurs with other runs too (open; hot if many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, salted, marked = Family(), Family(), []
@@ -232,18 +243,18 @@ def match(rows: DataFrame) -> DataFrame:
                 return
             rows = pa.Table.from_batches(held)
             held.clear()
-            kind, h, g, doc, packed = (rows[c].to_numpy() for c in ("kind", "h", "run", "doc", "packed"))
-            repeats = [(doc[kind == REPEAT], packed[kind == REPEAT])]
+            kind, h, g, *place = (rows[c].to_numpy() for c in ("kind", "h", "run", *PLACE))
+            repeats = [[x[kind == REPEAT] for x in place]]
             marked.append(np.unique(h[kind == MARK]))
             for which, family in ((REP, plain), (SALTED, salted)):
                 k = kind == which
                 if k.any():
-                    repeats.append(family.add(h[k], g[k], doc[k], packed[k]))
-            doc, packed = (np.concatenate([x[i] for x in repeats]) for i in (0, 1))
-            yield out(np.full(len(doc), REPEAT), np.zeros(len(doc), np.int64), doc, packed)
+                    repeats.append(family.add(h[k], g[k], *(x[k] for x in place)))
+            place = [np.concatenate(x) for x in zip(*repeats, strict=True)]
+            yield out(np.full(len(place[0]), REPEAT), np.zeros(len(place[0]), np.int64), *place)
 
-        def out(kind: np.ndarray, h: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(h), pa.array(doc), pa.array(packed)], ["kind", "h", "doc", "packed"])
+        def out(kind: np.ndarray, h: np.ndarray, *place: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(h), *map(pa.array, place)], ["kind", "h", *PLACE])
 
         waiting = 0
         for batch in batches:
@@ -253,29 +264,30 @@ def match(rows: DataFrame) -> DataFrame:
                 yield from take()
                 waiting = 0
         yield from take()
-        h, _, doc, packed = plain.whole()
-        if len(h):
+        if whole := plain.whole():
+            h, _, *place = whole
             new = np.concatenate(([True], h[1:] != h[:-1]))
             group = np.cumsum(new) - 1
             runs = np.bincount(group)[group]
             hot = np.isin(h, np.concatenate(marked)) | (runs > HOT_GROUP) if marked else runs > HOT_GROUP
             kind = np.where(hot, HOT, np.where(runs > 1, OPEN, -1))
             use = kind >= 0
-            yield out(kind[use], h[use], doc[use], packed[use])
-        h, _, doc, packed = salted.whole()
-        yield out(np.full(len(h), HOT), h, doc, packed)
+            yield out(kind[use], h[use], *(x[use] for x in place))
+        if whole := salted.whole():
+            h, _, *place = whole
+            yield out(np.full(len(h), HOT), h, *place)
 
-    return rows.mapInArrow(run, "kind byte, h long, doc long, packed long")
+    return rows.mapInArrow(run, "kind byte, h long, doc long, version long, packed long")
 
 
 def _around(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """For open and hot runs, (kind, h, doc, packed, bytes) with all bytes of the run's strings."""
-    version, first, last = _starts(F.col("packed"))
-    wanted = hits.where(F.col("kind").isin(OPEN, HOT)).select("doc", version.alias("version"), F.struct("kind", "h", "packed", first.cast("int").alias("first"), (last - first + length).cast("int").alias("size")).alias("run"))
+    """For open and hot runs, (kind, h, doc, version, packed, bytes) with all bytes of the run's strings."""
+    first, last = _starts(F.col("packed"))
+    wanted = hits.where(F.col("kind").isin(OPEN, HOT)).select("doc", "version", F.struct("kind", "h", "packed", first.cast("int").alias("first"), (last - first + length).cast("int").alias("size")).alias("run"))
     wanted = wanted.groupBy("doc", "version").agg(F.collect_list("run").alias("runs"))
     cut = F.transform("runs", lambda r: F.struct(r["kind"].alias("kind"), r["h"].alias("h"), r["packed"].alias("packed"), F.substring("text", r["first"] + 1, r["size"]).alias("bytes")))
     found = docs.select("doc", "version", "text").join(wanted, ["doc", "version"])
-    return found.select("doc", F.explode(cut).alias("r")).select("r.kind", "r.h", "doc", "r.packed", "r.bytes")
+    return found.select("doc", "version", F.explode(cut).alias("r")).select("r.kind", "r.h", "doc", "version", "r.packed", "r.bytes")
 
 
 def _open_strings(batch: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarray, ...]:
@@ -310,18 +322,18 @@ def _ends(around: DataFrame, length: int, parts: int) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         row, digest, k = _open_strings(table, length)
-        h, doc, packed = (table[c].to_numpy() for c in ("h", "doc", "packed"))
+        h, doc, version, packed = (table[c].to_numpy() for c in ("h", *PLACE))
         before = packed >> 7 & 127
-        first = (packed >> 14 & (1 << 31) - 1) - before
-        o = np.lexsort((k, packed[row], doc[row], digest, before[row] - k, h[row]))
+        first = (packed >> 14) - before
+        o = np.lexsort((k, packed[row], version[row], doc[row], digest, before[row] - k, h[row]))
         same = np.zeros(len(o), bool)
         r, d, x = row[o], digest[o], (before[row] - k)[o]
         same[1:] = (d[1:] == d[:-1]) & (h[r][1:] == h[r][:-1]) & (x[1:] == x[:-1])
         repeat = np.zeros(len(o), bool)
         repeat[o] = same
-        return _runs(row[repeat], k[repeat], doc, packed >> 45, first)
+        return _runs(row[repeat], k[repeat], doc, version, first)
 
-    once = around.repartition(parts, "h").dropDuplicates(["h", "doc", "packed"])  # rows that repeat id and text
+    once = around.repartition(parts, "h").dropDuplicates(["h", *PLACE])  # rows that repeat id and text
     return once.sortWithinPartitions("h").mapInArrow(run, SPANS)
 
 
@@ -343,9 +355,9 @@ def _hot_ends(around: DataFrame, length: int) -> DataFrame:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
                 row, digest, k = _open_strings(part, length)
-                h, doc, packed = (part[c].to_numpy() for c in ("h", "doc", "packed"))
-                first = (packed >> 14 & (1 << 31) - 1) - (packed >> 7 & 127)
-                yield pa.RecordBatch.from_arrays([pa.array(_join(h.view(np.uint64)[row], digest).view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc[row]), pa.array(packed[row] >> 45), pa.array(first[row] + k)], ["u", "v", "doc", "version", "first"])
+                h, doc, version, packed = (part[c].to_numpy() for c in ("h", *PLACE))
+                first = (packed >> 14) - (packed >> 7 & 127)
+                yield pa.RecordBatch.from_arrays([pa.array(_join(h.view(np.uint64)[row], digest).view(np.int64)), pa.array(digest.view(np.int64)), pa.array(doc[row]), pa.array(version[row]), pa.array(first[row] + k)], ["u", "v", "doc", "version", "first"])
 
     each = materialise(around.mapInArrow(run, "u long, v long, doc long, version long, first long"), "hot-strings")
     earliest = each.groupBy("u", "v").agg(F.min(F.struct("doc", "version", "first")).alias("e"), F.count("*").alias("n")).where("n > 1")
@@ -379,8 +391,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: list[str] | None =
     _reclaim(hits)
     ends = materialise(_ends(around.where(F.col("kind") == OPEN), length, parts).unionByName(_hot_ends(around.where(F.col("kind") == HOT), length)), "ends")
     _reclaim(hits)
-    version, first, last = _starts(F.col("packed"))
-    spans = hits.where(F.col("kind") == REPEAT).select("doc", version.alias("version"), first.alias("first"), last.alias("last")).unionByName(ends)
+    first, last = _starts(F.col("packed"))
+    spans = hits.where(F.col("kind") == REPEAT).select("doc", "version", first.alias("first"), last.alias("last")).unionByName(ends)
     spans = spans.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     joined = keyed.join(spans, ["doc", "version"], "left").select("doc", "text", "found", "carried")
     shape = joined.select("carried").schema["carried"].dataType.simpleString()

@@ -149,6 +149,18 @@ def test_removal_of_repeated_rows_is_that_of_distinct_ones(spark, parts):
     assert want[1][0] == rows[0][1].encode() and len(want[4][0]) < 100
 
 
+def test_removal_tells_many_texts_under_one_id_apart(spark):
+    """Of 3,000 texts, about 17 pairs agree in 18 bits of a digest."""
+    r = np.random.default_rng(6)
+    rows = [(None, " ".join(map(str, r.integers(0, 1 << 30, 12 if i % 3 else 40)))) for i in range(3000)]
+    line = " ".join(map(str, r.integers(0, 1 << 30, 20)))
+    rows += [(None, f"{i} {line} {i * i}") for i in range(300)] + [(5, f"alone {line}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {bytes(x.text).decode(): bytes(x.kept).decode() for x in remove_repeats(frame).collect()}
+    assert all(got[t] == t for _, t in rows[:3000])
+    assert sum(line in got[t] for _, t in rows[3000:3300]) == 1 and len(got[rows[-1][1]]) < 20
+
+
 def test_whole_characters_drops_cut_ones(spark):
     text = "ü" * 100
     got = remove_repeats(spark.createDataFrame([(1, "x" + text), (2, "ÿ" + text)], "doc_id long, text string"), whole_characters=True).collect()
