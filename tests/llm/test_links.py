@@ -12,6 +12,7 @@ from barwright.llm.common import components, drop_materialised, forest, material
 from barwright.llm.embeddings import Lattice, near_vectors, nearest_point, shortest_vectors
 from barwright.llm.simhash import gray_order_links, gray_rank, one_of_each_group, simhash_groups, similar_links
 from barwright.llm.suffixes import remove_repeats
+from corpus_pipeline import near_duplicates
 
 
 def fingerprint(text):
@@ -77,6 +78,35 @@ def test_components_of_long_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def five_words(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_drops_texts_of_similar_shingles(spark, docs, rows):
+    r, more = np.random.default_rng(8), []
+    for i in range(150):  # a changed word costs five shingles of some 240 to 260
+        words = [f"w{x}" for x in r.integers(0, 1 << 20, 250)]
+        for j in range(2):
+            more.append((2000 + 2 * i + j, " ".join(words), "en", "src0"))
+            for at in r.choice(250, 1 + i % 9, replace=False):
+                words[at] = f"x{at}"
+    more += [(3000 + i, " ".join(f"chain{k}" for k in range(10 * i, 10 * i + 200)), "en", "src0") for i in range(12)]
+    every = [*rows, *more]
+    sets = {x[0]: five_words(x[1]) for x in every}
+    ids = sorted(sets)
+    near = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(sets[a] != sets[b] for a, b in near) > 60
+    frame = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string"))
+    got = near_duplicates(spark, frame, "")
+    assert got.columns == frame.columns and sorted(x.doc_id for x in got.collect()) == sorted(set(smallest(ids, near).values()))
+
+
+def test_similar_shingles_odd_and_empty(spark, odd, none):
+    got = sorted(str(x.doc_id) for x in near_duplicates(spark, odd, "").collect())
+    assert got == ["7", "7", "7", "None", "None"] and near_duplicates(spark, none, "").count() == 0
+
+
 def test_simhash_odd_and_empty(odd, none):
     got = [(r.doc_id, r.component_id) for r in simhash_groups(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, None), (None, None), (7, 7), (7, 7), (7, 7), (8, 7)], key=str)
