@@ -15,6 +15,8 @@ from .common import flat, materialise, slices, small_batches
 
 WEIGHT_BITS = 20
 CACHE_WORDS = 800_000
+#: Beyond so many sources the largest keep queues of their own, and the others are dealt over the shared ones.
+QUEUES, SHARED = 2000, 200
 #: Byte-level models write bytes as letters: visible Latin-1 characters stand for themselves, others for 256 and up in turn.
 VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
@@ -156,7 +158,7 @@ class Schedule:
         self.weight = np.maximum(1, np.round(share / max(share.sum(), 1e-300) * (1 << WEIGHT_BITS)).astype(np.int64))
         self.quanta = -(-self.total // quantum)
         self.hole = self.quanta * quantum - self.total
-        self.last = np.array([self.turn(np.array([i]), np.array([self.quanta[i] - 1]))[0] for i in range(len(self.names))])
+        self.last = self.turn(np.arange(len(self.names)), self.quanta - 1)
 
     def turn(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
         out = np.zeros(len(k), np.int64)
@@ -195,38 +197,59 @@ def pieces(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray, win
     return row[heads], start[heads], np.add.reduceat(size, heads), place[heads]
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 128, weights: dict[str, float] | None = None, max_sources: int = 2000) -> DataFrame:
+def _queues(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """(source, queue, n, weight) of each source with its ids `n`; `=` starts the names of own queues, `#` of shared ones."""
+    spark = totals.sparkSession
+    if not weights:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+        totals = totals.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    own = F.concat(F.lit("="), F.col("source"))
+    if len(totals.limit(QUEUES + 1).collect()) <= QUEUES:
+        return totals.withColumn("queue", own)
+    largest = totals.orderBy(F.desc("n"), "source").limit(QUEUES - SHARED).select("source", F.lit(True).alias("own"))
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("string"))
+    return totals.join(F.broadcast(largest), "source", "left").withColumn("queue", F.when(F.col("own"), own).otherwise(shared)).drop("own")
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 128, weights: dict[str, float] | None = None, max_sources: int | None = None) -> DataFrame:
     """Pieces of all documents in windows of `window` ids, every window near the target token shares of sources.
 
     Rows: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,
     source, padded_length. `weights` are target shares by source; the default is each source's share of the ids,
     so all queues end together. All windows are full but the last, which is padded to a power of two. A
     null source is the queue "". Null and empty texts are one `end` id. Repeated rows are packed as often as they
-    occur, null doc_ids keep null. An empty table packs into no rows. More than `max_sources` sources are an
-    error, since the schedule is worked out from one total per source. `tokenizer` must not join words over ASCII
-    white space. Ids are written once, by input partition, and joined to one offset per partition and source: a
+    occur, null doc_ids keep null. An empty table packs into no rows. Any number of sources packs: of over
+    `QUEUES`, the largest have queues of their own, and the others share `SHARED` queues, dealt by hash, with the sum of
+    their shares; only a caller that gives `max_sources` has more of them as an error. `tokenizer` must not join
+    words over ASCII white space. Ids are written once, by input partition, and joined to one offset per partition and source: a
     written table too, so that Spark knows its size and broadcasts it while it is small.
     """
     tokens = _tokenised(docs, tokenizer, end)
-    parts = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    queue = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = materialise(parts.select("part", "source", F.coalesce(F.sum("n").over(queue), F.lit(0)).alias("base")).coalesce(8), "offsets")
-    found = parts.groupBy("source").agg(F.sum("n").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
+    parts = materialise(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "source-ids")
+    totals = parts.groupBy("source").agg(F.sum("n").alias("n"))
+    if max_sources is not None and len(totals.limit(max_sources + 1).collect()) > max_sources:
         raise ValueError(f"more than {max_sources} sources; give a coarser source column")
+    queues = materialise(_queues(totals, weights).select("source", "queue", "n", "weight").coalesce(8), "queues")
+    parts = parts.join(queues.select("source", "queue"), "source")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = parts.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", before(Window.partitionBy("queue").orderBy("part")).alias("start"))
+    begins = parts.join(runs, ["queue", "part"]).select("part", "source", "queue", (F.col("start") + before(Window.partitionBy("queue", "part").orderBy("source"))).alias("base"))
+    begins = materialise(begins.coalesce(8), "offsets")
+    found = queues.groupBy("queue").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).collect()
     spark = docs.sparkSession
     total = sum(r.n for r in found)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string, padded_length long"
     if not total:
         return spark.createDataFrame([], shape)
-    schedule = Schedule({r.source: r.n for r in found}, weights, quantum)
+    schedule = Schedule({r.queue: r.n for r in found}, {r.queue: r.weight for r in found}, quantum)
     rest = total - total // window * window
     last = min(window, 1 << max(0, int(rest - 1).bit_length())) if rest else window
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, column=4, limit=1 << 20):
-            source = batch.column(1).to_pylist()
-            s = np.array([schedule.index[x] for x in source], np.int64)
+            s = np.array([schedule.index[x] for x in batch.column(5).to_pylist()], np.int64)
             at, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             data, offsets = flat(batch.column(4))
             width = int(offsets[-1]) // int(n.sum())
@@ -243,4 +266,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source", "padded_length"],
             )
 
-    return tokens.join(begins, ["part", "source"]).select("doc_id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids").mapInArrow(cut, shape)
+    return tokens.join(begins, ["part", "source"]).select("doc_id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids", "queue").mapInArrow(cut, shape)

@@ -116,6 +116,25 @@ def test_too_many_sources_are_an_error(docs):
         pack(docs, PATH, max_sources=2)
 
 
+def test_more_sources_than_queues_pack(spark):
+    n = packing.QUEUES + 500
+    frame = spark.range(3 * n).selectExpr("id AS doc_id", "repeat('water stone ', cast(3 + id % 5 AS int)) AS text", f"'host' || (id % {n}) AS source").repartition(4)
+    got = pack(frame, PATH, window=256, quantum=32, weights={"host0": 1.0, f"host{n - 1}": 1.0}).collect()
+    docs, places = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r.source == f"host{r.doc_id % n}"
+        docs[r.doc_id].append((r.start, r.length, r.doc_tokens))
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(docs) == 3 * n and all(sum(x[1] for x in v) == v[0][2] for v in docs.values())
+    assert sorted(places) == list(range(len(places)))
+    for k, v in places.items():
+        at = 0
+        for offset, length in sorted(v):
+            assert offset == at
+            at += length
+        assert at == 256 or k == len(places) - 1
+
+
 def test_coder_remembers_across_generations(monkeypatch, rows):
     monkeypatch.setattr(packing, "CACHE_WORDS", 20)
     coder, tokenizer = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
