@@ -644,10 +644,9 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ensemble(spark: SparkSession, d: str) -> tuple[model.Ensemble, DataFrame]:
-    """A small ensemble on ten features; full sizes are the function's defaults."""
+    """The ensemble at its full size, on all features."""
     rows = model.training_table(hourly(spark, d))
-    names = ["price_change", "rsi_14", "macd_histogram", "bb_20_position", "volume_ratio", "atr_14", "stoch_k", "price_momentum_10", "price_sma_20_ratio", "adx"]
-    return model.train(rows, names, trees=10, rounds=3, depths=(4, 3), min_rows=100), rows
+    return model.train(rows), rows
 
 
 @query()

@@ -24,6 +24,13 @@ def test_queries_without_a_statement_run(spark):
         assert catalog.queries()[name](spark, SMALL).count() > 0
 
 
+def test_model_queries_train_at_full_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(catalog.model, "train", lambda rows, *given, **named: asked.append((set(features()) <= set(rows.columns), given, named)))
+    catalog._ensemble(spark, SMALL)
+    assert asked == [(True, (), {})]
+
+
 def test_entry(spark):
     got = __spark_entry__.entry(spark)
     assert got.count() == 5 and "swing_probability" in got.columns
