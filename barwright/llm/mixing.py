@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +51,17 @@ def budgets(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[
 
 
 def _propagate(leaves: DataFrame, names: list[str], weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int) -> DataFrame:
-    caps = [leaves.groupBy(*names[: i + 1]).agg((F.sum("tokens") * max_epochs).alias("cap")) for i in range(len(names))]
+    """A cap counts only what leaves can give whose whole path has weight, so a shortage below a node reaches its siblings."""
+    live = functools.reduce(lambda a, b: a & b, (_weight(level, weights) > 0 for level in names))
+    able = F.coalesce(F.sum(F.when(live, F.col("tokens"))), F.lit(0)) * max_epochs
+    caps = [leaves.groupBy(*names[: i + 1]).agg(able.alias("cap"), F.sum("tokens").alias("all")) for i in range(len(names))]
     given = None
     for i, level in enumerate(names):
         children = caps[i].withColumn("w", _weight(level, weights))
         if given is None:  # the root's budget, no more than everything below it can give
             all_ = Window.partitionBy(F.lit(0))
-            whole = F.floor(F.sum("cap").over(all_) / max_epochs * F.lit(budget_share))
-            children = children.withColumn("budget", F.least(whole.cast("long"), F.coalesce(F.sum(F.when(F.col("w") > 0, F.col("cap"))).over(all_), F.lit(0))))
+            whole = F.floor(F.sum("all").over(all_) * F.lit(budget_share))
+            children = children.withColumn("budget", F.least(whole.cast("long"), F.sum("cap").over(all_)))
         else:
             children = children.join(given.drop("cap"), names[:i])
         given = _share(children, names[:i], level)
@@ -68,12 +73,12 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
 
     `levels` name the tree's levels from the top, as strings of a document; `weights[level][name]` is a whole number
     (0: leave out; "*": all others; default 1). The budget is `budget_share` of all tokens. It goes down the tree
-    by weight, never above what a subtree can give in `max_epochs` passes; a child's shortage goes to its siblings
+    by weight, never above what a subtree's leaves with weight can give in `max_epochs` passes; a child's shortage goes to its siblings
     and, only if they are all full, to its parent's siblings. A leaf takes whole epochs, then of one more the
     longest prefix, in the order of md5(seed:epoch:doc_id), that fits its budget.
 
     The order of a leaf is cut into 16^`cells` cells by its hash; only the cell that holds the budget's end is
-    sorted, so no leaf is gathered in one task. Leaf rows are a written table, so Spark knows its size and broadcasts it
+    sorted, one row per place, so no leaf is gathered in one task, nor rows that repeat an id. Leaf rows are a written table, so Spark knows its size and broadcasts it
     while it is small; the documents are then not shuffled at all.
 
     Null names are "(none)". Null and empty texts have 0 tokens; a leaf of nothing else has no budget and gives no
@@ -95,7 +100,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     filled = rows.groupBy(*names, "mix_cell").agg(F.sum("mix_tokens").alias("n"), F.first("mix_rest").alias("mix_rest"))
     filled = filled.withColumn("upto", F.sum("n").over(Window.partitionBy(*names).orderBy("mix_cell")))
     edge = filled.where("upto > mix_rest").groupBy(*names).agg(F.min(F.struct("mix_cell", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(*names, "e.mix_cell", F.col("e.before").alias("before"))
-    inside = rows.join(edge, [*names, "mix_cell"]).withColumn("upto", F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("mix_u")) + F.col("before"))
+    inside = rows.join(edge, [*names, "mix_cell"]).groupBy(*names, "mix_u").agg(F.sum("mix_tokens").alias("mix_tokens"), F.first("mix_rest").alias("mix_rest"), F.first("before").alias("before"))
+    inside = inside.withColumn("upto", F.sum("mix_tokens").over(Window.partitionBy(*names).orderBy("mix_u")) + F.col("before"))
     inside = inside.where("upto <= mix_rest").groupBy(*names).agg(F.max("mix_u").alias("mix_last"))
     ends = materialise(plan.join(edge.withColumnRenamed("mix_cell", "mix_edge").drop("before"), names, "left").join(inside, names, "left").coalesce(1), "mix-ends")
     out = docs.withColumns(keys).join(ends, names).withColumn("mix_u", order())

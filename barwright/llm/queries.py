@@ -111,15 +111,24 @@ def _share_sql(name: str, children: str, parents: list[str], level: str) -> str:
 {name} AS (SELECT {", ".join([*parents, level])}, got + CASE WHEN NOT is_full AND place <= odd THEN 1 ELSE 0 END AS budget FROM {name}_e)"""
 
 
-MIX_SQL = rf"""WITH docs AS (
+def _weight_sql(level: str, weights: dict[str, dict[str, int]]) -> str:
+    known = dict(weights.get(level, {}))
+    default = known.pop("*", 1)
+    cases = "".join(f" WHEN '{k}' THEN {v}" for k, v in known.items())
+    return f"CAST(CASE {level}{cases} ELSE {default} END AS HUGEINT)" if cases else f"CAST({default} AS HUGEINT)"
+
+
+def mix_sql(weights: dict[str, dict[str, int]], budget_share: float, max_epochs: int) -> str:
+    one, two, three = (_weight_sql(level, weights) for level in ("domain", "lang", "source"))
+    return rf"""WITH docs AS (
   SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '(\d+)$', 1) = '' THEN 'dx' ELSE 'd' || CAST(CAST(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4 AS VARCHAR) END AS domain,
          coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents),
-leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens FROM docs GROUP BY ALL),
-one AS (SELECT domain, sum(tokens) * 3 AS cap, CAST(CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END AS HUGEINT) AS w, (SELECT least(CAST(floor(sum(tokens) * 0.8::DOUBLE) AS HUGEINT), sum(tokens) * 3) FROM leaves) AS budget FROM leaves GROUP BY domain),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS HUGEINT) AS tokens, CAST(sum(CASE WHEN least({one}, {two}, {three}) > 0 THEN n_tokens ELSE 0 END) AS HUGEINT) * {max_epochs} AS able FROM docs GROUP BY ALL),
+one AS (SELECT domain, sum(able) AS cap, {one} AS w, (SELECT least(CAST(floor(sum(tokens) * {budget_share!r}::DOUBLE) AS HUGEINT), sum(able)) FROM leaves) AS budget FROM leaves GROUP BY domain),
 {_share_sql("b1", "one", [], "domain")},
-two AS (SELECT l.domain, l.lang, sum(tokens) * 3 AS cap, CAST(CASE l.lang WHEN 'en' THEN 4 ELSE 2 END AS HUGEINT) AS w, any_value(b1.budget) AS budget FROM leaves l JOIN b1 ON b1.domain = l.domain GROUP BY l.domain, l.lang),
+two AS (SELECT l.domain, lang, sum(able) AS cap, {two} AS w, any_value(b1.budget) AS budget FROM leaves l JOIN b1 ON b1.domain = l.domain GROUP BY l.domain, lang),
 {_share_sql("b2", "two", ["domain"], "lang")},
-three AS (SELECT l.domain, l.lang, l.source, tokens * 3 AS cap, CAST(1 AS HUGEINT) AS w, b2.budget FROM leaves l JOIN b2 ON b2.domain = l.domain AND b2.lang = l.lang),
+three AS (SELECT domain, lang, source, able AS cap, {three} AS w, b2.budget FROM leaves l JOIN b2 USING (domain, lang)),
 {_share_sql("b3", "three", ["domain", "lang"], "source")},
 plan AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE budget END AS rest FROM leaves l JOIN b3 USING (domain, lang, source)),
 placed AS (SELECT docs.*, whole, rest, md5('17:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS u FROM docs JOIN plan USING (domain, lang, source)),
@@ -127,5 +136,8 @@ taken AS (SELECT *, whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION
 SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(times AS BIGINT))) AS INTEGER) AS epoch FROM taken WHERE times > 0"""
 
 
+MIX_SQL = mix_sql(TREE_WEIGHTS, 0.8, 3)
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op10_mixing": MIX_SQL}

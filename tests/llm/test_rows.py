@@ -7,17 +7,23 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barwright.llm import packing, sharding
-from barwright.llm.mixing import mix
+from barwright.llm.mixing import _propagate, mix
 from barwright.llm.packing import Schedule, pack
+from barwright.llm.queries import TREE_WEIGHTS, mix_sql
+from barwright.llm.queries import tree as query_tree
 from barwright.llm.rules import quality_rules, rule_order
 from barwright.llm.sharding import shard
+from tests.oracle import connect
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORD = r"[^\x20\x09-\x0D]+"
+SMALL = "/root/testdata/sf0.001"
 
 
 def size(text):
@@ -189,3 +195,67 @@ def test_rule_order_is_by_rejections_per_cost(docs, odd, none):
     assert rule_order(docs, rules)[0] == "fast"
     assert quality_rules(docs, rules).where("kept").count() == 0
     assert quality_rules(odd).count() == 6 and quality_rules(none).count() == 0
+
+
+def planned(leaves, names, weights, share, epochs):
+    """Budgets by plain recursion: single tokens by weight, one at a time, to whichever child is furthest behind and has room."""
+    weight = lambda i, name: weights.get(names[i], {}).get(name, weights.get(names[i], {}).get("*", 1))
+    able = lambda path: epochs * sum(n for k, n in leaves.items() if k[: len(path)] == path and all(weight(i, x) > 0 for i, x in enumerate(k)))
+    out = {}
+
+    def give(path, budget):
+        if len(path) == len(names):
+            out[path] = budget
+            return
+        room = {k[: len(path) + 1]: able(k[: len(path) + 1]) for k in leaves if k[: len(path)] == path and weight(len(path), k[len(path)]) > 0}
+        got, left, open_ = dict.fromkeys(room, 0), budget, set(room)
+        while open_:
+            wide = sum(weight(len(path), c[-1]) for c in open_)
+            full = {c for c in open_ if room[c] * wide <= weight(len(path), c[-1]) * left}
+            if not full:
+                for c in open_:
+                    got[c] = weight(len(path), c[-1]) * left // wide
+                for c in sorted(open_)[: left - sum(got[c] for c in open_)]:
+                    got[c] += 1
+                break
+            c = min(full, key=lambda c: (room[c] / weight(len(path), c[-1]), c))
+            got[c] = room[c]
+            left -= room[c]
+            open_.remove(c)
+        for c, n in got.items():
+            give(c, n)
+
+    give((), min(int(sum(leaves.values()) * share), able(())))
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.dictionaries(st.tuples(st.sampled_from("ab"), st.sampled_from("cde"), st.sampled_from("fgh")), st.integers(1, 500), min_size=1, max_size=12), st.dictionaries(st.sampled_from("abcdefgh"), st.integers(0, 4), max_size=6), st.sampled_from([0.3, 0.8, 1.5]))
+@example({("a", "c", "f"): 10, ("a", "c", "g"): 100, ("a", "d", "f"): 100}, {"g": 0}, 0.5)
+def test_budgets_match_plain_recursion(spark, leaves, weight, share):
+    names = ["x", "y", "z"]
+    weights = {n: {k: w for k, w in weight.items() if k in ks} for n, ks in zip(names, ("ab", "cde", "fgh"), strict=True)}
+    frame = spark.createDataFrame([(*k, n) for k, n in leaves.items()], "x string, y string, z string, tokens long")
+    got = {(r.x, r.y, r.z): r.budget for r in _propagate(frame, names, weights, share, 2).collect()}
+    want = planned(leaves, names, weights, share, 2)
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_mix_passes_the_shortage_of_weightless_leaves_on(spark):
+    frame = spark.createDataFrame([(i, "w " * 10, *k) for i, k in enumerate([("a", "x")] * 10 + [("a", "y")] * 100 + [("b", "z")] * 100)], "doc_id long, text string, lang string, source string")
+    got = mix(frame, {"lang": F.col("lang"), "source": F.col("source")}, {"source": {"y": 0}}, budget_share=0.5, max_epochs=1)
+    assert {(r.lang, r.source): r["count"] for r in got.groupBy("lang", "source").count().collect()} == {("a", "x"): 10, ("b", "z"): 95}
+
+
+@pytest.mark.parametrize("weights", [TREE_WEIGHTS, {"domain": {"d0": 3, "d1": 0}, "lang": {"en": 0, "*": 2}, "source": {"src1": 0, "src5": 7}}])
+def test_mix_matches_its_statement(spark, weights):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = mix(docs, query_tree(), weights, budget_share=0.8, max_epochs=3).select("doc_id", "epoch")
+    want = connect(SMALL).sql(f"SELECT doc_id, epoch FROM ({mix_sql(weights, 0.8, 3)})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_mix_of_many_null_ids(spark):
+    frame = spark.range(2000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "'a b c' AS text", "'en' AS lang", "'s' AS source")
+    got = mix(frame, {"lang": F.col("lang")}, {}, budget_share=0.5, max_epochs=1)
+    assert got.where("doc_id is null").count() in (0, 667) and got.count() <= 1000
