@@ -139,5 +139,35 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(unnest(range(0, CAST(times A
 MIX_SQL = mix_sql(TREE_WEIGHTS, 0.8, 3)
 
 
+RULES_SQL = r"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, t, string_split(t, chr(10)) AS split, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, strlen(t) AS bytes FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+spots AS (SELECT row, unnest(range(1, greatest(len(words) - 1, 1))) AS i, words FROM docs WHERE len(words) >= 3),
+three AS (SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS n FROM spots),
+again AS (SELECT row, count(*) AS n FROM (SELECT DISTINCT row, i + unnest([0, 1, 2]) AS j FROM three WHERE n > 1) GROUP BY row),
+counted AS (SELECT docs.*, list_filter(split, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(again.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower,
+  bytes - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS other, bytes - (length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))) AS inked FROM docs LEFT JOIN again ON again.row = docs.row),
+judged AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 0.1::DOUBLE * n_words OR (n_dup_lines >= 2 AND n_dup_lines > 0.3::DOUBLE * len(lines)) OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words)
+    OR upper::DOUBLE / greatest(1, upper + lower) > 0.3::DOUBLE OR (upper + lower + other)::DOUBLE / greatest(1, inked) < 0.6::DOUBLE OR len(list_distinct(words)) < 0.1::DOUBLE * least(n_words, 500)) AS kept FROM judged"""
+
+
+VECTORS_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS size FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)),
+good AS MATERIALIZED (SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND size > 0 AND isfinite(size) AND len(list_filter(x, lambda a: a IS NULL)) = 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+part AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN part ON part.a = v.vec_id"""
+
+
+REPEATS_SQL = """WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+spots AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS i FROM docs WHERE length(h) >= 200)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM spots) WHERE k > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(CASE WHEN i - p <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM later)) GROUP BY doc_id, g),
+cuts AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS begins, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id),
+kept AS (SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, CAST(n_spans AS BIGINT) + 1), lambda k: CASE WHEN k = 0 THEN substr(h, 1, 2 * begins[1]) WHEN k = n_spans THEN substr(h, 2 * ends[n_spans] + 1) ELSE substr(h, 2 * ends[k] + 1, 2 * (begins[k + 1] - ends[k])) END), '') END AS k FROM docs d LEFT JOIN cuts c ON c.doc_id = d.doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIX_SQL}
+    return {"op4_suffix_dedup": REPEATS_SQL, "op6_embeddings": VECTORS_SQL, "op9_quality_rules": RULES_SQL, "op10_mixing": MIX_SQL}

@@ -190,6 +190,30 @@ def test_rules_match_brute_force(docs, rows):
         assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_verdict_is_the_conjunction_of_the_rules(docs, rows):
+    letters = lambda t, keep: sum(map(keep, t.encode()))
+    upper, lower, space = (lambda b: 65 <= b <= 90), (lambda b: 97 <= b <= 122), (lambda b: b in b" \t\n\r\x0b\x0c")
+    got = {r.doc_id: r for r in quality_rules(docs).collect()}
+    for doc_id, text, *_ in rows:
+        t, r = text or "", got[doc_id]
+        words, lines = re.findall(WORD, t), [x for x in t.split("\n") if re.search(WORD, x)]
+        u, low, high, inked = letters(t, upper), letters(t, lower), letters(t, lambda b: b >= 128), letters(t, lambda b: not space(b))
+        rejected = [
+            r.n_symbols > 0.1 * len(words), r.n_dup_lines >= 2 and r.n_dup_lines > 0.3 * len(lines), not 2 * len(words) <= r.word_chars <= 15 * len(words),
+            u / max(1, u + low) > 0.3, (u + low + high) / max(1, inked) < 0.6, len(set(words)) < 0.1 * min(len(words), 500),
+        ]
+        assert r.kept == (not r.base_failed and not any(rejected)), doc_id
+
+
+def test_rules_are_measured_on_what_reaches_them(spark):
+    """`echo` rejects most alone, but nothing that `first` leaves; `late` rejects little, but of what is left."""
+    frame = spark.range(900).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 60) AS again", "array_join(transform(sequence(1, 60), x -> concat('w', x, 'x', id)), ' ') AS text")
+    ids = lambda s, r: np.array([int(s.texts[i].split()[0].split(b"x")[1]) for i in r], int)
+    wait = lambda: [sum(range(20_000)) for _ in range(3)]
+    rules = {"first": lambda s, r: ids(s, r) % 10 < 8, "echo": lambda s, r: wait() and ids(s, r) % 10 < 8, "late": lambda s, r: wait() and ids(s, r) % 10 == 9}
+    assert rule_order(frame, rules) == ["first", "late", "echo"]
+
+
 def test_rule_order_is_by_rejections_per_cost(docs, odd, none):
     rules = {"slow": lambda s, r: np.array([bool(sum(range(20_000))) for _ in r]), "never": lambda s, r: np.zeros(len(r), bool), "fast": lambda s, r: np.ones(len(r), bool)}
     assert rule_order(docs, rules)[0] == "fast"
