@@ -64,6 +64,37 @@ def test_shard_odd_and_empty(odd, none):
     assert shard(odd, 3).count() == 6 and shard(none, 3).count() == 0
 
 
+def test_no_task_numbers_a_whole_hot_group(spark):
+    """One text on 2 % of 40,000 rows and one on a third, most of them without an id."""
+    rows = spark.range(40_000).selectExpr("xxhash64(CASE WHEN id % 50 = 0 THEN 'x' WHEN id % 3 = 0 THEN 'y' ELSE 'z' || id END) AS same", "id AS row", "100L AS size", "10L AS tokens")
+    counts = sharding.parcels(rows, 40, 256, 1.0).groupBy("parcel", "cell").count()
+    assert counts.agg(F.max("count")).first()[0] < 40 and counts.count() < 5 * 40 * 256
+
+
+def test_shards_of_many_null_ids_and_copies_are_even(spark):
+    frame = spark.range(6000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a copy of a copy' ELSE 'own ' || id END AS text")
+    got = shard(frame, shards=10).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.count_distinct("slot").alias("k"), F.max("slot").alias("top")).collect()
+    assert len(got) == 10 and max(r.b for r in got) < 1.02 * min(r.b for r in got) and all(r.n == r.k == r.top + 1 for r in got)
+
+
+def plainly_placed(vectors, shards):
+    even = [sum(v[d] for v in vectors) / shards for d in range(len(vectors[0]))]
+    unit = [[x / max(e, 1e-300) for x, e in zip(v, even, strict=True)] for v in vectors]
+    left, out = [[1.0] * len(even) for _ in range(shards)], {}
+    for i in sorted(range(len(unit)), key=lambda i: (-round(unit[i][0], 12), -max(unit[i]))):
+        fits = lambda s, dims: all(left[s][d] - unit[i][d] >= 0 for d in dims)  # noqa: B023, E731
+        open_ = [s for s in range(shards) if fits(s, range(len(even)))] or [s for s in range(shards) if fits(s, [0])]
+        best = max(open_, key=lambda s: (round(sum(a * b for a, b in zip(left[s], unit[i], strict=True)), 9), -s)) if open_ else max(range(shards), key=lambda s: (left[s][0], -s))  # noqa: B023
+        out[i] = best
+        left[best] = [a - b for a, b in zip(left[best], unit[i], strict=True)]
+    return [out[i] for i in range(len(unit))]
+
+
+def test_placement_matches_a_plain_one():
+    vectors = np.random.default_rng(9).integers(1, 1000, (120, 3)).astype(float)
+    assert sharding.place(vectors, 7, 0.0).tolist() == plainly_placed(vectors.tolist(), 7)
+
+
 def test_place_prefers_room_in_every_dimension():
     where = sharding.place(np.array([[1.0, 9.0], [1.0, 1.0], [1.0, 1.0], [1.0, 9.0]]), 2, 0.0)
     assert where[0] != where[3] and where[1] != where[2]
