@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import checkpointed, components, flat, forest, materialise, slices, text_bytes
+from .common import checkpointed, components, flat, forest, join_classes, materialise, slices, text_bytes
 
 FANOUT = 8
 PAIRS = 1 << 19
@@ -172,14 +172,15 @@ def simhash_groups(docs: DataFrame, shingle_words: int = 3, seed: int = 42, dist
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
     Equal fingerprints collapse to their smallest doc_id before any comparison, so copies, however many, cost one
-    index entry. Null and empty texts have fingerprint 0 and link like any other; repeated rows stay; rows with a
-    null doc_id keep a null component and link nothing; other columns are ignored.
+    index entry, and a fingerprint that many documents have is joined back by broadcast. Null and empty texts have fingerprint
+    0 and link like any other; texts of any length are whole; repeated rows stay; rows with a null doc_id keep a null
+    component and link nothing; an empty table gives no rows; other columns are ignored.
     """
     marks = checkpointed(fingerprints(docs, shingle_words, seed))
-    distinct = checkpointed(marks.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = components(similar_links(distinct, distance)).withColumnRenamed("node", "rep")
-    named = distinct.join(parts, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    parts = components(similar_links(groups.where("rep is not null").select("rep", "fp"), distance)).withColumnRenamed("node", "rep")
+    named = materialise(groups.join(parts, "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "fingerprint-groups")
+    return join_classes(marks, named, ["fp"], "n").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, **settings: int) -> DataFrame:
