@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barwright.llm import suffixes
-from barwright.llm.common import components, drop_materialised, forest, materialise
+from barwright.llm.common import components, drop_materialised, forest, join_classes, materialise
 from barwright.llm.embeddings import Lattice, near_vectors, nearest_point, shortest_vectors
 from barwright.llm.simhash import gray_order_links, gray_rank, one_of_each_group, simhash_groups, similar_links
 from barwright.llm.suffixes import remove_repeats
@@ -220,6 +220,29 @@ def test_near_vectors_match_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("dim", [16, 64, 384])
+def test_recall_just_above_the_threshold(spark, dim):
+    r = np.random.default_rng(dim)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (r.normal(size=(600, dim)), r.normal(size=(600, dim))))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.linspace(0.9501, 0.96, 600)[:, None]
+    x = np.concatenate((a, c * a + np.sqrt(1 - c * c) * b))
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)).sum(1)
+    found = np.array([n for _, n in sorted((r.vec_id, r.n_links) for r in got)])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum()
+
+
+def test_a_hot_class_meets_in_no_task(spark):
+    rows, classes = spark.range(30_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 7 > 0 THEN id END AS k"), spark.sql("SELECT -1L AS k, 10000L AS n, 'hot' AS name UNION ALL SELECT id, 1, 'own' FROM range(0, 30000, 2)")
+    got = join_classes(rows, classes, ["k"], "n")
+    assert got.count() == 30_000 and got.where("name = 'hot'").count() == 10_000 and got.where("k % 2 = 0 AND name IS NULL").count() == 0 and got.where("k IS NULL AND name IS NULL").count() > 0
+    far = rows.join(F.broadcast(classes.where("n * 1000 > 25000").select("k")), "k", "left_anti")
+    assert far.where("k = -1").count() == 0
+
+
 def test_near_vectors_that_link_with_nothing(spark):
     good = [1.0] * 64
     rows = [(1, good), (2, None), (3, [0.0] * 64), (4, [float("nan"), *good[1:]]), (5, [float("inf"), *good[1:]]), (6, [None, *good[1:]]), (7, []), (8, good[:32]), (9, good), (None, good), (9, [2.0] * 64)]
