@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from barwright.functions.exprs import by_symbol
 from barwright.schema import LOOKFORWARD, MIN_BARS, SWING_THRESHOLD
 
-from .bars import numbered
+from .bars import numbered, time_window
 from .signals import levels
 
 STEPS = T.StructType([
@@ -23,6 +24,55 @@ STEPS = T.StructType([
 ])
 
 
+class Position:
+    """One symbol's position, carried from batch to batch. Steps go from trade to trade, not from bar to bar.
+
+    Bars that `decide` are consecutive, so a position that isn't left `lookforward` bars on stays open.
+    """
+
+    def __init__(self, threshold: float, lookforward: int):
+        self.threshold, self.lookforward = threshold, lookforward
+        self.entry: dict | None = None
+        self.realised = 1.0
+
+    def walk(self, bars: pd.DataFrame, decide: np.ndarray) -> dict[str, np.ndarray]:
+        close, score, i = bars.close.to_numpy(float), bars.score.to_numpy(float), bars.i.to_numpy(np.int64)
+        stop, take, at = bars.stop_loss.to_numpy(float), bars.take_profit.to_numpy(float), bars.bar_ts.to_numpy("datetime64[ns]")
+        n = len(close)
+        enter = np.flatnonzero(decide & (score >= self.threshold))
+        out = {
+            "entry_ts": np.full(n, np.datetime64("NaT"), "datetime64[ns]"), "entry_price": np.full(n, np.nan), "entry_probability": np.full(n, np.nan),
+            "exit_reason": np.full(n, None, object), "profit_pct": np.full(n, np.nan), "bars_held": np.full(n, np.nan), "equity": np.empty(n),
+        }
+        here = 0
+        while here < n:
+            if self.entry is None:
+                k = int(np.searchsorted(enter, here))
+                to = int(enter[k]) if k < len(enter) else n
+                out["equity"][here:to] = self.realised
+                if to == n:
+                    break
+                self.entry = {"i": i[to], "price": close[to], "probability": score[to], "ts": at[to], "stop": stop[to], "take": take[to]}
+                first, here = to, to + 1
+            else:
+                first = here
+            e = self.entry
+            until = min(n, here + max(0, int(e["i"] + self.lookforward - i[here]) + 1)) if here < n else n
+            left = decide[here:until] & ((close[here:until] <= e["stop"]) | (close[here:until] >= e["take"]) | (i[here:until] - e["i"] >= self.lookforward))
+            exit_ = here + int(np.argmax(left)) if left.any() else None
+            end = n if exit_ is None else exit_ + 1
+            out["entry_ts"][first:end], out["entry_price"][first:end], out["entry_probability"][first:end] = e["ts"], e["price"], e["probability"]
+            out["equity"][first:end] = self.realised * (1 + (close[first:end] - e["price"]) / e["price"])
+            if exit_ is not None:
+                profit = (close[exit_] - e["price"]) / e["price"]
+                reason = "Stop-loss" if close[exit_] <= e["stop"] else "Take-profit" if close[exit_] >= e["take"] else "Max time"
+                self.realised *= 1 + profit
+                out["exit_reason"][exit_], out["profit_pct"][exit_], out["bars_held"][exit_], out["equity"][exit_] = reason, profit, i[exit_] - e["i"], self.realised
+                self.entry = None
+            here = end
+        return out
+
+
 def walk(scored: DataFrame, threshold: float, lookforward: int = LOOKFORWARD, start: int = MIN_BARS, tail: int | None = None, swing: float = SWING_THRESHOLD) -> DataFrame:
     """Every bar with the state of its symbol's position: entry, exit reason and profit, equity marked to market.
 
@@ -35,35 +85,21 @@ def walk(scored: DataFrame, threshold: float, lookforward: int = LOOKFORWARD, st
     rows = numbered(levels(scored, swing=swing)).select("symbol", "bar_ts", "close", "score", "stop_loss", "take_profit", (F.col("rn") - 1).alias("i"), "n_bars")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, held, realised = None, None, 1.0
+        symbol, position = None, Position(threshold, lookforward)
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                if row.symbol != symbol:
-                    symbol, held, realised = row.symbol, None, 1.0
-                reason = profit = bars = None
-                entry = held
-                if start <= row.i < row.n_bars - tail:
-                    if held is None:
-                        if row.score >= threshold:
-                            held = entry = row
-                    else:
-                        bars = row.i - held.i
-                        if row.close <= held.stop_loss:
-                            reason = "Stop-loss"
-                        elif row.close >= held.take_profit:
-                            reason = "Take-profit"
-                        elif bars >= lookforward:
-                            reason = "Max time"
-                        if reason:
-                            profit = (row.close - held.close) / held.close
-                            realised *= 1 + profit
-                            held = None
-                equity = realised if held is None else realised * (1 + (row.close - held.close) / held.close)
-                e = (entry.bar_ts, entry.close, entry.score) if entry is not None else (pd.NaT, None, None)
-                out.append((row.symbol, row.bar_ts, row.close, row.score, *e, reason, profit, bars if reason else None, equity))
-            frame = pd.DataFrame(out, columns=STEPS.names)
-            yield frame.astype({"bars_held": "Int64"})
+            if not len(frame):
+                continue
+            names = frame.symbol.to_numpy()
+            cut = np.flatnonzero(names[1:] != names[:-1]) + 1
+            parts = []
+            for a, b in zip([0, *cut], [*cut, len(frame)], strict=True):
+                part = frame.iloc[a:b]
+                if symbol is None or names[a] != symbol:
+                    symbol, position = names[a], Position(threshold, lookforward)
+                decide = ((part.i >= start) & (part.i < part.n_bars - tail)).to_numpy()
+                parts.append(position.walk(part, decide))
+            out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+            yield frame[["symbol", "bar_ts", "close", "score"]].assign(**out).astype({"bars_held": "Int64"})[STEPS.names]
 
     return rows.repartition("symbol").sortWithinPartitions("symbol", "bar_ts").mapInPandas(run, STEPS)
 
@@ -114,3 +150,30 @@ def max_drawdown(curve: DataFrame, value: str = "equity") -> DataFrame:
 def export(closed: DataFrame, path: str) -> None:
     """Trades as JSON lines."""
     closed.write.mode("overwrite").json(path)
+
+
+def file_backtest(bars: DataFrame, days_back: int, threshold: float, score: Callable[[DataFrame], DataFrame], lookforward: int = LOOKFORWARD, swing: float = SWING_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(report, curves) of a backtest over the last `days_back` days of each symbol alone.
+
+    Indicators and scores (`score` adds score and atr_14) see the window's bars only. A symbol needs MIN_BARS + lookforward + 1
+    bars in it, so that a trade can be held to its end; one with fewer has a report of that and no curve. Decisions
+    fall on bars MIN_BARS <= i < n - lookforward; every bar is marked to market, so total_return counts a position that is
+    still open at the last one. The Sharpe ratio is 0 without trades; peak_probability is the highest score among the decisions.
+    """
+    recent = time_window(bars, days_back)
+    counts = recent.groupBy("symbol").agg(F.count("*").alias("n_rows"))
+    least = MIN_BARS + lookforward + 1
+    steps = walk(score(recent), threshold, lookforward, MIN_BARS, lookforward, swing).join(counts.where(F.col("n_rows") >= least), "symbol")
+    place = F.row_number().over(by_symbol()) - 1
+    steps = steps.withColumn("_decides", (place >= MIN_BARS) & (place < F.col("n_rows") - lookforward))
+    peak = F.max("equity").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumns({"_fall": F.when(peak != 0, (peak - F.col("equity")) / peak).otherwise(0.0), "buy_hold": F.when(first != 0, F.col("close") / first)})
+    profit, deviation = F.col("profit_pct"), F.stddev_pop("profit_pct")
+    found = steps.groupBy("symbol").agg(
+        F.count("profit_pct").alias("num_trades"), F.coalesce(F.avg((profit > 0).cast("double")), F.lit(0.0)).alias("win_rate"), (F.max_by("equity", "bar_ts") - 1).alias("total_return"),
+        F.when(F.coalesce(F.round(deviation, 12), F.lit(0.0)) != 0, F.avg("profit_pct") / deviation * math.sqrt(12)).otherwise(0.0).alias("sharpe"), F.max("_fall").alias("max_drawdown"),
+        F.coalesce(F.max(F.when(F.col("_decides"), F.col("score"))), F.lit(0.0)).alias("peak_probability"),
+    )
+    status = F.when(F.col("n_rows") < least, "too few rows").when(F.col("num_trades") == 0, "no trades").otherwise("ok")
+    return counts.join(found, "symbol", "left").withColumn("status", status), steps.select("symbol", "bar_ts", "equity", "buy_hold")

@@ -16,6 +16,9 @@ from barwright.schema import LOOKFORWARD, MIN_TRAINING_ROWS, MODEL_THRESHOLD, SW
 from .impute import clean, fill, with_defaults
 from .labels import swing_labels
 
+#: Trees are grown level by level, each level a job: fewer rows than this aren't worth a task of their own.
+ROWS_A_TASK = 20_000
+
 
 def training_table(bars: DataFrame, lookforward: int = LOOKFORWARD, swing: float = SWING_THRESHOLD, how: str = "both", drop_tail: bool = False) -> DataFrame:
     """Labelled rows with all features, filled within each symbol by time (never across symbols), rows with gaps dropped."""
@@ -25,12 +28,12 @@ def training_table(bars: DataFrame, lookforward: int = LOOKFORWARD, swing: float
 
 
 def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """Adds is_train: `share` of each label's rows by a hash order; by time alone where at most one row is positive.
+    """Adds is_train: `share` of each label's rows in the order of md5(seed:symbol:bar_ts); by time alone where at most one row is positive.
 
     A label's rows are ranked within hash cells, whose counts give the ranks before them, so no label is sorted in one task.
     """
-    key = F.xxhash64("symbol", "bar_ts", F.lit(seed))
-    rows = rows.withColumns({"_key": key, "_cell": F.shiftrightunsigned(key, 54)})
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("symbol"), F.col("bar_ts").cast("string")).cast("binary"))
+    rows = rows.withColumns({"_key": key, "_cell": F.substring(key, 1, 3)})
     cells = rows.groupBy("swing_label", "_cell").agg(F.count("*").alias("_n"))
     run = Window.partitionBy("swing_label").orderBy("_cell")
     cells = cells.select("swing_label", "_cell", (F.sum("_n").over(run) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("swing_label")).alias("_all"))
@@ -121,9 +124,10 @@ def _fit(parts: DataFrame, names: list[str], trees: int, rounds: int, depths: tu
     n = {k: counts.get((True, k), 0) for k in (0, 1)}
     weight = F.when(F.col("swing_label") == 1, F.lit(sum(n.values()) / (2 * max(1, n[1])))).otherwise(F.lit(sum(n.values()) / (2 * max(1, n[0]))))
     ready = scaled(fit, scale).withColumns({"label": F.col("swing_label").cast("double"), "balanced": weight, "doubled": F.when(F.col("swing_label") == 1, 2.0).otherwise(1.0)})
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("features", "label", "balanced", "doubled").persist()
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("features", "label", "balanced", "doubled")
+    ready = ready.coalesce(-(-total // ROWS_A_TASK)).persist()
     try:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depths[0], minInstancesPerNode=8, featureSubsetStrategy="sqrt", weightCol="balanced", seed=seed).fit(ready)
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depths[0], minInstancesPerNode=8, featureSubsetStrategy="sqrt", weightCol="balanced", maxMemoryInMB=1024, seed=seed).fit(ready)
         boosted = GBTClassifier(maxIter=rounds, maxDepth=depths[1], stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, weightCol="doubled", seed=seed).fit(ready)
     finally:
         ready.unpersist()

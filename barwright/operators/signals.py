@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from barwright.functions.exprs import before, clamp, last_rows
 from barwright.schema import FALLBACK_SWING, MIN_BARS, MODEL_THRESHOLD, SWING_THRESHOLD
 
-from .bars import numbered
+from .bars import last_n, numbered
+
+#: A fallback score looks at so many bars.
+SCORE_BARS = 31
 
 
 def levels(df: DataFrame, price: str = "close", atr: str = "atr_14", swing: float = SWING_THRESHOLD) -> DataFrame:
@@ -55,9 +58,12 @@ def fallback_probability(momentum: Column, rsi: Column, volume_ratio: Column) ->
 
 
 def latest_analysis(bars: DataFrame, market: str = "US", min_bars: int = 1) -> DataFrame:
-    """One row per symbol that has enough bars: price, change, score, confidence, levels, currency."""
+    """One row per symbol that has enough bars: price, change, score, confidence, levels, currency.
+
+    Only the bars that a score looks at are kept before the exchange, as many again as `min_bars` asks for.
+    """
     last = before(F.col("close"), 1)
-    df = numbered(fallback_scores(bars)).withColumn("price_change_1d", F.when(F.coalesce(last, F.lit(0.0)) != 0, (F.col("close") - last) / last).otherwise(0.0))
+    df = numbered(fallback_scores(last_n(bars, max(SCORE_BARS, min_bars)))).withColumn("price_change_1d", F.when(F.coalesce(last, F.lit(0.0)) != 0, (F.col("close") - last) / last).otherwise(0.0))
     df = df.where((F.col("rn") == F.col("n_bars")) & (F.col("n_bars") >= min_bars))
     swing = FALLBACK_SWING[market]
     return df.select(

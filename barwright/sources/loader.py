@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import csv
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from barwright.operators.bars import PRICES, coerce, dedup, normal_name, stack
 
 SUFFIXES = r"(_historical\.(csv|parquet|xlsx)|\.(csv|parquet|xlsx)|\.[^.]*)$"
 OPTIONAL = ("dividends", "stock_splits")
+OPEN_FILES = 16
 
 
 def file_symbol(name: Column) -> Column:
@@ -21,19 +22,26 @@ def file_symbol(name: Column) -> Column:
 
 
 def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """CSV files by their header line, in one job that looks at each file's first line only."""
+    """CSV files by their header. Of each file the first line is read and no more, several files at a time.
 
-    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = ""
-        for frame in frames:
-            if len(frame):
-                yield frame[frame.path != frame.path.shift(1, fill_value=last)]
-                last = frame.path.iloc[-1]
+    The driver lists the files of a table anyway; here it also opens them. A file without a line has no header.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    paths = sorted(x.getPath().toString() for x in fs.listStatus(root) if x.isFile() and x.getPath().getName().endswith(".csv"))
+
+    def first(path: str) -> str:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(jvm.org.apache.hadoop.fs.Path(path)), "UTF-8"))
+        try:
+            return reader.readLine() or ""
+        finally:
+            reader.close()
 
-    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("at"))
     found: dict[tuple[str, ...], list[str]] = {}
-    for r in lines.where("at = 0").select("path", "value").mapInPandas(first, "path string, value string").collect():
-        found.setdefault(tuple(r.value.split(",")), []).append(r.path)
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        for path, line in zip(paths, pool.map(first, paths), strict=True):
+            found.setdefault(tuple(next(csv.reader([line.removeprefix("\ufeff")]), ())), []).append(path)
     return found
 
 

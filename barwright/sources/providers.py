@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed names of the services' formats.
+# Fixed names of the services' formats: series, fields and codes.
 US_SERIES = ("Time Series (Daily)", "Time Series (60min)", "Time Series (5min)", "Weekly Adjusted Time Series", "Monthly Adjusted Time Series")
 US_FIELDS = {"open": "1. open", "high": "2. high", "low": "3. low", "close": "4. close", "volume": "5. volume"}
 KR_FIELDS = ("basDt", "clpr", "mkp", "hipr", "lopr", "trqu", "srtnCd", "isinCd", "itmsNm")
 KR_AUTH_CODES = ("20", "30", "31", "32")
 KR_ITEM = "struct<" + ",".join(f"{f}:string" for f in KR_FIELDS) + ">"
+# Fixed names that users write before a Korean symbol, the asset kinds they stand for, and the order in which kinds are asked.
 ASSET_ORDER = ("stock", "etf", "etn", "elw", "security", "warrant_security", "warrant_certificate", "bond")
 ASSET_ALIASES = {
     "stock": "stock", "stocks": "stock", "equity": "stock", "equities": "stock", "security": "security", "securities": "security", "beneficiary": "security", "fund": "security", "funds": "security",
@@ -89,13 +90,13 @@ def kr_bars(items: DataFrame) -> DataFrame:
 
 
 def kr_lookup_plan(symbol: str) -> dict:
-    """The endpoints to ask for a Korean symbol, in order, and its parameter: code, ISIN or name."""
+    """The endpoints to ask for a Korean symbol, in order, and the parameters to try: code, ISIN or name; the latter two exactly, then in part."""
     prefix, _, rest = symbol.partition(":")
     kind = ASSET_ALIASES.get(prefix.strip().lower()) if rest else None
     value = rest.strip() if kind else symbol.strip()
     kinds = [kind] if kind in ASSET_ORDER else [] if kind else list(ASSET_ORDER)
-    parameter = "likeSrtnCd" if value.isdigit() else "isinCd" if value.startswith("KR") and len(value) >= 10 else "itmsNm"
-    return {"kinds": kinds, "parameter": parameter, "value": value}
+    parameters = ["likeSrtnCd"] if value.isdigit() else ["isinCd", "likeIsinCd"] if value.startswith("KR") and len(value) >= 10 else ["itmsNm", "likeItmsNm"]
+    return {"kinds": kinds, "parameters": parameters, "value": value}
 
 
 def tickers(payload: Column) -> Column:

@@ -9,12 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barwright.operators.bars import dedup, last_n
-from barwright.operators.signals import latest_analysis, monitor
+from barwright.operators.signals import SCORE_BARS, latest_analysis, monitor
 from barwright.schema import BARS, MODEL_THRESHOLD
 
-HISTORY_BARS = 31
-
-
 
 def stream_bars(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly bars of an event stream, each sent once its hour is over by the watermark."""
@@ -40,7 +37,7 @@ def monitor_stream(bars: DataFrame, folder: str, send: Callable[[DataFrame, int]
         if number:
             known = known.unionByName(spark.read.schema(BARS).parquet(f"{folder}/recent/{number - 1}").withColumn("_age", F.lit(1)))
         latest = dedup(known, ["symbol", "bar_ts"], [F.col("_age"), F.col("close"), F.col("volume")]).drop("_age")
-        last_n(latest, HISTORY_BARS).write.mode("overwrite").parquet(f"{folder}/recent/{number}")
+        last_n(latest, SCORE_BARS).write.mode("overwrite").parquet(f"{folder}/recent/{number}")
         recent = spark.read.schema(BARS).parquet(f"{folder}/recent/{number}").join(new.select("symbol").distinct(), "symbol", "left_semi")
         send(monitor(latest_analysis(recent, market), alert), number)
         new.unpersist()

@@ -86,8 +86,8 @@ def test_kr_selection(spark):
     items = spark.createDataFrame(rows, "symbol string, place int, srtnCd string, isinCd string, itmsNm string")
     got = sorted((r.symbol, r.place) for r in providers.kr_select(items).collect())
     assert got == [("005930", 0), ("Gone", 0), ("KR1234567890", 0), ("Name", 1), ("Name", 2)]
-    assert providers.kr_lookup_plan("ETF:069500") == {"kinds": ["etf"], "parameter": "likeSrtnCd", "value": "069500"}
-    assert providers.kr_lookup_plan("KR7005930003")["parameter"] == "isinCd" and providers.kr_lookup_plan("future:x")["kinds"] == [] and len(providers.kr_lookup_plan("A")["kinds"]) == 8
+    assert providers.kr_lookup_plan("ETF:069500") == {"kinds": ["etf"], "parameters": ["likeSrtnCd"], "value": "069500"}
+    assert providers.kr_lookup_plan("KR7005930003")["parameters"] == ["isinCd", "likeIsinCd"] and providers.kr_lookup_plan("A")["parameters"] == ["itmsNm", "likeItmsNm"] and providers.kr_lookup_plan("future:x")["kinds"] == [] and len(providers.kr_lookup_plan("A")["kinds"]) == 8
 
 
 def test_tickers(spark):
