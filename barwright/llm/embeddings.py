@@ -126,6 +126,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, tables: int = 4, bloc
     signed = materialise(classes.select("embedding", "rep", "members").mapInArrow(sign, "rep long, members long, vector binary, signature binary, cells array<long>"), "vector-cells")
     spread = signed.select("rep", "members", "vector", "signature", F.posexplode("cells").alias("pos", "cell"))
     hot = signed.select(F.explode("cells").alias("cell")).groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("parts"))
+    hot = materialise(hot, "hot-cells")  # a written table: Spark knows its size and broadcasts it while it is small
     spread = spread.join(hot, "cell", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.xxhash64(F.col("cell"), F.least(j, F.col("part")), F.greatest(j, F.col("part"))).alias("cell"), (j == F.col("part")).alias("alone")))
     spread = spread.withColumn("share", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct("cell", F.lit(True).alias("alone")))).otherwise(pairs)))
