@@ -5,9 +5,10 @@ Doubles are rounded to six places on both sides, since sums over windows come in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.functions import indicators as I
@@ -15,10 +16,11 @@ from barwright.functions.exprs import finite, money, percent
 from barwright.functions.features import all_features
 from barwright.functions.recursive import dependants, recursive
 from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, validate
-from barwright.schema import BAND_PERIODS, LAGS, MA_PERIODS, SHORT_PERIODS
-from barwright.sources import providers
+from barwright.schema import BAND_PERIODS, LAGGED, LAGS, MA_PERIODS, SHORT_PERIODS, features
+from barwright.session import shared_dir
+from barwright.sources import loader, providers
 
-from .oracle import W, chain, change, div, lag, roll, rounded, with_bars
+from .oracle import BARS, W, chain, change, div, lag, roll, rounded, with_bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -361,10 +363,9 @@ def inf_cleanup(spark: SparkSession, d: str) -> DataFrame:
 DEFAULTED = {"sma_200": f"coalesce({roll('avg', 'close', 20)}, close)", "price_sma_200_ratio": f"coalesce({roll('avg', 'close', 20)}, close)", "rsi_9": "50.0::DOUBLE", "volume_flow": "1.0::DOUBLE", "price_change_z": "0.0::DOUBLE", "odd_ratio": "1.0::DOUBLE", "other": "0.0::DOUBLE"}
 
 
-@query(with_bars(f", c AS (SELECT * FROM b WHERE rn <= 120) SELECT symbol, bar_ts, {rounded(**DEFAULTED)} FROM c"))
+@query(with_bars(f" SELECT symbol, bar_ts, {rounded(**DEFAULTED)} FROM b"))
 def missing_feature_defaults(spark: SparkSession, d: str) -> DataFrame:
-    df = bars.numbered(priced(spark, d)).where("rn <= 120")
-    df = df.withColumns({c: F.lit(None).cast("double") for c in DEFAULTED})
+    df = priced(spark, d).withColumns({c: F.lit(None).cast("double") for c in DEFAULTED})
     return keyed(impute.with_defaults(df, list(DEFAULTED)), *DEFAULTED)
 
 
@@ -532,6 +533,34 @@ def sharpe(spark: SparkSession, d: str) -> DataFrame:
     return show(backtest.sharpe(backtest.trades(_steps(spark, d))))
 
 
+# The last 14 days of each history, and of one that is too short.
+RECENT = """bars AS (SELECT * FROM history UNION ALL SELECT 'short', bar_ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (ORDER BY bar_ts DESC) AS k FROM history WHERE symbol = 'click') WHERE k <= 40),
+b AS (SELECT *, close AS p, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n_bars FROM (SELECT *, max(bar_ts) OVER (PARTITION BY symbol) AS t FROM bars) WHERE bar_ts >= t - INTERVAL 14 DAY WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))"""
+FILE_SQL = f"""WITH RECURSIVE {BARS.replace("bars AS (", "history AS (", 1).split("b AS (SELECT")[0]}{RECENT}{WALK}
+, curve AS (SELECT steps.*, max(equity) OVER ({W}) AS peak, b.n_bars, sc.score FROM steps JOIN b USING (symbol, bar_ts) JOIN (SELECT symbol, bar_ts, round(score, 9) AS score FROM scored) sc USING (symbol, bar_ts))
+, per AS (SELECT symbol, arg_max(equity, bar_ts) - 1 AS total_return, max((peak - equity) / peak) AS max_drawdown, coalesce(max(score) FILTER (i >= 50 AND i < n_bars - 10), 0) AS peak_probability FROM curve GROUP BY symbol)
+, won AS (SELECT symbol, count(*) AS n, avg(CASE WHEN profit_pct > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg(profit_pct) AS m, stddev_pop(profit_pct) AS s FROM closed GROUP BY symbol)
+, found AS (SELECT p.*, coalesce(n, 0) AS num_trades, coalesce(win_rate, 0) AS win_rate, CASE WHEN coalesce(round(s, 12), 0) <> 0 THEN m / s * sqrt(12) ELSE 0 END AS sharpe FROM per p LEFT JOIN won USING (symbol))
+, counts AS (SELECT symbol, count(*) AS n_rows FROM b GROUP BY symbol)"""
+
+
+def _file_backtest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    history = hourly(spark, d)
+    short = bars.last_n(history.where("symbol = 'click'"), 40).withColumn("symbol", F.lit("short"))
+    return backtest.file_backtest(bars.stack([history, short]), 14, THRESHOLD, lambda df: signals.fallback_scores(recursive(I.with_price(df))).withColumn("score", F.round("score", 9)))
+
+
+@query(f"""{FILE_SQL} SELECT symbol, n_rows, CASE WHEN n_rows < 61 THEN 'too few rows' WHEN num_trades = 0 THEN 'no trades' ELSE 'ok' END AS status, CASE WHEN n_rows >= 61 THEN CAST(num_trades AS BIGINT) END AS num_trades,
+  {rounded(**{c: f"CASE WHEN n_rows >= 61 THEN {c} END" for c in ("win_rate", "total_return", "sharpe", "max_drawdown", "peak_probability")})} FROM counts JOIN found USING (symbol)""")
+def file_backtest(spark: SparkSession, d: str) -> DataFrame:
+    return show(_file_backtest(spark, d)[0], "symbol", "n_rows", "status", "num_trades", "win_rate", "total_return", "sharpe", "max_drawdown", "peak_probability")
+
+
+@query(f"{FILE_SQL} SELECT symbol, bar_ts, {rounded(equity='equity', buy_hold=f'close / first_value(close) OVER ({W})')} FROM curve WHERE n_bars >= 61")
+def file_backtest_curves(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(_file_backtest(spark, d)[1], "equity", "buy_hold")
+
+
 # Validation, providers, rate limits
 
 
@@ -542,23 +571,27 @@ SYMBOL_TEXTS = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' ' || substr(p
   SELECT p_partkey, CASE WHEN x <> '' AND length(x) <= 15 AND regexp_full_match(upper(x), '[A-Z][A-Z0-9.\\-]{{0,14}}') THEN upper(x) END AS us,
          CASE WHEN x <> '' AND length(x) <= 48 AND regexp_full_match(upper(x), '(?:[0-9]{{6}}|KR[A-Z0-9]{{8,10}}|[A-Z0-9 .&()/_-]{{1,30}})') THEN upper(x) END AS kr FROM u""")
 def validate_symbols(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "part").createOrReplaceTempView("part")
-    texts = spark.sql(SYMBOL_TEXTS.replace("VARCHAR", "STRING"))
+    texts = spark.sql(SYMBOL_TEXTS.replace("VARCHAR", "STRING").replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
     return texts.select("p_partkey", validate.valid_symbol(F.col("raw"), "US").alias("us"), validate.valid_symbol(F.col("raw"), "KR").alias("kr"))
 
 
-@query("SELECT CAST(o_custkey % 50 AS BIGINT) AS user_id, CASE WHEN count(*) <= 25 THEN array_to_string(list_sort(list(DISTINCT upper(replace(o_orderpriority, ' ', '')))), ',') END AS symbols FROM (SELECT o_custkey, 'P' || o_orderpriority AS o_orderpriority FROM orders WHERE o_orderkey % 20 = 0) GROUP BY 1")
+@query("SELECT o_custkey AS user_id, CASE WHEN count(*) <= 25 THEN array_to_string(list_sort(list(DISTINCT upper(replace(o_orderpriority, ' ', '')))), ',') END AS symbols FROM (SELECT o_custkey, 'P' || o_orderpriority AS o_orderpriority FROM orders) GROUP BY 1")
 def distinct_symbols(spark: SparkSession, d: str) -> DataFrame:
-    wanted = table(spark, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 50).alias("user_id"), F.concat(F.lit("P"), F.regexp_replace("o_orderpriority", " ", "")).alias("symbol"))
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("P"), F.regexp_replace("o_orderpriority", " ", "")).alias("symbol"))
     lists = wanted.groupBy("user_id").agg(F.collect_list("symbol").alias("symbols"))
     return lists.select("user_id", F.array_join(F.array_sort(validate.distinct_symbols(F.col("symbols"), "US")), ",").alias("symbols"))
 
 
+def _monthly(rows: DataFrame) -> GroupedData:
+    """A payload a symbol and month, as services page them: none grows with the history."""
+    return rows.groupBy("symbol", F.date_trunc("month", "bar_ts").alias("month"))
+
+
 @query(with_bars(f" SELECT symbol, bar_ts, {BAR_COLUMNS}, round(close, 6) + 0.0 AS adj_close FROM bars"))
 def parse_us_daily(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     entry = F.struct(F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("key"), F.create_map(*(x for n, k in providers.US_FIELDS.items() for x in (F.lit(k), text(n)))).alias("value"))
-    raw = hourly(spark, d).groupBy("symbol").agg(F.to_json(F.create_map(F.lit(providers.US_SERIES[0]), F.map_from_entries(F.collect_list(entry)))).alias("payload"))
+    raw = _monthly(hourly(spark, d)).agg(F.to_json(F.create_map(F.lit(providers.US_SERIES[0]), F.map_from_entries(F.collect_list(entry)))).alias("payload"))
     return show(providers.us_daily(raw))
 
 
@@ -573,7 +606,7 @@ def parse_kr_items(spark: SparkSession, d: str) -> DataFrame:
     item = F.struct(F.col("bar_ts"), F.date_format("bar_ts", "yyyyMMdd").alias("basDt"), comma("close").alias("clpr"), comma("open").alias("mkp"), F.format_number("volume", 0).alias("trqu"), F.col("symbol").alias("itmsNm"))
     items = F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("bar_ts"))
     payload = F.to_json(F.struct(F.struct(F.struct(F.lit("00").alias("resultCode")).alias("header"), F.struct(F.struct(items.alias("item")).alias("items")).alias("body")).alias("response")))
-    raw = hourly(spark, d).groupBy("symbol").agg(payload.alias("payload"))
+    raw = _monthly(hourly(spark, d)).agg(payload.alias("payload"))
     return show(providers.kr_bars(providers.kr_items(raw)), "symbol", "bar_ts", *OHLCV, "adj_close")
 
 
@@ -586,6 +619,52 @@ def kr_best_identity(spark: SparkSession, d: str) -> DataFrame:
     return providers.kr_select(items).select("symbol", "place", "srtnCd")
 
 
+@query("""WITH i AS (SELECT o_orderkey AS place, lpad(CAST(o_custkey % 3 AS VARCHAR), 6, '0') AS code, 'KR' || lpad(CAST(o_custkey % 7 AS VARCHAR), 10, '0') AS isin FROM orders)
+  SELECT '000001' AS symbol, place, code AS "srtnCd", isin AS "isinCd" FROM i WHERE code = '000001' UNION ALL SELECT 'KR0000000002', place, code, isin FROM i WHERE isin = 'KR0000000002' UNION ALL SELECT '999999', place, code, isin FROM i""")
+def kr_select_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Lookups by code, by ISIN, and by a code that no item has."""
+    o, number = table(spark, d, "orders"), lambda n, width: F.lpad((F.col("o_custkey") % n).cast("string"), width, "0")
+    asked = F.explode(F.array(F.lit("000001"), F.lit("KR0000000002"), F.lit("999999"))).alias("symbol")
+    items = o.select(asked, F.col("o_orderkey").alias("place"), number(3, 6).alias("srtnCd"), F.concat(F.lit("KR"), number(7, 10)).alias("isinCd"), F.lit("x").alias("itmsNm"))
+    return providers.kr_select(items).select("symbol", "place", "srtnCd", "isinCd")
+
+
+# History files
+
+
+def _folder(spark: SparkSession, d: str) -> str:
+    """A new folder of CSV files by symbol: the hourly bars with each row twice, and two files that can't be used."""
+    folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def write(df: DataFrame, name: str) -> None:
+        df.coalesce(1).write.csv(f"{folder}-parts/{name}", header=True)
+        part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}-parts/{name}")) if x.getPath().getName().startswith("part-"))
+        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    rows = hourly(spark, d).select("symbol", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *(F.col(c).cast("string").alias(f" {c.title()}") for c in OHLCV))
+    rows = rows.unionByName(rows.withColumn(" Close", F.lit("n/a"))).orderBy("Date").persist()
+    for symbol in [r.symbol for r in rows.select("symbol").distinct().collect()]:
+        write(rows.where(F.col("symbol") == symbol).drop("symbol"), f"{symbol}_historical.csv")
+    write(rows.drop("symbol", "Date"), "undated.csv")
+    write(rows.drop("symbol", " Volume"), "unmeasured.csv")
+    rows.unpersist()
+    return folder
+
+
+@query(with_bars(f" SELECT symbol, bar_ts, {BAR_COLUMNS}, round(close, 6) + 0.0 AS adj_close FROM bars"))
+def history_folder(spark: SparkSession, d: str) -> DataFrame:
+    return keyed(loader.load_history(spark, _folder(spark, d))[0], *OHLCV, "adj_close")
+
+
+@query("SELECT 'undated.csv' AS file, 'no Date column' AS reason UNION ALL SELECT 'unmeasured.csv', 'missing columns: volume'")
+def history_rejects(spark: SparkSession, d: str) -> DataFrame:
+    rejected = loader.load_history(spark, _folder(spark, d))[1]
+    return spark.createDataFrame([(path.rsplit("/", 1)[1], why) for path, why in rejected], "file string, reason string")
+
+
 LIMIT_SQL = """WITH RECURSIVE r AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
   w AS (
     SELECT event_type, rn, event_id, ts, true AS accepted, CAST(NULL AS DOUBLE) AS retry_after, [ts] AS taken FROM r WHERE rn = 1
@@ -638,15 +717,21 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
     return show(model.report(_judged(spark, d)))
 
 
-@query()
+@query(with_bars(f"{LABEL_CTES}, o AS (SELECT *, row_number() OVER (PARTITION BY swing_label ORDER BY md5('42:' || symbol || ':' || CAST(bar_ts AS VARCHAR)), symbol, bar_ts) AS place, count(*) OVER (PARTITION BY swing_label) AS n FROM lb) SELECT symbol, bar_ts, swing_label, place <= floor(n * 0.8::DOUBLE) AS is_train FROM o"))
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return model.split(labels.swing_labels(priced(spark, d))).select("symbol", "bar_ts", "swing_label", "is_train")
 
 
+TRAINED: dict[tuple[str, str], model.Ensemble] = {}
+
+
 def _ensemble(spark: SparkSession, d: str) -> tuple[model.Ensemble, DataFrame]:
-    """The ensemble at its full size, on all features."""
+    """The ensemble at its full size, on all features; trained once for an application's queries of one folder."""
     rows = model.training_table(hourly(spark, d))
-    return model.train(rows), rows
+    key = spark.sparkContext.applicationId, d
+    if key not in TRAINED:
+        TRAINED[key] = model.train(rows)
+    return TRAINED[key], rows
 
 
 @query()
@@ -668,9 +753,37 @@ def detect_latest(spark: SparkSession, d: str) -> DataFrame:
     return keyed(latest.withColumn("confidence_level", signals.confidence(F.col("swing_probability"))), "close", "swing_probability", "prediction", "confidence_level", "stop_loss", "take_profit")
 
 
-@query()
+@query(with_bars(" SELECT count(*) AS n_rows, count(*) AS n_same, 3 AS n_parts FROM bars"))
+def model_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a model scores, those that it scores the same once saved and loaded, and its parts that are there."""
+    trained, rows = _ensemble(spark, d)
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    trained.save(spark, path)
+    again = model.Ensemble.load(spark, path).score(rows.select("symbol", "bar_ts", *trained.names)).select("symbol", "bar_ts", F.col("swing_probability").alias("p"))
+    both = trained.score(rows).join(again, ["symbol", "bar_ts"])
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("swing_probability") - F.col("p")) < 1e-12).alias("n_same")).withColumn("n_parts", F.lit(sum(model.Ensemble.present(spark, path).values())))
+
+
+ALL_NAMES = [*OHLCV, "p", *features()]
+ALL_CTES = SMA_CTE + BANDS_CTE + EMA_CTES + RSI_CTES + MACD_CTES + ATR_CTES + ADX_CTES
+# every chain and window of the parts above, by (symbol, rn)
+ALL_CTES += f""", j0 AS (SELECT b.symbol, b.bar_ts, b.rn, {", ".join(f"b.{c}" for c in (*OHLCV, "p"))}, {", ".join(f"m.{c}" for c in SMA)}, {", ".join(f"ema.ema_{n}" for n in MA_PERIODS)}, rsi_14, rsi_21, macd.macd, macd.macd_signal, {", ".join(f"e.{c}" for c in BANDS)}, atr_14, atr_21, aw.e AS adx
+  FROM b JOIN m USING (symbol, rn) JOIN ema USING (symbol, rn) JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN e USING (symbol, rn) JOIN atr USING (symbol, rn) LEFT JOIN aw ON aw.symbol = b.symbol AND aw.rn = b.rn)"""
+ALL_CTES += f""", j1 AS (SELECT *, {change("p", 1)} AS price_change, {", ".join(f"{x} AS {c}" for c, x in SHAPE.items())}, {", ".join(f"{x} AS {c}" for c, x in (_ratios("sma") | _ratios("ema")).items())},
+  rsi_14 - {lag("rsi_14")} AS rsi_14_change, rsi_21 - {lag("rsi_21")} AS rsi_21_change, macd - macd_signal AS macd_histogram, CASE WHEN macd > macd_signal THEN 1 ELSE 0 END AS macd_crossover, {SQUEEZE},
+  CASE WHEN {TRADED} THEN {roll("avg", "volume", 20)} ELSE 1 END AS volume_sma_20, CASE WHEN {TRADED} THEN {div("volume", roll("avg", "volume", 20))} ELSE 1 END AS volume_ratio, {change("p", 1)} * volume AS step, CASE WHEN p < {lag("p")} THEN -volume ELSE volume END AS flow,
+  (high + low + p) / 3 AS tp, {div("atr_14", "atr_21")} AS volatility_ratio, {", ".join(f"{x} AS {c}" for c, x in ROC.items())}, -100 * {div(f"{TOP} - p", f"{TOP} - {LOW}")} AS williams_r, 100 * {div(f"p - {LOW}", f"{TOP} - {LOW}")} AS stoch_k, {", ".join(f"{x} AS {c}" for c, x in MOMENTUM.items())},
+  CASE WHEN {div("abs(p - open)", "high - low")} < 0.1 THEN 1 ELSE 0 END AS doji, CASE WHEN low < least(open, p) AND high - greatest(open, p) < 0.3 * (high - low) THEN 1 ELSE 0 END AS hammer FROM j0)"""
+ALL_CTES += f""", j2 AS (SELECT *, CASE WHEN step IS NOT NULL THEN sum(step) OVER ({W}) END AS volume_price_trend, sum(flow) OVER ({W}) AS on_balance_volume, tp * volume AS tv, {roll("avg", "stoch_k", 3)} AS stoch_d, {roll("avg", "tp", 20)} AS tm, list(tp) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS tl,
+  {", ".join(f"{x} AS {c}" for c, x in VOLATILITY.items())}, {", ".join(f"{lag(c, k)} AS {c}_lag_{k}" for c in LAGGED for k in LAGS)} FROM j1)"""
+ALL_CTES += f""", j3 AS (SELECT *, {div(roll("sum", "tv", 14), roll("sum", "volume", 14))} AS volume_weighted_price, {div("tp - tm", "0.015 * (list_sum(list_transform(tl, lambda x: abs(x - tm))) / 20)")} AS cci FROM j2)"""
+WHOLE = {"macd_crossover", "doji", "hammer", *(f"bb_{n}_squeeze" for n in BAND_PERIODS)}
+
+
+@query(with_bars(f"{ALL_CTES} SELECT symbol, bar_ts, {rounded(**{c: c for c in ALL_NAMES if c not in WHOLE | {'volume_price_trend'}})}, round(volume_price_trend, 3) + 0.0 AS volume_price_trend, {', '.join(sorted(WHOLE))} FROM j3"))
 def all_indicators(spark: SparkSession, d: str) -> DataFrame:
-    return show(all_features(hourly(spark, d)))
+    df = all_features(hourly(spark, d)).withColumn("volume_price_trend", F.round("volume_price_trend", 3))
+    return keyed(df, *ALL_NAMES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
