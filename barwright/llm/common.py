@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barwright.session import shared_dir
+
 SLICE_BYTES = 256 << 10
 BATCH_ROWS = 1000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -23,14 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barwright-"))
-    return (folder or spark.sparkContext.getCheckpointDir()).rstrip("/")
-
-
 WRITTEN: list[str] = []
 
 
@@ -46,12 +39,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialised(spark: SparkSession) -> int:
-    """Delete all that this process has materialised, once its results are written elsewhere; says how many tables."""
+def drop_materialised(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what this process has materialised, once its results are written elsewhere; says how many tables.
+
+    The first `since` tables stay, which were there before, and the newest `keep`.
+    """
     jvm, conf, dropped = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    gone = WRITTEN[since : len(WRITTEN) - keep]
+    for path in gone:
+        WRITTEN.remove(path)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        dropped += bool(at.getFileSystem(conf).delete(at, True))
     return dropped
 
 

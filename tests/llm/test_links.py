@@ -69,6 +69,8 @@ def test_materialised_tables_can_be_dropped(spark):
     drop_materialised(spark)
     a = materialise(spark.range(3), "a")
     assert a.count() == 3 and drop_materialised(spark) == 1 and drop_materialised(spark) == 0
+    a, b = materialise(spark.range(3), "a"), materialise(spark.range(5), "b")
+    assert drop_materialised(spark, keep=1) == 1 and b.count() == 5 and drop_materialised(spark, since=1) == 0 and drop_materialised(spark) == 1 and a is not b
 
 
 def test_components_of_long_chains_and_stars(spark):
