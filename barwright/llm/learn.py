@@ -16,23 +16,32 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def sample_by_class(rows: DataFrame, label: str, per_class: int, seed: int, max_classes: int = 1000) -> DataFrame:
-    """About `per_class` rows of each class (all of a smaller one), chosen by a hash of doc_id.
+    """About `per_class` distinct rows of each class (all of a smaller one), chosen by a hash of doc_id.
 
-    At most twice that number times the classes come back, so the sample may be broadcast. Nothing is sorted.
+    Of more than `max_classes` classes the largest take part, ties by name. So the sample is bounded and may be
+    broadcast, rows that repeat come once, and nothing is sorted.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label}")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*(x for r in counts for x in (F.lit(r[0]), F.lit(int(min(1.0, per_class / r[1]) * MILLION)))))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(MILLION))
-    keep = F.lit(False)
-    for name, n in counts.items():
-        keep = keep | ((F.col(label) == F.lit(name)) & (draw < int(min(1.0, per_class / n) * MILLION)))
-    return rows.where(keep).limit(2 * per_class * max(1, len(counts)))
+    return rows.where(draw < F.coalesce(share[F.col(label)], F.lit(0))).distinct()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int, seed: int) -> DataFrame:
-    """(doc_id, text, label) of sampled labelled documents. Null ids or labels are left out; of two labels the larger holds."""
+def stretches(text: Column, most: int, pieces: int = 16) -> Column:
+    """Binary text as it is up to `most` bytes; of a longer one `pieces` equal stretches from all over it, `most` bytes in all."""
+    size = most // pieces
+    step = F.floor((F.octet_length(text) - size) / (pieces - 1)).cast("int")
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(*(F.substring(text, step * i + 1, F.lit(size)) for i in range(pieces))))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, per_class: int, seed: int, max_bytes: int = 1 << 17) -> DataFrame:
+    """(doc_id, text, label) of sampled labelled documents, of long texts stretches of `max_bytes` in all.
+
+    Null ids or labels are left out; of two labels the larger holds; documents that repeat an id all come.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(learnable)
     drawn = sample_by_class(rows, "label", per_class, seed).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return texts.join(F.broadcast(drawn), "doc_id").select("doc_id", stretches(F.col("text"), max_bytes).alias("text"), "label").distinct()

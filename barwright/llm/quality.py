@@ -110,7 +110,7 @@ class AttentionModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 600, seed: int = 5) -> AttentionModel | None:
-    """Fit on about `per_class` labelled documents of each class, passages whole; None if there are none.
+    """Fit on about `per_class` labelled documents of each class, long ones by stretches; None if there are none.
 
     The classes are weighted back to their shares among the labels, so scores are probabilities.
     """
@@ -126,7 +126,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: st
     sample = labelled_sample(docs, labels, label, learnable, per_class, seed).mapInArrow(encode, "doc_id long, label int, x array<float>").toPandas()
     if not len(sample):
         return None
-    sample = sample.sort_values("doc_id", kind="stable")
+    sample = sample.sort_values(["doc_id", "label"], kind="stable")
     ids, bag = np.unique(sample.doc_id.to_numpy(), return_inverse=True)
     y = np.zeros(len(ids))
     y[bag] = sample.label.to_numpy()

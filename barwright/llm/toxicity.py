@@ -44,7 +44,11 @@ def _train(size: int, samples: list[bytes], k: int) -> bytes:
 
 
 class CompressionModel:
-    """Two dictionaries and the thresholds on how much shorter the toxic one makes a window."""
+    """Two dictionaries and the thresholds on how much shorter the toxic one makes a window.
+
+    They are trained apart. The toxic side compresses with both, so that what it saves is what only the toxic dictionary has:
+    with the toxic one alone, the ordinary words around a toxic one cost more than it saves.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = ordinary, ordinary + toxic
@@ -85,8 +89,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", per_class: int = 900, max_bytes: int = 1 << 16, seed: int = 11) -> CompressionModel | None:
-    """Fit on about `per_class` labelled texts of each class of up to `max_bytes`; None without both classes.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", per_class: int = 900, max_bytes: int = 1 << 17, seed: int = 11) -> CompressionModel | None:
+    """Fit on about `per_class` labelled texts of each class, long ones by stretches of `max_bytes` in all; None without both classes.
 
     Two thirds of the sample train the dictionaries. The ordinary one is trained on windows of ordinary
     texts; the toxic one goes on from it, trained on the runs of toxic texts whose codes are over-represented there.
@@ -95,7 +99,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: s
     """
     rows = labels.where("doc_id is not null").where(learnable)
     share = {r[0]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect()}
-    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).orderBy("doc_id").collect()
+    sample = labelled_sample(docs, labels, label, learnable, per_class, seed, max_bytes).orderBy("doc_id", "text").collect()
     texts, y = [bytes(r.text or b"") for r in sample], np.array([r.label for r in sample])
     if len(set(y.tolist())) < 2:
         return None
@@ -114,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: s
         hit = np.flatnonzero(odds[coded[k]] > 3)
         if len(hit):
             toxic += [coded[k][max(0, g[0] - 1) : g[-1] + 2].tobytes() for g in np.split(hit, np.flatnonzero(np.diff(hit) > 2) + 1)]
-    plain = [w for k in np.flatnonzero((y == 0) & ~back) for w in windows(coded[k])[::2]]
+    plain = [w for k in np.flatnonzero((y == 0) & ~back) for w in windows(coded[k])]
     model = CompressionModel(_train(1 << 15, plain, 64), _train(1 << 11, [t for t in toxic if len(t) >= 8], 16))
     gains = [model.gains(texts[k]) for k in np.flatnonzero(back)]
     truth = y[back]

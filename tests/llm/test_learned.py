@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barwright.llm.language import code_points, fit_language, follow_the_regularised_leader, identify, softmax, temperature
-from barwright.llm.learn import fold, sample_by_class
+from barwright.llm.learn import fold, sample_by_class, stretches
 from barwright.llm.quality import AttentionModel, fit_quality, passages, quality_filter, quality_scores
 from barwright.llm.rules import Slice
 from barwright.llm.toxicity import codes, fit_toxicity, toxicity_scores, windows
@@ -114,8 +114,15 @@ def test_ftrl_is_sparse_and_calibrated():
 def test_samples_are_bounded(tables):
     docs, _ = tables
     assert sample_by_class(docs, "lang", 20, 1).count() <= 2 * 20 * 4
-    with pytest.raises(ValueError, match="classes"):
-        sample_by_class(docs, "lang", 20, 1, max_classes=2)
+    assert {r.lang for r in sample_by_class(docs, "lang", 20, 1, max_classes=2).collect()} == {r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()}
+    twice = docs.unionByName(docs).unionByName(docs.limit(1).crossJoin(docs.sparkSession.range(500)).drop("id"))
+    assert sample_by_class(twice, "lang", 10**6, 1).count() == docs.where("lang is not null").distinct().count()
+
+
+def test_long_texts_give_stretches_from_all_over(spark):
+    text = bytes(range(256)) * 40
+    got = spark.createDataFrame([(text,), (b"short",)], "t binary").select(stretches(F.col("t"), 1600).alias("s")).collect()
+    assert len(got[0].s) == 1600 and bytes(got[0].s[:100]) == text[:100] and bytes(got[0].s[-100:]) in text[-116:] and bytes(got[1].s) == b"short"
 
 
 def test_without_labels_or_rows(spark, odd, none):
