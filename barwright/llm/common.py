@@ -104,8 +104,8 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, share: int = 1000) -> DataFrame:
-    """Rows with the columns of their class, null where there is none; `classes` has one row per key and its number of rows.
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, share: int = 1000, how: str = "left") -> DataFrame:
+    """Rows with the columns of their class, null where there is none (or left out, if `how` is inner); `classes` has one row per key and its number of rows.
 
     Classes of over 1 / `share` of all rows, fewer than `share` of them whatever the data, go by broadcast, so no task
     gets all rows of a hot one; the others are joined by key.
@@ -113,7 +113,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], count: st
     total = classes.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * share > total
     near = rows.join(F.broadcast(classes.where(hot)), keys)
-    far = rows.join(F.broadcast(classes.where(hot).select(*keys)), keys, "left_anti").join(classes.where(~hot), keys, "left")
+    far = rows.join(F.broadcast(classes.where(hot).select(*keys)), keys, "left_anti").join(classes.where(~hot), keys, how)
     return near.unionByName(far)
 
 

@@ -155,20 +155,50 @@ def test_family_keeps_first_places_and_geometric_levels():
     r = np.random.default_rng(3)
     family, seen, lost = suffixes.Family(), {}, 0
     for _ in range(40):
-        h, g, doc, packed = (r.integers(0, n, 50) for n in (30, 12, 1000, 1 << 40))
-        lost += len(family.add(h, g, doc, packed)[0])
-        for x in zip(h, g, doc, packed, strict=True):
-            seen[x[:2]] = min(seen.get(x[:2], x[2:]), x[2:])
+        text, run, doc, packed = (r.integers(0, n, 50) for n in (30, 12, 1000, 1 << 40))
+        key = np.array([b"%032d" % t + int(g).to_bytes(8, "big") for t, g in zip(text, run, strict=True)], f"S{suffixes.KEY}")
+        lost += len(family.add(key, doc, packed)[0])
+        for x in zip(key.tolist(), doc, packed, strict=True):
+            seen[x[0]] = min(seen.get(x[0], x[1:]), x[1:])
     sizes = [len(x[0]) for x in family.levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    h, g, doc, packed = family.whole()
-    assert dict(zip(zip(h, g, strict=True), zip(doc, packed, strict=True), strict=True)) == seen and lost == 2000 - len(seen)
+    key, doc, packed = family.whole()
+    assert dict(zip(key.tolist(), zip(doc, packed, strict=True), strict=True)) == seen and lost == 2000 - len(seen) and key.tolist() == sorted(seen)
+
+
+def test_suffix_arrays_are_in_byte_order_with_common_prefixes(docs):
+    rows = suffixes.suffixes(suffixes._keyed(docs.coalesce(1), 0), 100).where("kind < 2 or kind = 3").select("key").collect()
+    keys = [bytes(r.key) for r in rows]
+    assert all(len(k) == suffixes.KEY for k in keys) and sum(a > b for a, b in zip(keys, keys[1:], strict=False)) <= len(keys) // 2000 + 2
+    some = np.sort(np.array(keys[:500], f"S{suffixes.KEY}"))
+    padded = [x.ljust(suffixes.KEY, b"\0") for x in some.tolist()]
+    want = [next((i for i in range(suffixes.KEY) if a[i] != b[i]), suffixes.KEY) for a, b in zip(padded, padded[1:], strict=False)]
+    assert suffixes.common(some).tolist() == [0, *want]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_levels_in_a_folder_take_batch_after_batch(spark, rows, tmp_path, hot, monkeypatch):
+    line = "this very line of over a hundred bytes stands in each of the documents, whatever else there may be in it, twice"
+    every = [(x[0], x[1]) for x in rows[:110]] + [(2000 + i, f"{i * 7919} own start {i} {line} own end {i * i} {line}") for i in range(150 if hot else 4)]
+    np.random.default_rng(2).shuffle(every)
+    batches = [every[i::5] for i in range(5)]
+    index, got, sizes = suffixes.SuffixLevels(spark, str(tmp_path / "family")), {}, []
+    for batch in batches:
+        found = index.add(spark.createDataFrame([(int(i), t) for i, t in batch], "doc_id long, text string").coalesce(1)).collect()
+        got |= {r.doc_id: (bytes(r.kept), len(r.spans)) for r in found}
+        sizes.append([spark.read.parquet(p).count() for *_, p in index.levels()])
+    order = [x for batch in batches for x in sorted(batch)]
+    want = removed([(k, t) for k, (_, t) in enumerate(order)], 100)
+    assert got == {int(i): (want[k][0], want[k][2]) for k, (i, _) in enumerate(order)}
+    assert all(a >= 2 * b for s in sizes for a, b in zip(s, s[1:], strict=False)) and index.levels()[0][0] == 0 and index.levels()[-1][1] == 4
 
 
 def test_removal_odd_and_empty(odd, none):
     got = [(r.doc_id, len(r.text), len(r.kept)) for r in remove_repeats(odd, whole_characters=True).collect()]
-    assert sorted(x for x in got if x[0] == 7) == sorted(x for x in got if x[0] == 7) and len(got) == 6
-    assert dict((x[0], x[2]) for x in got)[8] < 300 and remove_repeats(none).count() == 0
+    texts = {0: (None, "one two three " * 20), 1: (7, "same text " * 30), 2: (7, "other words here " * 30), 3: (8, "same text " * 30)}
+    want = {k: len(v[0]) for k, v in removed([(k, t) for k, (_, t) in texts.items()], 100).items()}
+    each = [(i, len(t), want[k]) for k, (i, t) in texts.items()]
+    assert sorted(got, key=str) == sorted([*each, each[1], (None, 0, 0)], key=str) and remove_repeats(none).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 6])
