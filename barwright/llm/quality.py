@@ -15,11 +15,32 @@ from .rules import Slice
 
 PASSAGE_WORDS = 64
 CLASSES = 129
+WORD_BUCKETS, GRAM_BUCKETS = 64, 192
+HASHED_SCALE = 0.1
 EXTRA = 6
+INPUTS = CLASSES + WORD_BUCKETS + GRAM_BUCKETS + EXTRA
+#: A word's digest is the sum of its bytes, each times a factor of its place in the word.
+FACTORS = np.random.default_rng(77).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _shares(passage: np.ndarray, bucket: np.ndarray, rows: int, buckets: int) -> np.ndarray:
+    """The root of each bucket's share in each passage."""
+    seen = np.bincount(passage * buckets + bucket, minlength=rows * buckets).reshape(rows, buckets).astype(np.float32)
+    return np.sqrt(seen / np.maximum(1, seen.sum(1, keepdims=True)))
 
 
 def passages(s: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of every passage (runs of 64 words; a text without words has one empty one) and their text's row."""
+    """Inputs of every passage (runs of 64 words; a text without words has one empty one) and their text's row.
+
+    They are the shares of bytes, of hashed words and of hashed runs of three bytes, in lower case, and six counts.
+    """
     n = len(s.texts)
     per = np.maximum(1, -(-s.n_words // PASSAGE_WORDS))
     first = np.cumsum(per) - per
@@ -34,6 +55,16 @@ def passages(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     at = first[doc] + np.maximum(0, word - before[doc]) // PASSAGE_WORDS
     seen = np.bincount(at * CLASSES + np.minimum(s.data, 128), minlength=rows * CLASSES).reshape(rows, CLASSES).astype(np.float32)
     size = seen.sum(1, keepdims=True)
+    low = LOWER[s.data]
+    starts = np.flatnonzero(begins)
+    in_word = np.flatnonzero(inside)
+    place = in_word - starts[word[in_word]] if len(starts) else in_word
+    total = np.concatenate(([np.uint64(0)], np.cumsum((low[in_word].astype(np.uint64) + np.uint64(1)) * FACTORS[place & 63])))
+    first_byte = np.searchsorted(in_word, starts)
+    digest = total[np.append(first_byte[1:], len(in_word))] - total[first_byte] if len(starts) else np.zeros(0, np.uint64)
+    three = low.astype(np.uint64)
+    three = three[:-2] | three[1:-1] << np.uint64(8) | three[2:] << np.uint64(16) if len(low) > 2 else three[:0]
+    one_text = np.flatnonzero(doc[:-2] == doc[2:]) if len(low) > 2 else np.zeros(0, np.int64)
     of_word = np.repeat(np.arange(n), s.n_words)
     passage = first[of_word] + (np.arange(len(of_word)) - before[of_word]) // PASSAGE_WORDS
     words = np.bincount(passage, minlength=rows)
@@ -46,7 +77,8 @@ def passages(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(passage[order], weights=new, minlength=rows)
     share = lambda x: x / np.maximum(1, words)
     extra = np.stack([share(np.bincount(passage, weights=same, minlength=rows)), share(distinct), share(np.bincount(passage, weights=s.repeated, minlength=rows)), np.minimum(words, PASSAGE_WORDS) / PASSAGE_WORDS, np.log1p(size[:, 0] / np.maximum(1, words)), np.log1p(np.minimum(s.n_words, 1000))[np.repeat(np.arange(n), per)] / 7], 1)
-    return np.concatenate((np.sqrt(seen / np.maximum(1, size)), extra), 1).astype(np.float32), np.repeat(np.arange(n), per)
+    hashed = _shares(passage, _bucket(digest, WORD_BUCKETS), rows, WORD_BUCKETS), _shares(at[one_text], _bucket(three[one_text], GRAM_BUCKETS), rows, GRAM_BUCKETS)
+    return np.concatenate((np.sqrt(seen / np.maximum(1, size)), *hashed, extra), 1).astype(np.float32), np.repeat(np.arange(n), per)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -76,6 +108,8 @@ class AttentionModel:
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
         self.shift, self.scale = x.mean(0), 1 / (x.std(0) + 0.02)
+        if x.shape[1] == INPUTS:  # many hashed inputs, each of little weight
+            self.scale[CLASSES : INPUTS - EXTRA] *= HASHED_SCALE
         x = (x - self.shift) * self.scale * 0.5
         order = np.argsort(bag, kind="stable")
         x, bag = x[order], bag[order]
@@ -131,7 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: st
     y = np.zeros(len(ids))
     y[bag] = sample.label.to_numpy()
     weight = np.array([share.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
-    model = AttentionModel(CLASSES + EXTRA)
+    model = AttentionModel(INPUTS)
     model.fit(np.stack(sample.x.to_numpy()).astype(float), bag, y, weight / weight.mean())
     return model
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barwright.llm.language import code_points, fit_language, follow_the_regularised_leader, identify, softmax, temperature
 from barwright.llm.learn import fold, sample_by_class, stretches
-from barwright.llm.quality import AttentionModel, fit_quality, passages, quality_filter, quality_scores
+from barwright.llm.quality import CLASSES, GRAM_BUCKETS, WORD_BUCKETS, AttentionModel, fit_quality, passages, quality_filter, quality_scores
 from barwright.llm.rules import Slice
 from barwright.llm.toxicity import codes, fit_toxicity, toxicity_scores, windows
 from tests.llm.conftest import prose
@@ -65,6 +65,16 @@ def test_passages_cover_whole_texts():
     assert bag.tolist() == [0, 0, 0, 0, 1, 2, 3] and np.isfinite(x).all()
 
 
+def test_passages_see_words_and_runs_of_letters():
+    import pyarrow as pa
+
+    a, b = (passages(Slice(pa.array([t])))[0][0] for t in (b"good water runs", b"Runs WATER, good"))
+    words, grams = slice(CLASSES, CLASSES + WORD_BUCKETS), slice(CLASSES + WORD_BUCKETS, CLASSES + WORD_BUCKETS + GRAM_BUCKETS)
+    assert np.isclose((a[words] ** 2).sum(), 1) and np.isclose((a[grams] ** 2).sum(), 1) and np.isclose((b[words] ** 2).sum(), 1)
+    same = passages(Slice(pa.array([b"x " * 70 + b"good water runs", b"good water runs"])))[0]
+    assert np.array_equal(same[2], a) and np.count_nonzero(a[words] != b[words]) <= 4 and not np.array_equal(a[grams], b[grams])
+
+
 def test_toxicity_on_planted_words(spark):
     r = random.Random(3)
     rows, labels = [], []
