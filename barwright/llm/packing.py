@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import flat, materialise, slices, small_batches
 
 WEIGHT_BITS = 20
-CACHE_WORDS = 800_000
+#: Words up to so many bytes are remembered, so many of them: a bounded number of bytes whatever the texts.
+CACHE_BYTES, CACHE_WORDS = 64, 800_000
 #: Beyond so many sources the largest keep queues of their own, and the others are dealt over the shared ones.
 QUEUES, SHARED = 2000, 200
 #: Byte-level models write bytes as letters: visible Latin-1 characters stand for themselves, others for 256 and up in turn.
@@ -53,7 +54,12 @@ class WordTokenizer:
         known.update((w, older[w]) for w in new if w in older)
         self._learn([w for w in new if w not in known])
         get, stop = known.__getitem__, np.array([end], self.dtype).tobytes()
-        return [b"".join(map(get, ws)) + stop for ws in words]
+        out = [b"".join(map(get, ws)) + stop for ws in words]
+        for w in new:
+            if len(w) > CACHE_BYTES:
+                known.pop(w, None)
+                known.pop(w.rstrip(b".,"), None)
+        return out
 
     def _words(self, text: bytes) -> list[bytes]:
         return (text.lower() if self.plain and b"<|" not in text else text).split()
@@ -141,12 +147,13 @@ def _tokenised(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 
 
 class Schedule:
-    """Which quantum of which queue comes when, in closed form.
+    """Deficit round-robin in closed form: which quantum of which queue comes when.
 
-    Queue s earns credit in proportion to its weight and spends it a quantum at a time, the queue furthest behind
-    first: its k-th quantum is due at (2k + 1) / weight. A quantum's turn is then the number of quanta due
-    earlier, which any task can count for itself, so deficits carry over windows and partitions without a
-    sequential pass. A queue that has run dry drops out; the others keep their proportions.
+    Every queue's deficit grows by its share of what is packed, and a quantum is taken off it when the queue is served. Served
+    is the queue whose deficit is largest for its weight: the k-th quantum of queue s is due at (2k + 1) / weight. A
+    quantum's turn is then the number of quanta due earlier, which any task can count for itself, so the deficits carry
+    over windows and partitions without a sequential pass; `deficit` says what they are. A queue that has run dry
+    drops out; the others keep their proportions.
     """
 
     def __init__(self, totals: dict[str, int], weights: dict[str, float] | None, quantum: int):
@@ -168,6 +175,17 @@ class Schedule:
             out += np.minimum(self.quanta[other], np.where(other == s, k, (top + 1) // 2))
         return out
 
+    def deficit(self, turns: int) -> np.ndarray:
+        """Each queue's share of the first `turns` quanta, less the quanta it got of them; while no queue has run dry."""
+        got = []
+        for s, quanta in enumerate(self.quanta.tolist()):
+            low, high = 0, quanta
+            while low < high:
+                k = (low + high) // 2
+                low, high = (k + 1, high) if self.turn(np.array([s]), np.array([k]))[0] < turns else (low, k)
+            got.append(low)
+        return self.weight / self.weight.sum() * turns - np.array(got)
+
     def place(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The place of the at-th id of queue s in the whole packed stream."""
         turn = self.turn(s, at // self.quantum)
@@ -213,7 +231,7 @@ def _queues(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     return totals.join(F.broadcast(largest), "source", "left").withColumn("queue", F.when(F.col("own"), own).otherwise(shared)).drop("own")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 128, weights: dict[str, float] | None = None, max_sources: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 256, weights: dict[str, float] | None = None, max_sources: int | None = None) -> DataFrame:
     """Pieces of all documents in windows of `window` ids, every window near the target token shares of sources.
 
     Rows: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,

@@ -143,6 +143,20 @@ def test_schedule_turns_are_a_permutation_and_follow_weights():
     assert sorted(places) == list(range(1383))
 
 
+def test_deficits_are_carried_and_stay_small():
+    s = Schedule({"a": 50_000, "b": 20_000, "c": 7000, "d": 300}, None, 10)
+    every = np.array([s.deficit(turns) for turns in range(1, 7000, 97)])
+    assert np.abs(every.sum(1)).max() < 1e-6 and np.abs(every).max() <= 2
+
+
+def test_long_words_are_not_remembered():
+    coder, tokenizer = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    texts = [f"water {'x' * 500}{i}., stone" for i in range(30)]
+    for t in texts * 2:
+        assert coder.encode([t.encode()], 1) == [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u2").tobytes()]
+    assert max(map(len, coder.known)) <= packing.CACHE_BYTES
+
+
 def test_pack_odd_and_empty(odd, none):
     got = pack(odd, PATH).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count_distinct("doc_tokens").alias("k")).collect()
     assert {r.doc_id for r in got} == {None, 7, 8} and pack(none, PATH).count() == 0
