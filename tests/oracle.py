@@ -7,11 +7,12 @@ import duckdb
 import pandas as pd
 
 
-def connect(folder):
+def connect(folder, recursive=False):
+    """Views of a folder's Parquet files; with `recursive`, of Parquet folders in it."""
     con = duckdb.connect()
     for f in os.listdir(folder):
         if f.endswith(".parquet"):
-            con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{folder}/{f}')")
+            con.sql(f"CREATE VIEW {f[:-8]} AS SELECT * FROM read_parquet('{folder}/{f}{"/*.parquet" if recursive else ""}')")
     return con
 
 
