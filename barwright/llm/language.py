@@ -73,9 +73,12 @@ def document_frequencies(texts: DataFrame, dim: int) -> tuple[np.ndarray, int]:
         for batch in slices(batches):
             buckets, ends, _ = ngrams(*flat(batch.column(1)), dim)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                seen[buckets[a:b]] = True
-                total += seen
-                seen[:] = False
+                if b - a < dim // 8:
+                    total[np.unique(buckets[a:b])] += 1
+                else:
+                    seen[buckets[a:b]] = True
+                    total += seen
+                    seen[:] = False
             texts_seen += batch.num_rows
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], texts_seen))], ["bucket", "n"])
@@ -142,7 +145,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit_language(docs: DataFrame, learnable: Column, per_class: int = 500, dim: int = 1 << 15, seed: int = 7) -> Model | None:
     """Fit on about `per_class` learnable texts of each language; IDF is over all of them. None without any.
 
-    A fifth of the sample is held back for the temperature. Only sparse counts of the sample reach the driver.
+    A fifth of the sample is held back for the temperature. Only sparse counts of the sample reach the driver. Of more than
+    1,000 languages the most frequent are learnt. Rows that repeat count in the IDF, but are learnt once; null ids are drawn together.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(learnable).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     df, texts = document_frequencies(rows, dim)

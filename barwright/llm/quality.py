@@ -146,7 +146,8 @@ class AttentionModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 600, seed: int = 5) -> AttentionModel | None:
     """Fit on about `per_class` labelled documents of each class, long ones by stretches; None if there are none.
 
-    The classes are weighted back to their shares among the labels, so scores are probabilities.
+    The classes are weighted back to their shares among the labels, so scores are probabilities. Null ids aren't learnt from;
+    texts that share an id are one bag.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,7 +108,8 @@ def rule_order(docs: DataFrame, rules: dict[str, Rule] | None = None, sample_row
     About `sample_rows` documents are drawn over all partitions; those of over `sample_bytes` aren't measured, so the
     sample is bounded. Those that pass the base check are left; the rule with most rejections per second on them
     comes first, and the others are measured again on what it leaves, and so on. The sample only decides the
-    order, never the verdict, which is a conjunction. Equal rates go by name; without a sample all do.
+    order, never the verdict, which is a conjunction. Equal rates go by name; without a sample all do. Null ids and
+    repeated rows are drawn like any row; texts that are null aren't.
     """
     rules = rules or default_rules()
     taken = [t for t in drawn(docs, sample_rows) if len(t) <= sample_bytes]

@@ -18,7 +18,7 @@ PAIRS = 1 << 19
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each text's word shingles, as a signed long. No words: 0."""
+    """(doc_id, fp): the 64-bit SimHash of each text's word shingles, as a signed long, for every row, ids null or repeated too. No words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

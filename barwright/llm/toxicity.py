@@ -95,7 +95,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: s
     Two thirds of the sample train the dictionaries. The ordinary one is trained on windows of ordinary
     texts; the toxic one goes on from it, trained on the runs of toxic texts whose codes are over-represented there.
     On the other third the window threshold and the weights of a text's largest gain, number of windows
-    over the threshold and number of windows are calibrated, classes weighted to their shares among the labels.
+    over the threshold and number of windows are calibrated, classes weighted to their shares among the labels. Null ids
+    aren't learnt from; texts that share an id each are.
     """
     rows = labels.where("doc_id is not null").where(learnable)
     share = {r[0]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect()}

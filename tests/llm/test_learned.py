@@ -1,18 +1,26 @@
 """Classifiers on held-out rows, and the pipeline."""
 
 import random
+import zlib
+from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barwright.llm.language import code_points, fit_language, follow_the_regularised_leader, identify, softmax, temperature
 from barwright.llm.learn import fold, sample_by_class, stretches
 from barwright.llm.quality import CLASSES, GRAM_BUCKETS, WORD_BUCKETS, AttentionModel, fit_quality, passages, quality_filter, quality_scores
+from barwright.llm.queries import TREE_WEIGHTS, mix_sql
 from barwright.llm.rules import Slice
 from barwright.llm.toxicity import codes, fit_toxicity, toxicity_scores, windows
 from tests.llm.conftest import prose
+from tests.llm.test_links import five_words, removed, smallest
+from tests.oracle import connect
 
 DATA = "/root/testdata/sf0.01"
 
@@ -58,16 +66,12 @@ def test_attention_finds_the_bad_passage():
 
 
 def test_passages_cover_whole_texts():
-    import pyarrow as pa
-
     s = Slice(pa.array([b"a b " * 100, b"", None, b"one"]))
     x, bag = passages(s)
     assert bag.tolist() == [0, 0, 0, 0, 1, 2, 3] and np.isfinite(x).all()
 
 
 def test_passages_see_words_and_runs_of_letters():
-    import pyarrow as pa
-
     a, b = (passages(Slice(pa.array([t])))[0][0] for t in (b"good water runs", b"Runs WATER, good"))
     words, grams = slice(CLASSES, CLASSES + WORD_BUCKETS), slice(CLASSES + WORD_BUCKETS, CLASSES + WORD_BUCKETS + GRAM_BUCKETS)
     assert np.isclose((a[words] ** 2).sum(), 1) and np.isclose((a[grams] ** 2).sum(), 1) and np.isclose((b[words] ** 2).sum(), 1)
@@ -154,6 +158,55 @@ def test_pipeline_stages(spark):
     assert docs.count() > 0 and corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == docs.columns
 
 
+def test_pipeline_stages_match_brute_force(spark, tmp_path):
+    """Each stage against a plain version of it, over all that the stage before it kept."""
+    small = "/root/testdata/sf0.001"
+    docs, rows = spark.read.parquet(f"{small}/documents.parquet"), {}
+    model = fit_quality(docs, spark.read.parquet(f"{small}/labels.parquet"), fold("doc_id", 5) != 0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        out = stage(spark, docs, small)
+        if k == 4:
+            break
+        out.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = {r.doc_id: r for r in docs.collect()}
+        texts = {i: r.text or "" for i, r in before.items()}
+        if name == "quality":
+            want = {i: t for i, t in texts.items() if model.score(Slice(pa.array([t.encode()])))[0] >= 0.3}
+        elif name == "near_duplicates":
+            sets, ids = {i: five_words(t) for i, t in texts.items()}, sorted(texts)
+            near = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            want = {i: texts[i] for i in set(smallest(ids, near).values())}
+        elif name == "repeated_passages":
+            want = {i: v[0].decode("utf-8", "ignore") for i, v in removed(list(texts.items()), 100).items()}
+            assert all(rows[i].n_chars == len(t) for i, t in want.items())
+        else:
+            sql = f"SELECT doc_id FROM ({mix_sql(TREE_WEIGHTS, 0.9, 1)})"
+            want = {i: texts[i] for (i,) in connect(f"{tmp_path}/repeated_passages", recursive=True).sql(sql).fetchall()}
+        assert {i: r.text or "" for i, r in rows.items()} == want and 0 < len(want) <= len(before)
+    tokenizer, pieces, places = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(list), defaultdict(list)
+    for r in out.collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        places[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == rows.keys()
+    for i, found in pieces.items():
+        ids, at = np.array([*tokenizer.encode(rows[i].text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc in sorted(found):
+            assert start == at and crc == zlib.crc32(ids[at : at + length].tobytes())
+            at += length
+        assert at == len(ids)
+    assert all(sum(x[1] for x in v) == 2048 for k, v in places.items() if k < max(places)) and sorted(places) == list(range(len(places)))
+
+
+def test_pipeline_takes_odd_rows(spark, odd):
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        odd = stage(spark, odd, "/root/testdata/sf0.001")
+        counts.append(odd.select("doc_id").count())
+    assert counts[0] >= counts[1] >= counts[3] and counts[1] == counts[2] and counts[4] >= counts[3] > 0
+
+
 def test_pipeline_takes_an_empty_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
