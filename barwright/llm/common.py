@@ -15,6 +15,7 @@ from barwright.session import shared_dir
 
 SLICE_BYTES = 256 << 10
 BATCH_ROWS = 1000
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,11 +31,17 @@ WRITTEN: list[str] = []
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: lineage ends at files that all executors see.
 
-    Results that read the files may be used long after, so they stay until drop_materialised().
+    Results that read the files may be used long after, so they stay until drop_materialised(). The shuffles behind
+    them are of no more use and go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,6 @@ with different runs is a match whose ends must be found: the bytes around it are
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -405,12 +404,6 @@ def _hot_ends(around: DataFrame, length: int) -> DataFrame:
     return join_classes(each, earliest, ["u", "v"], "n", how="inner").where(here != F.col("e")).select(*DOC, "first", F.col("first").alias("last"))
 
 
-def _reclaim(df: DataFrame) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps, which else stay until the driver collects garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def _shares(docs: DataFrame) -> int:
     """The session's number of partitions, or more if a share would stand for over SHARE_BYTES of text."""
     text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -420,9 +413,7 @@ def _shares(docs: DataFrame) -> int:
 def _spans(hits: DataFrame, texts: DataFrame, length: int, parts: int, newest: int) -> DataFrame:
     """(batch, doc, version, first, last) of the runs of strings of batch `newest` that start earlier too."""
     around = materialise(_around(texts, hits, length), "around")
-    _reclaim(hits)
     ends = materialise(_ends(around.where(F.col("kind") == OPEN), length, parts).unionByName(_hot_ends(around.where(F.col("kind") == HOT), length)).where(F.col("batch") == newest), "ends")
-    _reclaim(hits)
     first, last = _starts(F.col("packed"))
     return hits.where((F.col("kind") == REPEAT) & (F.col("batch") == newest)).select(*DOC, first.alias("first"), last.alias("last")).unionByName(ends)
 
@@ -476,7 +467,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: list[str] | None =
     keyed = _keyed(docs, 0, _carried(carry))
     parts = _shares(keyed)
     hits = materialise(match(suffixes(keyed, length).repartition(parts, _share())), "repeats")
-    _reclaim(hits)
     return _removed(keyed, _spans(hits, keyed, length, parts, 0), length, carry, whole_characters)
 
 
