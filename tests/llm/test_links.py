@@ -11,6 +11,7 @@ from barwright.llm import suffixes
 from barwright.llm.common import components, drop_materialised, forest, join_classes, materialise
 from barwright.llm.embeddings import Lattice, near_vectors, nearest_point, shortest_vectors
 from barwright.llm.simhash import gray_order_links, gray_rank, one_of_each_group, simhash_groups, similar_links
+from barwright.llm.shingles import one_of_each_similar
 from barwright.llm.suffixes import remove_repeats
 from corpus_pipeline import near_duplicates
 
@@ -104,6 +105,14 @@ def test_pipeline_drops_texts_of_similar_shingles(spark, docs, rows):
     assert got.columns == frame.columns and sorted(x.doc_id for x in got.collect()) == sorted(set(smallest(ids, near).values()))
 
 
+def test_large_components_are_compared_by_pairs_of_parts(spark):
+    """A chain in which only neighbours are similar, so no link may be lost between parts."""
+    rows = [(i, " ".join(f"chain{k}" for k in range(10 * i, 10 * i + 200))) for i in range(60)] + [(100 + i, f"own {i} text " * 9) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1 << 25, 5000):
+        assert sorted(r.doc_id for r in one_of_each_similar(frame, part_bytes=size).collect()) == [0, 100, 101, 102, 103, 104]
+
+
 def test_similar_shingles_odd_and_empty(spark, odd, none):
     got = sorted(str(x.doc_id) for x in near_duplicates(spark, odd, "").collect())
     assert got == ["7", "7", "7", "None", "None"] and near_duplicates(spark, none, "").count() == 0
