@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from barwright.operators.bars import hourly_bars
 from barwright.operators.signals import latest_analysis
 from barwright.schema import BARS
+from barwright.session import shared_dir
 from barwright.sources import loader, providers
 from barwright.streaming.monitor import monitor_stream, stream_bars
 from tests.conftest import DATA
@@ -90,6 +91,24 @@ def test_kr_selection(spark):
     assert providers.kr_lookup_plan("KR7005930003")["parameters"] == ["isinCd", "likeIsinCd"] and providers.kr_lookup_plan("A")["parameters"] == ["itmsNm", "likeItmsNm"] and providers.kr_lookup_plan("future:x")["kinds"] == [] and len(providers.kr_lookup_plan("A")["kinds"]) == 8
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        master = "spark://host:7077"
+        conf = sparkContext = None
+
+        def get(self, key, default):
+            return default
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    cluster = Cluster()
+    cluster.conf = cluster.sparkContext = cluster
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(cluster)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_tickers(spark):
     df = spark.createDataFrame([('["A", "B"]',), ('{"a": 1}',), (None,)], "t string")
     assert [r[0] for r in df.select(providers.tickers(F.col("t"))).collect()] == [["A", "B"], None, None]
