@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, slices, small_batches, text_bytes
+from .common import WHITESPACE, flat, slices, small_batches, text_bytes
 from .learn import labelled_sample
 from .rules import Slice
 
@@ -107,12 +107,17 @@ class AttentionModel:
         return _sigmoid(z @ p["c"] + p["d"]), {"h": h, "t": t, "s": s, "a": a, "z": z}
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
-        self.shift, self.scale = x.mean(0), 1 / (x.std(0) + 0.02)
+        self.shift = x.mean(0, dtype=float)
+        spread = np.einsum("ij,ij->j", x, x, dtype=float, casting="same_kind") / len(x) - self.shift**2
+        self.scale = 1 / (np.sqrt(np.maximum(0, spread)) + 0.02)
         if x.shape[1] == INPUTS:  # many hashed inputs, each of little weight
             self.scale[CLASSES : INPUTS - EXTRA] *= HASHED_SCALE
-        x = (x - self.shift) * self.scale * 0.5
-        order = np.argsort(bag, kind="stable")
-        x, bag = x[order], bag[order]
+        if (bag[1:] < bag[:-1]).any():
+            order = np.argsort(bag, kind="stable")
+            x, bag = x[order], bag[order]
+        x = x.astype(np.float32)
+        x -= self.shift.astype(np.float32)
+        x *= (self.scale * 0.5).astype(np.float32)
         begin = np.searchsorted(bag, np.arange(len(y) + 1))
         m, v, step, random, p = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0, np.random.default_rng(seed), self.p
         for epoch in range(epochs):
@@ -154,20 +159,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: st
         for batch in slices(batches):
             x, bag = passages(Slice(batch.column(1)))
             ids, ys = batch.column(0).take(pa.array(bag)), batch.column(2).take(pa.array(bag))
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([ids, ys, pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     rows = labels.select(F.col(label).cast("int").alias("label"), "doc_id").where("doc_id is not null").where(learnable)
     share = {r.label: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
-    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).mapInArrow(encode, "doc_id long, label int, x array<float>").toPandas()
-    if not len(sample):
+    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).mapInArrow(encode, "doc_id long, label int, x binary").toArrow()
+    if not sample.num_rows:
         return None
-    sample = sample.sort_values(["doc_id", "label"], kind="stable")
-    ids, bag = np.unique(sample.doc_id.to_numpy(), return_inverse=True)
+    sample = sample.combine_chunks()
+    ids, bag = np.unique(sample["doc_id"].to_numpy(), return_inverse=True)
     y = np.zeros(len(ids))
-    y[bag] = sample.label.to_numpy()
+    y[bag] = sample["label"].to_numpy()
+    order = np.argsort(bag, kind="stable")
+    x, bag = np.concatenate([flat(c)[0] for c in sample["x"].chunks]).view(np.float32).reshape(len(bag), INPUTS)[order], bag[order]
+    del sample
     weight = np.array([share.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
     model = AttentionModel(INPUTS)
-    model.fit(np.stack(sample.x.to_numpy()).astype(float), bag, y, weight / weight.mean())
+    model.fit(x, bag, y, weight / weight.mean())
     return model
 
 
