@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -127,8 +128,10 @@ def _fit(parts: DataFrame, names: list[str], trees: int, rounds: int, depths: tu
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("features", "label", "balanced", "doubled")
     ready = ready.coalesce(-(-total // ROWS_A_TASK)).persist()
     try:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depths[0], minInstancesPerNode=8, featureSubsetStrategy="sqrt", weightCol="balanced", maxMemoryInMB=1024, seed=seed).fit(ready)
-        boosted = GBTClassifier(maxIter=rounds, maxDepth=depths[1], stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, weightCol="doubled", seed=seed).fit(ready)
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depths[0], minInstancesPerNode=8, featureSubsetStrategy="sqrt", weightCol="balanced", maxMemoryInMB=1024, seed=seed)
+        boosted = GBTClassifier(maxIter=rounds, maxDepth=depths[1], stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, weightCol="doubled", seed=seed)
+        with ThreadPoolExecutor(2) as pool:  # rounds come one after the other and leave room for the forest beside them
+            forest, boosted = pool.map(lambda e: e.fit(ready), (forest, boosted))
     finally:
         ready.unpersist()
     stats = {"model_type": "forest + boosted trees", "decision_threshold": threshold, "swing_threshold": SWING_THRESHOLD, "lookforward_periods": LOOKFORWARD, "scale_pos_weight": 2.0, "training_samples": sum(n.values()), "test_samples": total - sum(n.values())}
