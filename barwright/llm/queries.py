@@ -95,8 +95,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *levels.values(), word_count().alias("n_tokens"), "epoch")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_audit
+
+    out = filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("collapsed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op4_suffix_dedup, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op3_toxicity, op4_suffix_dedup, op5_packing, op6_embeddings, op7_language, op8_simhash, op9_quality_rules, op10_mixing, op11_filter_audit, op12_token_counts, op13_periodic_runs)}
 
 
 def _share_sql(name: str, children: str, parents: list[str], level: str) -> str:
@@ -169,5 +190,18 @@ kept AS (SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept"""
 
 
+AUDIT_SQL = r"""WITH mark AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+f AS (SELECT d.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN d.doc_id > first THEN 16 ELSE 0 END AS mask FROM d LEFT JOIN mark ON mark.doc_id = d.doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0) AS removed, coalesce(sum(n) FILTER ((mask & bit) > 0 AND (mask & before) > 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER ((mask & bit) > 0 AND (mask & before) = 0), 0) AS toxic_lost FROM m, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": REPEATS_SQL, "op6_embeddings": VECTORS_SQL, "op9_quality_rules": RULES_SQL, "op10_mixing": MIX_SQL}
+    return {"op4_suffix_dedup": REPEATS_SQL, "op6_embeddings": VECTORS_SQL, "op9_quality_rules": RULES_SQL, "op10_mixing": MIX_SQL, "op11_filter_audit": AUDIT_SQL}
