@@ -122,7 +122,7 @@ def labelled(found: RDD, labels: DataFrame, columns: tuple[str, ...], parts: int
     flags = sum(F.when(F.max(F.col(c).cast("int")) == 1, 1 << k).otherwise(0) for k, c in enumerate(columns))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(flags.alias("flags")).where("flags > 0")
     marks = marks.rdd.map(lambda r: (r.doc_id, (r.flags, {})))
-    facts = found.filter(lambda r: r[0] is not None).map(lambda r: (r[0], (0, {(r[1], r[2]): r[3]})))
+    facts = found.map(lambda r: (r[0] if r[0] is not None else f"{r[1]}:{r[2]}", (0, {(r[1], r[2]): r[3]})))  # text is no id, so it has no label
 
     def add(a: tuple[int, dict], b: tuple[int, dict]) -> tuple[int, dict]:
         both = a[1]
@@ -131,8 +131,7 @@ def labelled(found: RDD, labels: DataFrame, columns: tuple[str, ...], parts: int
         return a[0] | b[0], both
 
     joined = facts.union(marks).combineByKey(lambda v: (v[0], dict(v[1])), add, add, parts)
-    none = found.filter(lambda r: r[0] is None).map(lambda r: (r[1], r[2], r[3], 0))
-    return joined.flatMap(lambda r: ((part, mask, n, r[1][0]) for (part, mask), n in r[1][1].items())).union(none)
+    return joined.flatMap(lambda r: ((part, mask, n, r[1][0]) for (part, mask), n in r[1][1].items()))
 
 
 def mask_vectors(marked: RDD, width: int, flags: int, parts: int) -> RDD:
