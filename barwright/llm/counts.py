@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches
 
 SPACES = " ▁"
-#: So many of the commonest pre-tokens, of up to so many characters, are sent to all tasks: 20 MB at most.
+#: At most so many of the commonest pre-tokens, of up to so many characters, are sent to all tasks: 20 MB at most.
 COMMON, COMMON_CHARS = 1 << 16, 64
 TURN = re.compile(f"[^{SPACES}](?=[{SPACES}])")
 #: A task's table of pre-tokens is sent on at this many entries or characters; a text is read in stretches of this many characters.
@@ -112,6 +112,19 @@ def pieces_of_pre_tokens(docs: DataFrame, cutter: PreTokens) -> DataFrame:
     return distinct.mapInArrow(pieces, "pre string, uses long, pieces long")
 
 
+def commonest(known: DataFrame) -> dict[str, int]:
+    """The pieces of at most COMMON pre-tokens: all those that occur over so many times that no more do, to a twentieth."""
+    step = F.floor(F.log2("uses") * 16).cast("int")
+    steps = known.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # under 1,024 rows
+    least, total = None, 0
+    for r in steps:
+        total += r["count"]
+        if total > COMMON:
+            break
+        least = r.step
+    return {r.pre: r.pieces for r in known.where(step >= least).select("pre", "pieces").collect()} if least is not None else {}
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text, as the SentencePiece model at `path` would give them.
 
@@ -122,8 +135,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """
     cutter, spark = PreTokens(path), docs.sparkSession
     known = materialise(pieces_of_pre_tokens(docs, cutter), "pre-tokens")
-    short = known.where(F.length("pre") <= COMMON_CHARS)
-    common = spark.sparkContext.broadcast({r.pre: r.pieces for r in short.orderBy(F.desc("uses"), "pre").limit(COMMON).select("pre", "pieces").collect()})
+    common = spark.sparkContext.broadcast(commonest(known.where(F.length("pre") <= COMMON_CHARS)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value

@@ -129,6 +129,15 @@ def test_counts_match_the_library(docs, rows, model, common, monkeypatch):
         assert (got[doc_id].n_bytes, got[doc_id].n_tokens, got[doc_id].over_limit) == (len((text or "").encode()), n, n > 500), doc_id
 
 
+def test_the_commonest_pre_tokens_are_bounded(spark, monkeypatch):
+    known = spark.range(1, 2001).selectExpr("cast(id AS string) AS pre", "cast(4000 / id AS long) AS uses", "id AS pieces")
+    for most in (0, 1, 40, 700, 5000):
+        monkeypatch.setattr(counts, "COMMON", most)
+        got = sorted(counts.commonest(known).values())
+        assert got == list(range(1, len(got) + 1)) and min(most // 2, 2000) <= len(got) <= most
+    assert counts.commonest(known.limit(0)) == {}
+
+
 def test_each_pre_token_is_counted_once(docs, monkeypatch):
     monkeypatch.setattr(counts, "HELD", 50)
     got = pieces_of_pre_tokens(docs, CUTTER).collect()
