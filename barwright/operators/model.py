@@ -1,24 +1,25 @@
-"""Training and use of the two-model ensemble with Spark ML."""
+"""Training and use of the two-model ensemble."""
 
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions import features as feature_functions
-from barwright.schema import LOOKFORWARD, MIN_TRAINING_ROWS, MODEL_THRESHOLD, SWING_THRESHOLD, features
+from barwright.schema import DEFAULT_THRESHOLD, LOOKFORWARD, MIN_TRAINING_ROWS, MODEL_THRESHOLD, SWING_THRESHOLD, features
 
 from .impute import clean, fill, with_defaults
 from .labels import swing_labels
+from .trees import ROWS_A_TASK, Boosting, Forest, Trees, blocks, quantile_edges
 
-#: Trees are grown level by level, each level a job: fewer rows than this aren't worth a task of their own.
-ROWS_A_TASK = 20_000
+FEW_POSITIVES = 10
 
 
 def training_table(bars: DataFrame, lookforward: int = LOOKFORWARD, swing: float = SWING_THRESHOLD, how: str = "both", drop_tail: bool = False) -> DataFrame:
@@ -60,35 +61,43 @@ def scaled(rows: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
 class Ensemble:
     """A random forest and boosted trees; the probability is their mean."""
 
-    def __init__(self, forest: RandomForestClassificationModel, boosted: GBTClassificationModel, scale: dict[str, tuple[float, float]], stats: dict):
+    def __init__(self, forest: Trees, boosted: Trees, scale: dict[str, tuple[float, float]], stats: dict):
         self.forest, self.boosted, self.scale, self.stats = forest, boosted, scale, stats
         self.names = list(scale)
 
+    def probabilities(self, values: np.ndarray) -> np.ndarray:
+        """(rows, 2): the forest's and the boosted trees' probability of a swing from raw features."""
+        share = self.forest.total(values) / max(1, len(self.forest.nodes))
+        return np.stack([share, 1 / (1 + np.exp(-(self.stats.get("base_margin", 0.0) + self.boosted.total(values))))], 1)
+
     def score(self, rows: DataFrame) -> DataFrame:
-        """Adds swing_probability and prediction; columns of the input stay as they were."""
-        inputs = F.struct(*((F.col(c) - m) / s for c, (m, s) in self.scale.items()))
-        rows = rows.withColumn("_x", inputs)
-        flat = rows.select("*", *(F.col("_x")[f"col{i + 1}"].alias(f"_x{i}") for i in range(len(self.names))))
-        flat = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(self.names))], outputCol="_features", handleInvalid="keep").transform(flat)
-        for name, model in (("_a", self.forest), ("_b", self.boosted)):
-            flat = model.setFeaturesCol("_features").setProbabilityCol(name).setRawPredictionCol(f"{name}_raw").setPredictionCol(f"{name}_hit").transform(flat)
-        p = (vector_to_array("_a")[1] + vector_to_array("_b")[1]) / 2
-        out = flat.withColumn("swing_probability", p).withColumn("prediction", (F.col("swing_probability") >= self.stats["decision_threshold"]).cast("int"))
-        return out.drop(*(c for c in out.columns if c.startswith(("_x", "_a", "_b", "_features"))))
+        """Adds swing_probability and prediction (with the boosted trees' own boosted_probability); columns of the input stay as they were."""
+        held = rows.sparkSession.sparkContext.broadcast((self.probabilities, len(self.names)))
+
+        def both(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            f, width = held.value
+            for v in values:
+                out = f(np.stack([np.asarray(x, float) for x in v]) if len(v) else np.zeros((0, width)))
+                yield pd.DataFrame({"p": out.mean(1), "boosted": out[:, 1]})
+
+        judge = F.pandas_udf(both, "p double, boosted double")
+        got = rows.withColumn("_judged", judge(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.names))))
+        p = F.col("_judged.p")
+        return got.withColumns({"swing_probability": p, "boosted_probability": F.col("_judged.boosted"), "prediction": (p >= self.stats["decision_threshold"]).cast("int")}).drop("_judged")
 
     def importance(self, spark: SparkSession, n: int = 20) -> DataFrame:
-        """The features the two models rely on most, by mean importance."""
-        both = (self.forest.featureImportances.toArray() + self.boosted.featureImportances.toArray()) / 2
+        """The features the two models rely on most: mean of the forest's shares of impurity and the boosted trees' of mean gain."""
+        both = (self.forest.importance("total") + self.boosted.importance("mean")) / 2
         rows = sorted(zip(self.names, both.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]
         return spark.createDataFrame(rows, "feature string, importance double")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        self.forest.write().overwrite().save(f"{path}/forest")
-        self.boosted.write().overwrite().save(f"{path}/boosted")
-        text = json.dumps({"scale": self.scale, "stats": self.stats})
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/stats")
+    PARTS = ("forest", "boosted", "scale", "stats")
 
-    PARTS = ("forest", "boosted", "stats")
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Four parts as JSON; what was at the path is replaced."""
+        trees = lambda t: {"depth": t.depth, "features": t.features, "nodes": t.nodes}
+        for part, content in (("forest", trees(self.forest)), ("boosted", trees(self.boosted)), ("scale", self.scale), ("stats", self.stats)):
+            spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{part}")
 
     @classmethod
     def present(cls, spark: SparkSession, path: str) -> dict[str, bool]:
@@ -100,43 +109,55 @@ class Ensemble:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Ensemble:
-        got = json.loads(spark.read.text(f"{path}/stats", wholetext=True).first()[0])
-        return cls(RandomForestClassificationModel.load(f"{path}/forest"), GBTClassificationModel.load(f"{path}/boosted"), {k: tuple(v) for k, v in got["scale"].items()}, got["stats"])
-
-
-def train(rows: DataFrame, names: list[str] | None = None, trees: int = 250, rounds: int = 300, depths: tuple[int, int] = (10, 6), threshold: float = MODEL_THRESHOLD, seed: int = 42, min_rows: int = MIN_TRAINING_ROWS) -> Ensemble:
-    """Fit both models on the training part of `rows`; positives weigh by class balance (forest) or double (boosting)."""
+        """A saved model; without its statistics, which may be missing, those that decide get their defaults."""
+        read = lambda part: json.loads(spark.read.text(f"{path}/{part}", wholetext=True).first()[0])
+        there = cls.present(spark, path)
+        if gone := [p for p in cls.PARTS[:3] if not there[p]]:
+            raise ValueError(f"no model at {path}: {', '.join(gone)} missing")
+        stats = {"decision_threshold": DEFAULT_THRESHOLD, "swing_threshold": SWING_THRESHOLD, "lookforward_periods": LOOKFORWARD} | (read("stats") if there["stats"] else {})
+        return cls(Trees(**read("forest")), Trees(**read("boosted")), {k: tuple(v) for k, v in read("scale").items()}, stats)
+
+
+def train(
+    rows: DataFrame, names: list[str] | None = None, trees: int = 250, rounds: int = 300, depths: tuple[int, int] = (10, 6), threshold: float = MODEL_THRESHOLD, seed: int = 42, min_rows: int = MIN_TRAINING_ROWS,
+    lookforward: int = LOOKFORWARD, swing: float = SWING_THRESHOLD,
+) -> Ensemble:
+    """Fit both models on the training part of `rows`; `lookforward` and `swing` are what the rows were labelled with.
+
+    Positives weigh double in boosting; in each bootstrap of the forest both classes weigh the same. Fewer than ten positives are
+    warned of. The test part gives the scores; mean_positive_probability is the mean probability of a swing over all of it.
+    """
     names = names or features()
     rows = rows.select("symbol", "bar_ts", "swing_label", *names).persist()
     parts = split(rows, seed=seed).persist()
     try:
-        return _fit(parts, names, trees, rounds, depths, threshold, seed, min_rows)
+        return _fit(parts, names, Forest(trees, depths[0], seed=seed), Boosting(rounds, depths[1], seed=seed), threshold, min_rows, {"swing_threshold": swing, "lookforward_periods": lookforward})
     finally:
         parts.unpersist()
         rows.unpersist()
 
 
-def _fit(parts: DataFrame, names: list[str], trees: int, rounds: int, depths: tuple[int, int], threshold: float, seed: int, min_rows: int) -> Ensemble:
+def _fit(parts: DataFrame, names: list[str], forest: Forest, boosting: Boosting, threshold: float, min_rows: int, made_with: dict) -> Ensemble:
     counts = {(r.is_train, r.swing_label): r["count"] for r in parts.groupBy("is_train", "swing_label").count().collect()}
     if (total := sum(counts.values())) < min_rows:
         raise ValueError(f"{total} training rows; at least {min_rows} are needed")
+    if (positives := sum(n for (_, label), n in counts.items() if label == 1)) < FEW_POSITIVES:
+        warnings.warn(f"only {positives} positive rows: lower the swing threshold, use more history or look further ahead", stacklevel=3)
     fit = parts.where("is_train")
-    scale = scaling(fit, names)
     n = {k: counts.get((True, k), 0) for k in (0, 1)}
-    weight = F.when(F.col("swing_label") == 1, F.lit(sum(n.values()) / (2 * max(1, n[1])))).otherwise(F.lit(sum(n.values()) / (2 * max(1, n[0]))))
-    ready = scaled(fit, scale).withColumns({"label": F.col("swing_label").cast("double"), "balanced": weight, "doubled": F.when(F.col("swing_label") == 1, 2.0).otherwise(1.0)})
-    ready = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("features", "label", "balanced", "doubled")
-    ready = ready.coalesce(-(-total // ROWS_A_TASK)).persist()
+    scale, edges = scaling(fit, names), quantile_edges(fit, names)
+    base = boosting.base_margin(n[0], n[1])
+    tasks = -(-sum(n.values()) // ROWS_A_TASK)
+    data = blocks(fit, names, edges, tasks, margin=base)
     try:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depths[0], minInstancesPerNode=8, featureSubsetStrategy="sqrt", weightCol="balanced", maxMemoryInMB=1024, seed=seed)
-        boosted = GBTClassifier(maxIter=rounds, maxDepth=depths[1], stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, weightCol="doubled", seed=seed)
         with ThreadPoolExecutor(2) as pool:  # rounds come one after the other and leave room for the forest beside them
-            forest, boosted = pool.map(lambda e: e.fit(ready), (forest, boosted))
+            grown = pool.map(lambda m: Trees.of(m.fit(data, len(names)), edges), (forest, boosting))
+            wood, boosted = grown
     finally:
-        ready.unpersist()
-    stats = {"model_type": "forest + boosted trees", "decision_threshold": threshold, "swing_threshold": SWING_THRESHOLD, "lookforward_periods": LOOKFORWARD, "scale_pos_weight": 2.0, "training_samples": sum(n.values()), "test_samples": total - sum(n.values())}
-    model = Ensemble(forest, boosted, scale, stats)
-    scores = {r.is_train: r for r in model.score(parts).groupBy("is_train").agg(F.avg((F.col("prediction") == F.col("swing_label")).cast("double")).alias("right"), F.avg(F.when(F.col("swing_label") == 1, F.col("swing_probability"))).alias("p")).collect()}
+        data.unpersist()
+    stats = {"model_type": "forest + boosted trees", "decision_threshold": threshold, "scale_pos_weight": boosting.positive_weight, "base_margin": base, "training_samples": sum(n.values()), "test_samples": total - sum(n.values()), **made_with}
+    model = Ensemble(wood, boosted, scale, stats)
+    scores = {r.is_train: r for r in model.score(parts).groupBy("is_train").agg(F.avg((F.col("prediction") == F.col("swing_label")).cast("double")).alias("right"), F.avg("swing_probability").alias("p")).collect()}
     for part, name in ((True, "train_score"), (False, "test_score")):
         stats[name] = scores[part].right if part in scores else None
     stats["mean_positive_probability"] = scores[False].p if False in scores else None
@@ -148,13 +169,27 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support of each label, from four counts."""
+    """Precision, recall, F1 and support of each label, then the accuracy and the plain and support-weighted means of the labels.
+
+    Everything follows from the four counts of the confusion matrix; an accuracy's precision, recall and F1 are all the accuracy.
+    """
     sides = F.explode(F.array(F.lit(0), F.lit(1)))
     got = confusion(rows).withColumn("label", sides).groupBy("label").agg(*(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in (("both", (F.col("swing_label") == F.col("label")) & (F.col("prediction") == F.col("label"))), ("said", F.col("prediction") == F.col("label")), ("support", F.col("swing_label") == F.col("label")))))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     got = got.withColumns({"precision": ratio("both", "said"), "recall": ratio("both", "support")})
     total = F.col("precision") + F.col("recall")
-    return got.select("label", "precision", "recall", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0).alias("f1"), "support")
+    got = got.select(F.col("label").cast("string").alias("label"), "precision", "recall", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0).alias("f1"), "support", "both")
+    figures = ("precision", "recall", "f1")
+    share = F.when(F.sum("support") > 0, F.sum("both") / F.sum("support")).otherwise(0.0)
+    weighted = lambda c: F.when(F.sum("support") > 0, F.sum(F.col(c) * F.col("support")) / F.sum("support")).otherwise(0.0)
+    means = got.agg(
+        F.array(
+            F.struct(F.lit("accuracy").alias("label"), *(share.alias(c) for c in figures), F.sum("support").alias("support")),
+            F.struct(F.lit("macro avg").alias("label"), *(F.avg(c).alias(c) for c in figures), F.sum("support").alias("support")),
+            F.struct(F.lit("weighted avg").alias("label"), *(weighted(c).alias(c) for c in figures), F.sum("support").alias("support")),
+        ).alias("m")
+    )
+    return got.drop("both").unionByName(means.select(F.explode("m").alias("m")).select("m.*"))
 
 
 def prepare_for_scoring(bars: DataFrame, zeros: bool = False) -> DataFrame:

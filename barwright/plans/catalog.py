@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from barwright.functions import indicators as I
 from barwright.functions.exprs import finite, money, percent
 from barwright.functions.features import all_features
 from barwright.functions.recursive import dependants, recursive
-from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, validate
+from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, trees, validate
 from barwright.schema import BAND_PERIODS, LAGGED, LAGS, MA_PERIODS, SHORT_PERIODS, features
 from barwright.session import shared_dir
 from barwright.sources import loader, providers
@@ -712,7 +713,9 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_bars(f"""{JUDGED}, c AS (SELECT label, sum(CASE WHEN swing_label = label AND prediction = label THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN prediction = label THEN 1 ELSE 0 END) AS said, sum(CASE WHEN swing_label = label THEN 1 ELSE 0 END) AS support FROM judged, (SELECT unnest([0, 1]) AS label) GROUP BY label),
   q AS (SELECT label, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS r, support FROM c)
-  SELECT label, round(p, 6) + 0.0 AS "precision", {rounded(recall='r', f1='CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')}, CAST(support AS BIGINT) AS support FROM q"""))
+  , l AS (SELECT CAST(label AS VARCHAR) AS label, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f, CAST(support AS BIGINT) AS support FROM q), a AS (SELECT avg(CASE WHEN swing_label = prediction THEN 1.0 ELSE 0.0 END) AS a FROM judged)
+  , every AS (SELECT * FROM l UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), CAST(sum(support) AS BIGINT) FROM l UNION ALL SELECT 'weighted avg', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), CAST(sum(support) AS BIGINT) FROM l UNION ALL SELECT 'accuracy', a, a, a, CAST((SELECT sum(support) FROM l) AS BIGINT) FROM a)
+  SELECT label, round(p, 6) + 0.0 AS "precision", {rounded(recall='r', f1='f')}, support FROM every"""))
 def classification_report(spark: SparkSession, d: str) -> DataFrame:
     return show(model.report(_judged(spark, d)))
 
@@ -722,22 +725,74 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return model.split(labels.swing_labels(priced(spark, d))).select("symbol", "bar_ts", "swing_label", "is_train")
 
 
-TRAINED: dict[tuple[str, str], model.Ensemble] = {}
+# Bins of the first level of trees, which both engines cut alike.
+EDGES = {"price_change": [-0.4, -0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2, 0.4], "high_low_range": [0.2, 0.4, 0.8, 1.2, 1.6, 3.2], "body_size": [0.05, 0.1, 0.2, 0.4, 0.8], "upper_shadow": [0.1, 0.3, 0.5, 1.0, 2.0]}
+LEVEL_SQL = f"""{LABEL_CTES}, x AS (SELECT swing_label AS y, {change("p", 1)} AS price_change, {", ".join(f"{SHAPE[c]} AS {c}" for c in EDGES if c in SHAPE)} FROM lb),
+  n AS (SELECT count(*) AS n, count(*) FILTER (y = 0)::DOUBLE AS n0, count(*) FILTER (y = 1)::DOUBLE AS n1 FROM x), p AS (SELECT *, 2 * n1 / (n0 + 2 * n1) AS p FROM n),
+  c AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, y, CASE WHEN {f} IS NULL THEN 0 ELSE len(list_filter({e}, lambda e: e < {f})) END AS bin FROM x" for f, e in EDGES.items())}),
+  s AS (SELECT feature, bin, count(*) AS n_rows, count(*) FILTER (y = 0) AS m0, count(*) FILTER (y = 1) AS m1, sum(CASE WHEN y = 1 THEN 2 * (p - 1) ELSE p END) AS gradient, sum(CASE WHEN y = 1 THEN 2 ELSE 1 END * p * (1 - p)) AS hessian FROM c, p GROUP BY feature, bin),
+  l AS (SELECT s.*, p.*, {", ".join(f"sum({c}) OVER (PARTITION BY feature ORDER BY bin) AS l_{c}, sum({c}) OVER (PARTITION BY feature) - sum({c}) OVER (PARTITION BY feature ORDER BY bin) AS r_{c}" for c in ("n_rows", "m0", "m1", "gradient", "hessian"))} FROM s, p),
+  w AS (SELECT *, {", ".join(f"2 * ({k}_m0 * n / (2 * n0)) * ({k}_m1 * n / (2 * n1)) / greatest({k}_m0 * n / (2 * n0) + {k}_m1 * n / (2 * n1), 1e-300) AS {k}_gini" for k in ("l", "r"))} FROM l),
+  level AS (SELECT feature, CAST(bin AS INTEGER) AS bin, n_rows, gradient, hessian, CASE WHEN round(l_hessian, 9) >= 3 AND round(r_hessian, 9) >= 3 THEN l_gradient ** 2 / (l_hessian + 1) + r_gradient ** 2 / (r_hessian + 1) - (l_gradient + r_gradient) ** 2 / (l_hessian + r_hessian + 1) END AS gain,
+    CASE WHEN l_n_rows >= 8 AND r_n_rows >= 8 THEN n / 2.0 - l_gini - r_gini END AS fall FROM w)"""
+
+
+def _first_level(spark: SparkSession, d: str) -> DataFrame:
+    rows = labels.swing_labels(I.candle_shape(I.price_change(priced(spark, d))))
+    return trees.first_level(rows, list(EDGES), [np.array(e) for e in EDGES.values()])
+
+
+@query(with_bars(f"{LEVEL_SQL} SELECT feature, bin, n_rows, {rounded(gradient='gradient', hessian='hessian', gain='gain')} FROM level"))
+def boosting_histograms(spark: SparkSession, d: str) -> DataFrame:
+    """Gradient and hessian sums of the first round by feature and bin, and the gain of a cut after each."""
+    return show(_first_level(spark, d), "feature", "bin", "n_rows", "gradient", "hessian", "gain")
+
+
+@query(with_bars(f"{LEVEL_SQL} SELECT feature, {rounded(gain='max(gain)', fall='max(fall)')} FROM level GROUP BY feature"))
+def first_split_gains(spark: SparkSession, d: str) -> DataFrame:
+    """The best first cut of every feature: the boosted trees' gain, and the forest's fall in impurity of balanced classes."""
+    return show(_first_level(spark, d).groupBy("feature").agg(F.max("gain").alias("gain"), F.max("fall").alias("fall")))
+
+
+TRAINED: dict[tuple, model.Ensemble] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time and size of a table's files: what was trained on other files isn't used again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
 
 
 def _ensemble(spark: SparkSession, d: str) -> tuple[model.Ensemble, DataFrame]:
     """The ensemble at its full size, on all features; trained once for an application's queries of one folder."""
     rows = model.training_table(hourly(spark, d))
-    key = spark.sparkContext.applicationId, d
+    key = spark.sparkContext.applicationId, d, _state(spark, f"{d}/events.parquet")
     if key not in TRAINED:
         TRAINED[key] = model.train(rows)
     return TRAINED[key], rows
 
 
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble's scores of the rows that it was not trained on."""
+    trained, rows = _ensemble(spark, d)
+    return trained.score(model.split(rows).where("not is_train"))
+
+
 @query()
 def ensemble_scores(spark: SparkSession, d: str) -> DataFrame:
-    trained, rows = _ensemble(spark, d)
-    return keyed(trained.score(rows), "swing_probability", "prediction", "swing_label")
+    return keyed(_held_out(spark, d), "swing_probability", "prediction", "swing_label")
+
+
+@query()
+def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """What the boosted trees alone say of the held-out rows."""
+    return keyed(_held_out(spark, d), "boosted_probability", "swing_label")
+
+
+@query()
+def ensemble_report(spark: SparkSession, d: str) -> DataFrame:
+    return show(model.report(_held_out(spark, d)))
 
 
 @query()
@@ -753,15 +808,15 @@ def detect_latest(spark: SparkSession, d: str) -> DataFrame:
     return keyed(latest.withColumn("confidence_level", signals.confidence(F.col("swing_probability"))), "close", "swing_probability", "prediction", "confidence_level", "stop_loss", "take_profit")
 
 
-@query(with_bars(" SELECT count(*) AS n_rows, count(*) AS n_same, 3 AS n_parts FROM bars"))
+@query(with_bars(" SELECT count(*) AS n_rows, count(*) AS n_same, 4 AS n_parts FROM bars"))
 def model_artifacts(spark: SparkSession, d: str) -> DataFrame:
     """Rows that a model scores, those that it scores the same once saved and loaded, and its parts that are there."""
     trained, rows = _ensemble(spark, d)
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     trained.save(spark, path)
-    again = model.Ensemble.load(spark, path).score(rows.select("symbol", "bar_ts", *trained.names)).select("symbol", "bar_ts", F.col("swing_probability").alias("p"))
+    again = model.Ensemble.load(spark, path).score(rows.select("symbol", "bar_ts", *trained.names)).select("symbol", "bar_ts", F.col("swing_probability").alias("p_again"))
     both = trained.score(rows).join(again, ["symbol", "bar_ts"])
-    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("swing_probability") - F.col("p")) < 1e-12).alias("n_same")).withColumn("n_parts", F.lit(sum(model.Ensemble.present(spark, path).values())))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(F.abs(F.col("swing_probability") - F.col("p_again")) < 1e-12).alias("n_same")).withColumn("n_parts", F.lit(sum(model.Ensemble.present(spark, path).values())))
 
 
 ALL_NAMES = [*OHLCV, "p", *features()]

@@ -68,8 +68,7 @@ class Service:
         self._admit("train", context)
         choice(market, MARKETS, "market")
         swing, ahead = number(settings.pop("swing_threshold", SWING_THRESHOLD), "swing_threshold"), number(settings.pop("lookforward", LOOKFORWARD), "lookforward")
-        self.trained = model.train(model.training_table(self.history(market), ahead, swing), **settings)
-        self.trained.stats |= {"swing_threshold": swing, "lookforward_periods": ahead}
+        self.trained = model.train(model.training_table(self.history(market), ahead, swing), lookforward=ahead, swing=swing, **settings)
         return self.trained.stats
 
     def _scores(self, asked: DataFrame, market: str) -> DataFrame:

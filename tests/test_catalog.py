@@ -14,19 +14,34 @@ def con():
     return connect(SMALL)
 
 
-SLOW = {"feature_importance", "detect_latest", "ensemble_scores", "model_artifacts"}
+MODELS = {"feature_importance", "detect_latest", "ensemble_scores", "ensemble_report", "boosted_scores", "model_artifacts"}
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql().keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql().keys() - MODELS))
 def test_query_matches_its_statement(spark, con, name):
     check(spark, con, SMALL, catalog.queries()[name], catalog.oracle_sql()[name])
 
 
 def test_queries_without_a_statement_run(spark):
-    for name in catalog.queries().keys() - catalog.oracle_sql().keys() - SLOW:
+    for name in catalog.queries().keys() - catalog.oracle_sql().keys() - MODELS:
         assert catalog.queries()[name](spark, SMALL).count() > 0
 
 
+def test_model_queries_on_a_small_fit(spark, con, monkeypatch):
+    train = catalog.model.train
+    some = ["price_change", "upper_shadow", "stoch_k", "doji", "roc_10", "price_momentum_5", "volume_ratio"]
+    monkeypatch.setattr(catalog, "TRAINED", {})
+    monkeypatch.setattr(catalog.model, "features", lambda: some)  # histories are too short for 200 bars
+    monkeypatch.setattr(catalog.model, "train", lambda rows: train(rows, trees=4, rounds=3, depths=(3, 2), min_rows=100))
+    check(spark, con, SMALL, catalog.queries()["model_artifacts"], catalog.oracle_sql()["model_artifacts"])
+    scored = catalog.ensemble_scores(spark, SMALL)
+    got = {r.symbol: r for r in catalog.detect_latest(spark, SMALL).collect()}
+    assert scored.columns[2:] == ["swing_probability", "prediction", "swing_label"] and scored.count() == catalog.boosted_scores(spark, SMALL).count() > 100
+    assert len(got) == 5 and all(r.stop_loss < r.close < r.take_profit and 0 <= r.swing_probability <= 1 for r in got.values())
+    assert catalog.ensemble_report(spark, SMALL).count() == 5 and catalog.feature_importance(spark, SMALL).count() == len(some)
+    assert len(catalog.TRAINED) == 1
+
+
 def test_model_queries_train_at_full_size(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(catalog, "TRAINED", {})

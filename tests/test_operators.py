@@ -176,7 +176,9 @@ def test_split_and_report(spark):
     assert by[True].n == 80 and by[True].b < by[False].a
     scored = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "swing_label int, prediction int")
     got = {r.label: r for r in model.report(scored).collect()}
-    assert got[1].precision == 1.0 and got[1].recall == 0.5 and got[0].support == 2 and got[1].f1 == pytest.approx(2 / 3)
+    assert got["1"].precision == 1.0 and got["1"].recall == 0.5 and got["0"].support == 2 and got["1"].f1 == pytest.approx(2 / 3)
+    assert got["accuracy"].f1 == 0.75 and got["macro avg"].recall == 0.75 and got["weighted avg"].precision == pytest.approx((2 * 2 / 3 + 2 * 1) / 4)
+    assert {r.precision for r in model.report(scored.limit(0)).collect()} <= {0.0, None}
 
 
 def test_train_save_load(spark, tmp_path):
@@ -191,6 +193,19 @@ def test_train_save_load(spark, tmp_path):
     again = model.Ensemble.load(spark, str(tmp_path))
     a, b = ({(r.symbol, r.bar_ts): r.swing_probability for r in m.score(rows).collect()} for m in (trained, again))
     assert a == b and all(0 <= p <= 1 for p in a.values())
-    assert set(trained.score(rows).columns) == {*rows.columns, "swing_probability", "prediction"}
+    assert set(trained.score(rows).columns) == {*rows.columns, "swing_probability", "boosted_probability", "prediction"}
+    test = trained.score(model.split(rows).where("not is_train"))
+    assert trained.stats["mean_positive_probability"] == pytest.approx(test.agg(F.avg("swing_probability")).first()[0])
+    assert trained.stats["test_score"] == pytest.approx(test.agg(F.avg((F.col("prediction") == F.col("swing_label")).cast("double"))).first()[0])
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(str(tmp_path / "stats"))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    bare = model.Ensemble.load(spark, str(tmp_path))
+    assert (bare.stats["decision_threshold"], bare.stats["lookforward_periods"], bare.stats["swing_threshold"]) == (0.70, 10, 0.15)
+    with pytest.raises(ValueError, match="no model"):
+        model.Ensemble.load(spark, str(tmp_path / "none"))
+    with pytest.warns(UserWarning, match="positive"):
+        few = rows.where("swing_label = 0").unionByName(rows.where("swing_label = 1").limit(3))
+        model.train(few, names, trees=1, rounds=1, depths=(2, 2), min_rows=10, swing=0.3, lookforward=5).stats["swing_threshold"] == 0.3
     ready = model.prepare_for_scoring(frame(spark, range(1, 120)))
     assert ready.where("sma_200 is null or rsi_14 is null").count() == 0 and column(ready, "sma_200")[-1] == pytest.approx(109.5)
