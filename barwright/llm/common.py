@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that were written outside of any run; a run has a list of its own, in its own thread.
 WRITTEN: list[str] = []
+OF_RUN: ContextVar[list[str]] = ContextVar("tables of this run", default=WRITTEN)
+
+
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """What is materialised inside belongs to this run alone; what it has left at its end counts as written outside."""
+    mine: list[str] = []
+    token = OF_RUN.set(mine)
+    try:
+        yield mine
+    finally:
+        OF_RUN.reset(token)
+        OF_RUN.get().extend(mine)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -42,19 +58,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before) if before is not None else spark.conf.unset(CLEAN_SHUFFLES)
-    WRITTEN.append(path)
+    OF_RUN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialised(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Delete what this process has materialised, once its results are written elsewhere; says how many tables.
+def drop_materialised(spark: SparkSession, keep: int = 0) -> int:
+    """Delete what this run (outside of any: this process) has materialised, once its results are written elsewhere; says how many tables.
 
-    The first `since` tables stay, which were there before, and the newest `keep`.
+    The newest `keep` stay.
     """
-    jvm, conf, dropped = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    gone = WRITTEN[since : len(WRITTEN) - keep]
-    for path in gone:
-        WRITTEN.remove(path)
+    jvm, conf, dropped, written = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0, OF_RUN.get()
+    for path in written[: len(written) - keep]:
+        written.remove(path)
         at = jvm.org.apache.hadoop.fs.Path(path)
         dropped += bool(at.getFileSystem(conf).delete(at, True))
     return dropped

@@ -446,11 +446,11 @@ def _removed(keyed: DataFrame, spans: DataFrame, length: int, carry: list[str] |
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), span, batch.column(3)], ["doc", "text", "kept", "spans", "carried"])
 
     out = joined.mapInArrow(cut, f"doc long, text binary, kept binary, spans array<struct<start:long,end:long>>, carried {shape}")
-    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "kept", "spans", *(["carried.*"] if carry else []))
+    return out.select(F.when(~F.col("carried._none"), F.col("doc")).alias("doc_id"), "text", "kept", "spans", *(F.col(f"carried.c{k}").alias(c) for k, c in enumerate(carry or [])))
 
 
 def _carried(carry: list[str] | None) -> Column:
-    return (F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("_"))).alias("carried")
+    return F.struct(F.col("doc_id").isNull().alias("_none"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(carry or []))).alias("carried")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
@@ -460,7 +460,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, carry: list[str] | None =
     was, binary), kept (binary), spans (array of first and past-last byte of the removed runs), and the columns
     named in `carry`. With `whole_characters`, kept also loses the bytes of UTF-8 characters that a removal cut apart.
 
-    Null text is empty and stays empty; texts of any length are whole. A null doc_id comes before all others. Rows that repeat
+    Null text is empty and stays empty; texts of any length are whole. A null doc_id comes before all others, in the place of the smallest long. Rows that repeat
     both doc_id and text are one document, each with its result; rows that repeat a doc_id with other text follow in an order
     fixed by their texts. An empty table gives no rows; columns not named are left out. `length` may be 64 to 128.
     """

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barwright.llm import suffixes
-from barwright.llm.common import components, drop_materialised, forest, join_classes, materialise
+from barwright.llm.common import components, drop_materialised, forest, join_classes, materialise, tables_of_run
 from barwright.llm.embeddings import Lattice, near_vectors, nearest_point, shortest_vectors
 from barwright.llm.simhash import gray_order_links, gray_rank, one_of_each_group, simhash_groups, similar_links
 from barwright.llm.shingles import one_of_each_similar
@@ -71,7 +71,14 @@ def test_materialised_tables_can_be_dropped(spark):
     a = materialise(spark.range(3), "a")
     assert a.count() == 3 and drop_materialised(spark) == 1 and drop_materialised(spark) == 0
     a, b = materialise(spark.range(3), "a"), materialise(spark.range(5), "b")
-    assert drop_materialised(spark, keep=1) == 1 and b.count() == 5 and drop_materialised(spark, since=1) == 0 and drop_materialised(spark) == 1 and a is not b
+    assert drop_materialised(spark, keep=1) == 1 and b.count() == 5
+    with tables_of_run():
+        c = materialise(spark.range(7), "c")
+        assert drop_materialised(spark, keep=1) == 0
+        with tables_of_run():
+            materialise(spark.range(2), "d")
+            assert drop_materialised(spark) == 1
+    assert b.count() == 5 and c.count() == 7 and drop_materialised(spark) == 2 and a is not b
 
 
 def test_components_of_long_chains_and_stars(spark):
@@ -232,6 +239,11 @@ def test_removal_tells_many_texts_under_one_id_apart(spark):
     assert sum(line in got[t] for _, t in rows[3000:3300]) == 1 and len(got[rows[-1][1]]) < 20
 
 
+def test_the_smallest_id_is_not_a_null_one(spark):
+    frame = spark.createDataFrame([(-(2**63), "one " * 60), (None, "two words " * 30), (3, "x")], "doc_id long, text string")
+    assert {r.doc_id: r.text[:3] for r in remove_repeats(frame, 100).collect()} == {-(2**63): b"one", None: b"two", 3: b"x"}
+
+
 def test_whole_characters_drops_cut_ones(spark):
     text = "ü" * 100
     got = remove_repeats(spark.createDataFrame([(1, "x" + text), (2, "ÿ" + text)], "doc_id long, text string"), whole_characters=True).collect()
