@@ -10,6 +10,8 @@ from .common import checkpointed
 from .mixing import word_count
 
 DIMENSIONS = ("bytes", "tokens", "rows")
+#: Of rows that repeat id and text, so many are made anew in one task.
+COPIES = 1 << 16
 
 
 def place(vectors: np.ndarray, shards: int, slack: float) -> np.ndarray:
@@ -30,10 +32,10 @@ def place(vectors: np.ndarray, shards: int, slack: float) -> np.ndarray:
 
 
 def parcels(rows: DataFrame, shards: int, parcels_per_shard: int, whole_share: float) -> DataFrame:
-    """Adds `parcel` and `cell` to rows (same, row, size, tokens): what is placed together, and the part of it one task numbers.
+    """Adds `parcel` and `cell` to rows (doc_id, same, copy, size, tokens): what is placed together, and the part of it one task numbers.
 
-    A group over a parcel's size is cut into cells of about that size, by row and not by id, which may be null or
-    repeat: no task gets all of it.
+    A group over a parcel's size is cut into cells of about that size, by id and number of the copy, as ids may be null or
+    repeat: no task gets all of it, and how the input is partitioned makes no difference.
     """
     limit = shards * parcels_per_shard
     total = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
@@ -42,10 +44,19 @@ def parcels(rows: DataFrame, shards: int, parcels_per_shard: int, whole_share: f
     cells = F.ceil(fill * limit).cast("long")
     large = groups.where((fill * limit > 1) & (F.col("rows") > 1)).select("same", cells.alias("cells"), F.when(fill * shards > whole_share, cells).otherwise(1).alias("pieces"))
     rows = rows.join(F.broadcast(large), "same", "left")  # groups over 1/limit of some total: at most 3 * limit rows
-    cell = F.pmod(F.xxhash64("row"), F.coalesce("cells", F.lit(1)))
+    cell = F.pmod(F.xxhash64("doc_id", "copy"), F.coalesce("cells", F.lit(1)))
     piece = F.when(F.col("pieces") > 1, cell).otherwise(0)
     parcel = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("same"), F.lit(limit))).otherwise(F.lit(limit) + F.pmod(F.xxhash64("same", piece), F.lit(limit * 16)))
-    return rows.withColumns({"parcel": parcel, "cell": cell}).drop("same", "row", "cells", "pieces")
+    return rows.withColumns({"parcel": parcel, "cell": cell}).drop("same", "copy", "cells", "pieces")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Adds `copy`: rows alike in every column are counted and made anew with numbers from 0, many copies in several tasks."""
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long")))
+    few, many = counted.where(F.col("_n") <= COPIES).withColumn("_from", F.lit(0).cast("long")), counted.where(F.col("_n") > COPIES).withColumn("_from", begin).repartition("same", "_from")
+    return few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_n"), F.col("_from") + COPIES) - 1))).drop("_n", "_from")
 
 
 def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parcels_per_shard: int = 256, whole_share: float = 1.0, overhead: int = 16, slack: float = 0.0) -> DataFrame:
@@ -55,13 +66,14 @@ def shard(docs: DataFrame, shards: int = 40, tokens: Column | None = None, parce
     parcel of its hash, a larger one into a parcel of its own. Only a group that fills over `whole_share` of an even
     shard is split into as many parcels as it would fill. The number of parcels and of their cells is at most a few
     times shards * parcels_per_shard whatever the data, so their summed vectors are packed on the driver and the
-    plan is broadcast. Slots count from 0 in each shard: parcels follow each other, then their cells, documents
+    plan is broadcast. The result is a matter of the rows alone, however they are partitioned. Slots count from 0 in each shard: parcels follow each other, then their cells, documents
     in a cell by doc_id. Null text: no bytes, no tokens, group of the empty text. Null doc_ids come
     first; repeated rows get a slot each; texts of any length are one row; empty tables give no rows; other columns are ignored.
     """
     tokens = word_count() if tokens is None else tokens
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), tokens.alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("row")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), tokens.alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"))
+    rows = checkpointed(numbered(rows))
     rows = checkpointed(parcels(rows, shards, parcels_per_shard, whole_share))
     found = rows.groupBy("parcel", "cell").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("parcel", "cell").collect()
     names, first = np.unique([r.parcel for r in found], return_index=True)

@@ -77,6 +77,14 @@ def test_shards_of_many_null_ids_and_copies_are_even(spark):
     assert len(got) == 10 and max(r.b for r in got) < 1.02 * min(r.b for r in got) and all(r.n == r.k == r.top + 1 for r in got)
 
 
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    frame = spark.range(4000).selectExpr("if(id % 5 = 0, null, id % 3000) AS doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id % 700)) AS text")
+    got = [Counter(map(tuple, shard(frame.repartition(n), shards=4, parcels_per_shard=16).collect())) for n in (3, 7)]
+    assert got[0] == got[1] and sum(got[0].values()) == 4000
+    assert all(sorted(r[5] for r in got[0] if r[4] == k) == list(range(sum(r[4] == k for r in got[0]))) for k in range(4))
+
+
 def plainly_placed(vectors, shards):
     even = [sum(v[d] for v in vectors) / shards for d in range(len(vectors[0]))]
     unit = [[x / max(e, 1e-300) for x, e in zip(v, even, strict=True)] for v in vectors]
