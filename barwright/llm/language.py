@@ -145,8 +145,9 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit_language(docs: DataFrame, learnable: Column, per_class: int = 500, dim: int = 1 << 15, seed: int = 7) -> Model | None:
     """Fit on about `per_class` learnable texts of each language; IDF is over all of them. None without any.
 
-    A fifth of the sample is held back for the temperature. Only sparse counts of the sample reach the driver. Of more than
-    1,000 languages the most frequent are learnt. Rows that repeat count in the IDF, but are learnt once; null ids are drawn together.
+    A fifth of the sample is held back for the temperature. Of the sample, which is about 100,000 rows at most, only counts by bucket reach
+    the driver; every language is learnt, with fewer rows of each where there are many. Weights grow with the number of languages.
+    Rows that repeat count in the IDF, but are learnt once.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(learnable).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     df, texts = document_frequencies(rows, dim)
@@ -164,7 +165,7 @@ def fit_language(docs: DataFrame, learnable: Column, per_class: int = 500, dim:
                 tf.append(c.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["lang", "doc_id", "at", "tf"])
 
-    drawn = sample_by_class(rows, "lang", per_class, seed)
+    drawn = sample_by_class(rows, "lang", per_class, seed, text="text")
     sample = drawn.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), "lang").mapInArrow(counts, "lang string, doc_id long, at array<int>, tf array<int>").where("size(at) > 0").toPandas()
     sample = sample.sort_values(["doc_id", "lang"], kind="stable")
     classes = sorted(set(sample.lang))

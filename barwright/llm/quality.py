@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, flat, slices, small_batches, text_bytes
+from .common import WHITESPACE, materialise, slices, small_batches, text_bytes
 from .learn import labelled_sample
 from .rules import Slice
 
 PASSAGE_WORDS = 64
+#: Passages of a part, about: what a task holds at once while fitting.
+PART = 10_000
 CLASSES = 129
 WORD_BUCKETS, GRAM_BUCKETS = 64, 192
 HASHED_SCALE = 0.1
@@ -85,97 +88,144 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+Part = tuple[np.ndarray, np.ndarray]
+
+
 class AttentionModel:
-    """encode: h = tanh(xW + b); attention: softmax over a text of u . (tanh(hV) * sigmoid(hU)); score: sigmoid(c . z + d)."""
+    """encode: h = tanh(xW + b); attention: softmax over a text of u . (tanh(hV) * sigmoid(hU)); score: sigmoid(c . z + d).
+
+    |u . (...)| is at most the sum of |u|, so the softmax needs no shift, and a text's sums may come from several parts of it.
+    """
 
     def __init__(self, inputs: int, hidden: int = 24, gate: int = 12, seed: int = 3):
         r = np.random.default_rng(seed)
         self.p = {"W": r.normal(0, 1 / np.sqrt(8), (inputs, hidden)), "b": np.zeros(hidden), "V": r.normal(0, 0.3, (hidden, gate)), "U": r.normal(0, 0.3, (hidden, gate)), "u": r.normal(0, 0.3, gate), "c": r.normal(0, 0.3, hidden), "d": np.zeros(1)}
         self.shift, self.scale = np.zeros(inputs), np.ones(inputs)
 
-    def forward(self, x: np.ndarray, bag: np.ndarray, bags: int) -> tuple[np.ndarray, dict]:
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.shift.astype(np.float32)) * (self.scale * 0.5).astype(np.float32)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hidden, tanh gate, sigmoid gate, weight before it is made a share) of passages."""
         p = self.p
         h = np.tanh(x @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        a = (t * s) @ p["u"]
-        top = np.full(bags, -np.inf)
-        np.maximum.at(top, bag, a)
-        e = np.exp(a - top[bag])
-        a = e / np.bincount(bag, weights=e, minlength=bags)[bag]
-        z = np.zeros((bags, h.shape[1]))
-        np.add.at(z, bag, a[:, None] * h)
-        return _sigmoid(z @ p["c"] + p["d"]), {"h": h, "t": t, "s": s, "a": a, "z": z}
-
-    def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
-        self.shift = x.mean(0, dtype=float)
-        spread = np.einsum("ij,ij->j", x, x, dtype=float, casting="same_kind") / len(x) - self.shift**2
-        self.scale = 1 / (np.sqrt(np.maximum(0, spread)) + 0.02)
-        if x.shape[1] == INPUTS:  # many hashed inputs, each of little weight
+        return h, t, s, np.exp((t * s) @ p["u"])
+
+    def sums(self, x: np.ndarray, bag: np.ndarray, bags: int) -> np.ndarray:
+        """(bags, 1 + hidden): each text's sums of weights and of weighted passages, of the passages given."""
+        h, _, _, e = self.encode(x)
+        out = np.zeros((bags, 1 + h.shape[1]))
+        np.add.at(out, bag, np.concatenate((e[:, None], e[:, None] * h), 1))
+        return out
+
+    def judge(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(score, representation) of texts from their sums."""
+        z = sums[:, 1:] / sums[:, :1]
+        return _sigmoid(z @ self.p["c"] + self.p["d"]), z
+
+    def gradient(self, x: np.ndarray, bag: np.ndarray, total: np.ndarray, z: np.ndarray, d: np.ndarray) -> dict[str, np.ndarray]:
+        """What the passages given add to the gradient of W, b, V, U and u, from their texts' sums of weights, z and d = dloss/dlogit."""
+        p = self.p
+        h, t, s, e = self.encode(x)
+        a = e / total[bag]
+        dz = d[:, None] * p["c"]
+        dlogit = a * ((dz[bag] * h).sum(1) - (dz * z).sum(1)[bag])
+        dgate = dlogit[:, None] * p["u"]
+        dt, ds = dgate * s * (1 - t**2), dgate * t * s * (1 - s)
+        dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "u": (t * s).T @ dlogit}
+
+    def fit(self, parts: Parts, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.03, decay: float = 1e-4) -> None:
+        """Adam on the whole weighted log loss. `parts` adds functions of parts of the passages up, wherever those are."""
+        moments = parts.total(lambda x, bag: np.stack([x.sum(0, dtype=float), np.einsum("ij,ij->j", x, x, dtype=float, casting="same_kind"), np.full(x.shape[1], float(len(x)))]))
+        self.shift = moments[0] / moments[2]
+        self.scale = 1 / (np.sqrt(np.maximum(0, moments[1] / moments[2] - self.shift**2)) + 0.02)
+        if len(self.shift) == INPUTS:  # many hashed inputs, each of little weight
             self.scale[CLASSES : INPUTS - EXTRA] *= HASHED_SCALE
-        if (bag[1:] < bag[:-1]).any():
-            order = np.argsort(bag, kind="stable")
-            x, bag = x[order], bag[order]
-        x = x.astype(np.float32)
-        x -= self.shift.astype(np.float32)
-        x *= (self.scale * 0.5).astype(np.float32)
-        begin = np.searchsorted(bag, np.arange(len(y) + 1))
-        m, v, step, random, p = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0, np.random.default_rng(seed), self.p
-        for epoch in range(epochs):
-            for chosen in np.array_split(random.permutation(len(y)), max(1, len(y) // batch)):
-                rows = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in chosen])
-                xb, bb = x[rows], np.repeat(np.arange(len(chosen)), begin[chosen + 1] - begin[chosen])
-                out, f = self.forward(xb, bb, len(chosen))
-                d = (out - y[chosen]) * weight[chosen] / len(chosen)
-                g = {"c": f["z"].T @ d, "d": np.array([d.sum()])}
-                dz = d[:, None] * p["c"]
-                da = (dz[bb] * f["h"]).sum(1)
-                dlogit = f["a"] * (da - np.bincount(bb, weights=f["a"] * da, minlength=len(chosen))[bb])
-                g["u"] = (f["t"] * f["s"]).T @ dlogit
-                dgate = dlogit[:, None] * p["u"]
-                dt, ds = dgate * f["s"] * (1 - f["t"] ** 2), dgate * f["t"] * f["s"] * (1 - f["s"])
-                g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
-                dh = (f["a"][:, None] * dz[bb] + dt @ p["V"].T + ds @ p["U"].T) * (1 - f["h"] ** 2)
-                g["W"], g["b"] = xb.T @ dh, dh.sum(0)
-                step += 1
-                lr = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-                for k in p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    p[k] = p[k] - lr * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + decay * p[k])
+        m, v, bags = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, len(y)
+        weight = weight / weight.sum()
+        for step in range(1, steps + 1):
+            sums = parts.total(lambda x, bag: self.sums(self.scaled(x), bag, bags))
+            out, z = self.judge(sums)
+            d = (out - y) * weight
+            parted = parts.total(lambda x, bag, total=sums[:, 0], z=z, d=d: _packed(self.gradient(self.scaled(x), bag, total, z, d)))
+            g = _unpacked(parted, {k: w for k, w in self.p.items() if k not in "cd"}) | {"c": z.T @ d, "d": np.array([d.sum()])}
+            lr = rate * 0.5 * (1 + np.cos(np.pi * (step - 1) / steps))
+            for k in self.p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+                self.p[k] = self.p[k] - lr * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + decay * self.p[k])
 
     def score(self, s: Slice) -> np.ndarray:
         x, bag = passages(s)
-        return self.forward((x - self.shift) * self.scale * 0.5, bag, len(s.texts))[0]
+        return self.judge(self.sums(self.scaled(x), bag, len(s.texts)))[0]
+
+
+def _packed(g: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([g[k].ravel() for k in ("W", "b", "V", "U", "u")])
+
+
+def _unpacked(flat_: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    ends = np.cumsum([w.size for w in like.values()])
+    return {k: part.reshape(w.shape) for (k, w), part in zip(like.items(), np.split(flat_, ends[:-1]), strict=True)}
+
+
+class Parts:
+    """Passages in an RDD of parts (inputs, text's number), kept in executors; a text may lie in several."""
+
+    def __init__(self, held: RDD):
+        self.held = held
+
+    def total(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum of f over all parts, added up in a tree of tasks."""
+
+        def run(parts: Iterator[Part]) -> Iterator[np.ndarray]:
+            found = None
+            for x, bag in parts:
+                found = f(x, bag) if found is None else found + f(x, bag)
+            if found is not None:
+                yield found
+
+        return self.held.mapPartitions(run).treeReduce(np.add)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 600, seed: int = 5) -> AttentionModel | None:
-    """Fit on about `per_class` labelled documents of each class, long ones by stretches; None if there are none.
+    """Fit on at most `per_class` labelled documents of each class, whole; None if there are none.
 
-    The classes are weighted back to their shares among the labels, so scores are probabilities. Null ids aren't learnt from;
-    texts that share an id are one bag.
+    Passages stay in executors, some 10,000 to a part whatever text they are of: a step sums every text's weights and weighted
+    passages, then the gradient, and only such sums reach the driver. The classes are weighted back to their shares among the labels, so
+    scores are probabilities. Null ids aren't learnt from; texts that share an id are texts of their own.
     """
+    mark = F.xxhash64("doc_id", "text")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, bag = passages(Slice(batch.column(1)))
-            ids, ys = batch.column(0).take(pa.array(bag)), batch.column(2).take(pa.array(bag))
-            yield pa.RecordBatch.from_arrays([ids, ys, pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
+            marks = batch.column(0).take(pa.array(bag)).to_numpy()
+            for k in range(0, len(x), PART):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k : k + PART].tobytes()], pa.binary()), pa.array([marks[k : k + PART].tobytes()], pa.binary())], ["x", "marks"])
 
     rows = labels.select(F.col(label).cast("int").alias("label"), "doc_id").where("doc_id is not null").where(learnable)
     share = {r.label: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
-    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).mapInArrow(encode, "doc_id long, label int, x binary").toArrow()
-    if not sample.num_rows:
+    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).where("label in (0, 1)").withColumn("mark", mark)
+    texts = sorted((r.mark, r.label) for r in sample.select("mark", "label").collect())
+    if not texts:
         return None
-    sample = sample.combine_chunks()
-    ids, bag = np.unique(sample["doc_id"].to_numpy(), return_inverse=True)
-    y = np.zeros(len(ids))
-    y[bag] = sample["label"].to_numpy()
-    order = np.argsort(bag, kind="stable")
-    x, bag = np.concatenate([flat(c)[0] for c in sample["x"].chunks]).view(np.float32).reshape(len(bag), INPUTS)[order], bag[order]
-    del sample
-    weight = np.array([share.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y.astype(int)]
+    marks, y = (np.array(c) for c in zip(*texts, strict=True))
+    passages_ = materialise(sample.select("mark", "text").mapInArrow(cut, "x binary, marks binary"), "passages")
+
+    def part(r: tuple) -> Part:
+        return np.frombuffer(bytes(r.x), np.float32).reshape(-1, INPUTS), np.searchsorted(marks, np.frombuffer(bytes(r.marks), np.int64))
+
+    tasks = max(1, -(-(passages_.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // (8 * PART)))
+    held = passages_.coalesce(tasks).rdd.map(part).persist(StorageLevel.MEMORY_AND_DISK)
+    weight = np.array([share.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y]
     model = AttentionModel(INPUTS)
-    model.fit(x, bag, y, weight / weight.mean())
+    try:
+        model.fit(Parts(held), y.astype(float), weight)
+    finally:
+        held.unpersist()
     return model
 
 

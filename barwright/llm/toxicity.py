@@ -15,6 +15,8 @@ from .learn import labelled_sample
 
 GRAM = 4
 WINDOW, STEP = 64, 48
+#: Bytes and segment of the ordinary and the toxic dictionary; bytes of text whose windows train one; gains that may count.
+SIZES, GROUP_BYTES, THRESHOLDS = ((1 << 15, 64), (1 << 11, 16)), 8 << 20, range(2, 20)
 FOLD = np.where(WHITESPACE, 0x20, np.arange(256)).astype(np.uint32)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
@@ -89,46 +91,101 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", per_class: int = 900, max_bytes: int = 1 << 17, seed: int = 11) -> CompressionModel | None:
-    """Fit on about `per_class` labelled texts of each class, long ones by stretches of `max_bytes` in all; None without both classes.
+def _code_frequencies(texts: DataFrame) -> np.ndarray:
+    """(2, codes): in how many texts of each label every code is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << 16), np.int64)
+        for batch in batches:
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                seen[y, np.unique(codes(text.as_py()))] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.ravel()[at])], ["at", "n"])
+
+    out = np.zeros(2 << 16)
+    for r in texts.select("text", "label").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r.n
+    return out.reshape(2, -1)
+
+
+def _dictionaries(texts: DataFrame, odds: np.ndarray) -> list[bytes]:
+    """Dictionaries of ordinary windows and of over-represented toxic runs, of all texts of the frame.
+
+    Windows are dealt into groups of some 20 MB, whatever text they are of, and each trains a dictionary. One group's is the
+    result; those of several are trained on once more, cut into windows.
+    """
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, held = max(1, -(-total // GROUP_BYTES)), texts.sparkSession.sparkContext.broadcast(odds)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mark, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                coded = codes(text)
+                if y:
+                    hit = np.flatnonzero(held.value[coded] > 3)
+                    runs = [coded[max(0, g[0] - 1) : g[-1] + 2].tobytes() for g in np.split(hit, np.flatnonzero(np.diff(hit) > 2) + 1)] if len(hit) else []
+                    parts = [t for t in runs if len(t) >= 8]
+                else:
+                    parts = windows(coded)
+                for k in range(0, len(parts), 512):
+                    some = parts[k : k + 512]
+                    yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([(mark + k) % groups], pa.int64()), pa.array([mark]), pa.array([k]), pa.array([some], pa.list_(pa.binary()))], ["label", "group", "mark", "at", "parts"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("mark", "ascending"), ("at", "ascending")])
+        y, samples = table["label"][0].as_py(), [p for row in table["parts"].to_pylist() for p in row]
+        return pa.table({"label": pa.array([y], pa.int32()), "group": pa.array([table["group"][0].as_py()]), "content": pa.array([_train(SIZES[y][0], samples, SIZES[y][1])], pa.binary())})
+
+    dealt = texts.select("mark", "text", "label").mapInArrow(cut, "label int, group long, mark long, at long, parts array<binary>")
+    found = dealt.groupBy("label", "group").applyInArrow(lambda t: learn(t), "label int, group long, content binary").orderBy("label", "group").collect()
+    out = []
+    for y, (size, k) in enumerate(((s, k) for s, k in SIZES)):
+        own = [bytes(r.content) for r in found if r.label == y]
+        out.append(own[0] if len(own) == 1 else _train(size, [c[i : i + 2 * WINDOW] for c in own for i in range(0, len(c), 2 * WINDOW)], k))
+    return out
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", per_class: int = 900, seed: int = 11) -> CompressionModel | None:
+    """Fit on at most `per_class` labelled texts of each class, whole; None without both classes.
 
     Two thirds of the sample train the dictionaries. The ordinary one is trained on windows of ordinary
     texts; the toxic one goes on from it, trained on the runs of toxic texts whose codes are over-represented there.
     On the other third the window threshold and the weights of a text's largest gain, number of windows
-    over the threshold and number of windows are calibrated, classes weighted to their shares among the labels. Null ids
-    aren't learnt from; texts that share an id each are.
+    over the threshold and number of windows are calibrated, classes weighted to their shares among the labels. Texts stay in tasks:
+    the driver gets counts, dictionaries and a few numbers a text. Null ids aren't learnt from; texts that share an id each are.
     """
     rows = labels.where("doc_id is not null").where(learnable)
     share = {r[0]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("int")).count().collect()}
-    sample = labelled_sample(docs, labels, label, learnable, per_class, seed, max_bytes).orderBy("doc_id", "text").collect()
-    texts, y = [bytes(r.text or b"") for r in sample], np.array([r.label for r in sample])
-    if len(set(y.tolist())) < 2:
+    sample = labelled_sample(docs, labels, label, learnable, per_class, seed).where("label in (0, 1)").withColumn("mark", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    marks = sorted((r.label, r.mark) for r in sample.select("label", "mark").collect())
+    n = np.bincount([y for y, _ in marks], minlength=2)
+    if not n.all():
         return None
-    back = np.zeros(len(y), bool)
-    for c in (0, 1):
-        back[np.flatnonzero(y == c)[2::3]] = True
-    coded = [codes(t) for t in texts]
-    seen = np.zeros((2, 1 << 16))
-    for k in np.flatnonzero(~back):
-        seen[y[k], np.unique(coded[k])] += 1
-    n = np.array([((y == c) & ~back).sum() for c in (0, 1)])
+    back = {m for y in (0, 1) for m in [m for c, m in marks if c == y][2::3]}
+    sample = sample.withColumn("back", F.col("mark").isin(back) if back else F.lit(False))
+    train = sample.where(~F.col("back"))
+    n = np.array([sum(c == y and m not in back for c, m in marks) for y in (0, 1)])
+    seen = _code_frequencies(train)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds[seen[1] < max(3, 0.01 * n[1])] = 0
-    toxic = []
-    for k in np.flatnonzero((y == 1) & ~back):
-        hit = np.flatnonzero(odds[coded[k]] > 3)
-        if len(hit):
-            toxic += [coded[k][max(0, g[0] - 1) : g[-1] + 2].tobytes() for g in np.split(hit, np.flatnonzero(np.diff(hit) > 2) + 1)]
-    plain = [w for k in np.flatnonzero((y == 0) & ~back) for w in windows(coded[k])]
-    model = CompressionModel(_train(1 << 15, plain, 64), _train(1 << 11, [t for t in toxic if len(t) >= 8], 16))
-    gains = [model.gains(texts[k]) for k in np.flatnonzero(back)]
-    truth = y[back]
+    model = CompressionModel(*_dictionaries(train, odds))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [model.gains(t) for t in batch.column(0).to_pylist()]
+            over = [[int((g >= t).sum()) for t in THRESHOLDS] for g in got]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([float(g.max()) for g in got]), pa.array([len(g) for g in got]), pa.array(over, pa.list_(pa.int64()))], ["label", "mark", "top", "n", "over"])
+
+    found = sample.where("back").select("text", "label", "mark").mapInArrow(gains, "label int, mark long, top double, n long, over array<long>").orderBy("mark").collect()
+    if not found:
+        return model
+    truth = np.array([r.label for r in found])
     weight = np.array([share.get(c, 1) / max(1, (truth == c).sum()) for c in (0, 1)])[truth]
     weight = weight / weight.mean()
-    top = np.array([g.max() for g in gains])
-    wrong = [(weight * ((top >= t) != truth)).sum() for t in range(2, 20)]
-    model.threshold = 2 + int(np.argmin(wrong))
-    model.weights = _logistic(np.array([model.inputs(g) for g in gains]), truth, weight)
+    top = np.array([r.top for r in found])
+    best = int(np.argmin([(weight * ((top >= t) != truth)).sum() for t in THRESHOLDS]))
+    model.threshold = THRESHOLDS[best]
+    model.weights = _logistic(np.array([[1.0, r.top, np.log1p(r.over[best]), np.log1p(r.n)] for r in found]), truth, weight)
     return model
 
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barwright.llm.language import code_points, fit_language, follow_the_regularised_leader, identify, softmax, temperature
-from barwright.llm.learn import fold, sample_by_class, stretches
+from barwright.llm.learn import fold, labelled_sample, sample_by_class
 from barwright.llm.quality import CLASSES, GRAM_BUCKETS, WORD_BUCKETS, AttentionModel, fit_quality, passages, quality_filter, quality_scores
 from barwright.llm.queries import TREE_WEIGHTS, mix_sql
 from barwright.llm.rules import Slice
@@ -47,8 +47,18 @@ def test_quality_on_held_out_documents(tables):
     assert kept.columns == docs.columns and kept.count() == quality_scores(docs, model).where("score >= 0.3").count()
 
 
-def test_attention_finds_the_bad_passage():
-    r = np.random.default_rng(0)
+class Held:
+    """Parts of passages, added up here."""
+
+    def __init__(self, parts):
+        self.parts = parts
+
+    def total(self, f):
+        return sum(f(x, bag) for x, bag in self.parts)
+
+
+def bags(seed=0):
+    r = np.random.default_rng(seed)
     x, bag, y = [], [], []
     for k in range(200):
         n = r.integers(1, 6)
@@ -57,12 +67,37 @@ def test_attention_finds_the_bad_passage():
         if y[-1]:
             x[-1][r.integers(n), :3] += 4
         bag += [k] * n
-    x, bag, y = np.concatenate(x), np.array(bag), np.array(y, float)
+    return np.concatenate(x).astype(np.float32), np.array(bag), np.array(y, float)
+
+
+def test_attention_finds_the_bad_passage():
+    x, bag, y = bags()
     model = AttentionModel(10, hidden=8, gate=4)
-    model.fit(x, bag, y, np.ones(200), epochs=60)
-    out, inside = model.forward((x - model.shift) * model.scale * 0.5, bag, 200)
-    assert ((out > 0.5) == y).mean() > 0.95
-    assert np.allclose(np.bincount(bag, weights=inside["a"]), 1)
+    model.fit(Held([(x, bag)]), y, np.ones(200))
+    assert ((model.judge(model.sums(model.scaled(x), bag, 200))[0] > 0.5) == y).mean() > 0.95
+
+
+def test_texts_in_several_parts_have_the_same_gradient():
+    x, bag, y = bags()
+    model = AttentionModel(10, hidden=8, gate=4)
+    r = np.random.default_rng(2).permutation(len(x))
+    parts = [(x[i], bag[i]) for i in np.array_split(r, 7)]
+    sums = sum(model.sums(*p, 200) for p in parts)
+    assert np.allclose(sums, model.sums(x, bag, 200))
+    out, z = model.judge(sums)
+    d = (out - y) / 200
+    got = [model.gradient(*p, sums[:, 0], z, d) for p in parts]
+    loss = lambda: -np.mean(np.log(np.where(y == 1, o := model.judge(model.sums(x.astype(float), bag, 200))[0], 1 - o)))
+    for k in ("W", "b", "V", "U", "u"):
+        g = sum(p[k] for p in got)
+        for at in [np.unravel_index(i, g.shape) for i in (0, g.size // 2, g.size - 1)]:
+            old = model.p[k][at]
+            model.p[k][at] = old + 1e-5
+            up = loss()
+            model.p[k][at] = old - 1e-5
+            down = loss()
+            model.p[k][at] = old
+            assert np.isclose(g[at], (up - down) / 2e-5, atol=1e-5), (k, at)
 
 
 def test_passages_cover_whole_texts():
@@ -127,16 +162,43 @@ def test_ftrl_is_sparse_and_calibrated():
 
 def test_samples_are_bounded(tables):
     docs, _ = tables
-    assert sample_by_class(docs, "lang", 20, 1).count() <= 2 * 20 * 4
-    assert {r.lang for r in sample_by_class(docs, "lang", 20, 1, max_classes=2).collect()} == {r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()}
+    got = sample_by_class(docs, "lang", 20, 1, text="text")
+    by = {r.lang: r["count"] for r in got.groupBy("lang").count().collect()}
+    assert by.keys() == {r.lang for r in docs.select("lang").where("lang is not null").distinct().collect()} and max(by.values()) == 20
+    assert sample_by_class(docs, "lang", 20, 1, max_rows=2 * len(by), text="text").groupBy("lang").count().where("count > 2").count() == 0
     twice = docs.unionByName(docs).unionByName(docs.limit(1).crossJoin(docs.sparkSession.range(500)).drop("id"))
-    assert sample_by_class(twice, "lang", 10**6, 1).count() == docs.where("lang is not null").distinct().count()
+    assert sample_by_class(twice, "lang", 10**6, 1, text="text").count() == docs.where("lang is not null").select("doc_id", "text", "lang").distinct().count()
+
+
+def test_one_id_with_very_many_texts_is_bounded(spark):
+    docs = spark.range(50_000).selectExpr("5 AS doc_id", "concat('text ', id) AS text").unionByName(spark.range(100, 140).selectExpr("id AS doc_id", "concat('other ', id) AS text")).repartition(6)
+    labels = spark.range(100, 140).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").unionByName(spark.sql("SELECT 5L AS doc_id, 1 AS quality"))
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 30, 1)
+    by = {r.label: r["count"] for r in got.groupBy("label").count().collect()}
+    assert by[0] == 20 and by[1] == 30
+    null = docs.where("doc_id > 5").withColumn("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")))
+    assert labelled_sample(null, labels, "quality", F.lit(True), 30, 1).where("doc_id is null").count() == 0
+
+
+def test_a_long_text_is_learnt_whole(spark, monkeypatch):
+    """Its only bad passage is far inside; its passages lie in many parts, and its windows in many groups."""
+    monkeypatch.setattr("barwright.llm.quality.PART", 200)
+    monkeypatch.setattr("barwright.llm.toxicity.GROUP_BYTES", 1 << 16)
+    r = random.Random(4)
+    rows = [(i, prose(r, "en", 60) + (" zwifnug plonkerdom grumblok" * 3 if i % 2 else "")) for i in range(60)] + [(60, prose(r, "en", 40_000) + " zwifnug plonkerdom grumblok" * 3)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(60, 1, 1)], "doc_id long, quality int, toxic int")
+    assert labelled_sample(docs, labels, "quality", F.lit(True), 100, 1).where(F.col("doc_id") == 60).first().text.decode() == rows[60][1]
+    model = fit_quality(docs, labels, F.lit(True))
+    got = {x.doc_id: x.score for x in quality_scores(docs, model).collect()}
+    assert got[60] > 0.5 and np.mean([(got[i] > 0.5) == (i % 2 == 1) for i in range(60)]) > 0.95
+    toxic = {x.doc_id: x.score for x in toxicity_scores(docs, fit_toxicity(docs, labels, F.lit(True))).collect()}
+    assert toxic[60] > 0.5
 
 
-def test_long_texts_give_stretches_from_all_over(spark):
-    text = bytes(range(256)) * 40
-    got = spark.createDataFrame([(text,), (b"short",)], "t binary").select(stretches(F.col("t"), 1600).alias("s")).collect()
-    assert len(got[0].s) == 1600 and bytes(got[0].s[:100]) == text[:100] and bytes(got[0].s[-100:]) in text[-116:] and bytes(got[1].s) == b"short"
+def test_held_out_is_never_null(spark):
+    from barwright.llm.learn import in_fold
+
+    assert [r[0] for r in spark.sql("SELECT NULL AS doc_id UNION ALL SELECT 3").select(in_fold("doc_id", 4, 2)).collect()] == [False, zlib.crc32(b"3") % 4 == 2]
 
 
 def test_without_labels_or_rows(spark, odd, none):
@@ -199,6 +261,14 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     assert all(sum(x[1] for x in v) == 2048 for k, v in places.items() if k < max(places)) and sorted(places) == list(range(len(places)))
 
 
+def test_pipelines_at_once_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda _: corpus_pipeline.run(spark, "/root/testdata/sf0.001").count(), range(2))
+    assert a == b > 0
+
+
 def test_pipeline_takes_odd_rows(spark, odd):
     counts = []
     for _, stage in corpus_pipeline.STAGES:
