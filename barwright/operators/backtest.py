@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwright.functions.exprs import by_symbol
+from barwright.functions.scan import running
 from barwright.schema import LOOKFORWARD, MIN_BARS, SWING_THRESHOLD
 
 from .bars import numbered, time_window
@@ -136,14 +137,13 @@ def equity_curve(steps: DataFrame) -> DataFrame:
 
 
 def buy_hold(bars: DataFrame) -> DataFrame:
-    first = F.first("close").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    return bars.select("symbol", "bar_ts", F.when(first != 0, F.col("close") / first).alias("growth"))
+    """Growth since the first close; no task sees more than a month of a symbol."""
+    return running(bars, first={"_first": "close"}).select("symbol", "bar_ts", F.when(F.col("_first") != 0, F.col("close") / F.col("_first")).alias("growth"))
 
 
 def max_drawdown(curve: DataFrame, value: str = "equity") -> DataFrame:
-    """The largest fall from a running peak, as a share of it."""
-    peak = F.max(value).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    falls = curve.withColumn("_peak", peak).withColumn("_fall", F.when(F.col("_peak") != 0, (F.col("_peak") - F.col(value)) / F.col("_peak")).otherwise(0.0))
+    """The largest fall from a running peak, as a share of it; peaks are carried from month to month."""
+    falls = running(curve, peaks={"_peak": value}).withColumn("_fall", F.when(F.col("_peak") != 0, (F.col("_peak") - F.col(value)) / F.col("_peak")).otherwise(0.0))
     return falls.groupBy("symbol").agg(F.max("_fall").alias("max_drawdown"))
 
 

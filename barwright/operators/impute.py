@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.exprs import by_symbol, finite, rolling
+from barwright.functions.scan import running
 
 
 def fill(df: DataFrame, columns: list[str], how: str = "both") -> DataFrame:
@@ -22,6 +23,13 @@ def fill(df: DataFrame, columns: list[str], how: str = "both") -> DataFrame:
     return df.withColumns(out)
 
 
+def fill_long(df: DataFrame, columns: list[str], how: str = "both") -> DataFrame:
+    """As `fill`, for histories of any length: months are filled for themselves, and from the months before and after."""
+    out = running(df, past={f"_past_{c}": c for c in columns}, future={f"_future_{c}": c for c in columns} if how == "both" else {})
+    filled = {c: F.coalesce(*(F.col(f"_{side}_{c}") for side in (("past", "future") if how == "both" else ("past",)))) for c in columns}
+    return out.withColumns(filled).select(*df.columns)
+
+
 def clean(df: DataFrame, columns: list[str], zero_missing: bool = False) -> DataFrame:
     """Infinite values become 0, and with `zero_missing` so do missing ones."""
     return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(0.0)) if zero_missing else finite(F.col(c)) for c in columns})

@@ -16,6 +16,7 @@ from barwright.functions import indicators as I
 from barwright.functions.exprs import finite, money, percent
 from barwright.functions.features import all_features
 from barwright.functions.recursive import dependants, recursive
+from barwright.functions.scan import recursive_scan
 from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, trees, validate
 from barwright.schema import BAND_PERIODS, LAGGED, LAGS, MA_PERIODS, SHORT_PERIODS, features
 from barwright.session import shared_dir
@@ -327,6 +328,18 @@ def adx(spark: SparkSession, d: str) -> DataFrame:
     return keyed(recursive(priced(spark, d)), "adx")
 
 
+SCAN_CTES = EMA_CTES + RSI_CTES + MACD_CTES + ATR_CTES + ADX_CTES
+SCANNED = [*(f"ema_{n}" for n in MA_PERIODS), "rsi_14", "rsi_21", "macd", "macd_signal", "atr_14", "atr_21", "adx"]
+
+
+@query(with_bars(f"""{SCAN_CTES} SELECT b.symbol, b.bar_ts, {rounded(**{c: "aw.e" if c == "adx" else c if c not in ("macd",) else "macd.macd" for c in SCANNED})}
+  FROM b JOIN ema USING (symbol, rn) JOIN rsi USING (symbol, rn) JOIN macd USING (symbol, rn) JOIN atr USING (symbol, rn) LEFT JOIN aw ON aw.symbol = b.symbol AND aw.rn = b.rn"""))
+def recursive_slices(spark: SparkSession, d: str) -> DataFrame:
+    """All recursive indicators of hourly bars moved to one a day, so that a history lies in slices of some months."""
+    spread = bars.numbered(priced(spark, d)).withColumns({"_at": F.col("bar_ts"), "bar_ts": (F.lit("2000-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("rn").cast("int")))})
+    return keyed(recursive_scan(spread, rows=100).withColumn("bar_ts", F.col("_at")), *SCANNED)
+
+
 # Labels and filling
 
 
@@ -352,7 +365,7 @@ def _filled(x: str) -> str:
 def fill_ffill_bfill(spark: SparkSession, d: str) -> DataFrame:
     df = bars.numbered(I.sma(priced(spark, d))).withColumn("gappy", F.when(F.col("rn") % 4 != 0, F.col("close")))
     columns = ["sma_20", "sma_50", "gappy"]
-    return keyed(impute.fill(df, columns), *columns)
+    return keyed(impute.fill_long(df, columns), *columns)
 
 
 @query(with_bars(f"{ATR_CTES}, v AS (SELECT *, {div('atr_14', 'atr_21')} AS x FROM atr) SELECT symbol, bar_ts, {rounded(kept=_no_inf('x'), zeroed=f'coalesce({_no_inf("x")}, 0)')} FROM v"))

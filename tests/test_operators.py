@@ -67,6 +67,20 @@ def test_state_carries_over_batches(values, cut):
         assert np.allclose(v, np.concatenate((a[k], b[k])), equal_nan=True)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.floats(1, 100), st.just(math.nan)), min_size=1, max_size=60), st.lists(st.integers(0, 60), max_size=4), st.sampled_from([(0.5, 1), (0.2, 5), (1 / 14, 14)]))
+def test_summaries_advance_a_smoother_as_its_values_do(values, cuts, kind):
+    whole, told = Smoother(*kind), Smoother(*kind)
+    for part in np.split(np.array(values), sorted(min(c, len(values)) for c in cuts)):
+        whole(part)
+        whole.seen += int((~np.isnan(part)).sum())
+        told.advance(told.summary(part))
+        assert np.allclose(whole.state(), told.state(), equal_nan=True, rtol=1e-12, atol=1e-12)
+    again = Smoother(*kind)
+    again.restore(told.state())
+    assert np.allclose(again.state(), told.state(), equal_nan=True)
+
+
 def test_smoothers():
     assert Smoother(0.5, 2)(np.array([1.0, 3.0, 4.0]))[1:].tolist() == [2.0, 3.0]
     assert np.isnan(Counted(0.5, 3)(np.array([1.0, np.nan, 2.0]))).all()

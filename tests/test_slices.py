@@ -1,14 +1,20 @@
+import datetime as dt
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from barwright.functions import indicators as I
 from barwright.functions.features import all_features
+from barwright.functions.recursive import COLUMNS, recursive
+from barwright.functions.scan import recursive_scan, running, with_slices
 from barwright.functions.slices import running_sums, sliced
+from barwright.operators import backtest, impute
 from barwright.operators.bars import hourly_bars, stack
 from barwright.operators.labels import swing_labels
 from barwright.schema import features
 from tests.conftest import DATA
-from tests.test_operators import column, frame
+from tests.test_operators import START, column, frame
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +62,34 @@ def test_running_sums_over_months(spark):
     for i, s in enumerate(got, 1):
         total += i if i % 7 else 0
         assert s == (total if i % 7 else None)
+
+
+def test_scan_is_exact_for_one_long_history(spark):
+    """A symbol with 95 % of the bars, in some 50 slices: the values of one pass, and no task with over twice the median's bars."""
+    spread = lambda i: math.sin(i / 9) * 8 + (i * 7919 % 101) / 10 + 60
+    rows = [(s, START + dt.timedelta(days=i), *(spread(i * k) + d for d in (0.0, 1.0 + i % 3, -1.0 - i % 5, 0.0)), 1.0) for s, k, n in (("long", 1, 5000), ("short", 2, 260), ("one", 1, 1)) for i in range(n)]
+    df = I.with_price(spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double")).withColumn("p", F.when(F.col("close") % 7 > 1, F.col("close")))
+    whole, cut = rows_of(recursive(df)), rows_of(recursive_scan(df, rows=100))
+    assert whole.keys() == cut.keys() and len(whole) == 5261
+    for k, v in whole.items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-10)) for a, b in zip(v, cut[k], strict=True)), k
+    sizes = [r["count"] for r in with_slices(df, 100).where("symbol = 'long'").groupBy("_slice").count().collect()]
+    assert len(sizes) > 40 and max(sizes) <= 131 <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def rows_of(df):
+    return rows(df, COLUMNS)
+
+
+def test_running_values_over_months(spark):
+    df = frame(spark, [3, 9, 2, 8] * 60).withColumn("x", F.when((F.col("close") == 8) & (F.dayofyear("bar_ts") > 70), F.dayofyear("bar_ts").cast("double")))
+    got = running(df, past={"a": "x"}, future={"b": "x"}, peaks={"c": "x"}, first={"d": "close"}).orderBy("bar_ts").collect()
+    x = [r.x for r in got]
+    known = [(i, v) for i, v in enumerate(x) if v is not None]
+    for i, r in enumerate(got):
+        assert r.a == max((v for j, v in known if j <= i), default=None) == r.c and r.b == min((v for j, v in known if j >= i), default=None) and r.d == 3.0
+    both = impute.fill_long(df, ["x"])
+    assert both.columns == df.columns and rows(both, ["x"]) == rows(impute.fill(df, ["x"]), ["x"]) and rows(impute.fill_long(df, ["x"], "ffill"), ["x"]) == rows(impute.fill(df, ["x"], "ffill"), ["x"])
+    assert backtest.max_drawdown(df.withColumn("equity", F.col("close"))).first().max_drawdown == pytest.approx(7 / 9)
+    plan = backtest.buy_hold(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

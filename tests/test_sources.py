@@ -1,13 +1,17 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from barwright.functions import indicators as I
+from barwright.functions.recursive import COLUMNS, recursive
 from barwright.operators.bars import hourly_bars
 from barwright.operators.signals import latest_analysis
 from barwright.schema import BARS
 from barwright.session import shared_dir
 from barwright.sources import loader, providers
+from barwright.streaming.indicators import stream_recursive
 from barwright.streaming.monitor import monitor_stream, stream_bars
 from tests.conftest import DATA
 
@@ -138,3 +142,27 @@ def test_stream_bars(spark, tmp_path):
     got = {(r.symbol, r.bar_ts): r.close for r in spark.table("hours").collect()}
     want = {(r.symbol, r.bar_ts): r.close for r in hourly_bars(events).collect()}
     assert got.items() <= want.items() and len(got) > 0.9 * len(want)
+
+
+def test_indicators_of_a_stream_survive_restarts(spark, tmp_path):
+    """Three batches, the stream started anew for each: together the indicators of the whole table."""
+    bars = I.with_price(hourly_bars(spark.read.parquet(f"{DATA}/sf0.001/events.parquet"))).persist()
+    times = sorted({r.bar_ts for r in bars.select("bar_ts").collect()})
+    edges = [times[0], times[len(times) // 3], times[2 * len(times) // 3], dt.datetime(2100, 1, 1)]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            part = bars.where((F.col("bar_ts") >= F.lit(a)) & (F.col("bar_ts") < F.lit(b)))
+            late = bars.where(F.col("bar_ts") == F.lit(times[5])) if k == 2 else part.limit(0)
+            part.unionByName(late).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            out = stream_recursive(spark.readStream.schema(bars.schema).parquet(str(tmp_path / "in")))
+            query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+            query.awaitTermination(180)
+            assert query.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    values = lambda df: {(r.symbol, r.bar_ts): [r[c] for c in COLUMNS] for r in df.collect()}
+    got, want = values(spark.read.parquet(str(tmp_path / "out"))), values(recursive(bars))
+    assert got.keys() == want.keys() and spark.read.parquet(str(tmp_path / "out")).count() == len(want)
+    assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-12)) for k in want for x, y in zip(got[k], want[k], strict=True))
+    bars.unpersist()
