@@ -1,8 +1,7 @@
 """Long histories in slices, so that one symbol's bars need not meet in one task.
 
-Windows of bars look back a bounded way, and recursive averages forget: after 60 / alpha steps a start value weighs
-under 1e-26. A symbol's history can so be cut into slices that each get enough bars before (and after) them, and what is
-computed in a slice's own rows is what the whole history gives. Sums from the start add up over calendar months.
+Windows of bars look back a bounded way. A symbol's history can so be cut into slices that each get enough bars before (and after)
+them, and what is computed in a slice's own rows is what the whole history gives. Sums from the start add up over calendar months.
 """
 
 from __future__ import annotations
@@ -12,9 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bars before a slice from which even the slowest average here (alpha 2/201) no longer depends on its start.
-MEMORY = 8192
-
 
 def _months(df: DataFrame) -> DataFrame:
     return df.withColumn("_month", F.date_trunc("month", "bar_ts"))

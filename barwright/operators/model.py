@@ -25,7 +25,7 @@ FEW_POSITIVES = 10
 def training_table(bars: DataFrame, lookforward: int = LOOKFORWARD, swing: float = SWING_THRESHOLD, how: str = "both", drop_tail: bool = False) -> DataFrame:
     """Labelled rows with all features, filled within each symbol by time (never across symbols), rows with gaps dropped."""
     names = features()
-    df = swing_labels(feature_functions.all_features(bars), lookforward, swing, drop_tail)
+    df = swing_labels(feature_functions.all_features(bars, feature_functions.slices_for(bars)), lookforward, swing, drop_tail)
     return clean(fill(df, names, how), names).dropna(subset=[*names, "swing_label"])
 
 
@@ -43,11 +43,39 @@ def split(rows: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
     out = rows.join(F.broadcast(cells), ["swing_label", "_cell"]).withColumn("is_train", place <= F.floor(F.col("_all") * share))
     positives = rows.where("swing_label = 1").limit(2).count()
     if positives <= 1:
-        cut = rows.agg(F.percentile_approx(F.unix_micros(F.col("bar_ts").cast("timestamp")), share, 100_000)).first()[0]
-        out = out.withColumn("is_train", F.unix_micros(F.col("bar_ts").cast("timestamp")) <= F.lit(cut))
+        out = first_in_time(out, share)
     return out.drop("_key", "_cell", "_before", "_all")
 
 
+#: A radix step tells so many bits of a number: 8,192 counts at most reach the driver a step.
+RADIX = 13
+
+
+def first_in_time(rows: DataFrame, share: float) -> DataFrame:
+    """is_train: exactly floor(share * n) rows, the earliest by (bar_ts, symbol), of any number.
+
+    The time at the cut is found bit by bit from the top, by counts of what the bits so far leave (one narrow pass for every 13 bits).
+    Of the rows at that very time the first symbols' are taken; they are all that is sorted.
+    """
+    at = F.unix_micros(F.col("bar_ts").cast("timestamp")) + F.lit(1 << 62)  # no sign
+    narrow = rows.select(at.alias("t"))
+    left, known, bits = int(narrow.count() * share), 0, 63
+    while bits:
+        low = max(0, bits - RADIX)
+        digit = F.shiftright("t", low).bitwiseAND((1 << bits - low) - 1)
+        for r in narrow.where(F.shiftright("t", bits) == known).groupBy(digit.alias("d")).count().orderBy("d").collect():
+            if left < r["count"]:
+                break
+            left -= r["count"]
+        else:  # every row is taken
+            return rows.withColumn("is_train", F.lit(True))
+        known, bits = known << bits - low | r.d, low
+    tied = rows.where(at == known).select("symbol", "bar_ts")
+    place = F.row_number().over(Window.partitionBy("bar_ts").orderBy("symbol"))
+    tied = tied.withColumn("_place", place).where(F.col("_place") <= left).select("symbol", "bar_ts", F.lit(True).alias("_tied"))
+    return rows.join(tied.distinct(), ["symbol", "bar_ts"], "left").withColumn("is_train", (at < known) | F.coalesce("_tied", F.lit(False))).drop("_tied")
+
+
 def scaling(rows: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each column, 1 for constant ones: one aggregation, one row to the driver."""
     got = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
@@ -195,4 +223,4 @@ def report(rows: DataFrame) -> DataFrame:
 def prepare_for_scoring(bars: DataFrame, zeros: bool = False) -> DataFrame:
     """Features of all bars as a trained model wants them: filled, defaulted by name, nothing missing or infinite."""
     names = features()
-    return clean(with_defaults(fill(feature_functions.all_features(bars), names), names, zeros), names, zero_missing=True)
+    return clean(with_defaults(fill(feature_functions.all_features(bars, feature_functions.slices_for(bars)), names), names, zeros), names, zero_missing=True)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import indicators as I
 from barwright.functions.exprs import finite, money, percent
-from barwright.functions.features import all_features
+from barwright.functions.features import all_features, slices_for
 from barwright.functions.recursive import dependants, recursive
 from barwright.functions.scan import recursive_scan
 from barwright.operators import backtest, bars, impute, labels, model, ratelimit, signals, trees, validate
@@ -738,6 +738,15 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     return model.split(labels.swing_labels(priced(spark, d))).select("symbol", "bar_ts", "swing_label", "is_train")
 
 
+@query(with_bars(" SELECT symbol, bar_ts, CASE WHEN k = 1 THEN 1 ELSE 0 END AS swing_label, row_number() OVER (ORDER BY bar_ts, symbol) <= floor(n * 0.8::DOUBLE) AS is_train FROM (SELECT symbol, bar_ts, row_number() OVER (ORDER BY bar_ts, symbol) AS k, count(*) OVER () AS n FROM b)"))
+def chronological_split(spark: SparkSession, d: str) -> DataFrame:
+    """The cut by time of rows of which a single one is positive."""
+    rows = hourly(spark, d)
+    first = rows.agg(F.min(F.struct("bar_ts", "symbol")).alias("f"))
+    rows = rows.join(F.broadcast(first)).withColumn("swing_label", (F.struct("bar_ts", "symbol") == F.col("f")).cast("int"))
+    return model.split(rows).select("symbol", "bar_ts", "swing_label", "is_train")
+
+
 # Bins of the first level of trees, which both engines cut alike.
 EDGES = {"price_change": [-0.4, -0.2, -0.1, -0.05, 0.0, 0.05, 0.1, 0.2, 0.4], "high_low_range": [0.2, 0.4, 0.8, 1.2, 1.6, 3.2], "body_size": [0.05, 0.1, 0.2, 0.4, 0.8], "upper_shadow": [0.1, 0.3, 0.5, 1.0, 2.0]}
 LEVEL_SQL = f"""{LABEL_CTES}, x AS (SELECT swing_label AS y, {change("p", 1)} AS price_change, {", ".join(f"{SHAPE[c]} AS {c}" for c in EDGES if c in SHAPE)} FROM lb),
@@ -850,7 +859,8 @@ WHOLE = {"macd_crossover", "doji", "hammer", *(f"bb_{n}_squeeze" for n in BAND_P
 
 @query(with_bars(f"{ALL_CTES} SELECT symbol, bar_ts, {rounded(**{c: c for c in ALL_NAMES if c not in WHOLE | {'volume_price_trend'}})}, round(volume_price_trend, 3) + 0.0 AS volume_price_trend, {', '.join(sorted(WHOLE))} FROM j3"))
 def all_indicators(spark: SparkSession, d: str) -> DataFrame:
-    df = all_features(hourly(spark, d)).withColumn("volume_price_trend", F.round("volume_price_trend", 3))
+    history = hourly(spark, d)
+    df = all_features(history, slices_for(history)).withColumn("volume_price_trend", F.round("volume_price_trend", 3))
     return keyed(df, *ALL_NAMES)
 
 

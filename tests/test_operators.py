@@ -195,6 +195,16 @@ def test_split_and_report(spark):
     assert {r.precision for r in model.report(scored.limit(0)).collect()} <= {0.0, None}
 
 
+def test_cut_in_time_is_exact(spark):
+    rows = spark.range(1000).selectExpr("concat('s', id % 50) AS symbol", "cast(timestamp_seconds(1700000000 + 60 * cast(id / 50 as int)) as timestamp_ntz) AS bar_ts")
+    for share in (0.0, 0.333, 0.8, 0.8127, 1.0):
+        got = sorted((r.bar_ts, r.symbol, r.is_train) for r in model.first_in_time(rows, share).collect())
+        n = int(1000 * share)
+        assert [g[2] for g in got] == [True] * n + [False] * (1000 - n), share
+    old = spark.sql("SELECT 'a' AS symbol, timestamp_ntz'1890-05-01' AS bar_ts UNION ALL SELECT 'a', timestamp_ntz'2500-01-01 00:00:00.000001' UNION ALL SELECT 'a', timestamp_ntz'2500-01-01 00:00:00.000002'")
+    assert sorted((r.bar_ts, r.is_train) for r in model.first_in_time(old, 0.7).collect()) == [(r, k < 2) for k, r in enumerate(sorted(r.bar_ts for r in old.collect()))]
+
+
 def test_train_save_load(spark, tmp_path):
     data = bars.stack([frame(spark, [100 + 15 * math.sin(i / 5 + k) + (i * 7919 % 13) for i in range(260)], f"S{k}") for k in range(2)])
     names = ["price_change", "rsi_14", "stoch_k", "price_momentum_10"]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.functions import indicators as I
-from barwright.functions.features import all_features
+from barwright.functions.features import all_features, slices_for
 from barwright.functions.recursive import COLUMNS, recursive
 from barwright.functions.scan import recursive_scan, running, with_slices
 from barwright.functions.slices import running_sums, sliced
@@ -50,10 +50,10 @@ def test_features_in_slices(bars):
     names = features()
     whole, cut = rows(all_features(bars), names), rows(all_features(bars, slice_rows=400), names)
     assert whole.keys() == cut.keys()
-    slow = {n for n in names if "200" in n or "100" in n}  # 400 bars back leave a trace of the start in these
     for k, v in whole.items():
         for name, a, b in zip(names, v, cut[k], strict=True):
-            assert (a is None) == (b is None) and (a is None or a == b or a == pytest.approx(b, rel=0.1 if name in slow else 1e-5, abs=0.1 if name in slow else 1e-5)), (k, name)
+            assert (a is None) == (b is None) and (a is None or a == b or a == pytest.approx(b, rel=1e-5, abs=1e-5)), (k, name)
+    assert slices_for(bars) is None
 
 
 def test_running_sums_over_months(spark):
