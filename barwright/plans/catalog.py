@@ -643,28 +643,65 @@ def kr_select_codes(spark: SparkSession, d: str) -> DataFrame:
     return providers.kr_select(items).select("symbol", "place", "srtnCd", "isinCd")
 
 
+# Every part asks for something: a kind and a code, a code, an ISIN or a name; one request for each value has an answer with items.
+LOOKUPS = "SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN 'Etf: ' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 1 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 2 THEN 'KR' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') ELSE p_name || ' ' || CAST(p_partkey AS VARCHAR) END AS symbol FROM part"
+ANSWER = "CASE WHEN p_partkey % 4 < 2 THEN 'likeSrtnCd' WHEN p_partkey % 4 = 2 THEN CASE WHEN p_size % 3 = 0 THEN 'isinCd' ELSE 'likeIsinCd' END ELSE CASE WHEN p_size % 3 = 0 THEN 'itmsNm' ELSE 'likeItmsNm' END END"
+KINDS = ", ".join(f"'{k}'" for k in providers.ASSET_ORDER)
+
+
+@query(f"""WITH a AS ({LOOKUPS}), v AS (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN substr(symbol, 6) ELSE symbol END AS value, {ANSWER} AS parameter FROM a),
+  k AS (SELECT unnest([{KINDS}]) AS kind, unnest(range(8)) AS place)
+  SELECT symbol, value, list_extract([{KINDS}], CAST(kind_at + 1 AS BIGINT)) AS kind, parameter FROM (SELECT v.*, min(place) FILTER (place >= p_size % 8 AND (p_partkey % 4 <> 0 OR kind = 'etf')) AS kind_at FROM v, k GROUP BY ALL) WHERE kind_at IS NOT NULL""")
+def kr_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol's first request that has items: candidates of all symbols joined with the answers, JSON and XML."""
+    asked = spark.sql(LOOKUPS.replace("VARCHAR", "STRING").replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    value = providers.kr_lookup(F.col("symbol"))["value"]
+    kinds = F.explode(F.slice(F.array(*map(F.lit, providers.ASSET_ORDER)), (F.col("p_size") % 8 + 1).cast("int"), 8))
+    answers = asked.select(value.alias("value"), F.expr(ANSWER).alias("parameter"), kinds.alias("kind"), "p_partkey")
+    head, item = "<header><resultCode>00</resultCode></header>", F.concat(F.lit("<items><item a='1'><itmsNm><![CDATA["), F.col("value"), F.lit("]]></itmsNm></item></items>"))
+    xml = F.concat(F.lit(f"<response>{head}<body>"), item, F.lit("</body></response>"))
+    text = F.to_json(F.struct(F.struct(F.struct(F.lit("00").alias("resultCode")).alias("header"), F.struct(F.struct(F.struct(F.col("value").alias("itmsNm")).alias("item")).alias("items")).alias("body")).alias("response")))
+    none = F.lit(f"<response>{head}<body><items/></body></response>")
+    answers = answers.select("kind", "parameter", "value", F.explode(F.array(none, F.when(F.col("p_partkey") % 3 == 0, text).otherwise(xml))).alias("payload"))
+    found = providers.kr_resolve(providers.kr_candidates(asked), answers)
+    items = providers.kr_items(found.select("symbol", "payload")).select("symbol", F.col("itmsNm").alias("value"))
+    return found.drop("payload").join(items, "symbol")
+
+
+@query(with_bars(" SELECT symbol, bar_ts, symbol || ' & <' || CAST(CAST(volume AS BIGINT) AS VARCHAR) || '>' AS name, 'C-' || symbol AS code, " + BAR_COLUMNS + " FROM bars"))
+def parse_kr_xml(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars through monthly XML payloads with entities, CDATA and attributes."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name = F.concat("symbol", F.lit(" & <"), F.col("volume").cast("long").cast("string"), F.lit(">"))
+    tag = lambda t, c, more="": F.concat(F.lit(f"<{t}{more}>"), c, F.lit(f"</{t}>"))
+    cells = (("clpr", "close"), ("mkp", "open"), ("hipr", "high"), ("lopr", "low"), ("trqu", "volume"))
+    item = tag("item", F.concat(tag("basDt", F.date_format("bar_ts", "yyyyMMddHHmmss")), tag("itmsNm", escaped(name)), F.lit("<!-- code -->"), tag("srtnCd", F.concat(F.lit("<![CDATA[C-"), F.col("symbol"), F.lit("]]>"))), *(tag(t, F.col(c).cast("string"), " unit='1'") for t, c in cells)), " n='1'")
+    body = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?><response><header><resultCode> 00 </resultCode></header><body><items>"), F.array_join(F.collect_list(item), ""), F.lit("</items></body></response>"))
+    items = providers.kr_items(_monthly(hourly(spark, d)).agg(body.alias("payload")))
+    return show(items.select("symbol", F.to_timestamp("basDt", "yyyyMMddHHmmss").cast("timestamp_ntz").alias("bar_ts"), F.col("itmsNm").alias("name"), F.col("srtnCd").alias("code"), *(F.col(t).cast("double").alias(c) for t, c in cells)))
+
+
 # History files
 
 
 def _folder(spark: SparkSession, d: str) -> str:
-    """A new folder of CSV files by symbol: the hourly bars with each row twice, and two files that can't be used."""
+    """A new folder of CSV files: hourly bars by symbol, each row twice, and by day; those of days can't be used, for one reason or another."""
     folder = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def write(df: DataFrame, name: str) -> None:
-        df.coalesce(1).write.csv(f"{folder}-parts/{name}", header=True)
-        part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}-parts/{name}")) if x.getPath().getName().startswith("part-"))
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
-
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
-    rows = hourly(spark, d).select("symbol", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *(F.col(c).cast("string").alias(f" {c.title()}") for c in OHLCV))
-    rows = rows.unionByName(rows.withColumn(" Close", F.lit("n/a"))).orderBy("Date").persist()
-    for symbol in [r.symbol for r in rows.select("symbol").distinct().collect()]:
-        write(rows.where(F.col("symbol") == symbol).drop("symbol"), f"{symbol}_historical.csv")
-    write(rows.drop("symbol", "Date"), "undated.csv")
-    write(rows.drop("symbol", " Volume"), "unmeasured.csv")
-    rows.unpersist()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    rows = hourly(spark, d).select("symbol", "bar_ts", F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *(F.col(c).cast("string").alias(f" {c.title()}") for c in OHLCV))
+    days = rows.withColumn("file", F.date_format("bar_ts", "yyyy-MM-dd"))
+    odd = days.groupBy("file").agg((F.count("*") % 2 == 1).alias("odd"))
+    days = days.join(odd, "file")
+    kinds = {
+        "good": rows.unionByName(rows.withColumn(" Close", F.lit("n/a"))).withColumn("file", F.concat("symbol", F.lit("_historical"))), "unmeasured": days.where("odd").drop("odd", " Volume"), "undated": days.where("not odd").drop("odd", "Date"),
+    }
+    for kind, frame in kinds.items():  # one job a kind; a file's rows are one task's
+        frame.drop("symbol").repartition("file").sortWithinPartitions("file", "bar_ts").drop("bar_ts").write.partitionBy("file").csv(f"{folder}-parts/{kind}", header=True)
+        for at in fs.listStatus(path(f"{folder}-parts/{kind}")):
+            for part in fs.listStatus(at.getPath()) if at.isDirectory() else []:
+                fs.rename(part.getPath(), path(f"{folder}/{at.getPath().getName().removeprefix('file=')}.csv"))
     return folder
 
 
@@ -673,10 +710,9 @@ def history_folder(spark: SparkSession, d: str) -> DataFrame:
     return keyed(loader.load_history(spark, _folder(spark, d))[0], *OHLCV, "adj_close")
 
 
-@query("SELECT 'undated.csv' AS file, 'no Date column' AS reason UNION ALL SELECT 'unmeasured.csv', 'missing columns: volume'")
+@query(with_bars(" SELECT strftime(bar_ts, '%Y-%m-%d') || '.csv' AS file, CASE WHEN count(*) % 2 = 1 THEN 'missing columns: volume' ELSE 'no Date column' END AS reason FROM bars GROUP BY 1"))
 def history_rejects(spark: SparkSession, d: str) -> DataFrame:
-    rejected = loader.load_history(spark, _folder(spark, d))[1]
-    return spark.createDataFrame([(path.rsplit("/", 1)[1], why) for path, why in rejected], "file string, reason string")
+    return loader.load_history(spark, _folder(spark, d))[1]
 
 
 LIMIT_SQL = """WITH RECURSIVE r AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),

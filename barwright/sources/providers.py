@@ -44,9 +44,17 @@ def us_commodity(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=["bar_ts", "close"])
 
 
+KR_XML = f"header struct<resultCode:string>, body struct<items:struct<item:array<{KR_ITEM}>>>"
+
+
+def _xml(payload: Column) -> Column:
+    """An XML payload by its schema: entities, CDATA, attributes and comments as XML has them; null for any other text."""
+    return F.from_xml(F.when(F.ltrim(payload).startswith("<"), F.trim(payload)), KR_XML, {"mode": "PERMISSIVE"})
+
+
 def kr_status(payload: Column) -> Column:
     """ok, empty, auth (keys and limits) or error, for JSON and XML alike."""
-    code = F.coalesce(F.get_json_object(payload, "$.response.header.resultCode"), F.nullif(F.regexp_extract(payload, r"<resultCode>\s*([^<\s]*)", 1), F.lit("")))
+    code = F.coalesce(F.get_json_object(payload, "$.response.header.resultCode"), F.trim(_xml(payload)["header"]["resultCode"]))
     return F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty").when(code.isin(*KR_AUTH_CODES) | (code.isNull() & F.lower(payload).contains("unauthorized")), "auth").when(code == "00", "ok").otherwise("error")
 
 
@@ -54,51 +62,86 @@ def kr_items(raw: DataFrame) -> DataFrame:
     """(symbol, place, item fields) from (symbol, payload) with JSON (one item or a list) or XML items."""
     item = F.get_json_object("payload", "$.response.body.items.item")
     from_json = F.when(F.trim(item).startswith("["), F.from_json(item, f"array<{KR_ITEM}>")).otherwise(F.array(F.from_json(item, KR_ITEM)))
-    xml = F.regexp_extract_all("payload", F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    text = lambda x, f: F.nullif(F.trim(F.regexp_extract(x, rf"(?s)<{f}>(.*?)</{f}>", 1)), F.lit(""))
-    from_xml = F.transform(xml, lambda x: F.struct(*(text(x, f).alias(f) for f in KR_FIELDS)))
-    items = F.when(F.trim("payload").startswith("<"), from_xml).when(item.isNotNull(), from_json)
+    text = lambda x, f: F.nullif(F.trim(x[f]), F.lit("")).alias(f)
+    from_xml = F.transform(_xml(F.col("payload"))["body"]["items"]["item"], lambda x: F.struct(*(text(x, f) for f in KR_FIELDS)))
+    items = F.when(F.ltrim("payload").startswith("<"), from_xml).when(item.isNotNull(), from_json)
     return raw.where(kr_status(F.col("payload")) == "ok").select("symbol", F.posexplode(items).alias("place", "item")).select("symbol", "place", "item.*")
 
 
+def kr_lookup(symbol: Column) -> Column:
+    """What a Korean symbol asks for: (kind, value), the kind null where no known name stands before a colon."""
+    text = F.trim(F.coalesce(symbol, F.lit("")))
+    name, rest = F.lower(F.regexp_extract(text, r"(?s)^([A-Za-z]+):(.+)$", 1)), F.trim(F.regexp_extract(text, r"(?s)^([A-Za-z]+):(.+)$", 2))
+    kind = F.when(rest != "", F.create_map(*(F.lit(x) for kv in ASSET_ALIASES.items() for x in kv))[name])
+    return F.named_struct(F.lit("kind"), kind, F.lit("value"), F.when(kind.isNotNull(), rest).otherwise(text))
+
+
+def _by_code(value: Column) -> Column:
+    return value.rlike("^[0-9]+$")
+
+
+def _by_isin(value: Column) -> Column:
+    return value.startswith("KR") & (F.length(value) >= 10)
+
+
+def kr_candidates(asked: DataFrame, as_of: Column | None = None, months: int = 14) -> DataFrame:
+    """(symbol, place, kind, parameter, value) of every request to try for each symbol, in order; with `as_of`, also the days to ask for.
+
+    Kinds come in their order, and for each the parameters: a code, an ISIN or a name, the latter two exactly, then in part. A symbol
+    of a kind that can't be asked has no candidates.
+    """
+    look = asked.select("symbol", kr_lookup(F.col("symbol")).alias("look")).distinct()
+    value, order = F.col("look.value"), F.array(*map(F.lit, ASSET_ORDER))
+    kinds = F.when(F.col("look.kind").isNull(), order).otherwise(F.filter(order, lambda k: k == F.col("look.kind")))
+    names = lambda *n: F.array(*map(F.lit, n))
+    parameters = F.when(_by_isin(value), names("isinCd", "likeIsinCd")).when(_by_code(value), names("likeSrtnCd")).otherwise(names("itmsNm", "likeItmsNm"))
+    out = look.select("symbol", value.alias("value"), F.posexplode(kinds).alias("k", "kind"), parameters.alias("parameters")).select("symbol", "value", "k", "kind", F.posexplode("parameters").alias("p", "parameter"))
+    days = [] if as_of is None else [F.date_format(F.add_months(as_of, -months), "yyyyMMdd").alias("begin_day"), F.date_format(as_of, "yyyyMMdd").alias("end_day")]
+    return out.select("symbol", (2 * F.col("k") + F.col("p")).alias("place"), "kind", "parameter", "value", *days)
+
+
+def kr_resolve(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """(symbol, kind, parameter, payload): for every symbol the first candidate whose answer (kind, parameter, value, payload) has items.
+
+    One join and one partial aggregation for all symbols; symbols without such an answer have no row.
+    """
+    item = F.get_json_object("payload", "$.response.body.items.item")
+    some = F.coalesce(F.size(_xml(F.col("payload"))["body"]["items"]["item"]) > 0, F.lit(False)) | (item.isNotNull() & ~F.trim(item).isin("", "[]", "{}"))
+    good = answers.where((kr_status(F.col("payload")) == "ok") & some).select("kind", "parameter", "value", "payload")
+    first = candidates.join(good, ["kind", "parameter", "value"]).groupBy("symbol").agg(F.min_by(F.struct("kind", "parameter", "payload"), F.struct("place", "payload")).alias("first"))
+    return first.select("symbol", "first.*")
+
+
 def kr_select(items: DataFrame) -> DataFrame:
     """A lookup's items: those that match its code or name if any do, of a name the identity with most rows.
 
-    Ties go to the identity seen first.
+    Ties go to the identity seen first. What a symbol's items come to is one row of partial aggregates, which is joined back, so no task
+    sorts or holds a lookup's items.
     """
-    look = F.trim("symbol")
-    exact = F.when(look.rlike("^[0-9]+$"), F.trim("srtnCd") == look).when(look.startswith("KR") & (F.length(look) >= 10), F.trim("isinCd") == look).otherwise(F.trim("itmsNm") == look)
-    by_name = ~(look.rlike("^[0-9]+$") | (look.startswith("KR") & (F.length(look) >= 10)))
+    look = kr_lookup(F.col("symbol"))["value"]
+    exact = F.when(_by_code(look), F.trim("srtnCd") == look).when(_by_isin(look), F.trim("isinCd") == look).otherwise(F.trim("itmsNm") == look)
     identity = F.trim(F.coalesce(F.nullif("srtnCd", F.lit("")), F.nullif("isinCd", F.lit("")), F.nullif("itmsNm", F.lit("")), F.lit("")))
-    marked = items.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_by_name": by_name, "_identity": identity})
-    kept = marked.withColumn("_any", F.max("_exact").over(Window.partitionBy("symbol"))).where("_exact or not _any")
-    best = kept.groupBy("symbol", "_identity").agg(F.count("*").alias("n"), F.min("place").alias("first")).groupBy("symbol").agg(F.max_by("_identity", F.struct("n", -F.col("first"))).alias("_best"))
-    return kept.join(best, "symbol").where(~F.col("_by_name") | (F.col("_identity") == F.col("_best"))).drop("_exact", "_by_name", "_identity", "_any", "_best")
+    marked = items.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_by_name": ~(_by_code(look) | _by_isin(look)), "_identity": identity})
+    groups = marked.groupBy("symbol", "_exact", "_identity").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    best = groups.groupBy("symbol").agg(F.max("_exact").alias("_any"), F.max_by("_identity", F.struct("_exact", "n", -F.col("first"))).alias("_best"))
+    kept = marked.join(best, "symbol").where((F.col("_exact") | ~F.col("_any")) & (~F.col("_by_name") | (F.col("_identity") == F.col("_best"))))
+    return kept.drop("_exact", "_by_name", "_identity", "_any", "_best")
 
 
 def kr_bars(items: DataFrame) -> DataFrame:
     """Bars from items: commas dropped, missing open, high, low take the close, volume 0; the last of a day stays."""
     number = lambda f: F.regexp_replace(f, ",", "").try_cast("double")
-    has = {f: f in items.columns for f in KR_FIELDS}
+    optional = {"open": "mkp", "high": "hipr", "low": "lopr", "volume": "trqu"}
+    has = {c: f in items.columns for c, f in optional.items()}
+    there = items.groupBy("symbol").agg(*((F.count(f) > 0 if has[c] else F.lit(False)).alias(f"_{c}") for c, f in optional.items()))
     close = number("clpr")
-    other = lambda f: F.when(F.count(f).over(Window.partitionBy("symbol")) > 0, number(f)).otherwise(close) if has[f] else close
-    volume = F.when(F.count("trqu").over(Window.partitionBy("symbol")) > 0, number("trqu")).otherwise(0.0)
-    out = items.select("symbol", "place", F.try_to_timestamp("basDt", F.lit("yyyyMMdd")).cast("timestamp_ntz").alias("bar_ts"), other("mkp").alias("open"), other("hipr").alias("high"), other("lopr").alias("low"), close.alias("close"), volume.alias("volume"))
+    value = lambda c: F.when(F.col(f"_{c}"), number(optional[c]) if has[c] else F.lit(None).cast("double")).otherwise(F.lit(0.0) if c == "volume" else close).alias(c)
+    out = items.join(there, "symbol").select("symbol", "place", F.try_to_timestamp("basDt", F.lit("yyyyMMdd")).cast("timestamp_ntz").alias("bar_ts"), value("open"), value("high"), value("low"), close.alias("close"), value("volume"))
     out = out.dropna(subset=["bar_ts", "close"])
     last = F.row_number().over(Window.partitionBy("symbol", "bar_ts").orderBy(F.desc("place")))
     return out.withColumn("_last", last).where("_last = 1").drop("_last", "place").withColumn("adj_close", F.col("close"))
 
 
-def kr_lookup_plan(symbol: str) -> dict:
-    """The endpoints to ask for a Korean symbol, in order, and the parameters to try: code, ISIN or name; the latter two exactly, then in part."""
-    prefix, _, rest = symbol.partition(":")
-    kind = ASSET_ALIASES.get(prefix.strip().lower()) if rest else None
-    value = rest.strip() if kind else symbol.strip()
-    kinds = [kind] if kind in ASSET_ORDER else [] if kind else list(ASSET_ORDER)
-    parameters = ["likeSrtnCd"] if value.isdigit() else ["isinCd", "likeIsinCd"] if value.startswith("KR") and len(value) >= 10 else ["itmsNm", "likeItmsNm"]
-    return {"kinds": kinds, "parameters": parameters, "value": value}
-
-
 def tickers(payload: Column) -> Column:
     """A JSON array of strings as an array; null if it is anything else."""
     return F.when(F.trim(payload).startswith("["), F.from_json(payload, "array<string>"))

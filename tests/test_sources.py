@@ -24,6 +24,9 @@ def folder(tmp_path):
     (tmp_path / "BBB.csv").write_text("Date, Open ,High,Low,Close,Volume\n2024-01-02,1,1,1,1,0\n")
     (tmp_path / "CCC.csv").write_text("Open,High,Low,Close,Volume\n1,1,1,1,1\n")
     (tmp_path / "DDD.csv").write_text("Date,Open,High,Low,Close\n2024-01-02,1,1,1,1\n")
+    (tmp_path / "FFF.csv").write_text("")
+    (tmp_path / "GGG.csv").write_text("Date,Open,High,Low,Close,Volume," + ",".join(f"x{i}" for i in range(70)) + "\n")
+    (tmp_path / "HHH.csv").write_text("\ufeffVolume,\"Close\",Open,High,Low, Date ,\"Odd, Name\"\r\n5,1,1,1,1,2024-01-02,\"a, b\"\r\n")
     return tmp_path
 
 
@@ -32,10 +35,21 @@ def test_load_history(spark, folder):
     next((folder / "tmp").glob("part-*.parquet")).rename(folder / "EEE.parquet")
     found, rejected = loader.load_history(spark, str(folder))
     got = {(r.symbol, str(r.bar_ts)[:10]): r for r in found.collect()}
-    assert got.keys() == {("AAA", "2024-01-02"), ("AAA", "2024-01-03"), ("BBB", "2024-01-02"), ("EEE", "2024-01-05")}
+    assert got.keys() == {("AAA", "2024-01-02"), ("AAA", "2024-01-03"), ("BBB", "2024-01-02"), ("EEE", "2024-01-05"), ("HHH", "2024-01-02")}
     assert got["AAA", "2024-01-03"].close == 3 and got["AAA", "2024-01-03"].adj_close == 2.5 and got["BBB", "2024-01-02"].adj_close == 1
     assert str(got["AAA", "2024-01-02"].bar_ts) == "2024-01-02 05:00:00"
-    assert sorted((p.rsplit("/", 1)[1], why.split(":")[0]) for p, why in rejected) == [("CCC.csv", "no Date column"), ("DDD.csv", "missing columns")]
+    assert sorted(map(tuple, rejected.collect())) == [("CCC.csv", "no Date column"), ("DDD.csv", "missing columns: volume")]
+
+
+def test_many_files_are_one_read(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"S{i}.csv").write_text(("Date,Open,High,Low,Close,Volume" if i % 3 else "Date,Close,Open,High,Low") + f"\n2024-01-02,{i},2,3,4,5\n")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many", "many")
+    found, rejected = loader.load_history(spark, str(tmp_path))
+    assert found.where("open = cast(substring(symbol, 2) as double)").count() == 400 and rejected.where("reason = 'missing columns: volume'").count() == 200
+    assert len(jobs.getJobIdsForGroup("many")) < 40
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_nothing_to_load(spark, tmp_path):
@@ -91,8 +105,28 @@ def test_kr_selection(spark):
     items = spark.createDataFrame(rows, "symbol string, place int, srtnCd string, isinCd string, itmsNm string")
     got = sorted((r.symbol, r.place) for r in providers.kr_select(items).collect())
     assert got == [("005930", 0), ("Gone", 0), ("KR1234567890", 0), ("Name", 1), ("Name", 2)]
-    assert providers.kr_lookup_plan("ETF:069500") == {"kinds": ["etf"], "parameters": ["likeSrtnCd"], "value": "069500"}
-    assert providers.kr_lookup_plan("KR7005930003")["parameters"] == ["isinCd", "likeIsinCd"] and providers.kr_lookup_plan("A")["parameters"] == ["itmsNm", "likeItmsNm"] and providers.kr_lookup_plan("future:x")["kinds"] == [] and len(providers.kr_lookup_plan("A")["kinds"]) == 8
+    assert sorted((r.symbol, r.place) for r in providers.kr_select(items.withColumn("symbol", F.concat(F.lit("Stock: "), "symbol"))).collect()) == [(f"Stock: {a}", b) for a, b in got]
+
+
+def test_lookups(spark):
+    asked = spark.createDataFrame([(s,) for s in ("ETF:069500", "KR7005930003", " A ", "future:x", "005930", "None:y", "", None, "etf:")], "symbol string")
+    got = {}
+    for r in providers.kr_candidates(asked, F.lit("2024-03-31").cast("date")).orderBy("symbol", "place").collect():
+        got.setdefault(r.symbol, []).append((r.kind, r.parameter, r.value, r.begin_day, r.end_day))
+    assert got["ETF:069500"] == [("etf", "likeSrtnCd", "069500", "20230131", "20240331")] and "future:x" not in got
+    assert [x[:3] for x in got["KR7005930003"][:3]] == [("stock", "isinCd", "KR7005930003"), ("stock", "likeIsinCd", "KR7005930003"), ("etf", "isinCd", "KR7005930003")] and len(got["KR7005930003"]) == 16
+    assert got[" A "][0][:3] == ("stock", "itmsNm", "A") and got["None:y"][0][2] == "None:y" and got["etf:"][0][2] == "etf:" and len(got["005930"]) == 8
+    answer = lambda kind, parameter, value, items: (kind, parameter, value, json.dumps(kr(items)))
+    answers = spark.createDataFrame([answer("etf", "likeSrtnCd", "005930", [{"itmsNm": "e"}]), answer("bond", "likeSrtnCd", "005930", {"itmsNm": "b"}), answer("stock", "likeSrtnCd", "005930", []), ("stock", "itmsNm", "A", "Unauthorized"), ("etn", "likeItmsNm", "A", None)], "kind string, parameter string, value string, payload string")
+    found = providers.kr_resolve(providers.kr_candidates(asked), answers).collect()
+    assert [(r.symbol, r.kind, r.parameter) for r in found] == [("005930", "etf", "likeSrtnCd")]
+
+
+def test_xml_by_schema(spark):
+    item = "<item n='1'><basDt>20240103</basDt><clpr unit='won'>5</clpr><itmsNm>A&amp;B</itmsNm></item>"
+    wrap = lambda x: f"<?xml version='1.0'?>\n<response><header><resultCode>00</resultCode></header><body><items>{x}</items></body></response>"
+    got = providers.kr_items(raw(spark, wrap(item), wrap(item.replace("A&amp;B", "<![CDATA[C <x>]]>") * 2), wrap(""), "<response><head")).collect()
+    assert sorted((r.symbol, r.place, r.itmsNm, r.clpr) for r in got) == [("S0", 0, "A&B", "5"), ("S1", 0, "C <x>", "5"), ("S1", 1, "C <x>", "5")]
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
