@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from barwright.functions.exprs import by_symbol
 from barwright.functions.scan import running
+from barwright.functions.slices import sliced
 from barwright.schema import LOOKFORWARD, MIN_BARS, SWING_THRESHOLD
+from barwright.session import shared_dir
 
 from .bars import numbered, time_window
 from .signals import levels
@@ -105,6 +107,74 @@ def walk(scored: DataFrame, threshold: float, lookforward: int = LOOKFORWARD, st
     return rows.repartition("symbol").sortWithinPartitions("symbol", "bar_ts").mapInPandas(run, STEPS)
 
 
+def _places(df: DataFrame) -> DataFrame:
+    """Adds i, each bar's place in its symbol's history from 0, and n_bars; months are counted, and a task numbers one at a time."""
+    df = df.withColumn("_month", F.date_trunc("month", "bar_ts"))
+    order, whole = Window.partitionBy("symbol").orderBy("_month"), Window.partitionBy("symbol")
+    months = df.groupBy("symbol", "_month").agg(F.count("*").alias("_n"))
+    months = months.select("symbol", "_month", (F.sum("_n").over(order) - F.col("_n")).alias("_before"), F.sum("_n").over(whole).alias("n_bars"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("symbol", "_month").orderBy("bar_ts")) - 1
+    return df.join(months, ["symbol", "_month"]).withColumn("i", place).drop("_month", "_before")
+
+
+def reachable(jumps: DataFrame, begin: DataFrame) -> DataFrame:
+    """(symbol, i) of all nodes that a walk along `jumps` (symbol, i, to) meets from `begin` (symbol, i), by pointer doubling.
+
+    Each round joins what is reached with jumps twice as long as the round's before, so the rounds grow with the logarithm of the walk.
+    """
+    shared_dir(jumps.sparkSession)
+    jumps, reached, seen = jumps.where("to is not null").checkpoint(), begin.checkpoint(), -1
+    while (now := reached.count()) != seen:
+        seen = now
+        far = reached.join(jumps, ["symbol", "i"]).select("symbol", F.col("to").alias("i"))
+        reached = reached.unionByName(far).distinct().checkpoint()
+        ahead = jumps.select("symbol", F.col("i").alias("to"), F.col("to").alias("beyond"))
+        jumps = jumps.join(ahead, ["symbol", "to"]).select("symbol", "i", F.col("beyond").alias("to")).checkpoint()
+    return reached
+
+
+def walk_long(scored: DataFrame, threshold: float, lookforward: int = LOOKFORWARD, start: int = MIN_BARS, tail: int | None = None, swing: float = SWING_THRESHOLD, slice_rows: int = 1 << 16) -> DataFrame:
+    """What `walk` gives, for histories of any length: no task sees a whole one.
+
+    Where an entry at a bar would be left is told for every bar that could be one, from the `lookforward` bars after it, in slices
+    of `slice_rows`. The bar after that exit points to the next possible entry, and pointer doubling finds those that are
+    reached. Their profits and positions are then carried to the other bars month by month.
+    """
+    tail = lookforward if tail is None else tail
+    shared_dir(scored.sparkSession)
+    rows = _places(levels(scored, swing=swing).select("symbol", "bar_ts", "close", "score", "stop_loss", "take_profit")).checkpoint()
+    decides = lambda i: (i >= start) & (i < F.col("n_bars") - tail)
+
+    def left(d: DataFrame) -> DataFrame:
+        ahead = F.collect_list(F.struct("i", "close", "bar_ts")).over(by_symbol().rowsBetween(1, lookforward))
+        out = lambda x: decides(x["i"]) & (F.coalesce((x["close"] <= F.col("stop_loss")) | (x["close"] >= F.col("take_profit")), F.lit(False)) | (x["i"] - F.col("i") >= lookforward))
+        return d.withColumn("_ahead", ahead).withColumn("_exit", F.try_element_at(F.filter("_ahead", out), F.lit(1))).drop("_ahead")
+
+    may = decides(F.col("i")) & (F.col("score") >= threshold)
+    told = sliced(rows, left, back=0, ahead=lookforward, rows=max(slice_rows, lookforward)).withColumn("_may", F.when(may, F.col("i")))
+    told = running(told, future={"_next": "_may"}).select(*rows.columns, "_exit", "_may", "_next").checkpoint()
+    entries = told.where("_may is not null").select("symbol", "i", (F.col("_exit.i") + 1).alias("after"))
+    following = told.select("symbol", F.col("i").alias("after"), F.col("_next").alias("to"))
+    begin = told.groupBy("symbol").agg(F.min("_may").alias("i")).where("i is not null")
+    taken = reachable(entries.join(following, ["symbol", "after"]).select("symbol", "i", "to"), begin)
+    trade = F.struct("i", F.col("bar_ts").alias("ts"), F.col("close").alias("price"), F.col("score").alias("probability"), "stop_loss", "take_profit", F.col("_exit.i").alias("end"))
+    held = told.join(taken.withColumn("_taken", F.lit(True)), ["symbol", "i"], "left").withColumn("_trade", F.when(F.col("_taken"), trade))
+    held = running(held, past={"_last": "_trade"})
+    t = F.col("_last")
+    inside = t.isNotNull() & (t["end"].isNull() | (F.col("i") <= t["end"]))
+    profit = F.when(F.coalesce(F.col("i") == t["end"], F.lit(False)), (F.col("close") - t["price"]) / t["price"])
+    reason = F.when(F.col("close") <= t["stop_loss"], "Stop-loss").when(F.col("close") >= t["take_profit"], "Take-profit").otherwise("Max time")
+    held = held.withColumns({"_inside": inside, "profit_pct": profit, "_month": F.date_trunc("month", "bar_ts")})
+    months = held.groupBy("symbol", "_month").agg(F.product(F.coalesce(1 + F.col("profit_pct"), F.lit(1.0))).alias("_made"))
+    months = months.select("symbol", "_month", F.coalesce(F.product("_made").over(Window.partitionBy("symbol").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)).alias("_made"))
+    made = F.product(F.coalesce(1 + F.col("profit_pct"), F.lit(1.0))).over(Window.partitionBy("symbol", "_month").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, 0)) * F.col("_made")
+    held = held.join(months, ["symbol", "_month"]).withColumn("_realised", made)
+    marked = F.when(F.col("_inside") & F.col("profit_pct").isNull(), F.col("_realised") * (1 + (F.col("close") - t["price"]) / t["price"])).otherwise(F.col("_realised"))
+    when = lambda x: F.when(F.col("_inside"), x)
+    closed = lambda x: F.when(F.col("profit_pct").isNotNull(), x)
+    return held.select("symbol", "bar_ts", "close", "score", when(t["ts"]).alias("entry_ts"), when(t["price"]).alias("entry_price"), when(t["probability"]).alias("entry_probability"), closed(reason).alias("exit_reason"), "profit_pct", closed(F.col("i") - t["i"]).alias("bars_held"), marked.alias("equity"))
+
+
 def trades(steps: DataFrame) -> DataFrame:
     """Closed positions; one still open at the end is no trade."""
     return steps.where("exit_reason is not null").select(

@@ -492,9 +492,12 @@ def money_formats(spark: SparkSession, d: str) -> DataFrame:
 # Backtests on the fallback score
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return signals.fallback_scores(recursive(priced(spark, d))).withColumn("score", F.round("score", 9))
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    scored = signals.fallback_scores(recursive(priced(spark, d)))
-    return backtest.walk(scored.withColumn("score", F.round("score", 9)), THRESHOLD)
+    return backtest.walk(_scored(spark, d), THRESHOLD)
 
 
 HELD = "(CASE WHEN s.i < 50 OR s.i >= s.n_bars - 10 THEN 'none' WHEN w.entry IS NULL THEN (CASE WHEN s.score >= 0.5 THEN 'in' ELSE 'none' END) WHEN s.close <= w.stop THEN 'Stop-loss' WHEN s.close >= w.take THEN 'Take-profit' WHEN s.i - w.entry >= 10 THEN 'Max time' ELSE 'none' END)"
@@ -517,6 +520,12 @@ def backtest_trades(spark: SparkSession, d: str) -> DataFrame:
     return show(backtest.trades(_steps(spark, d)))
 
 
+@query(with_bars(f"{WALK} SELECT symbol, entry_date, exit_date, {rounded(entry_price='entry_price', exit_price='exit_price', profit_pct='profit_pct', entry_probability='entry_probability')}, days_held, bars_held, exit_reason FROM closed"))
+def backtest_trades_long(spark: SparkSession, d: str) -> DataFrame:
+    """The trades found by pointer doubling, with histories cut into slices."""
+    return show(backtest.trades(backtest.walk_long(_scored(spark, d), THRESHOLD, slice_rows=64)))
+
+
 @query(with_bars(f"{WALK} SELECT symbol, count(*) AS num_trades, {rounded(win_rate='avg(CASE WHEN profit_pct > 0 THEN 1.0 ELSE 0.0 END)', avg_profit='avg(profit_pct)', total_return='product(1 + profit_pct) - 1', best='max(profit_pct)', worst='min(profit_pct)')} FROM closed GROUP BY symbol"))
 def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
     return show(backtest.summary(backtest.trades(_steps(spark, d))))

@@ -93,3 +93,22 @@ def test_running_values_over_months(spark):
     assert backtest.max_drawdown(df.withColumn("equity", F.col("close"))).first().max_drawdown == pytest.approx(7 / 9)
     plan = backtest.buy_hold(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_pointer_doubling_walks_as_the_walk_does(spark):
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for symbol, n, often in (("long", 1500, 0.3), ("calm", 90, 0.1), ("none", 80, 0.0), ("all", 100, 1.0), ("few", 12, 1.0)):
+        price = 100.0
+        for i in range(n):
+            price *= 1 + r.uniform(-0.12, 0.12)
+            rows.append((symbol, START + dt.timedelta(days=i), price, 0.9 if r.random() < often else 0.1, 2.0))
+    scored = spark.createDataFrame(rows, "symbol string, bar_ts timestamp_ntz, close double, score double, atr_14 double")
+    want, got = ({(x.symbol, x.bar_ts): x for x in f.collect()} for f in (backtest.walk(scored, 0.5), backtest.walk_long(scored, 0.5, slice_rows=50)))
+    assert want.keys() == got.keys() and sum(x.exit_reason is not None for x in want.values()) > 100
+    for k, a in want.items():
+        b = got[k]
+        assert (a.entry_ts, a.exit_reason, a.bars_held, a.entry_price, a.entry_probability) == (b.entry_ts, b.exit_reason, b.bars_held, b.entry_price, b.entry_probability), k
+        assert a.equity == pytest.approx(b.equity, rel=1e-9) and (a.profit_pct is None) == (b.profit_pct is None) and (a.profit_pct is None or a.profit_pct == pytest.approx(b.profit_pct))
