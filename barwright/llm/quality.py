@@ -6,17 +6,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, materialise, slices, small_batches, text_bytes
+from .common import WHITESPACE, flat, materialise, slices, small_batches, text_bytes
 from .learn import labelled_sample
 from .rules import Slice
 
 PASSAGE_WORDS = 64
-#: Passages of a part, about: what a task holds at once while fitting.
-PART = 10_000
+#: Passages of a part (a batch has up to 1,000 parts), passages of a task while they are few, and tasks of a step at most.
+PART, TASK_PASSAGES, TASKS = 16, 20_000, 64
 CLASSES = 129
 WORD_BUCKETS, GRAM_BUCKETS = 64, 192
 HASHED_SCALE = 0.1
@@ -88,9 +87,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-Part = tuple[np.ndarray, np.ndarray]
-
-
 class AttentionModel:
     """encode: h = tanh(xW + b); attention: softmax over a text of u . (tanh(hV) * sigmoid(hU)); score: sigmoid(c . z + d).
 
@@ -136,7 +132,7 @@ class AttentionModel:
         dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h**2)
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "u": (t * s).T @ dlogit}
 
-    def fit(self, parts: Parts, y: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.03, decay: float = 1e-4) -> None:
+    def fit(self, parts: Parts, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.04, decay: float = 1e-4) -> None:
         """Adam on the whole weighted log loss. `parts` adds functions of parts of the passages up, wherever those are."""
         moments = parts.total(lambda x, bag: np.stack([x.sum(0, dtype=float), np.einsum("ij,ij->j", x, x, dtype=float, casting="same_kind"), np.full(x.shape[1], float(len(x)))]))
         self.shift = moments[0] / moments[2]
@@ -172,29 +168,34 @@ def _unpacked(flat_: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.nd
 
 
 class Parts:
-    """Passages in an RDD of parts (inputs, text's number), kept in executors; a text may lie in several."""
+    """Passages in a table of parts (x: inputs, marks: text of each passage), read by tasks in batches; a text may lie in several parts."""
 
-    def __init__(self, held: RDD):
-        self.held = held
+    def __init__(self, held: DataFrame, marks: np.ndarray):
+        self.held, self.marks = held, marks
 
     def total(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """The sum of f over all parts, added up in a tree of tasks."""
+        """The sum of f over all passages. f takes a batch's inputs and the numbers of their texts; each task gives one row."""
+        marks = self.marks
 
-        def run(parts: Iterator[Part]) -> Iterator[np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = None
-            for x, bag in parts:
-                found = f(x, bag) if found is None else found + f(x, bag)
+            for batch in batches:
+                if batch.num_rows:
+                    x = flat(batch.column(0))[0].view(np.float32).reshape(-1, INPUTS)
+                    made = f(x, np.searchsorted(marks, flat(batch.column(1))[0].view(np.int64)))
+                    found = made if found is None else found + made
             if found is not None:
-                yield found
+                shape = pa.array([list(found.shape)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([shape, pa.array([found.astype(float).tobytes()], pa.binary())], ["shape", "sums"])
 
-        return self.held.mapPartitions(run).treeReduce(np.add)
+        return sum(np.frombuffer(bytes(r["sums"])).reshape(r["shape"]) for r in self.held.mapInArrow(run, "shape array<long>, sums binary").collect())
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", per_class: int = 600, seed: int = 5) -> AttentionModel | None:
     """Fit on at most `per_class` labelled documents of each class, whole; None if there are none.
 
-    Passages stay in executors, some 10,000 to a part whatever text they are of: a step sums every text's weights and weighted
-    passages, then the gradient, and only such sums reach the driver. The classes are weighted back to their shares among the labels, so
+    Passages are written in parts of a few, whatever text they are of. A step sums every text's weights and weighted passages, then the
+    gradient; of each of at most TASKS tasks only such sums reach the driver. The classes are weighted back to their shares among the labels, so
     scores are probabilities. Null ids aren't learnt from; texts that share an id are texts of their own.
     """
     mark = F.xxhash64("doc_id", "text")
@@ -213,17 +214,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, label: st
     if not texts:
         return None
     marks, y = (np.array(c) for c in zip(*texts, strict=True))
-    passages_ = materialise(sample.select("mark", "text").mapInArrow(cut, "x binary, marks binary"), "passages")
-
-    def part(r: tuple) -> Part:
-        return np.frombuffer(bytes(r.x), np.float32).reshape(-1, INPUTS), np.searchsorted(marks, np.frombuffer(bytes(r.marks), np.int64))
-
-    tasks = max(1, -(-(passages_.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // (8 * PART)))
-    held = passages_.coalesce(tasks).rdd.map(part).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = materialise(sample.select("mark", "text").mapInArrow(cut, "x binary, marks binary"), "passages")
+    rows = parts.agg(F.sum(F.octet_length("marks"))).first()[0] // 8
+    held = parts.coalesce(min(TASKS, -(-rows // TASK_PASSAGES))).persist()
     weight = np.array([share.get(c, 1) / max(1, (y == c).sum()) for c in (0, 1)])[y]
     model = AttentionModel(INPUTS)
     try:
-        model.fit(Parts(held), y.astype(float), weight)
+        model.fit(Parts(held, marks), y.astype(float), weight)
     finally:
         held.unpersist()
     return model

@@ -182,7 +182,7 @@ def test_one_id_with_very_many_texts_is_bounded(spark):
 
 def test_a_long_text_is_learnt_whole(spark, monkeypatch):
     """Its only bad passage is far inside; its passages lie in many parts, and its windows in many groups."""
-    monkeypatch.setattr("barwright.llm.quality.PART", 200)
+    monkeypatch.setattr("barwright.llm.quality.TASK_PASSAGES", 200)
     monkeypatch.setattr("barwright.llm.toxicity.GROUP_BYTES", 1 << 16)
     r = random.Random(4)
     rows = [(i, prose(r, "en", 60) + (" zwifnug plonkerdom grumblok" * 3 if i % 2 else "")) for i in range(60)] + [(60, prose(r, "en", 40_000) + " zwifnug plonkerdom grumblok" * 3)]
