@@ -15,7 +15,7 @@ from .common import flat, materialise, slices, small_batches
 
 WEIGHT_BITS = 20
 #: Words up to so many bytes are remembered, so many of them: a bounded number of bytes whatever the texts.
-CACHE_BYTES, CACHE_WORDS = 64, 800_000
+CACHE_BYTES, CACHE_WORDS = 64, 500_000
 #: Beyond so many sources the largest keep queues of their own, and the others are dealt over the shared ones.
 QUEUES, SHARED = 2000, 200
 #: Byte-level models write bytes as letters: visible Latin-1 characters stand for themselves, others for 256 and up in turn.

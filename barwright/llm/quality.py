@@ -15,7 +15,7 @@ from .rules import Slice
 
 PASSAGE_WORDS = 64
 #: Passages of a part (a batch has up to 1,000 parts), passages of a task while they are few, and tasks of a step at most.
-PART, TASK_PASSAGES, TASKS = 16, 20_000, 64
+PART, TASK_PASSAGES, TASKS = 4, 20_000, 64
 CLASSES = 129
 WORD_BUCKETS, GRAM_BUCKETS = 64, 192
 HASHED_SCALE = 0.1
