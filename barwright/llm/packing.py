@@ -16,8 +16,9 @@ from .common import flat, materialise, slices, small_batches
 WEIGHT_BITS = 20
 #: Words up to so many bytes are remembered, so many of them: a bounded number of bytes whatever the texts.
 CACHE_BYTES, CACHE_WORDS = 64, 500_000
-#: Beyond so many sources the largest keep queues of their own, and the others are dealt over the shared ones.
-QUEUES, SHARED = 2000, 200
+#: Beyond so many sources the largest keep queues of their own, and the others are dealt over the shared ones, which are trees of
+#: their sources' own queues with so many branches a node.
+QUEUES, SHARED, FAN = 2000, 200, 64
 #: Byte-level models write bytes as letters: visible Latin-1 characters stand for themselves, others for 256 and up in turn.
 VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(VISIBLE)))}
@@ -194,20 +195,18 @@ class Schedule:
         return turn * self.quantum + at % self.quantum - holes[np.searchsorted(self.last[order], turn, "left")]
 
 
-def pieces(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(document row, start, length, place) of the pieces of documents [at, at + n) of queues s."""
+def spread(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start, length, place) of the quanta of the stretches [at, at + n) of queues s."""
     q = schedule.quantum
     first, count = at // q, (at + n - 1) // q - at // q + 1
     row = np.repeat(np.arange(len(s)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
     begin = np.maximum(k * q, at[row])
-    size = np.minimum((k + 1) * q, (at + n)[row]) - begin
-    place = schedule.place(s[row], begin)
-    over = np.maximum(0, place % window + size - window)
-    row, start = np.concatenate((row, row[over > 0])), begin - at[row]
-    start = np.concatenate((start, (start + size - over)[over > 0]))
-    place = np.concatenate((place, (place + size - over)[over > 0]))
-    size = np.concatenate((size - over, over[over > 0]))
+    return row, begin - at[row], np.minimum((k + 1) * q, (at + n)[row]) - begin, schedule.place(s[row], begin)
+
+
+def joined(row: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, window: int = 1 << 62) -> tuple[np.ndarray, ...]:
+    """Pieces by row and start, those made one that touch in their document and in the stream, within a window."""
     order = np.lexsort((start, row))
     row, start, place, size = row[order], start[order], place[order], size[order]
     joins = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + size[:-1]) & (place[1:] % window != 0)
@@ -215,6 +214,30 @@ def pieces(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray, win
     return row[heads], start[heads], np.add.reduceat(size, heads), place[heads]
 
 
+def pieces(schedule: Schedule, s: np.ndarray, at: np.ndarray, n: np.ndarray, window: int, inner: list[list[tuple[Schedule, np.ndarray]]] = ()) -> tuple[np.ndarray, ...]:
+    """(document row, start, length, place) of the pieces of documents [at, at + n) of queues s.
+
+    `inner` has the levels of shared queues, lowest first: at each, schedules of groups and every document's branch there (-1: none).
+    """
+    row, start, size, place = np.arange(len(s)), np.zeros(len(s), np.int64), n, at
+    for level in inner:
+        found, rest = [], np.ones(len(row), bool)
+        for group, branch in level:
+            mine = np.flatnonzero(branch[row] >= 0)
+            rest[mine] = False
+            r, begin, length, to = spread(group, branch[row[mine]], place[mine], size[mine])
+            found.append((row[mine[r]], start[mine[r]] + begin, length, to))
+        found.append((row[rest], start[rest], size[rest], place[rest]))
+        row, start, size, place = joined(*map(np.concatenate, zip(*found, strict=True)))
+    r, begin, size, place = spread(schedule, s[row], place, size)
+    row, start = row[r], start[r] + begin
+    over = np.maximum(0, place % window + size - window)
+    row, start = np.concatenate((row, row[over > 0])), np.concatenate((start, (start + size - over)[over > 0]))
+    place = np.concatenate((place, (place + size - over)[over > 0]))
+    size = np.concatenate((size - over, over[over > 0]))
+    return joined(row, start, size, place, window)
+
+
 def _queues(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """(source, queue, n, weight) of each source with its ids `n`; `=` starts the names of own queues, `#` of shared ones."""
     spark = totals.sparkSession
@@ -231,6 +254,41 @@ def _queues(totals: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     return totals.join(F.broadcast(largest), "source", "left").withColumn("queue", F.when(F.col("own"), own).otherwise(shared)).drop("own")
 
 
+GROUP = "array<struct<node:string,branch:int,n:array<long>,weight:array<double>>>"
+
+
+def _inner(queues: DataFrame) -> DataFrame:
+    """(source, inner) of each source of a shared queue: the groups of at most `FAN` branches that it is in, lowest first.
+
+    A branch is a source, or a group of them with the sum of its sources' ids and weights; the topmost group is the queue.
+    """
+    number = (F.row_number().over(Window.partitionBy("queue").orderBy("source")) - 1).cast("long")
+    shared = materialise(queues.where(F.col("queue").startswith("#")).withColumn("number", number), "shared-queues")
+    most = shared.agg(F.max("number")).first()[0]
+    nodes, paths, groups, width = shared.select("queue", "number", "n", "weight"), shared.select("source", "queue", "number"), [], 1
+    while width <= most or not groups:
+        node, up = f"node{width}", F.expr(f"number div {FAN}").alias("up")
+        found = nodes.groupBy("queue", up).agg(F.sort_array(F.collect_list(F.struct("number", "n", "weight"))).alias("branches"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+        about = F.struct(F.concat_ws("/", F.lit(width), "queue", "up").alias("node"), F.col("branches.n").alias("n"), F.col("branches.weight").alias("weight"))
+        paths = paths.withColumn("up", F.expr(f"number div {width * FAN}")).join(found.select("queue", "up", about.alias(node)), ["queue", "up"]).drop("up")
+        groups.append(F.struct(F.col(f"{node}.node"), F.expr(f"cast(number div {width} % {FAN} AS int)").alias("branch"), F.col(f"{node}.n"), F.col(f"{node}.weight")))
+        nodes, width = found.select("queue", F.col("up").alias("number"), "n", "weight"), width * FAN
+    return paths.select("source", F.array(*groups).cast(GROUP).alias("inner"))
+
+
+def _levels(paths: list[list[dict] | None], quantum: int) -> list[list[tuple[Schedule, np.ndarray]]]:
+    """The `inner` of pieces(), from that of each document."""
+    out = []
+    for depth in range(max((len(p) for p in paths if p), default=0)):
+        groups: dict[str, tuple[Schedule, np.ndarray]] = {}
+        for k, g in ((k, p[depth]) for k, p in enumerate(paths) if p):
+            if g["node"] not in groups:
+                groups[g["node"]] = Schedule(dict(enumerate(g["n"])), dict(enumerate(g["weight"])), quantum), np.full(len(paths), -1, np.int64)
+            groups[g["node"]][1][k] = g["branch"]
+        out.append([*groups.values()])
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quantum: int = 256, weights: dict[str, float] | None = None, max_sources: int | None = None) -> DataFrame:
     """Pieces of all documents in windows of `window` ids, every window near the target token shares of sources.
 
@@ -238,9 +296,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
     source, padded_length. `weights` are target shares by source; the default is each source's share of the ids,
     so all queues end together. All windows are full but the last, which is padded to a power of two. A
     null source is the queue "". Null and empty texts are one `end` id. Repeated rows are packed as often as they
-    occur, null doc_ids keep null. An empty table packs into no rows. Any number of sources packs: of over
-    `QUEUES`, the largest have queues of their own, and the others share `SHARED` queues, dealt by hash, with the sum of
-    their shares; only a caller that gives `max_sources` has more of them as an error. `tokenizer` must not join
+    occur, null doc_ids keep null. An empty table packs into no rows. Any number of sources packs, each with its own deficit: of over
+    `QUEUES`, the largest have queues of their own, and the others are dealt by hash over `SHARED` queues with the sum of
+    their shares, in which deficit round-robin serves groups of `FAN` branches, and in them smaller ones, down to the
+    sources; only a caller that gives `max_sources` has more of them as an error. `tokenizer` must not join
     words over ASCII white space. Ids are written once, by input partition, and joined to one offset per partition and source: a
     written table too, so that Spark knows its size and broadcasts it while it is small.
     """
@@ -250,12 +309,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
     if max_sources is not None and len(totals.limit(max_sources + 1).collect()) > max_sources:
         raise ValueError(f"more than {max_sources} sources; give a coarser source column")
     queues = materialise(_queues(totals, weights).select("source", "queue", "n", "weight").coalesce(8), "queues")
-    parts = parts.join(queues.select("source", "queue"), "source")
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = parts.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", before(Window.partitionBy("queue").orderBy("part")).alias("start"))
-    begins = parts.join(runs, ["queue", "part"]).select("part", "source", "queue", (F.col("start") + before(Window.partitionBy("queue", "part").orderBy("source"))).alias("base"))
-    begins = materialise(begins.coalesce(8), "offsets")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = queues.groupBy("queue").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).collect()
+    begins = parts.select("part", "source", before.alias("base")).join(queues.select("source", "queue"), "source")
+    shared = any(r.queue.startswith("#") for r in found)
+    begins = begins.join(_inner(queues), "source", "left") if shared else begins.withColumn("inner", F.lit(None).cast(GROUP))
+    begins = materialise(begins.coalesce(8), "offsets")
     spark = docs.sparkSession
     total = sum(r.n for r in found)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string, padded_length long"
@@ -272,7 +331,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
             data, offsets = flat(batch.column(4))
             width = int(offsets[-1]) // int(n.sum())
             ids = np.frombuffer(data.tobytes(), np.dtype(f"<u{width}")).astype("<u4")
-            row, start, length, place = pieces(schedule, s, at, n, window)
+            row, start, length, place = pieces(schedule, s, at, n, window, _levels(batch.column(6).to_pylist(), quantum))
             begin = offsets[row] // width + start
             order = np.argsort(begin)  # pieces tile the ids in this order
             row, start, length, place = row[order], start[order], length[order], place[order]
@@ -284,4 +343,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, quan
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source", "padded_length"],
             )
 
-    return tokens.join(begins, ["part", "source"]).select("doc_id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids", "queue").mapInArrow(cut, shape)
+    return tokens.join(begins, ["part", "source"]).select("doc_id", "source", (F.col("at") + F.col("base")).alias("at"), "n", "ids", "queue", "inner").mapInArrow(cut, shape)

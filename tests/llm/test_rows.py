@@ -194,6 +194,26 @@ def test_more_sources_than_queues_pack(spark):
         assert at == 256 or k == len(places) - 1
 
 
+def test_sources_of_shared_queues_keep_their_own_deficits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 12)
+    monkeypatch.setattr(packing, "SHARED", 2)
+    monkeypatch.setattr(packing, "FAN", 3)
+    frame = spark.range(6000).selectExpr("id AS doc_id", "repeat('water ', cast(3 + id % 40 AS int)) AS text", "'s' || cast(sqrt(id % 1600) AS int) AS source").repartition(5)
+    got = pack(frame, PATH, window=256, quantum=16).collect()
+    total = Counter()
+    for r in got:
+        total[r.source] += r.length
+    whole, queue = sum(total.values()), Counter()
+    assert len(total) == 40 and sorted((r.sequence_id * 256 + r.offset) for r in got)[0] == 0
+    for k, r in enumerate(sorted(got, key=lambda r: (r.sequence_id, r.offset))):
+        assert r.sequence_id * 256 + r.offset == sum(queue.values())
+        queue[r.source] += r.length
+        if k % 50 == 0:
+            done = sum(queue.values())
+            assert all(abs(queue[s] - total[s] * done / whole) <= 2 * 16 * 5 for s in total)
+    assert queue == total
+
+
 def test_coder_remembers_across_generations(monkeypatch, rows):
     monkeypatch.setattr(packing, "CACHE_WORDS", 20)
     coder, tokenizer = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
