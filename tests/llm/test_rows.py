@@ -66,8 +66,8 @@ def test_shard_odd_and_empty(odd, none):
 
 def test_no_task_numbers_a_whole_hot_group(spark):
     """One text on 2 % of 40,000 rows and one on a third, most of them without an id."""
-    rows = spark.range(40_000).selectExpr("xxhash64(CASE WHEN id % 50 = 0 THEN 'x' WHEN id % 3 = 0 THEN 'y' ELSE 'z' || id END) AS same", "id AS row", "100L AS size", "10L AS tokens")
-    counts = sharding.parcels(rows, 40, 256, 1.0).groupBy("parcel", "cell").count()
+    rows = spark.range(40_000).selectExpr("xxhash64(CASE WHEN id % 50 = 0 THEN 'x' WHEN id % 3 = 0 THEN 'y' ELSE 'z' || id END) AS same", "if(id % 7 = 0, id, null) AS doc_id", "100L AS size", "10L AS tokens")
+    counts = sharding.parcels(sharding.numbered(rows), 40, 256, 1.0).groupBy("parcel", "cell").count()
     assert counts.agg(F.max("count")).first()[0] < 40 and counts.count() < 5 * 40 * 256
 
 
