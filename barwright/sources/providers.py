@@ -58,14 +58,14 @@ def kr_status(payload: Column) -> Column:
     return F.when(F.coalesce(F.trim(payload), F.lit("")) == "", "empty").when(code.isin(*KR_AUTH_CODES) | (code.isNull() & F.lower(payload).contains("unauthorized")), "auth").when(code == "00", "ok").otherwise("error")
 
 
-def kr_items(raw: DataFrame) -> DataFrame:
-    """(symbol, place, item fields) from (symbol, payload) with JSON (one item or a list) or XML items."""
+def kr_items(raw: DataFrame, *carried: str) -> DataFrame:
+    """(symbol, carried columns, place, item fields) from (symbol, payload) with JSON (one item or a list) or XML items."""
     item = F.get_json_object("payload", "$.response.body.items.item")
     from_json = F.when(F.trim(item).startswith("["), F.from_json(item, f"array<{KR_ITEM}>")).otherwise(F.array(F.from_json(item, KR_ITEM)))
     text = lambda x, f: F.nullif(F.trim(x[f]), F.lit("")).alias(f)
     from_xml = F.transform(_xml(F.col("payload"))["body"]["items"]["item"], lambda x: F.struct(*(text(x, f) for f in KR_FIELDS)))
     items = F.when(F.ltrim("payload").startswith("<"), from_xml).when(item.isNotNull(), from_json)
-    return raw.where(kr_status(F.col("payload")) == "ok").select("symbol", F.posexplode(items).alias("place", "item")).select("symbol", "place", "item.*")
+    return raw.where(kr_status(F.col("payload")) == "ok").select("symbol", *carried, F.posexplode(items).alias("place", "item")).select("symbol", *carried, "place", "item.*")
 
 
 def kr_lookup(symbol: Column) -> Column:
@@ -84,32 +84,36 @@ def _by_isin(value: Column) -> Column:
     return value.startswith("KR") & (F.length(value) >= 10)
 
 
-def kr_candidates(asked: DataFrame, as_of: Column | None = None, months: int = 14) -> DataFrame:
-    """(symbol, place, kind, parameter, value) of every request to try for each symbol, in order; with `as_of`, also the days to ask for.
+def kr_candidates(asked: DataFrame, as_of: Column | None = None, months: int = 14, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(carried columns, symbol, place, kind, parameter, value) of every request to try for each symbol, in order; with `as_of`, also the days to ask for.
 
     Kinds come in their order, and for each the parameters: a code, an ISIN or a name, the latter two exactly, then in part. A symbol
     of a kind that can't be asked has no candidates.
     """
-    look = asked.select("symbol", kr_lookup(F.col("symbol")).alias("look")).distinct()
+    look = asked.select(*carried, "symbol", kr_lookup(F.col("symbol")).alias("look")).distinct()
     value, order = F.col("look.value"), F.array(*map(F.lit, ASSET_ORDER))
     kinds = F.when(F.col("look.kind").isNull(), order).otherwise(F.filter(order, lambda k: k == F.col("look.kind")))
     names = lambda *n: F.array(*map(F.lit, n))
     parameters = F.when(_by_isin(value), names("isinCd", "likeIsinCd")).when(_by_code(value), names("likeSrtnCd")).otherwise(names("itmsNm", "likeItmsNm"))
-    out = look.select("symbol", value.alias("value"), F.posexplode(kinds).alias("k", "kind"), parameters.alias("parameters")).select("symbol", "value", "k", "kind", F.posexplode("parameters").alias("p", "parameter"))
+    out = look.select(*carried, "symbol", value.alias("value"), F.posexplode(kinds).alias("k", "kind"), parameters.alias("parameters")).select(*carried, "symbol", "value", "k", "kind", F.posexplode("parameters").alias("p", "parameter"))
     days = [] if as_of is None else [F.date_format(F.add_months(as_of, -months), "yyyyMMdd").alias("begin_day"), F.date_format(as_of, "yyyyMMdd").alias("end_day")]
-    return out.select("symbol", (2 * F.col("k") + F.col("p")).alias("place"), "kind", "parameter", "value", *days)
+    return out.select(*carried, "symbol", (2 * F.col("k") + F.col("p")).alias("place"), "kind", "parameter", "value", *days)
 
 
-def kr_resolve(candidates: DataFrame, answers: DataFrame) -> DataFrame:
-    """(symbol, kind, parameter, payload): for every symbol the first candidate whose answer (kind, parameter, value, payload) has items.
+def kr_resolve(candidates: DataFrame, answers: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(carried columns, symbol, kind, parameter, payload): for every symbol the first candidate whose answer (kind, parameter, value, payload) has items.
 
-    One join and one partial aggregation for all symbols; symbols without such an answer have no row.
+    Where both have `carried` columns, such as an asker's key, a symbol's answers are its own asker's, whoever else asks for it.
+
+    One join and one partial aggregation for all symbols; symbols without such an answer have no row. An answer is parsed once, and
+    the join is by sorting: candidates and answers are many times what a planner takes them for before they are exploded, so neither may be broadcast.
     """
     item = F.get_json_object("payload", "$.response.body.items.item")
-    some = F.coalesce(F.size(_xml(F.col("payload"))["body"]["items"]["item"]) > 0, F.lit(False)) | (item.isNotNull() & ~F.trim(item).isin("", "[]", "{}"))
-    good = answers.where((kr_status(F.col("payload")) == "ok") & some).select("kind", "parameter", "value", "payload")
-    first = candidates.join(good, ["kind", "parameter", "value"]).groupBy("symbol").agg(F.min_by(F.struct("kind", "parameter", "payload"), F.struct("place", "payload")).alias("first"))
-    return first.select("symbol", "first.*")
+    of_json = (kr_status(F.col("payload")) == "ok") & item.isNotNull() & ~F.trim(item).isin("", "[]", "{}")
+    of_xml = F.exists(F.array(_xml(F.col("payload"))), lambda x: (F.trim(x["header"]["resultCode"]) == "00") & (F.size(x["body"]["items"]["item"]) > 0))
+    good = answers.where(F.when(F.ltrim("payload").startswith("<"), of_xml).otherwise(of_json)).select(*carried, "kind", "parameter", "value", "payload")
+    first = candidates.join(good.hint("merge"), [*carried, "kind", "parameter", "value"]).groupBy(*carried, "symbol").agg(F.min_by(F.struct("kind", "parameter", "payload"), F.struct("place", "payload")).alias("first"))
+    return first.select(*carried, "symbol", "first.*")
 
 
 def kr_select(items: DataFrame) -> DataFrame:

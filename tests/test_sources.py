@@ -200,3 +200,24 @@ def test_indicators_of_a_stream_survive_restarts(spark, tmp_path):
     assert got.keys() == want.keys() and spark.read.parquet(str(tmp_path / "out")).count() == len(want)
     assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-12)) for k in want for x, y in zip(got[k], want[k], strict=True))
     bars.unpersist()
+
+
+def test_lookups_are_not_broadcast_and_answers_parsed_once(spark):
+    """Candidates and answers are exploded from a small table: by its size a planner would broadcast the one and parse answers twice."""
+    from barwright.plans import catalog
+
+    plan = catalog.kr_lookups(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "SortMergeJoin" in physical and "Broadcast" not in physical
+    assert physical.count("Join") == 1
+
+
+def test_parts_that_ask_for_one_symbol_get_their_own_answers(spark, tmp_path):
+    """Keys of seven digits are cut to six, so parts 1,000,001, 1,000,005 and 1,000,009 all ask for 100000, with answers of different kinds."""
+    from barwright.plans import catalog
+    from tests.oracle import check, connect
+
+    rows = [(1_000_001, "a", 3), (1_000_005, "b", 0), (1_000_009, "c", 7), (7, "d", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.kr_lookups(spark, str(tmp_path)).where("symbol = '100000'").count() == 3
+    check(spark, connect(str(tmp_path), recursive=True), str(tmp_path), catalog.kr_lookups, catalog.oracle_sql()["kr_lookups"])
