@@ -233,3 +233,11 @@ def test_train_save_load(spark, tmp_path):
         model.train(few, names, trees=1, rounds=1, depths=(2, 2), min_rows=10, swing=0.3, lookforward=5).stats["swing_threshold"] == 0.3
     ready = model.prepare_for_scoring(frame(spark, range(1, 120)))
     assert ready.where("sma_200 is null or rsi_14 is null").count() == 0 and column(ready, "sma_200")[-1] == pytest.approx(109.5)
+
+
+def test_filling_looks_at_no_row_from_every_other(spark):
+    """Frames from each row to the last would cost the square of a history."""
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, 2.0), ("a", 3, None), ("b", 1, None)], "symbol string, bar_ts int, x double")
+    filled = impute.fill(df, ["x"])
+    assert "currentrow$(), unboundedfollowing$()" not in filled._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.symbol, r.bar_ts, r.x) for r in filled.collect()) == [("a", 1, 2.0), ("a", 2, 2.0), ("a", 3, 2.0), ("b", 1, None)]
