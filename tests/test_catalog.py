@@ -74,3 +74,11 @@ def test_indicators_share_one_exchange(spark):
 def test_scan_reads_only_what_a_query_needs(spark):
     plan = catalog.bars_hourly(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema:")[1].split("\n")[0] and "user_id" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_model_queries_start_at_the_written_training_table(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "TRAINED", {})
+    monkeypatch.setattr(catalog.model, "train", lambda rows: None)
+    first, again = catalog._ensemble(spark, SMALL)[1], catalog._ensemble(spark, SMALL)[1]
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert first is again and plan.count("\n") == 1 and "parquet" in plan  # and none of the windows of 108 features
