@@ -1,4 +1,4 @@
-"""Near-duplicates by word shingles: bands of min-hashes propose, the similarity of the whole sets decides."""
+"""Near-duplicates by word shingles: the Gray-order index of SimHash fingerprints proposes, bands of min-hashes propose what it can't reach, the similarity of the whole sets decides."""
 
 from __future__ import annotations
 
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import components, flat, materialise, slices, text_bytes
+from .simhash import similar_links
 
 #: A pair of similarity 0.8 shares none of 40 bands of 6 with a chance of 5 in a million.
 BANDS, BAND_ROWS = 40, 6
+#: Fingerprints that differ in so many bits at most are proposed. At a similarity of 0.8 some ten differ, so the index alone reaches the nearer copies.
+DISTANCE = 7
 MIX = np.random.default_rng(54321).integers(0, 1 << 32, size=(2, BANDS * BAND_ROWS), dtype=np.uint32)
 
 
@@ -43,6 +46,17 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The 64-bit SimHash of each of some sets, none of them empty: the bits that over half of its digests have."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    digests = np.concatenate(sets)
+    out = np.zeros(len(sets), np.uint64)
+    for bit in range(64):
+        had = np.add.reduceat((digests >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
+        out |= (2 * had > [len(x) for x in sets]).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def similar_sets(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links that join exactly the sets of Jaccard similarity `least` or more, however far.
 
@@ -74,7 +88,7 @@ def similar_sets(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 
 
 def _marks(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, bands): a digest of each text's whole set and the set's bands."""
+    """(doc_id, mark, fp, bands): a digest of each text's whole set, the set's fingerprint (null without words) and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -85,9 +99,19 @@ def _marks(docs: DataFrame, words: int) -> DataFrame:
             full = [x for x in sets if len(x)]
             found = bands(full).view(np.int64).ravel() if full else np.zeros(0, np.int64)
             ends = np.cumsum([0, *(BANDS * bool(len(x)) for x in sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["doc_id", "mark", "bands"])
+            prints, none = np.zeros(len(sets), np.int64), np.array([not len(x) for x in sets], bool)
+            prints[~none] = set_fingerprints(full).view(np.int64) if full else 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark), pa.array(prints, mask=none), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["doc_id", "mark", "fp", "bands"])
+
+    return text_bytes(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, mark long, fp long, bands array<long>")
+
 
-    return text_bytes(docs.where("doc_id is not null")).mapInArrow(run, "doc_id long, mark long, bands array<long>")
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join the texts whose fingerprints are DISTANCE bits apart or nearer, by the Gray-order index."""
+    nodes = nodes.where("fp is not null").select("fp", "rep")
+    first = nodes.groupBy("fp").agg(F.min("rep").alias("first"))
+    same = nodes.join(first, "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    return same.unionByName(similar_links(first.select(F.col("first").alias("rep"), "fp"), DISTANCE))
 
 
 def _meetings(nodes: DataFrame, parts: int) -> DataFrame:
@@ -150,15 +174,15 @@ def one_of_each_similar(docs: DataFrame, words: int = 5, least: float = 0.8, par
     """The rows of `docs` but those of documents that are linked, however far, to one of smaller doc_id.
 
     Linked are texts whose sets of `words`-word runs have a Jaccard similarity of `least` or more; equal sets and texts
-    without words are. Sets that share a band are gathered by component, where the whole sets are compared: a pair is
-    missed only if no chain of bands joins it. A component of over `part_bytes` of text is compared by pairs of parts, so no
+    without words are. Sets whose fingerprints the Gray-order index finds near, or that share a band, are gathered by component, where the whole sets are compared: a pair is
+    missed only if no chain of either joins it. A component of over `part_bytes` of text is compared by pairs of parts, so no
     task holds more than two of them. Null and empty texts have no words; texts of any length are whole. Rows with a null doc_id
     stay; rows that share an id stay or go together; an empty table stays empty.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = materialise(_marks(docs, words), "shingle-marks")
-    nodes = materialise(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "shingle-sets")
-    met = components(_meetings(nodes, parts)).withColumnRenamed("node", "doc_id")
+    nodes = materialise(marks.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "shingle-sets")
+    met = components(_near_prints(nodes).unionByName(_meetings(nodes, parts))).withColumnRenamed("node", "doc_id")
     groups = components(materialise(_verified(_shares(docs, met, part_bytes), parts, words, least), "similar-sets"))
     named = nodes.select("mark", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
     dropped = materialise(marks.select("doc_id", "mark").join(named, "mark").where("component <> doc_id").select("doc_id").distinct(), "near-copies")

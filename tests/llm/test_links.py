@@ -314,3 +314,15 @@ def test_lattice_points_are_nearest():
     assert (((y - p) ** 2).sum(1)[:, None] <= ((y[:, None] - p[:, None] - v[None]) ** 2).sum(2) + 1e-9).all()
     own, around = Lattice(64, 3, 2, 4.0, 2, 0).cells(np.eye(64))
     assert own.shape == (64, 3) and around.shape == (64, 6)
+
+
+def test_near_duplicates_are_found_by_the_gray_order_index(spark, monkeypatch):
+    """Without any band that meets, near copies are found all the same; sets of other words stay apart."""
+    from barwright.llm import shingles
+
+    words = [f"w{i}" for i in range(400)]
+    copies = [[*words[:k], "other", *words[k + 1 :]] for k in (0, 200, 399)]
+    texts = [" ".join(t) for t in (words, *copies, [f"x{i}" for i in range(400)])]
+    monkeypatch.setattr(shingles, "_meetings", lambda nodes, parts: nodes.sparkSession.createDataFrame([], "a long, b long"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicates(spark, frame, "").collect()) == [0, 4]
