@@ -14,7 +14,8 @@ from xxhash import xxh64_intdigest
 from .common import checkpointed, components, flat, forest, join_classes, materialise, slices, text_bytes
 
 FANOUT = 8
-PAIRS = 1 << 19
+#: So many pairs of nodes are compared at a time.
+PAIRS = 1 << 18
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42) -> DataFrame:
@@ -61,7 +62,8 @@ def gray_order_links(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[n
     Rows must be sorted by cell and Gray rank. Leaves hold patterns; each upper node holds the bits on which its
     (up to eight) children agree, and a mask of them. A pair of nodes is descended with the differences counted
     on the bits shared so far: children add only those of newly shared bits, and a pair whose count passes
-    `distance` goes with everything below it.
+    `distance` goes with everything below it. At most PAIRS pairs of children are looked at together, and the others
+    wait as pairs of their parents, so memory doesn't grow with the pairs, however few of them the bits tell apart.
     """
     n = len(fp)
     masks, patterns, cells, first = [np.full(n, ~np.uint64(0))], [fp], [cell], []
@@ -76,31 +78,39 @@ def gray_order_links(cell: np.ndarray, fp: np.ndarray, distance: int) -> tuple[n
         masks.append(ones | zeros)
         patterns.append(ones)
         cells.append(c[heads])
-    roots = np.arange(len(cells[-1]))
-    label, stack = np.arange(n), [(len(first), roots, roots, np.zeros(len(roots), np.int64))]
+    label, found, held = np.arange(n), [], 0
+
+    def joined() -> np.ndarray:
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.minimum(label, forest(n, np.concatenate((np.arange(n), u)), np.concatenate((label, v))))
+
+    roots, child = np.arange(len(cells[-1])), np.arange(FANOUT)
+    stack = [(len(first), roots, roots, np.zeros(len(roots), np.uint8))]
     while stack:
         level, u, v, gone = stack.pop()
-        if len(u) > PAIRS:
+        if not level:
+            apart = label[u] != label[v]
+            found.append((u[apart], v[apart]))
+            held += int(apart.sum())
+            if held > PAIRS:
+                label, found, held = joined(), [], 0
+            continue
+        if len(u) > PAIRS // FANOUT**2:
             half = len(u) // 2
             stack += [(level, u[:half], v[:half], gone[:half]), (level, u[half:], v[half:], gone[half:])]
             continue
-        if not level:
-            apart = u != v
-            label = np.minimum(label, forest(n, np.concatenate((np.arange(n), u[apart])), np.concatenate((label, v[apart])))) if apart.any() else label
-            continue
         begin, size = first[level - 1][:-1], np.diff(first[level - 1])
-        count = size[u] * size[v]
-        pair = np.repeat(np.arange(len(u)), count)
-        k = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
-        a, b = begin[u][pair] + k // size[v][pair], begin[v][pair] + k % size[v][pair]
-        keep = a <= b
-        pair, a, b = pair[keep], a[keep], b[keep]
-        shared = masks[level][u[pair]] & masks[level][v[pair]]
-        new = masks[level - 1][a] & masks[level - 1][b] & ~shared
-        gone = gone[pair] + np.bitwise_count((patterns[level - 1][a] ^ patterns[level - 1][b]) & new)
-        near = gone <= distance
-        if near.any():
-            stack.append((level - 1, a[near], b[near], gone[near]))
+        mask, pattern = masks[level - 1], patterns[level - 1]
+        a, b = (np.minimum(begin[x][:, None] + child, len(mask) - 1) for x in (u, v))
+        shared = masks[level][u] & masks[level][v]
+        new = (mask[a] & ~shared[:, None])[:, :, None] & mask[b][:, None, :]
+        apart = np.bitwise_count((pattern[a][:, :, None] ^ pattern[b][:, None, :]) & new) + gone[:, None, None]
+        real = (child < size[u][:, None])[:, :, None] & (child < size[v][:, None])[:, None, :]
+        once = (u < v)[:, None, None] | (child[:, None] <= child)
+        pair, i, j = np.nonzero((apart <= distance) & real & once)
+        if len(pair):
+            stack.append((level - 1, a[pair, i], b[pair, j], apart[pair, i, j]))
+    label = joined() if found else label
     linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 

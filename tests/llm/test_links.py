@@ -1,6 +1,7 @@
 """Near-duplicates and repeated passages against brute force."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -61,6 +62,25 @@ def test_gray_order_links_of_one_dense_cell():
     assert np.array_equal(label, forest(len(fp), a, b))
 
 
+def test_memory_of_the_index_does_not_grow_with_pairs():
+    """Of a wide distance few pairs of nodes go early; the children of all of them at once took over 500 MB."""
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 63, 1800, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *(base[:400] ^ sum(np.uint64(1) << r.integers(0, 64, 400, dtype=np.uint64) for _ in range(k)) for k in (3, 7, 10))]))
+    cell = np.repeat([3, 9], [len(fp) - 200, 200])
+    fp = np.concatenate([x[np.argsort(gray_rank(x))] for x in np.split(r.permutation(fp), [len(fp) - 200])])
+    tracemalloc.start()
+    try:
+        i, j = gray_order_links(cell, fp, 7)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    a, b = np.nonzero((np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 7) & (cell[:, None] == cell[None, :]))
+    label = np.arange(len(fp))
+    label[i] = j
+    assert np.array_equal(label, forest(len(fp), a, b)) and len(i) > 500 and peak < 50e6
+
+
 def test_gray_rank_steps_change_one_bit():
     g = np.arange(1000, dtype=np.uint64) ^ (np.arange(1000, dtype=np.uint64) >> np.uint64(1))
     assert np.array_equal(gray_rank(g), np.arange(1000))
